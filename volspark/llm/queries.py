@@ -1,15 +1,18 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from volspark.llm import chat, decontaminate, licenses, url_filter
+from volspark.llm import chat, decontaminate, langid, licenses, topk, url_filter
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_license_scan": licenses.op6_license_scan,
     "op7_chat_format": chat.op7_chat_format,
+    "op9_top_k": topk.op9_top_k,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
 ORACLE_SQL = {
     "op5_decontaminate": decontaminate.OP5_SQL,
+    "op9_top_k": topk.OP9_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
 }
