@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from volspark.llm import chat, decontaminate, langid, licenses, minhash, topk, url_filter
+from volspark.llm import chat, decontaminate, langid, licenses, minhash, topk, url_filter, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
+    "op3_warc": warc.op3_warc,
     "op4_near_duplicates": minhash.op4_near_duplicates,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_license_scan": licenses.op6_license_scan,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_warc": warc.OP3_SQL,
     "op4_near_duplicates": minhash.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op9_top_k": topk.OP9_SQL,
