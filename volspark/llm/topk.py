@@ -102,7 +102,7 @@ def _searcher(k: int):
         if len(vectors) and len(queries):
             tree = BallTree(_matrix(vectors["v"]))
             ids = vectors["id"].to_numpy()[tree.order]
-            for q, qid, qno, floor in zip(_matrix(queries["v"]), queries["id"], queries["qno"], queries["floor"], strict=True):
+            for q, qid, qno, floor in zip(_matrix(queries["q_v"]), queries["q_id"], queries["qno"], queries["floor"], strict=True):
                 out += [(qno, qid, i, s) for s, i in tree.search(q, qid, ids, k, -np.inf if floor is None or np.isnan(floor) else floor)]
         return pd.DataFrame(out, columns=["qno", "query_id", "vec_id", "score"]).astype({"qno": "string", "query_id": "int64", "vec_id": "int64", "score": "int64"})
 
@@ -110,9 +110,9 @@ def _searcher(k: int):
 
 
 def _search(vectors: DataFrame, queries: DataFrame, shards: int, blocks: int, k: int) -> DataFrame:
-    """vectors: id, v, dim, shard; queries: qno, id, v, dim, block, floor. Up to k rows for each query and shard."""
+    """vectors: id, v, dim, shard; queries: qno, q_id, q_v, dim, block, floor. Up to k rows for each query and shard."""
     v = vectors.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v")
-    q = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "qno", "id", "v", "floor")
+    q = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "qno", "q_id", "q_v", "floor")
     keys = ["dim", "shard", "block"]
     return v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(_searcher(k), "qno string, query_id long, vec_id long, score long")
 
@@ -138,12 +138,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     spread = F.hash("v")  # repeated ids, too, spread over the shards
     dealt = base.select("id", "v", "dim", F.pmod(F.xxhash64("id", spread), F.lit(shards)).cast("int").alias("shard"))
     qno = F.concat_ws(":", "id", F.md5(F.to_json(F.struct("v"))))
-    q = base.where("is_query").select(qno.alias("qno"), "id", "v", "dim").dropDuplicates(["qno"]).withColumn("block", deal("qno", blocks, 1))
+    q = base.where("is_query").select(qno.alias("qno"), F.col("id").alias("q_id"), F.col("v").alias("q_v"), "dim").dropDuplicates(["qno"])
+    q = materialise(q.withColumn("block", deal("qno", blocks, 1)), "topk-queries")
     if shards > 1:
-        pilot = dealt.where(F.col("shard") == 0).withColumn("shard", F.lit(0))
+        pilot = dealt.where(F.col("shard") == 0)
         first = _search(pilot, q.withColumn("floor", F.lit(None).cast("double")), 1, blocks, k)
         floors = _top(first, k).where(F.col("rank") == k).select(F.col("qno").alias("f_qno"), F.col("score").cast("double").alias("floor"))
-        q = materialise(q.join(floors, F.col("qno") == F.col("f_qno"), "left").drop("f_qno"), "topk-queries")
+        q = materialise(q.join(floors, F.col("qno") == F.col("f_qno"), "left").drop("f_qno"), "topk-floors")
     else:
         q = q.withColumn("floor", F.lit(None).cast("double"))
     return _top(_search(dealt, q, shards, blocks, k), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
