@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from volspark.llm import chat, decontaminate, langid, licenses, minhash, topk, url_filter, warc
+from volspark.llm import chat, decontaminate, langid, licenses, minhash, suffix_dedup, topk, url_filter, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_license_scan": licenses.op6_license_scan,
     "op7_chat_format": chat.op7_chat_format,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_top_k": topk.op9_top_k,
     "op10_url_filter": url_filter.op10_url_filter,
 }
