@@ -35,12 +35,34 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/volspark-{label}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a finished write are of no more use: the table stands in the shared folder.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    write_table(df, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialise() once nothing lazy reads them any more."""
+    for df in tables:
+        drop_path(df.sparkSession, df.shared_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
