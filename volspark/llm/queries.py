@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from volspark.llm import chat, decontaminate, langid, licenses, minhash, suffix_dedup, topk, url_filter, warc
+from volspark.llm import chat, decontaminate, langid, licenses, minhash, pieces, suffix_dedup, topk, url_filter, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
+    "op2_pieces": pieces.op2_pieces,
     "op3_warc": warc.op3_warc,
     "op4_near_duplicates": minhash.op4_near_duplicates,
     "op5_decontaminate": decontaminate.op5_decontaminate,
