@@ -1,11 +1,74 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and reread."""
+"""The corpus pipeline: language ID, near-dedup, suffix-array dedup, decontamination, SentencePiece encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps with their columns, the last one the encoded
+documents. run() writes every stage's result as Parquet and rereads it as the next one's docs.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from volspark.llm import decontaminate, langid, minhash, pieces, suffix_dedup
+from volspark.llm.common import materialise, table
+
+#: A prediction less sure than this is a rejection; with four languages an even guess scores 0.25.
+LEAST_SCORE = 0.3
+
+
+def _recounted(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """n_chars, where there is such a column, follows a changed text."""
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter or null (und) and those whose best language scores under LEAST_SCORE."""
+    model = langid.fit(docs, F.lit(True))
+    out, lang, score = langid.identify(docs, model)
+    return out.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates (5-word shingles, similarity 0.8) the smallest doc_id stays, and one of its rows."""
+    gone = minhash.near_duplicates(docs, k=5).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    kept = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone"), "left_anti")
+    once = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return once.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts every byte out of the texts that a repeated 200-byte string covers; no document goes."""
+    return _recounted(suffix_dedup.remove_repeats(docs), docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts the words that benchmark windows cover; documents covered by more than half go."""
+    out, found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return _recounted(decontaminate.remove_spans(out, found), docs).select(*docs.columns)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_words, n_pieces, ids, and whether decoding gives the text back (U+2581 being a space)."""
+    model = pieces.read_model(pieces.tokenizer_path())
+    out, n_words, ids = pieces.encode(docs, model)
+    same = pieces.decode(F.col(ids), model) == F.replace("text", F.lit(pieces.SPACE), F.lit(" "))
+    return out.select("doc_id", "lang", "source", F.col(n_words).alias("n_words"), F.coalesce(F.size(ids), F.lit(0)).alias("n_pieces"), F.col(ids).alias("ids"), same.alias("round_trip"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("sentencepiece", sentencepiece),
+]
+
+#: Learned and hashed stages are beyond SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
