@@ -27,6 +27,7 @@ import heapq
 import os
 import re
 import struct
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -173,35 +174,45 @@ def _spelled(char: Column, model: PieceTable) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(hex_), F.lit(2)), lambda i: F.element_at(table_, (F.conv(F.substr(hex_, i, F.lit(2)), 16, 10).cast("int") + 1)).cast("int"))
 
 
-def encode_word(word: str, model: PieceTable, index: dict[str, tuple[int, float]]) -> list[int]:
+class WordEncoder:
     """The ids of one word by the rules of the lattice's folds."""
-    if not model.is_bpe:
-        parts = _best_path(word, model, index)
-    else:
-        parts = _merge_short(word, index) if len(word) <= 64 else _merge_long(word, index)
-    return [i for p in parts for i in ([index[p][0]] if p in index else model.spell(p))]
-
 
-def _merge_short(word: str, index: dict[str, tuple[int, float]]) -> list[str]:
+    def __init__(self, model: PieceTable):
+        self.model = model
+        self.score = {p: s for _, p, s in model.pieces}
+        self.id = {p: i for i, p, _ in model.pieces}
+
+    def __call__(self, word: str) -> bytes:
+        if not self.model.is_bpe:
+            parts = _best_path(word, self.model, self.score)
+        else:
+            parts = _merge_short(word, self.score.get) if len(word) <= 64 else _merge_long(word, self.score)
+        try:
+            return array("i", [self.id[p] for p in parts]).tobytes()
+        except KeyError:
+            return array("i", [i for p in parts for i in ([self.id[p]] if p in self.id else self.model.spell(p))]).tobytes()
+
+
+def _merge_short(word: str, get) -> list[str]:
+    none = float("-inf")
     parts = list(word)
-    get = index.get
-    scores = [hit[1] if (hit := get(x + y)) else None for x, y in zip(parts, parts[1:], strict=False)]
-    while True:
-        best, at = None, -1
-        for i, s in enumerate(scores):
-            if s is not None and (best is None or s > best):
-                best, at = s, i
-        if best is None:
-            return parts
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    scores = [get(x + y, none) for x, y in zip(parts, parts[1:], strict=False)]
+    while scores:
+        best = max(scores)
+        if best == none:
+            break
+        at = scores.index(best)
+        both = parts[at] + parts[at + 1]
+        parts[at : at + 2] = [both]
         del scores[at]
         if at:
-            scores[at - 1] = hit[1] if (hit := get(parts[at - 1] + parts[at])) else None
+            scores[at - 1] = get(parts[at - 1] + both, none)
         if at < len(scores):
-            scores[at] = hit[1] if (hit := get(parts[at] + parts[at + 1])) else None
+            scores[at] = get(both + parts[at + 1], none)
+    return parts
 
 
-def _merge_long(word: str, index: dict[str, tuple[int, float]]) -> list[str]:
+def _merge_long(word: str, score: dict[str, float]) -> list[str]:
     n = len(word)
     end = list(range(1, n + 1))  # of the piece that starts here
     start_of = list(range(n))  # of the piece that ends at i + 1
@@ -210,8 +221,8 @@ def _merge_long(word: str, index: dict[str, tuple[int, float]]) -> list[str]:
 
     def offer(a: int) -> None:
         b = end[a]
-        if b < n and (hit := index.get(word[a : end[b]])):
-            heapq.heappush(heap, (-hit[1], a, b, end[b]))
+        if b < n and (s := score.get(word[a : end[b]])) is not None:
+            heapq.heappush(heap, (-s, a, b, end[b]))
 
     for i in range(n - 1):
         offer(i)
@@ -232,11 +243,11 @@ def _merge_long(word: str, index: dict[str, tuple[int, float]]) -> list[str]:
     return parts
 
 
-def _best_path(word: str, model: PieceTable, index: dict[str, tuple[int, float]]) -> list[str]:
+def _best_path(word: str, model: PieceTable, score: dict[str, float]) -> list[str]:
     best: list[tuple[float, int]] = [(0.0, 0)]
     for j in range(1, len(word) + 1):
-        options = [(best[j - m][0] + index[word[j - m : j]][1], m) for m in range(1, min(j, model.longest) + 1) if word[j - m : j] in index]
-        if word[j - 1] not in index:
+        options = [(best[j - m][0] + score[word[j - m : j]], m) for m in range(1, min(j, model.longest) + 1) if word[j - m : j] in score]
+        if word[j - 1] not in score:
             options.append((best[j - 1][0] + model.worst, 1))
         best.append(max(options))
     parts, at = [], len(word)
@@ -254,6 +265,8 @@ class _Splitter:
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def __call__(self, text: str) -> list[str]:
+        if self.prefix and text and "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text:
+            return (SPACE + text.replace(" ", f" {SPACE}")).split(" ")
         t = text.replace(" ", SPACE)
         if self.strip:
             t = re.sub(f"{SPACE}+", SPACE, t.strip(SPACE))
@@ -262,25 +275,26 @@ class _Splitter:
         return self.cut.findall(SPACE + t if self.prefix else t)
 
 
-def count_words(docs: DataFrame, model: PieceTable, text_col: str = "text", flush: int = 400_000) -> DataFrame:
-    """word, n: how often each word of at most LONG characters occurs in all texts."""
+def count_words(docs: DataFrame, model: PieceTable, text_col: str = "text", flush: int = 300_000) -> DataFrame:
+    """word, n: about how often each word of at most LONG characters occurs in all texts. A task that holds many words forgets
+    those it has seen once since (lossy counting), so counts may be low; they only choose the words of the lattice, no result depends on them."""
     split = _Splitter(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
-
-        def out() -> pa.RecordBatch:
-            kept = [(w, n) for w, n in counts.items() if len(w) <= LONG]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
-
+        least = 1
         for b in batches:
             for text in b.column(0):
                 if (t := text.as_py()) is not None:
                     counts.update(split(t))
                 if len(counts) > flush:
-                    yield out()
-                    counts.clear()
-        yield out()
+                    least = 2
+                    counts = Counter({w: n for w, n in counts.items() if n > 1})
+                    while len(counts) > flush // 2:  # many repeated words: forget the rarer ones, too
+                        least += 1
+                        counts = Counter({w: n for w, n in counts.items() if n >= least})
+        kept = [(w, n) for w, n in counts.items() if n >= least and len(w) <= LONG]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
     return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -297,8 +311,9 @@ def frequent_words(counts: DataFrame, bound: int) -> DataFrame:
     return counts.where(F.lit(False) if least is None else F.col("n") >= least).select("word")
 
 
-def encode(docs: DataFrame, model: PieceTable, text_col: str = "text", lattice_words: int = 250_000) -> tuple[DataFrame, str, str]:
-    """docs with two more columns, whose names are returned: number of words, ids of pieces (array<int>)."""
+def encode(docs: DataFrame, model: PieceTable, text_col: str = "text", lattice_words: int = 150_000) -> tuple[DataFrame, str, str, str]:
+    """docs with three more columns, whose names are returned: number of words, ids of pieces (as 4-byte little-endian integers; see
+    unpacked()), and the text decoded from these ids."""
     spark = docs.sparkSession
     counts = materialise(count_words(docs, model, text_col), "words")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -306,46 +321,60 @@ def encode(docs: DataFrame, model: PieceTable, text_col: str = "text", lattice_w
     known = {w: np.array(i, np.int32).tobytes() for b in found.to_batches() for w, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
     discard(counts)
     shared = spark.sparkContext.broadcast((model, known))
-    n_words, ids = free_name(docs, "n_words"), free_name(docs, "ids")
+    n_words, ids, decoded = (free_name(docs, n) for n in ("n_words", "ids", "decoded"))
     split = _Splitter(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, common = shared.value
-        index = {p: (i, s) for i, p, s in m.pieces}
+        encode_word, decoder = WordEncoder(m), Decoder(m)
         rare: dict[str, bytes] = {}
 
         def rest(w: str) -> bytes:
             found = rare.get(w)
             if found is None:
-                if len(rare) >= 200_000:
+                if len(rare) >= 50_000:
                     rare.clear()
-                found = rare[w] = np.array(encode_word(w, m, index), np.int32).tobytes()
+                found = rare[w] = encode_word(w)
             return found
 
         for b in batches:
-            flat, sizes, words = [], [], []
+            packed, words = [], []
             for text in b.column(text_col):
                 t = text.as_py()
-                if t is None:
-                    sizes.append(None)
-                    words.append(0)
-                    continue
-                ws = split(t)
-                packed = b"".join([common.get(w) or rest(w) for w in ws])
-                flat.append(packed)
-                sizes.append(len(packed) // 4)
+                ws = [] if t is None else split(t)
+                packed.append(None if t is None else b"".join([common.get(w) or rest(w) for w in ws]))
                 words.append(len(ws))
-            ends = np.cumsum([0, *(x or 0 for x in sizes)])
-            offsets = pa.array([None if i < len(sizes) and sizes[i] is None else int(x) for i, x in enumerate(ends)], pa.int32())
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(flat), np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(words, pa.int64()), lists], names=[*b.schema.names, n_words, ids])
+            back = pa.array([None if x is None else decoder(x) for x in packed], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(words, pa.int64()), pa.array(packed, pa.binary()), back], names=[*b.schema.names, n_words, ids, decoded])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())])
+    return docs.mapInArrow(run, schema), n_words, ids, decoded
+
+
+class Decoder:
+    """The text of packed ids."""
+
+    def __init__(self, model: PieceTable):
+        self.surfaces = [bytes.fromhex(x) for x in model.surfaces()]
+        self.prefix = model.dummy_prefix
+
+    def __call__(self, packed: bytes) -> str:
+        surfaces = self.surfaces
+        raw = b"".join([surfaces[i] for i in memoryview(packed).cast("i")])
+        text = raw.decode("utf-8", "replace").replace(SPACE, " ")
+        return text[1:] if self.prefix and text.startswith(" ") else text
+
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(run, schema), n_words, ids
+def unpacked(ids: Column) -> Column:
+    """array<int> of packed ids."""
+    h = F.hex(ids)
+    at = lambda i, k: F.substr(h, i * 8 + k, F.lit(2))
+    word = lambda i: F.conv(F.concat(at(i, 7), at(i, 5), at(i, 3), at(i, 1)), 16, 10).cast("int")
+    return F.when(F.octet_length(ids) > 0, F.transform(F.sequence(F.lit(0), (F.octet_length(ids) / 4).cast("int") - 1), word)).when(ids.isNotNull(), F.expr("cast(array() as array<int>)"))
 
 
 def decode(ids: Column, model: PieceTable) -> Column:
-    """The text that ids stand for."""
+    """The text that ids (array<int>) stand for, in DataFrame functions: for ids from elsewhere."""
     surfaces = F.split(F.lit(",".join(model.surfaces())), ",", -1)
     raw = F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(surfaces, i + 1)), ""))
     text = F.replace(F.decode(raw, "utf-8"), F.lit(SPACE), F.lit(" "))
@@ -357,7 +386,7 @@ def tokenizer_path(name: str = "piece_bpe_32k.model", folder: str | None = None)
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
-    """Per document: doc_id, n_words, n_pieces, ids_sha256 (of the comma-joined ids), text_sha256 (of the text decoded from them)."""
+    """Per document: doc_id, n_words, n_pieces, ids_sha256 (of the ids as 4-byte little-endian integers), text_sha256 (of the text decoded from them)."""
     model = read_model(model_path or tokenizer_path())
-    out, n_words, ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    return out.select("doc_id", F.col(n_words).alias("n_words"), F.coalesce(F.size(ids), F.lit(0)).cast("long").alias("n_pieces"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(decode(F.col(ids), model).cast("binary"), 256).alias("text_sha256"))
+    out, n_words, ids, decoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return out.select("doc_id", F.col(n_words).alias("n_words"), F.coalesce(F.octet_length(ids) / 4, F.lit(0)).cast("long").alias("n_pieces"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col(decoded).cast("binary"), 256).alias("text_sha256"))
