@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,7 +133,8 @@ class Matcher:
 _FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
-def _pass(shared, text_col: str, found_col: str):
+def _pass(shared, text_col: str, found_col: str, max_coverage: float | None):
+    """Adds or extends found_col; with max_coverage it cuts the texts instead, and drops rows covered by more than that."""
     kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +149,12 @@ def _pass(shared, text_col: str, found_col: str):
                     spans, items = _union([*map(tuple, old["spans"]), *spans]), items | set(old["items"])
                 out.append({"n_words": len(words), "spans": spans, "items": sorted(items)})
             cols = [(n, c) for n, c in zip(b.schema.names, b.columns, strict=True) if n != found_col]
+            if max_coverage is not None:
+                covered = [sum(y - x for x, y in r["spans"]) for r in out]
+                texts = pa.array([cut_text(t.as_py(), r["spans"]) if r["spans"] else t.as_py() for t, r in zip(b.column(text_col), out, strict=True)], pa.string())
+                done = pa.RecordBatch.from_arrays([texts if n == text_col else c for n, c in cols], names=[n for n, _ in cols])
+                yield done.filter(pa.array([n <= max_coverage * r["n_words"] for n, r in zip(covered, out, strict=True)], pa.bool_()))
+                continue
             yield pa.RecordBatch.from_arrays([c for _, c in cols] + [pa.array(out, kind)], names=[n for n, _ in cols] + [found_col])
 
     return run
@@ -164,8 +170,7 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = 2_000_000) -> tuple[DataFrame, str]:
-    """docs with one more column (its name is returned too): struct n_words, spans ([start, end) of hit words), items (sorted ids)."""
+def _passes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, window: int, shard_words: int, max_coverage: float | None) -> tuple[DataFrame, str]:
     spark, found = docs.sparkSession, free_name(docs, "found")
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
     words = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first()["n"] // 2 + 1  # a word takes two characters at least
@@ -175,26 +180,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     for k in range(shards):
         part = items.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == k) if shards > 1 else items
         shared = spark.sparkContext.broadcast(([(r["i"], ascii_words(r["t"])) for r in part.toLocalIterator()], window))
-        out = out.mapInArrow(_pass(shared, text_col, found), schema)
-        if k + 1 < shards:
+        last = k + 1 == shards
+        limit = max_coverage if last else None
+        out = out.mapInArrow(_pass(shared, text_col, found, limit), docs.schema if limit is not None else schema)
+        if not last:
             out = materialise(out, "decontaminate")
     return out, found
 
 
-def remove_spans(docs: DataFrame, found: str, text_col: str = "text", max_coverage: float = 0.5) -> DataFrame:
-    """Cuts the hit words' spans out of the texts (from the first character of a span to the end of its last word); documents of
-    which more than max_coverage of the words are hit go. Other columns stay; found is dropped."""
-    covered = F.aggregate(f"{found}.spans", F.lit(0), lambda a, s: a + s[1] - s[0])
-    kept = docs.where(covered <= F.col(f"{found}.n_words") * max_coverage)
-    cut = F.when(F.size(f"{found}.spans") > 0, _cut(F.col(text_col), F.col(f"{found}.spans"))).otherwise(F.col(text_col))
-    return kept.withColumn(text_col, cut).drop(found)
-
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = 2_000_000) -> tuple[DataFrame, str]:
+    """docs with one more column (its name is returned too): struct n_words, spans ([start, end) of hit words), items (sorted ids)."""
+    return _passes(docs, benchmark, text_col, item_col, item_text, window, shard_words, None)
 
-def _cut(text, spans):
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut_text(t, s) if s is not None and len(s) else t for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    return F.pandas_udf(cut, "string")(text, spans)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, max_coverage: float = 0.5, shard_words: int = 2_000_000) -> DataFrame:
+    """docs with hit spans cut out of the texts (from the first character of a span's first word to the end of its last); documents of
+    which more than max_coverage of the words are hit go. Wordless and null texts stay as they are."""
+    return _passes(docs, benchmark, text_col, item_col, item_text, window, shard_words, max_coverage)[0]
 
 
 def cut_text(text: str, spans) -> str:

@@ -33,7 +33,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -275,14 +274,14 @@ def _run_maker(buckets: int):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], names=_RUN_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members, held = [], 0
+        members = []
         for b in batches:
             for text, raw, places in zip(*(b.column(n) for n in ("d", "raw", "places")), strict=True):
                 text, raw = text.as_py(), raw.as_py()
                 for p in places.as_py():
                     if 0 <= p <= len(raw) - GRAM:
                         members.append((raw[p : p + LENGTH], raw[max(0, p - LEFT) : p][::-1], text, p, p, len(raw) - p))
-                if len(members) - held >= 150_000:  # a run per so many anchors bounds the task's memory
+                if len(members) >= 60_000:  # a run per so many anchors bounds the task's memory
                     yield from flush(members)
                     members = []
         yield from flush(members)
@@ -351,7 +350,7 @@ def _hot_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        removed, count, kept = [], [], []
+        removed, count, kept, text = [], [], [], []
         for raw, packed in zip(b.column("raw"), b.column("spans"), strict=True):
             raw = raw.as_py()
             spans = merged([tuple(x) for p in packed.as_py() for x in np.frombuffer(p, np.int64).reshape(-1, 2).tolist()])
@@ -360,9 +359,10 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append(raw[at:x])
                 at = y
             kept.append(b"".join([*out, raw[at:]]))
+            text.append(kept[-1].decode("utf-8", "ignore"))
             removed.append(sum(y - x for x, y in spans))
             count.append(len(spans))
-        yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], names=["d", "n_removed", "n_spans", "kept"])
+        yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary()), pa.array(text, pa.string())], names=["d", "n_removed", "n_spans", "kept", "text"])
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +378,7 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 100_000, bucket_anchors: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """(copies, cut). copies: d (16 bytes of the SHA-256 of a text that several rows have). cut: d, n_removed, n_spans, kept (bytes) of texts
+    """(copies, cut). copies: d (16 bytes of the SHA-256 of a text that several rows have). cut: d, n_removed, n_spans, kept (bytes), text (what is valid of them) of texts
     that lose something and have no copy; at most a row per text."""
     spark = docs.sparkSession
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -409,7 +409,7 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         spans = spans.unionByName(strings.join(twice, F.col("k") == F.col("k2")).select("text", packed.alias("spans")))
     by_text = spans.groupBy("text").agg(F.collect_list("spans").alias("spans"))
     single = held.where("copies = 1").dropDuplicates(["d"]).select("d", "raw")
-    cut = single.join(by_text, F.col("d") == F.col("text")).select("d", "raw", "spans").mapInArrow(_cutter, "d binary, n_removed long, n_spans long, kept binary")
+    cut = single.join(by_text, F.col("d") == F.col("text")).select("d", "raw", "spans").mapInArrow(_cutter, "d binary, n_removed long, n_spans long, kept binary, text string")
     return texts.where("n > 1").select("d"), cut
 
 
@@ -422,7 +422,7 @@ def _little_endian(c):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated bytes cut out of the texts (what a cut leaves of a character goes, too); null texts stay null."""
     copies, cut = cut_texts(docs, id_col, text_col)
-    info = copies.select("d", F.lit("").alias("kept")).unionByName(cut.select("d", _valid_text("kept").alias("kept")))
+    info = copies.select("d", F.lit("").alias("kept")).unionByName(cut.select("d", F.col("text").alias("kept")))
     d, kept, key = (free_name(docs, n) for n in ("d", "kept", "key"))
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     keyed = docs.withColumn(key, F.when(F.octet_length(raw) >= LENGTH, F.unhex(F.substring(F.sha2(raw, 256), 1, 32))))
@@ -430,13 +430,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(*[F.coalesce(kept, text_col).alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
-def _valid_text(column: str):
-    def decode(parts: pd.Series) -> pd.Series:
-        return pd.Series([bytes(p).decode("utf-8", "ignore") for p in parts], dtype=object)
-
-    return F.pandas_udf(decode, "string")(column)
-
-
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     copies, cut = cut_texts(docs)
