@@ -43,16 +43,15 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the words that benchmark windows cover; documents covered by more than half go."""
-    out, found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _recounted(decontaminate.remove_spans(out, found), docs).select(*docs.columns)
+    return _recounted(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_words, n_pieces, ids, and whether decoding gives the text back (U+2581 being a space)."""
+    """doc_id, lang, source, n_words, n_pieces, ids (4-byte little-endian integers), and whether decoding gives the text back (U+2581 being a space)."""
     model = pieces.read_model(pieces.tokenizer_path())
-    out, n_words, ids = pieces.encode(docs, model)
-    same = pieces.decode(F.col(ids), model) == F.replace("text", F.lit(pieces.SPACE), F.lit(" "))
-    return out.select("doc_id", "lang", "source", F.col(n_words).alias("n_words"), F.coalesce(F.size(ids), F.lit(0)).alias("n_pieces"), F.col(ids).alias("ids"), same.alias("round_trip"))
+    out, n_words, ids, decoded = pieces.encode(docs, model)
+    same = F.col(decoded) == F.replace("text", F.lit(pieces.SPACE), F.lit(" "))
+    return out.select("doc_id", "lang", "source", F.col(n_words).alias("n_words"), F.coalesce(F.octet_length(ids) / 4, F.lit(0)).cast("long").alias("n_pieces"), F.col(ids).alias("ids"), same.alias("round_trip"))
 
 
 STAGES = [
