@@ -91,7 +91,7 @@ def polynomial_log_bias(vox: DataFrame, step: int = 4) -> DataFrame:
     """A quadratic surface fitted to log v on every step-th voxel of v > 0, least squares, centred: a plain stand-in
     for B-spline bias correction. The normal equations are sums, so voxels are aggregated where they lie; ten coefficients a volume are solved."""
     terms = ["1", "z", "y", "x", "z*z", "y*y", "x*x", "z*y", "z*x", "y*x"]
-    some = vox.where("v > 0").where(" and ".join(f"pmod({a}, {step}) = {step // 2}" for a in "zyx"))
+    some = vox.where("v > 0").where(" and ".join(f"pmod({a}, {step}) = 0" for a in "zyx"))
     t = [F.expr(f"cast({e} as double)") for e in terms]
     log = F.log("v")
     sums = some.groupBy("vol_id").agg(F.array(*[F.sum(a * b) for i, a in enumerate(t) for b in t[: i + 1]]).alias("g"), F.array(*[F.sum(a * log) for a in t]).alias("r"))

@@ -237,7 +237,7 @@ def otsu_bin_sweep(spark, sf):
     return _r(threshold.bin_sweep(voxels(spark, sf, "events"), methods=["otsu"]), "threshold")
 
 
-@query(f"WITH {grid('events')}, {histogram(64)}, t AS ({_multi(3)}) SELECT vol_id, round(0.0, 6) AS l0, round(t1, 2) AS l1, round(t2, 2) AS l2, (SELECT max(v) FROM g) AS l3 FROM t")
+@query(f"WITH {grid('events')}, {histogram(64)}, t AS ({_multi(3)}) SELECT vol_id, 0.0::DOUBLE AS l0, round(t1, 2) AS l1, round(t2, 2) AS l2, (SELECT max(v) FROM g) AS l3 FROM t")
 def class_limits(spark, sf):
     g = voxels(spark, sf, "events")
     c = threshold.class_limits(g, threshold.multi_otsu(g, 3, 64))

@@ -152,7 +152,7 @@ def foreground_stats(spark, sf):
     return _r(A.describe(voxels(spark, sf, "orders").where("v > 0")), "mean", "std", digits=4)
 
 
-@query(f"WITH {grid('orders')}, p(q) AS (VALUES {', '.join(f'({p})' for p in A.PERCENTILES)}), s AS (SELECT quantile_cont(v, {A.PERCENTILES}) AS l FROM g WHERE v > 0) SELECT unnest({A.PERCENTILES}) AS q, round(unnest(l), 6) AS v FROM s")
+@query(f"WITH {grid('orders')}, s AS (SELECT quantile_cont(v, {A.PERCENTILES}) AS l FROM g WHERE v > 0) SELECT unnest({A.PERCENTILES}::DOUBLE[]) AS q, round(unnest(l), 6) AS v FROM s")
 def foreground_percentiles(spark, sf):
     p = A.percentiles(voxels(spark, sf, "orders").where("v > 0"), A.PERCENTILES)
     return p.select(F.explode(F.arrays_zip(F.array(*[F.lit(float(x)) for x in A.PERCENTILES]).alias("q"), "p")).alias("s")).select(F.col("s.q").alias("q"), F.round("s.p", 6).alias("v"))
@@ -309,7 +309,7 @@ def comparison_panels(spark, sf):
     return panels([(n, voxels(spark, sf, n)) for n in ("events", "orders")], "z", 2)
 
 
-@query(f"WITH {grid('events')}, p(sigma, level) AS (SELECT * FROM (VALUES (0.5), (1.0), (2.0)) a(s), (VALUES (0.1), (0.2), (0.3)) b(l)) SELECT sigma, level, count(*) FILTER (WHERE v > 100 * sigma * (1 + level)) AS hits, count(*) AS n FROM g, p GROUP BY ROLLUP (sigma, level)")
+@query(f"WITH {grid('events')}, p(sigma, level) AS (SELECT s::DOUBLE, l::DOUBLE FROM (VALUES (0.5), (1.0), (2.0)) a(s), (VALUES (0.1), (0.2), (0.3)) b(l)) SELECT sigma, level, count(*) FILTER (WHERE v > 100 * sigma * (1 + level)) AS hits, count(*) AS n FROM g, p GROUP BY ROLLUP (sigma, level)")
 def parameter_sweep_totals(spark, sf):
     grid_ = spark.createDataFrame([(s, level) for s in (0.5, 1.0, 2.0) for level in (0.1, 0.2, 0.3)], "sigma double, level double")
     runs = voxels(spark, sf, "events").crossJoin(F.broadcast(grid_))  # nine rows
