@@ -89,3 +89,29 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql(f"select * from values (-1L, 0L, 'user', '{said}'), (-1L, 1L, 'assistant', '{said}') as t(conv_id, turn, role, text)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return digests(read_back(format_conversations(turns)))
+
+
+_CONTROL_SQL = r"([<\[])(\||/?s>|/?INST\]|/?<?/?SYS>>)"
+
+
+def _escaped_length(column: str) -> str:
+    return rf"length(regexp_replace(replace({column}, '\', '\\'), '{_CONTROL_SQL}', '\1\\\2', 'g'))"
+
+
+OP7_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+o AS (SELECT *, CAST(ceil(length(text) / 4) AS BIGINT) + 4 AS n, row_number() OVER w AS pos FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+p AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY pos) - n AS start, {_escaped_length("role")} + {_escaped_length("text")} AS size FROM o),
+s AS (SELECT *, CAST(start // 2048 AS BIGINT) AS win, first_value(role) OVER c AS head_role, first_value(size) OVER c AS head_size FROM p WINDOW c AS (PARTITION BY conv_id ORDER BY pos)),
+f AS (SELECT conv_id, win, min(start) AS first FROM s GROUP BY conv_id, win),
+own AS (SELECT conv_id, sum({len(START) + len(SEP) + len(END)} + size) AS c FROM s GROUP BY conv_id),
+again AS (SELECT s.conv_id, sum({len(REPEAT) + len(SEP) + len(END)} + size) AS c FROM s JOIN f ON f.conv_id = s.conv_id AND f.win = s.win + 1
+          WHERE s.start >= f.first - 512 AND NOT (s.pos = 1 AND s.role = 'system') GROUP BY s.conv_id),
+kept AS (SELECT s.conv_id, sum({len(REPEAT) + len(SEP) + len(END)} + head_size) AS c FROM s JOIN f ON f.conv_id = s.conv_id AND f.win = s.win AND f.first = s.start WHERE s.win > 0 AND s.pos > 1 AND head_role = 'system' GROUP BY s.conv_id),
+d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+             coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256
+      FROM s GROUP BY conv_id)
+SELECT d.conv_id, n_turns, turns_sha256, CAST(loss_chars AS BIGINT) AS loss_chars, loss_sha256, CAST(own.c + coalesce(again.c, 0) + coalesce(kept.c, 0) AS BIGINT) AS formatted_chars
+FROM d JOIN own USING (conv_id) LEFT JOIN again USING (conv_id) LEFT JOIN kept USING (conv_id)
+"""
