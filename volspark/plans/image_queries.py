@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from volspark.functions import stats as A
-from volspark.operators import cluster, denoise, fronts, lesion, regions, stencil, threshold, views
+from volspark.operators import cluster, denoise, fronts, lesion, regions, stencil, threshold
 from volspark.plans import sweeps
 from volspark.plans.sqltext import GRIDS, central, grid, histogram, uint8
 from volspark.plans.sqltext import stencil as near
@@ -237,6 +236,12 @@ def otsu_bin_sweep(spark, sf):
     return _r(threshold.bin_sweep(voxels(spark, sf, "events"), methods=["otsu"]), "threshold")
 
 
+@query(f"WITH {grid('events')}, {histogram(64)}, t AS ({_multi(3)}) SELECT g.vol_id, z, y, x, CAST((v > t1)::INTEGER + (v > t2)::INTEGER AS INTEGER) AS label, v FROM g, t")
+def multi_otsu_labels(spark, sf):
+    g = voxels(spark, sf, "events")
+    return threshold.apply_cuts(g, threshold.multi_otsu(g, 3, 64))
+
+
 @query(f"WITH {grid('events')}, {histogram(64)}, t AS ({_multi(3)}) SELECT vol_id, 0.0::DOUBLE AS l0, round(t1, 2) AS l1, round(t2, 2) AS l2, (SELECT max(v) FROM g) AS l3 FROM t")
 def class_limits(spark, sf):
     g = voxels(spark, sf, "events")
@@ -433,6 +438,11 @@ def watershed_sweep(spark, sf):
     return sweeps.watershed_sweep(voxels(spark, sf, "events"), [0.5], [0.0, 0.1], [0.1, 0.3])
 
 
+@query()
+def level_set_sweep(spark, sf):
+    return sweeps.level_set_sweep(voxels(spark, sf, "events"), (1, 10, 12), [1, 2], [0.5], [-20.0], [60.0], [20.0, 40.0])
+
+
 @query()
 def filter_batch(spark, sf):
     return sweeps.filter_batch(voxels(spark, sf, "events"))
