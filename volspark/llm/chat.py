@@ -49,8 +49,8 @@ def format_conversations(turns: DataFrame, budget: int = 2048, history: int = 51
     t = t.withColumn("win", F.floor(F.col("start") / budget))
     # the first start of the next slice, if a turn starts there; turns of other slices can't be within history of it
     next_start = F.min("start").over(Window.partitionBy("conv_id").orderBy("win").rangeBetween(1, 1))
-    system = (F.col("pos") > 1) & (F.col("head.role") == "system") & (F.col("first_of"))
-    t = t.withColumn("next_start", next_start).withColumn("first_of", F.row_number().over(Window.partitionBy("conv_id", "win").orderBy("pos")) == 1)
+    t = t.withColumn("next_start", next_start).withColumn("opens", F.row_number().over(Window.partitionBy("conv_id", "win").orderBy("pos")) == 1)
+    system = (F.col("pos") > 1) & (F.col("head.role") == "system") & F.col("opens")
     is_head = (F.col("pos") == 1) & (F.col("role") == "system")
     piece = lambda win, rank, repeat, role, text: F.struct(win.alias("win"), F.lit(rank).alias("rank"), F.col("pos"), F.lit(repeat).alias("repeat"), role.alias("role"), text.alias("text"))
     own = piece(F.col("win"), 2, False, F.col("role"), F.col("text"))
