@@ -30,8 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/volspark-{label}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/volspark-{label}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables and archives that this process has put into the shared folder. Results are lazy and read
+    them, so call it once results are written."""
+    while _written:
+        drop_path(spark, _written.pop())
 
 
 #: Shuffle files of a finished write are of no more use: the table stands in the shared folder.
