@@ -405,6 +405,7 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         strings = materialise(strings, "hot-strings")
         place = F.xxhash64("text", "start")
         twice = strings.groupBy("k").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select(F.col("k").alias("k2"))
+        twice = materialise(twice, "repeated-strings")  # a join of two plain exchanges, which adaptive execution can split at a hot string
         packed = F.unhex(F.concat(*[_little_endian(c) for c in (F.col("start"), F.col("start") + LENGTH)]))
         spans = spans.unionByName(strings.join(twice, F.col("k") == F.col("k2")).select("text", packed.alias("spans")))
     by_text = spans.groupBy("text").agg(F.collect_list("spans").alias("spans"))
