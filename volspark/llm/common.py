@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of digits and of a-z, and all bytes of non-ASCII characters; A-Z count once lower-cased.
@@ -45,18 +47,21 @@ def clear(spark: SparkSession) -> None:
         drop_path(spark, _written.pop())
 
 
-#: Shuffle files of a finished write are of no more use: the table stands in the shared folder.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: For a write: its shuffle files are deleted when it is done, as the table stands in the shared folder; and rows with
+#: texts or sets go to Python in batches of few, so that buffers stay small.
+_WRITE_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def write_table(df: DataFrame, path: str) -> None:
     conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, "false")
-    conf.set(_CLEANUP, "true")
+    before = {k: conf.get(k, None) for k in _WRITE_CONF}
+    for k, v in _WRITE_CONF.items():
+        conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -90,6 +95,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows: what a Python worker makes of a batch of texts stays small."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased; none for null."""
     return text.encode("utf-8", "surrogatepass").translate(WORD_TABLE).split() if text else []

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volspark.llm.common import WORD_TABLE, ascii_words, free_name, materialise, table
+from volspark.llm.common import WORD_TABLE, ascii_words, free_name, materialise, slices, table
 
 WINDOW = 10
 
@@ -139,7 +139,7 @@ def _pass(shared, text_col: str, found_col: str, max_coverage: float | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(*shared.value)
-        for b in batches:
+        for b in slices(batches):
             before = b.column(found_col).to_pylist() if found_col in b.schema.names else [None] * b.num_rows
             out = []
             for text, old in zip(b.column(text_col), before, strict=True):

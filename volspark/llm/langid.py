@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volspark.llm.common import free_name, table
+from volspark.llm.common import free_name, slices, table
 
 NGRAMS = (1, 2, 3)
 #: Odd multipliers of the n-gram hash, fixed so that all tasks agree.
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[Dat
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             at = b.schema.get_field_index(text_col)
             names, scores = shared.value.predict(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, lang, score])

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from volspark.llm.common import WORD_TABLE, table
+from volspark.llm.common import WORD_TABLE, slices, table
 
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 
@@ -123,7 +123,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(phrases, templates)
-        for b in batches:
+        for b in slices(batches):
             rows = [scanner.scan(t.as_py()) for t in b.column(1)]
             cols = zip(*rows, strict=True) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=True))], names=[id_col, *(n for n, _ in kinds)])

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volspark.llm.common import discard, free_name, materialise, table
+from volspark.llm.common import discard, free_name, materialise, slices, table
 
 SPACE = "▁"
 LONG = 96
@@ -275,7 +275,7 @@ class _Splitter:
         return self.cut.findall(SPACE + t if self.prefix else t)
 
 
-def count_words(docs: DataFrame, model: PieceTable, text_col: str = "text", flush: int = 300_000) -> DataFrame:
+def count_words(docs: DataFrame, model: PieceTable, text_col: str = "text", flush: int = 200_000) -> DataFrame:
     """word, n: about how often each word of at most LONG characters occurs in all texts. A task that holds many words forgets
     those it has seen once since (lossy counting), so counts may be low; they only choose the words of the lattice, no result depends on them."""
     split = _Splitter(model)
@@ -311,7 +311,7 @@ def frequent_words(counts: DataFrame, bound: int) -> DataFrame:
     return counts.where(F.lit(False) if least is None else F.col("n") >= least).select("word")
 
 
-def encode(docs: DataFrame, model: PieceTable, text_col: str = "text", lattice_words: int = 150_000) -> tuple[DataFrame, str, str, str]:
+def encode(docs: DataFrame, model: PieceTable, text_col: str = "text", lattice_words: int = 120_000) -> tuple[DataFrame, str, str, str]:
     """docs with three more columns, whose names are returned: number of words, ids of pieces (as 4-byte little-endian integers; see
     unpacked()), and the text decoded from these ids."""
     spark = docs.sparkSession
@@ -337,7 +337,7 @@ def encode(docs: DataFrame, model: PieceTable, text_col: str = "text", lattice_w
                 found = rare[w] = encode_word(w)
             return found
 
-        for b in batches:
+        for b in slices(batches):
             packed, words = [], []
             for text in b.column(text_col):
                 t = text.as_py()

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volspark.llm.common import discard, free_name, materialise, mix64, table
+from volspark.llm.common import discard, free_name, materialise, mix64, slices, table
 
 LENGTH, GRAM = 200, 64
 WIDTH = LENGTH - GRAM + 1  # places of 64-byte strings inside a 200-byte string
@@ -349,7 +349,7 @@ def _hot_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         removed, count, kept, text = [], [], [], []
         for raw, packed in zip(b.column("raw"), b.column("spans"), strict=True):
             raw = raw.as_py()
@@ -366,7 +366,7 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         hs, owners, ps = [], [], []
         for raw, short in zip(b.column("raw"), b.column("d64"), strict=True):
             p, h = anchors(raw.as_py())
