@@ -366,9 +366,9 @@ class Decoder:
 
 
 def unpacked(ids: Column) -> Column:
-    """array<int> of packed ids."""
-    h = F.hex(ids)
-    at = lambda i, k: F.substr(h, i * 8 + k, F.lit(2))
+    """array<int> of packed ids. Cut from the bytes, where a place is found without walking there, so time is linear in the text."""
+    four = lambda i: F.hex(F.substring(ids, i * 4 + 1, F.lit(4)))
+    at = lambda i, k: F.substring(four(i), k, 2)
     word = lambda i: F.conv(F.concat(at(i, 7), at(i, 5), at(i, 3), at(i, 1)), 16, 10).cast("int")
     return F.when(F.octet_length(ids) > 0, F.transform(F.sequence(F.lit(0), (F.octet_length(ids) / 4).cast("int") - 1), word)).when(ids.isNotNull(), F.expr("cast(array() as array<int>)"))
 
