@@ -7,7 +7,7 @@ One-versus-rest kernel ridge regression on phi solves (Phi'Phi + lambda I) W = P
 Scoring is two matrix products per block of texts: presence (texts x dim) by landmarks (dim x m), then by m x languages.
 
 Training uses at most ``per_language`` labelled texts of each language (a documented bound; which ones is decided by a
-hash of the id), of which ``landmarks`` per language are landmarks. Landmarks go to the driver; the
+hash of the id; a repeated id counts once), of which ``landmarks`` per language are landmarks. Landmarks go to the driver; the
 normal equations are summed over partitions on the executors. Every text is read whole, in training and in prediction.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is every text if there is nothing to
@@ -109,7 +109,7 @@ def _bounded(rows: DataFrame, id_col: str, lang_col: str, bound: int) -> DataFra
     if share is None:
         return rows.limit(0)
     u = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 31))
-    few = rows.withColumn("u", u).where(F.col("u") < F.element_at(share, F.col(lang_col)) * float(1 << 31))
+    few = rows.withColumn("u", u).where(F.col("u") < F.element_at(share, F.col(lang_col)) * float(1 << 31)).distinct()  # a repeated id counts once
     w = Window.partitionBy(lang_col).orderBy("u", id_col)
     return few.withColumn("k", F.row_number().over(w)).where(F.col("k") <= bound).select(id_col, lang_col, "k")
 
@@ -125,6 +125,7 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     rank = {r[0]: r[2] for r in chosen}
     ids = spark.createDataFrame([(r[0],) for r in chosen], T.StructType([T.StructField("__id", docs.schema[id_col].dataType)]))
     sample = rows.join(F.broadcast(ids.distinct()), F.col(id_col) == F.col("__id"), "left_semi").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    sample = sample.groupBy("id", "lang").agg(F.min("text").alias("text")).select("id", "text", "lang")  # of an id with many rows, one
     marks = sample.where(F.col("id").isin([k for k, n in rank.items() if n <= landmarks])).collect()
     marks = sorted(marks, key=lambda r: (r["lang"], rank[r["id"]], r["text"]))
     found = [(x, s) for _, x, s in blocks([r["text"] for r in marks], dim)]
