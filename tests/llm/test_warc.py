@@ -52,3 +52,14 @@ def test_null_and_repeated_ids(spark):
 def test_surt(spark):
     d = spark.createDataFrame([("http://a.Example.org/x?y#z",), ("nothing",), (None,)], "u string")
     assert [r[0] for r in d.select(warc.surt(F.col("u"))).collect()] == ["org,example,a)/x?y#z", "nothing", ""]
+
+
+def test_repeated_id_with_two_payloads(spark):
+    other = "y" * 160
+    captures = warc.write_archives(_pages(spark, [(5, "http://a.org", BIG), (5, "http://a.org", other), (6, "http://a.org", other), (7, "http://a.org", None)]))
+    assert captures.select("record").distinct().count() == 4
+    index = warc.build_index(captures, block_rows=2)
+    rows = warc.read_records(warc.lookup(index, captures.select("url_key", "page_id", "record"))).collect()
+    want = [(5, hashlib.sha256(t.encode()).hexdigest(), len(t), "response", None) for t in (BIG, other)]
+    want += [(6, want[1][1], 160, "revisit", "5"), (7, hashlib.sha256(b"").hexdigest(), 0, "response", None)]
+    assert sorted((r["page_id"], r["digest"], r["payload_bytes"], r["record_type"], r["refers_to"] or "") for r in rows) == sorted((*w[:4], w[4] or "") for w in want)

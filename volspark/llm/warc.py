@@ -14,7 +14,8 @@ Reading: looked-up records are grouped by archive and sorted by offset, so an ar
 forward by ranges; headers are parsed and payloads cut by Content-Length.
 
 Defined cases: null html is an empty payload; null url has the empty key; payloads under 100 bytes are always responses;
-repeated ids are records of their own, told apart by a row number within the writing task.
+repeated ids are records of their own, told apart by the archive's name and the row's number in it; the page id has its
+own header. A revisit of a page with a repeated id names the page, and its payload digest tells which record is meant.
 """
 
 from __future__ import annotations
@@ -48,11 +49,13 @@ def surt(url: Column) -> Column:
     return F.when(url.isNull(), F.lit("")).when(at > 0, key).otherwise(url)
 
 
-def record_bytes(record: str, record_type: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+def record_bytes(record: str, record_type: str, url: str, payload: bytes, digest: str, refers_to: str | None, page_id: int | None = None) -> bytes:
     """One WARC record as a gzip member. A revisit has no payload; its block length is 0."""
     head = [("WARC-Type", record_type), ("WARC-Record-ID", f"<urn:volspark:{record}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", " ".join(url.split())), ("WARC-Payload-Digest", f"sha256:{digest}")]
     if record_type == "revisit":
         head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:volspark:{refers_to}>")]
+    if page_id is not None:
+        head += [("WARC-Page-ID", str(page_id))]
     head += [("WARC-Payload-Length", str(len(payload)))]
     body = b"" if record_type == "revisit" else payload
     head += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(body)))]
@@ -77,7 +80,7 @@ def _writer(root: str, archive_bytes: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = pafs.FileSystem.from_uri(root)
         store.create_dir(base, recursive=True)
-        out, name, at, pending = None, "", 0, None
+        out, name, at, number, pending = None, "", 0, 0, None
         try:
             for b in batches:
                 rows = []
@@ -85,13 +88,16 @@ def _writer(root: str, archive_bytes: int):
                     if out is None or at >= archive_bytes:
                         if out is not None:
                             out.close()
-                        name, at = f"{base}/{uuid.uuid4().hex}.warc.gz", 0
+                        own = uuid.uuid4().hex
+                        name, at, number = f"{base}/{own}.warc.gz", 0, 0
                         out = store.open_output_stream(name, compression=None)
-                    record = f"{r.page_id}-{uuid.uuid4().hex}" if pd.isna(r.page_id) else f"{int(r.page_id)}"
+                    page_id = None if pd.isna(r.page_id) else int(r.page_id)
+                    record = f"{page_id}-{own}-{number}" if page_id is None or r.repeated else f"{page_id}"
+                    number += 1
                     kind = "response" if pd.isna(r.refers_to) else "revisit"
-                    data = record_bytes(record, kind, r.url or "", (r.html or "").encode("utf-8", "surrogatepass"), r.digest, None if kind == "response" else str(int(r.refers_to)))
+                    data = record_bytes(record, kind, r.url or "", (r.html or "").encode("utf-8", "surrogatepass"), r.digest, None if kind == "response" else str(int(r.refers_to)), page_id)
                     out.write(data)
-                    rows.append((r.url_key, None if pd.isna(r.page_id) else int(r.page_id), record, kind, name, at, len(data)))
+                    rows.append((r.url_key, page_id, record, kind, name, at, len(data)))
                     at += len(data)
                 frame = pd.DataFrame(rows, columns=["url_key", "page_id", "record", "record_type", "file", "offset", "length"])
                 frame["page_id"] = frame["page_id"].astype("Int64")
@@ -117,7 +123,10 @@ def write_archives(pages: DataFrame, archive_bytes: int = 64 << 20, root: str |
     keyed = p.select("page_id", "url", "html", surt(F.col("url")).alias("url_key"), F.sha2(raw, 256).alias("digest"), F.octet_length(raw).alias("size"))
     first = keyed.where(F.col("size") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
     refers = F.when((F.col("size") >= LEAST_BYTES) & (F.col("page_id") != F.col("first")), F.col("first"))
-    rows = keyed.join(first, F.col("digest") == F.col("d"), "left").select("page_id", "url", "html", "url_key", "digest", refers.alias("refers_to"))
+    # written first, so that its size is known: without repeats the join moves no page
+    repeats = materialise(p.where("page_id is not null").groupBy("page_id").count().where("count > 1").select(F.col("page_id").alias("again")), "repeats")
+    rows = keyed.join(first, F.col("digest") == F.col("d"), "left").join(repeats, F.col("page_id") == F.col("again"), "left")
+    rows = rows.select("page_id", "url", "html", "url_key", "digest", refers.alias("refers_to"), F.col("again").isNotNull().alias("repeated"))
     captures = rows.mapInPandas(_writer(root or fresh_path(pages.sparkSession, "warc"), archive_bytes), CAPTURE)
     return materialise(captures, "captures")
 
@@ -191,7 +200,7 @@ def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def read_records(places: DataFrame) -> DataFrame:
-    """places: file, offset, length. Range-reads each record: record, record_type, refers_to, url, digest, payload_bytes, payload."""
+    """places: file, offset, length. Range-reads each record: record, page_id, record_type, refers_to, url, digest, payload_bytes, payload."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, name, stream = None, None, None
@@ -207,14 +216,16 @@ def read_records(places: DataFrame) -> DataFrame:
                     stream.seek(int(offset))
                     head, body = parse_record(gzip.GzipFile(fileobj=io.BytesIO(stream.read(int(length)))).read())
                     refers = head.get("warc-refers-to")
-                    rows.append((head["warc-record-id"][14:-1], head["warc-type"], refers and refers[14:-1], head["warc-target-uri"], head["warc-payload-digest"].removeprefix("sha256:"), int(head["warc-payload-length"]), body))
-                yield pd.DataFrame(rows, columns=["record", "record_type", "refers_to", "url", "digest", "payload_bytes", "payload"])
+                    rows.append((head["warc-record-id"][14:-1], head.get("warc-page-id"), head["warc-type"], refers and refers[14:-1], head["warc-target-uri"], head["warc-payload-digest"].removeprefix("sha256:"), int(head["warc-payload-length"]), body))
+                frame = pd.DataFrame(rows, columns=["record", "page_id", "record_type", "refers_to", "url", "digest", "payload_bytes", "payload"])
+                frame["page_id"] = pd.array([None if i is None else int(i) for i in frame["page_id"]], dtype="Int64")
+                yield frame
         finally:
             if stream is not None:
                 stream.close()
 
     n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return places.repartition(n, "file").sortWithinPartitions("file", "offset").mapInPandas(run, "record string, record_type string, refers_to string, url string, digest string, payload_bytes long, payload binary")
+    return places.repartition(n, "file").sortWithinPartitions("file", "offset").mapInPandas(run, "record string, page_id long, record_type string, refers_to string, url string, digest string, payload_bytes long, payload binary")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +235,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a response's digest and size are those of the payload read back; a revisit has none, its headers tell them
     digest = F.when(F.col("record_type") == "response", F.sha2("payload", 256)).otherwise(F.col("digest"))
     size = F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
-    return back.select(F.expr("try_cast(record as bigint)").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    return back.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 OP3_SQL = """
