@@ -210,3 +210,31 @@ def test_lesion_parts(spark):
     assert lesion.clean_mask(labels.where("label = 1"), v, 20).count() == 27
     with pytest.raises(ValueError):
         lesion.foreground(v, 500.0)
+
+
+def test_kmeans_ends_when_no_cluster_changes(spark):
+    values = np.concatenate([RNG.exponential(40, 200), [400.0]]).reshape(1, 3, 67)
+    v, flat = volume(spark, values), values.ravel()
+    means, rounds, label = np.linspace(flat.min(), flat.max(), 4), 0, None
+    while label is None or not np.array_equal(label, np.abs(flat[:, None] - means[None]).argmin(axis=1)):
+        label, rounds = np.abs(flat[:, None] - means[None]).argmin(axis=1), rounds + 1
+        means = np.array([flat[label == i].mean() if (label == i).any() else means[i] for i in range(4)])
+    assert rounds > 6
+    assert np.allclose(cluster.kmeans(v, cluster.uniform_seeds(v, 4)).first()["means"], means)
+
+
+def test_border_erodes_nothing(spark):
+    v = volume(spark, np.ones((2, 5, 5)))
+    assert regions.safe_closing(v, regions.ball(3), extents(v)).count() == 50
+    assert regions.safe_opening(v.where("not (z = 0 and y = 2 and x = 2)"), regions.ball(1), v).count() < 50
+    assert regions.safe_opening(v, regions.ball(1), v).count() == 50
+
+
+def test_registered_grids_are_whole():
+    from volspark.plans import sweeps
+
+    assert list(sweeps.KS) == [3, 4, 5, 6, 7, 8] and len(sweeps.NOISES) == 12
+    assert np.prod([len(x) for x in sweeps.WATERSHED.values()]) == 27
+    g = sweeps.LEVEL_SET
+    assert len(g["iterations"]) * len(g["sigmas"]) == 9 and len(g["alphas"]) * len(g["betas"]) * len(g["stoppings"]) == 27
+    assert 1 + 2 * len(sweeps.FILTER_RADII) + len(sweeps.EQUALISE) ** 2 * len(sweeps.EQUALISE_RADII) == 15

@@ -42,23 +42,36 @@ def warm_seeds(means: DataFrame, vox: DataFrame, k: int) -> DataFrame:
     return m.withColumn("seeds", F.concat("means", F.array(mid))).where(F.size("seeds") == k).select("vol_id", dedupe_seeds("seeds").alias("seeds"))
 
 
-def kmeans(vox: DataFrame, seeds: DataFrame, rounds: int = 50) -> DataFrame:
-    """vol_id, means (sorted) after Lloyd rounds over the whole volume. Each round is an aggregate of value counts by nearest mean, ties to
-    the smaller mean; an empty cluster keeps its mean. Rounds end when no mean moves."""
+#: The bound after which a run is an error rather than an answer.
+MOST_ROUNDS = 20_000
+
+
+def kmeans(vox: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
+    """vol_id, means (sorted) after Lloyd rounds over the whole volume, until no voxel changes its cluster or, if given, so many rounds.
+    Each round is an aggregate of value counts by nearest mean, ties to the smaller mean; an empty cluster keeps its mean. The driver
+    holds the means and cluster sizes of each volume.
+
+    Clusters are intervals of values, so equal cluster sizes in two rounds on end are equal clusters: a test in whole
+    numbers, which does not depend on the order in which sums are added."""
     n = cut(value_counts(vox))
-    now = seeds.select("vol_id", F.array_sort("seeds").alias("means"))
-    for i in range(rounds):
-        label = F.size(F.filter(F.sequence(F.lit(1), F.size("means") - 1), lambda j: F.col("v") > (F.element_at("means", j) + F.element_at("means", j + 1)) / 2))
-        label = F.when(F.size("means") > 1, label).otherwise(0)
-        s = n.join(now, "vol_id").groupBy("vol_id", "means", label.alias("label")).agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("m"))
-        got = s.groupBy("vol_id", "means").agg(F.map_from_entries(F.collect_list(F.struct("label", "m"))).alias("by"))
-        new = got.select("vol_id", F.col("means").alias("old"), F.transform("means", lambda m, j: F.coalesce(F.element_at("by", j), m)).alias("means"))
-        new = cut(new) if i % 8 == 7 else new
-        if i % 8 == 7 and new.where("old <> means").isEmpty():
-            now = new.select("vol_id", "means")
-            break
-        now = new.select("vol_id", "means")
-    return now
+    now = {r["vol_id"]: sorted(r["means"]) for r in seeds.select("vol_id", F.col("seeds").alias("means")).collect()}
+    sizes: dict = {}
+    schema = "vol_id string, means array<double>"
+    make = lambda: vox.sparkSession.createDataFrame(list(now.items()), schema)
+    label = F.size(F.filter(F.sequence(F.lit(1), F.size("means") - 1), lambda j: F.col("v") > (F.element_at("means", j) + F.element_at("means", j + 1)) / 2))
+    label = F.when(F.size("means") > 1, label).otherwise(0)
+    for _ in range(MOST_ROUNDS if rounds is None else rounds):
+        got = n.join(F.broadcast(make()), "vol_id").groupBy("vol_id", label.alias("label")).agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("m"), F.sum("n").alias("size")).collect()
+        held: dict = {}
+        for r in got:
+            now[r["vol_id"]][r["label"]] = r["m"]
+            held.setdefault(r["vol_id"], {})[r["label"]] = r["size"]
+        if held == sizes:
+            return make()
+        sizes = held
+    if rounds is None:
+        raise RuntimeError(f"clusters still change after {MOST_ROUNDS} rounds")
+    return make()
 
 
 def label_by_means(vox: DataFrame, means: DataFrame) -> DataFrame:
@@ -67,7 +80,7 @@ def label_by_means(vox: DataFrame, means: DataFrame) -> DataFrame:
     return vox.join(means, "vol_id").select("vol_id", "z", "y", "x", "v", F.when(F.size("means") > 1, label).otherwise(0).alias("label"))
 
 
-def sweep(vox: DataFrame, ks: range, rounds: int = 16) -> DataFrame:
+def sweep(vox: DataFrame, ks: range, rounds: int | None = None) -> DataFrame:
     """k, strategy, means, ch, silhouette. Warm starts need the means of k - 1 (of its better strategy by ch), so k runs in order."""
     out, previous = None, None
     for k in ks:

@@ -10,6 +10,7 @@ from volspark.functions.stats import mse_psnr, percentiles
 from volspark.operators.blocks import over_blocks, windows
 from volspark.operators.stencil import gradient_magnitude, median_filter, median_without_centre
 from volspark.schema import KEYS
+from volspark.session import cut
 
 #: The modulus and factors of the linear congruential generator that makes noise the same in every engine.
 LCG_A, LCG_C, LCG_M = 1103515245, 12345, 2147483648
@@ -114,13 +115,14 @@ def add_noise(vox: DataFrame, kind: str, density: float = 0.0, sigma: float = 0.
 
 
 FILTERS = {"median26": median_without_centre, "adaptive_median": lambda v: adaptive_median(v, 5), "wiener": lambda v: adaptive_wiener(v, 3)}
+FILTERS |= {f"adaptive_median_{w}": lambda v, w=w: adaptive_median(v, w) for w in (5, 7, 9)}
 
 
 def denoise_table(vox: DataFrame, noises: list[tuple[str, float, float]], filters: list[str]) -> DataFrame:
     """noise, density, sigma, filter, n, mse, psnr for each combination: one plan per combination, unioned."""
     out = None
     for kind, density, sigma in noises:
-        noisy = add_noise(vox, kind, density, sigma)
+        noisy = cut(add_noise(vox, kind, density, sigma))
         for name in filters:
             row = mse_psnr(vox, FILTERS[name](noisy)).select(F.lit(kind).alias("noise"), F.lit(density).alias("density"), F.lit(sigma).alias("sigma"), F.lit(name).alias("filter"), "n", "mse", "psnr")
             out = row if out is None else out.unionByName(row)

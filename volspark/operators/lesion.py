@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from volspark.functions.stats import robust_stats
 from volspark.operators import regions
 from volspark.operators.stencil import gradient_magnitude
+from volspark.operators.threshold import METHODS
 from volspark.schema import KEYS
 from volspark.session import cut
 from volspark.sources.grids import extents
@@ -16,18 +17,22 @@ from volspark.sources.grids import extents
 TAIL, COMPACT, EDGE, PAIR_LEAD = 0.5, 0.25, 0.25, 0.05
 
 
-def foreground(vox: DataFrame, threshold: float, close_radius: int = 1, open_radius: int = 1, erode_radius: int = 0, least: int = 50) -> DataFrame:
-    """Threshold, closing, opening, holes filled, largest component, optional erosion. An error if fewer than least voxels are left."""
+def foreground(vox: DataFrame, threshold: float | str, close_radius: int = 1, open_radius: int = 1, erode_radius: int = 0, least: int = 50) -> DataFrame:
+    """Threshold (a number, or the method of a histogram threshold), closing, opening, holes filled, largest component, optional erosion.
+    The volume's border erodes nothing. An error if fewer than least voxels are left."""
     bounds = extents(vox)
-    m = vox.where(F.col("v") > threshold).select(*KEYS)
+    if isinstance(threshold, str):
+        m = vox.join(METHODS[threshold](vox).select("vol_id", "threshold"), "vol_id").where(F.col("v") > F.col("threshold")).select(*KEYS)
+    else:
+        m = vox.where(F.col("v") > threshold).select(*KEYS)
     if close_radius:
-        m = cut(regions.closing(m, regions.ball(close_radius), bounds))
+        m = cut(regions.safe_closing(m, regions.ball(close_radius), bounds))
     if open_radius:
-        m = cut(regions.opening(m, regions.ball(open_radius), bounds))
+        m = cut(regions.safe_opening(m, regions.ball(open_radius), vox))
     m = cut(regions.fill_holes(m, vox))
     m = regions.keep_components(cut(regions.components(m)), top=1).select(*KEYS)
     if erode_radius:
-        m = regions.keep_components(cut(regions.components(regions.erode(m, regions.ball(erode_radius)))), top=1).select(*KEYS)
+        m = regions.keep_components(cut(regions.components(regions.erode(m, regions.ball(erode_radius), vox))), top=1).select(*KEYS)
     m = cut(m)
     if m.count() < least:
         raise ValueError(f"the foreground has fewer than {least} voxels")

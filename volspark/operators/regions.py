@@ -155,8 +155,11 @@ def dilate(mask: DataFrame, offsets: list[tuple[int, int, int]], bounds: DataFra
     return out.where(" and ".join(f"{a} between lo_{a} and hi_{a}" for a in "zyx")).select(*KEYS)
 
 
-def erode(mask: DataFrame, offsets: list[tuple[int, int, int]]) -> DataFrame:
-    """Voxels all of whose neighbours by offset are in the mask; outside the volume is not."""
+def erode(mask: DataFrame, offsets: list[tuple[int, int, int]], vox: DataFrame | None = None) -> DataFrame:
+    """Voxels all of whose neighbours by offset are in the mask; outside the volume is not, or is, if the volume is given."""
+    if vox is not None:
+        background = vox.select(*KEYS).join(mask, KEYS, "left_anti")
+        return mask.select(*KEYS).join(dilate(background, [tuple(-v for v in o) for o in offsets], extents(vox)), KEYS, "left_anti")
     n = _shifted(mask, [tuple(-v for v in o) for o in offsets]).groupBy(*KEYS).agg(F.count("*").alias("n"))
     return n.where(F.col("n") == len(offsets)).select(*KEYS)
 
@@ -165,6 +168,17 @@ def closing(mask: DataFrame, offsets: list[tuple[int, int, int]], bounds: DataFr
     return erode(dilate(mask, offsets, bounds), offsets)
 
 
+def safe_closing(mask: DataFrame, offsets: list[tuple[int, int, int]], bounds: DataFrame) -> DataFrame:
+    """Closing in a volume with a margin, so that the volume's border erodes nothing."""
+    out = erode(_shifted(mask, offsets).distinct(), offsets).join(bounds, "vol_id")
+    return out.where(" and ".join(f"{a} between lo_{a} and hi_{a}" for a in "zyx")).select(*KEYS)
+
+
+def safe_opening(mask: DataFrame, offsets: list[tuple[int, int, int]], vox: DataFrame) -> DataFrame:
+    """Opening whose erosion counts what lies outside the volume as set."""
+    return dilate(erode(mask, offsets, vox), offsets, extents(vox))
+
+
 def opening(mask: DataFrame, offsets: list[tuple[int, int, int]], bounds: DataFrame) -> DataFrame:
     return dilate(erode(mask, offsets), offsets, bounds)
 
@@ -178,14 +192,18 @@ def fill_holes(mask: DataFrame, vox: DataFrame) -> DataFrame:
 
 
 def watershed(height: DataFrame, threshold: float = 0.0, level: float = 0.0) -> DataFrame:
-    """vol_id, z, y, x, label: basins of steepest descent, those merged whose saliency is at most level of the volume's range.
+    """vol_id, z, y, x, label: basins of steepest descent, those merged whose saliency is at most level of the volume's range."""
+    return merge_basins(basins(height, threshold), level)
+
+
+def basins(height: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """vol_id, z, y, x, h, range, i, label: basins of steepest descent before any are merged.
 
     Heights under threshold (a fraction of the range) rise to it. Each voxel points to its lowest face neighbour (ties, and plateaus: the
-    lowest linear index, so pointers go down in (height, index) and end in minima); pointers are resolved by doubling. A
-    pair of basins meets at the lowest pass over their common border; its saliency is the pass over the higher of the two minima.
+    lowest linear index, so pointers go down in (height, index) and end in minima); pointers are resolved by doubling.
     """
     r = height.groupBy("vol_id").agg(F.min("v").alias("mn"), F.max("v").alias("mx"))
-    h = height.join(r, "vol_id").select(*KEYS, F.greatest("v", F.col("mn") + threshold * (F.col("mx") - F.col("mn"))).alias("h"), ((F.col("mx") - F.col("mn")) * level).alias("least"), linear().alias("i"))
+    h = height.join(r, "vol_id").select(*KEYS, F.greatest("v", F.col("mn") + threshold * (F.col("mx") - F.col("mn"))).alias("h"), (F.col("mx") - F.col("mn")).alias("range"), linear().alias("i"))
     h = cut(h)
     moved = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for a, v in zip("zyx", t, strict=True)]) for t in CROSS]))
     near = h.select("vol_id", *[F.col(a) for a in "zyx"], F.struct("h", "i").alias("to"), moved.alias("o")).select("vol_id", *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in "zyx"], "to")
@@ -198,9 +216,14 @@ def watershed(height: DataFrame, threshold: float = 0.0, level: float = 0.0) ->
         p = step.select("vol_id", "i", "to")
         if done:
             break
-    basin = cut(h.join(p, ["vol_id", "i"]).select(*KEYS, "h", "least", "i", F.col("to").alias("label")))
+    return cut(h.join(p, ["vol_id", "i"]).select(*KEYS, "h", "range", "i", F.col("to").alias("label")))
+
+
+def merge_basins(basin: DataFrame, level: float) -> DataFrame:
+    """vol_id, z, y, x, label. A pair of basins meets at the lowest pass over their common border; its saliency is the pass over the higher of the two minima."""
     if level <= 0:
         return basin.select(*KEYS, "label")
+    basin = basin.withColumn("least", F.col("range") * level)
     floors = basin.groupBy("vol_id", "label").agg(F.min("h").alias("floor"))
     pairs = None
     for a in "zyx":

@@ -13,12 +13,22 @@ def _cube(r: int) -> tuple[int, int, int]:
 
 
 def mean_filter(vox: DataFrame, r: int, boundary: str = "replicate") -> DataFrame:
-    return over_blocks(vox, lambda p: windows(p, _cube(r)).mean(axis=-1), _cube(r), boundary)
+    d = 2 * r + 1
+
+    def kernel(p: np.ndarray) -> np.ndarray:
+        return np.concatenate([windows(p[z : z + d], _cube(r)).mean(axis=-1) for z in range(p.shape[0] - d + 1)])
+
+    return over_blocks(vox, kernel, _cube(r), boundary)
 
 
 def median_filter(vox: DataFrame, halo: tuple[int, int, int], boundary: str = "replicate") -> DataFrame:
     """Median of the whole window; halo (z, y, x) may differ by axis."""
-    return over_blocks(vox, lambda p: np.median(windows(p, halo), axis=-1), halo, boundary)
+    d = 2 * halo[0] + 1
+
+    def kernel(p: np.ndarray) -> np.ndarray:  # plane by plane, so that a large window's copies stay small
+        return np.concatenate([np.median(windows(p[z : z + d], halo), axis=-1) for z in range(p.shape[0] - d + 1)])
+
+    return over_blocks(vox, kernel, halo, boundary)
 
 
 def median_without_centre(vox: DataFrame, r: int = 1) -> DataFrame:
@@ -103,13 +113,16 @@ def adaptive_equalisation(vox: DataFrame, alpha: float, beta: float, r: int, low
     q(d, a) = sign(d) |2 d|^a / 2: alpha = beta = 0 is classic equalisation, alpha = beta = 1 the identity.
     """
 
-    def kernel(p: np.ndarray) -> np.ndarray:
+    def plane(p: np.ndarray) -> np.ndarray:
         w = (windows(p, _cube(r)) - low) / (high - low) - 0.5
         u = ((p[r : p.shape[0] - r, r : p.shape[1] - r, r : p.shape[2] - r] - low) / (high - low) - 0.5)[..., None]
         d = u - w
         f = 0.5 * np.sign(d) * np.abs(2 * d) ** alpha - beta * 0.5 * np.sign(d) * np.abs(2 * d) + beta * u
         return (f.mean(axis=-1) + 0.5) * (high - low) + low
 
+    def kernel(p: np.ndarray) -> np.ndarray:  # plane by plane, so that a large window's copies stay small
+        return np.concatenate([plane(p[z : z + 2 * r + 1]) for z in range(p.shape[0] - 2 * r)])
+
     return over_blocks(vox, kernel, _cube(r), "replicate")
 
 

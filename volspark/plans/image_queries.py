@@ -161,7 +161,7 @@ def mixed_noise(spark, sf):
 
 @query()
 def denoise_table(spark, sf):
-    t = denoise.denoise_table(_u8(spark, sf), [("salt_pepper", 0.1, 0.0), ("gaussian", 0.0, 15.0), ("mixed", 0.05, 10.0)], ["median26", "adaptive_median", "wiener"])
+    t = sweeps.noise_table(_u8(spark, sf), sweeps.NOISES, ["median26", "wiener"])
     return _r(t, "mse", "psnr", digits=4)
 
 
@@ -276,7 +276,7 @@ def quantile_seeds_5(spark, sf):
 
 @query()
 def kmeans_sweep(spark, sf):
-    rows = cluster.sweep(G.rescale_intensity(voxels(spark, sf, "events")), range(3, 6), 8)
+    rows = cluster.sweep(G.rescale_intensity(voxels(spark, sf, "events")), sweeps.KS)
     return _r(rows.select("vol_id", "k", "strategy", F.size("means").alias("n_means"), "ch", "silhouette"), "ch", "silhouette", digits=4)
 
 
@@ -435,12 +435,12 @@ def threshold_comparison(spark, sf):
 
 @query()
 def watershed_sweep(spark, sf):
-    return sweeps.watershed_sweep(voxels(spark, sf, "events"), [0.5], [0.0, 0.1], [0.1, 0.3])
+    return sweeps.watershed_sweep(voxels(spark, sf, "events"), **sweeps.WATERSHED)
 
 
 @query()
 def level_set_sweep(spark, sf):
-    return sweeps.level_set_sweep(voxels(spark, sf, "events"), (1, 10, 12), [1, 2], [0.5], [-20.0], [60.0], [20.0, 40.0])
+    return sweeps.level_set_sweep(voxels(spark, sf, "events"), (1, 10, 12), **sweeps.LEVEL_SET, fixed=sweeps.LEVEL_SET_FIXED, best=sweeps.LEVEL_SET_BEST)
 
 
 @query()

@@ -7,15 +7,31 @@ from pyspark.sql import functions as F
 
 from volspark.functions import pointwise as P
 from volspark.functions import stats as A
-from volspark.operators import cluster, fronts, lesion, regions, stencil, threshold
+from volspark.operators import cluster, denoise, fronts, lesion, regions, stencil, threshold
 from volspark.schema import KEYS
 from volspark.session import cut
 from volspark.sources.grids import rescale_uint16
 
 
-def lesion_report(vox: DataFrame, ks: range = range(3, 5), rounds: int = 6, bias: bool = True) -> DataFrame:
+#: Foreground and cluster choice of two organs. The liver's are registered; the brain's erode by 6 besides.
+ORGANS = {
+    "brain": ({"threshold": "otsu", "close_radius": 3, "open_radius": 1, "erode_radius": 6}, {"tail": "bright", "min_fraction": 0.0005, "max_fraction": 0.10}),
+    "liver": ({"threshold": "otsu", "close_radius": 3, "open_radius": 1}, {"tail": "bright", "min_fraction": 0.0005, "max_fraction": 0.10}),
+}
+#: The full grids.
+KS = range(3, 9)
+WATERSHED = {"sigmas": [0.5, 1.0, 2.0], "thresholds": [0.005, 0.01, 0.05], "levels": [0.1, 0.2, 0.4]}
+LEVEL_SET = {"iterations": [5, 15, 30], "sigmas": [0.5, 1.0, 2.0], "alphas": [-0.5, -1.0, -2.0], "betas": [2.0, 3.0, 5.0], "stoppings": [50.0, 100.0, 200.0]}
+LEVEL_SET_FIXED, LEVEL_SET_BEST = (-0.5, 3.0, 100.0), (15, 1.0)
+#: Kind, density, sigma, largest window.
+NOISES = [("none", 0.0, 0.0, 5), ("none", 0.0, 0.0, 7), ("none", 0.0, 0.0, 9), ("salt_pepper", 0.05, 0.0, 7), ("salt_pepper", 0.1, 0.0, 7), ("salt_pepper", 0.3, 0.0, 7), ("salt_pepper", 0.1, 0.0, 5), ("salt_pepper", 0.1, 0.0, 9), ("gaussian", 0.0, 5.0, 7), ("gaussian", 0.0, 10.0, 7), ("gaussian", 0.0, 20.0, 7), ("mixed", 0.1, 10.0, 7)]
+FILTER_RADII, EQUALISE, EQUALISE_RADII = (2, 3, 4), (0.3, 0.5), (3, 5)
+
+
+def lesion_report(vox: DataFrame, ks: range = KS, rounds: int | None = None, bias: bool = True, organ: str = "liver") -> DataFrame:
     """Foreground, bias and normalisation, k sweep by Calinski-Harabasz, cluster choice, clean-up: one row per volume, with the sweep nested."""
-    roi = lesion.foreground(vox, 0.0, close_radius=1, open_radius=0).withColumn("in_roi", F.lit(True))
+    ground, choice = ORGANS[organ]
+    roi = lesion.foreground(vox, **ground).withColumn("in_roi", F.lit(True))
     flat = vox
     if bias:
         shifted = P.positive_shift(vox, F.col("v") > 0)
@@ -25,9 +41,9 @@ def lesion_report(vox: DataFrame, ks: range = range(3, 5), rounds: int = 6, bias
     rows = cut(cluster.sweep(normal, ks, rounds))
     best = cluster.best_runs(rows)
     labelled = cut(cluster.label_by_means(normal, best.select("vol_id", "means")))
-    picked = cut(lesion.pick_clusters(labelled, normal, max_fraction=0.5))
+    picked = cut(lesion.pick_clusters(labelled, normal, **choice))
     mask = labelled.join(picked, "vol_id").where(F.array_contains("labels", F.col("label"))).select(*KEYS)
-    clean = cut(lesion.clean_mask(mask, vox, least=5))
+    clean = cut(lesion.clean_mask(mask, vox))
     sweep = rows.groupBy("vol_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("k", "strategy", F.size("means").alias("n_means"), F.round("ch", 4).alias("ch"))))).alias("sweep"))
     n = clean.groupBy("vol_id").agg(F.count("*").alias("lesion_voxels"))
     size = roi.groupBy("vol_id").agg(F.count("*").alias("roi_voxels"))
@@ -47,38 +63,57 @@ def threshold_comparison(vox: DataFrame, bins: int = 128) -> DataFrame:
 
 
 def watershed_sweep(vox: DataFrame, sigmas: list[float], thresholds: list[float], levels: list[float]) -> DataFrame:
-    """Basins for each combination; the gradient of a sigma is made once."""
+    """Basins for each combination; the gradient of a sigma is made once, and so are the basins that levels merge."""
     out = None
     for s in sigmas:
         grad = cut(stencil.gaussian_gradient(vox, s))
         for t in thresholds:
+            basins = regions.basins(grad, t)
             for level in levels:
-                w = regions.watershed(grad, t, level)
+                w = regions.merge_basins(basins, level)
                 row = w.groupBy("vol_id").agg(F.countDistinct("label").alias("basins"), F.count("*").alias("n"))
                 row = row.select("vol_id", F.lit(s).alias("sigma"), F.lit(t).alias("threshold"), F.lit(level).alias("level"), "basins", "n")
+                row = cut(row)
                 out = row if out is None else out.unionByName(row)
     return out
 
 
-def level_set_sweep(vox: DataFrame, seed: tuple[int, int, int], iterations: list[int], sigmas: list[float], alphas: list[float], betas: list[float], stoppings: list[float]) -> DataFrame:
-    """Phase one: iterations by sigma at the first alpha, beta, stopping. Phase two: alpha by beta by stopping at the middle of the first two."""
-    phase1 = [(1, i, s, alphas[0], betas[0], stoppings[0]) for i in iterations for s in sigmas]
-    i, s = sorted(iterations)[len(iterations) // 2], sorted(sigmas)[len(sigmas) // 2]
-    phase2 = [(2, i, s, a, b, t) for a in alphas for b in betas for t in stoppings]
-    out = None
-    for phase, i, s, a, b, t in phase1 + phase2:
-        m = fronts.level_set(vox, seed, i, s, a, b, t).groupBy("vol_id").agg(F.count_if(F.col("label") == 255).alias("voxels"))
-        row = m.select("vol_id", *[F.lit(v).alias(n) for n, v in (("phase", phase), ("iterations", i), ("sigma", s), ("alpha", a), ("beta", b), ("stopping", t))], "voxels")
+def level_set_sweep(vox: DataFrame, seed: tuple[int, int, int], iterations: list[int], sigmas: list[float], alphas: list[float], betas: list[float], stoppings: list[float], fixed: tuple[float, float, float], best: tuple[int, float]) -> DataFrame:
+    """Phase one: iterations by sigma at the fixed alpha, beta, stopping. Phase two: alpha by beta by stopping at the best iterations and sigma.
+
+    Diffusions and gradients are made once. A front's times do not depend on where it stops, so each speed is marched once, to its last stop.
+    """
+    runs = [(1, i, s, *fixed[:2], [fixed[2]]) for i in iterations for s in sigmas]
+    runs += [(2, *best, a, b, stoppings) for a in alphas for b in betas]
+    smooth, grads, out = {}, {}, None
+    for phase, i, s, a, b, stops in runs:
+        smooth[i] = smooth.get(i) or cut(stencil.curvature_diffusion(vox, i))
+        grads[i, s] = grads.get((i, s)) or cut(stencil.gaussian_gradient(smooth[i], s))
+        speed = grads[i, s].select(*KEYS, P.sigmoid(F.col("v"), a, b).alias("v"))
+        m = fronts.fast_marching(speed, seed, stopping=max(stops)).groupBy("vol_id").agg(F.array(*[F.count_if(F.col("v").between(0, t)) for t in stops]).alias("counts"))
+        m = m.select("vol_id", F.explode(F.arrays_zip(F.array(*map(F.lit, stops)).alias("stopping"), F.col("counts").alias("voxels"))).alias("r"))
+        row = m.select("vol_id", *[F.lit(v).alias(n) for n, v in (("phase", phase), ("iterations", i), ("sigma", s), ("alpha", a), ("beta", b))], F.col("r.stopping").alias("stopping"), F.col("r.voxels").alias("voxels"))
         out = row if out is None else out.unionByName(row)
     return out
 
 
+def noise_table(vox: DataFrame, noises: list[tuple[str, float, float, int]], others: list[str]) -> DataFrame:
+    """The adaptive median of each noise and largest window, and the other filters of each noise: noise, density, sigma, filter, n, mse, psnr."""
+    vox = cut(vox)
+    kinds = dict.fromkeys(n[:3] for n in noises)
+    tables = [cut(denoise.denoise_table(vox, [k], [f"adaptive_median_{w}" for *m, w in noises if tuple(m) == k] + others)) for k in kinds]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def filter_batch(vox: DataFrame) -> DataFrame:
     """Gradient, means, medians and local equalisations of one volume: a summary row per run."""
     runs = [("gradient", stencil.gradient_magnitude(vox, truncate=True))]
-    runs += [(f"mean_r{r}", stencil.mean_filter(vox, r)) for r in (2, 3)]
-    runs += [(f"median_r{r}", stencil.median_filter(vox, (r, r, r))) for r in (1, 2)]
-    runs += [(f"equalise_a{a}_b{b}", stencil.adaptive_equalisation(vox, a, b, 2, 0.0, 500.0)) for a, b in ((0.0, 0.0), (1.0, 1.0))]
+    runs += [(f"mean_r{r}", stencil.mean_filter(vox, r)) for r in FILTER_RADII]
+    runs += [(f"median_r{r}", stencil.median_filter(vox, (r, r, r))) for r in FILTER_RADII]
+    runs += [(f"equalise_a{a}_b{b}_r{r}", stencil.adaptive_equalisation(vox, a, b, r, 0.0, 500.0)) for a in EQUALISE for b in EQUALISE for r in EQUALISE_RADII]
     out = None
     for name, df in runs:
         row = A.describe(df).select("vol_id", F.lit(name).alias("filter"), "n", *[F.round(c, 4).alias(c) for c in ("min", "max", "mean", "std")])
