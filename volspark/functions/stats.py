@@ -18,9 +18,39 @@ def value_counts(vox: DataFrame, *by: str) -> DataFrame:
     return vox.groupBy("vol_id", *by, "v").agg(F.count("*").alias("n"))
 
 
+#: Buckets of a group's range, so that no task sorts or holds all its distinct values.
+BUCKETS = 4096
+
+
+def _in_buckets(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Value counts with the bucket of each value, and the count of all values of the group."""
+    r = counts.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("n_all"))
+    at = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(BUCKETS - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS).cast("int"))).otherwise(0)
+    return counts.join(r, keys).withColumn("bucket", at)
+
+
 def percentiles(vox: DataFrame, ps: list[float], *by: str) -> DataFrame:
-    """vol_id, by, p: exact, linearly interpolated."""
-    return value_counts(vox, *by).groupBy("vol_id", *by).agg(F.percentile("v", ps, F.col("n")).alias("p"))
+    """vol_id, by, p: exact, linearly interpolated.
+
+    Values are counted once; the counts of equal buckets of a group's range tell which buckets hold the wanted ranks, and only these are
+    ordered, each by a running sum of its own. So no task holds the distinct values of a volume."""
+    keys = ["vol_id", *by]
+    t = _in_buckets(value_counts(vox, *by).where("v is not null"), keys)
+    c = t.groupBy(*keys, "bucket").agg(F.sum("n").alias("k"), F.any_value("n_all").alias("n_all"))
+    c = c.withColumn("stop", F.sum("k").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
+    wanted = F.posexplode(F.array(*[F.lit(float(p)) for p in ps]))
+    place = (F.col("p") * (F.col("n_all") - 1)).alias("place")
+    low = F.floor("place")
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), low.alias("rank")), F.struct(F.lit(1).alias("side"), F.least(low + 1, F.col("n_all") - 1).alias("rank")))).alias("s")
+    ranks = c.select(*keys, "bucket", "n_all", "stop", (F.col("stop") - F.col("k")).alias("start"), wanted.alias("i", "p")).select("*", place)
+    ranks = ranks.select(*keys, "bucket", "start", "stop", "i", (F.col("place") - low).alias("frac"), sides).where("s.rank >= start and s.rank < stop")
+    held = ranks.select(*keys, "bucket", "start").distinct()
+    run = F.sum("n").over(Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    inside = t.select(*keys, "bucket", "v", "n").join(held, [*keys, "bucket"]).withColumn("c", F.col("start") + run).drop("start")
+    hit = inside.join(ranks.select(*keys, "bucket", "i", "frac", "s"), [*keys, "bucket"]).where("s.rank < c and s.rank >= c - n")
+    value = lambda side: F.max(F.when(F.col("s.side") == side, F.col("v")))
+    one = hit.groupBy(*keys, "i", "frac").agg((value(0) + (value(1) - value(0)) * F.col("frac")).alias("q"))
+    return one.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "q"))), lambda r: r["q"]).alias("p"))
 
 
 def describe(vox: DataFrame) -> DataFrame:
@@ -64,12 +94,12 @@ def bounding_box(mask: DataFrame) -> DataFrame:
 
 
 def mse_psnr(reference: DataFrame, other: DataFrame) -> DataFrame:
-    """vol_id, n, mse, psnr = 10 log10(max(reference)^2 / mse), null where the mse is 0. Volumes of different shape are left out."""
+    """vol_id, n, mse, psnr = 10 log10(max(reference)^2 / mse), infinite where the mse is 0. Volumes of different shape are left out."""
     a, b = reference.select(*KEYS, "v"), other.select(*KEYS, F.col("v").alias("w"))
     size = lambda d, n: d.groupBy("vol_id").agg(F.count("*").alias(n))
     s = a.join(b, KEYS).groupBy("vol_id").agg(F.count("*").alias("n"), F.avg(F.pow(F.col("v") - F.col("w"), 2)).alias("mse"), F.max("v").alias("top"))
     s = s.join(size(a, "n_a"), "vol_id").join(size(b, "n_b"), "vol_id").where("n = n_a and n = n_b")
-    return s.select("vol_id", "n", "mse", F.when(F.col("mse") > 0, 10 * F.log10(F.col("top") * F.col("top") / F.col("mse"))).alias("psnr"))
+    return s.select("vol_id", "n", "mse", F.when(F.col("mse") > 0, 10 * F.log10(F.col("top") * F.col("top") / F.col("mse"))).otherwise(float("inf")).alias("psnr"))
 
 
 def robust_stats(vox: DataFrame) -> DataFrame:
@@ -106,9 +136,15 @@ def silhouette(labelled: DataFrame) -> DataFrame:
     tot = n.groupBy("vol_id", "label").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("v")).alias("total"))
     grid = n.select("vol_id", "v").distinct().join(tot.withColumnRenamed("label", "other"), "vol_id")
     own = n.select("vol_id", F.col("label").alias("other"), "v", "n")
-    w = Window.partitionBy("vol_id", "other").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     g = grid.join(own, ["vol_id", "other", "v"], "left").na.fill(0, ["n"])
-    g = g.withColumn("c", F.sum("n").over(w)).withColumn("s", F.sum(F.col("n") * F.col("v")).over(w))
+    at = _in_buckets(n.groupBy("vol_id", "v").agg(F.sum("n").alias("n")), ["vol_id"]).select("vol_id", "v", "bucket")
+    g = g.join(at, ["vol_id", "v"])
+    # prefix sums in two steps: of the buckets, and inside each
+    sums = g.groupBy("vol_id", "other", "bucket").agg(F.sum("n").alias("c0"), F.sum(F.col("n") * F.col("v")).alias("s0"))
+    before = Window.partitionBy("vol_id", "other").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("vol_id", "other", "bucket", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("c0", "s0")])
+    w = Window.partitionBy("vol_id", "other", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    g = g.join(sums, ["vol_id", "other", "bucket"]).withColumn("c", F.col("c0") + F.sum("n").over(w)).withColumn("s", F.col("s0") + F.sum(F.col("n") * F.col("v")).over(w))
     away = F.col("v") * F.col("c") - F.col("s") + (F.col("total") - F.col("s")) - F.col("v") * (F.col("size") - F.col("c"))
     d = g.select("vol_id", "other", "v", "size", away.alias("away"))
     p = n.join(d, ["vol_id", "v"])

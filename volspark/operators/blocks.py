@@ -1,8 +1,8 @@
 """Neighbourhood kernels over blocks with a halo.
 
 Each voxel goes to its own block and to the blocks whose halo holds it; a group is one block with its halo, so a
-task holds (block + 2 halo)^3 values whatever the volume's size, and one shuffle serves any window. Windows at a
-volume's border read mirrored or replicated places, which lie inside the block and its halo.
+task holds (block + 2 halo)^3 values whatever the volume's size, and one shuffle serves any window and any number of
+result columns. Windows at a volume's border read mirrored or replicated places, which lie inside the block and its halo.
 
 The grid must be dense; a missing voxel is NaN for the kernel. Rows of one place that differ: the last wins.
 """
@@ -12,14 +12,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volspark.schema import BOUNDARIES, VOXELS
+from volspark.schema import BOUNDARIES
 from volspark.sources.grids import extents
 
-Kernel = Callable[[np.ndarray], np.ndarray]
+#: Of a padded array (and, if asked for, of its volume borders) the result, or a tuple of results, of its core.
+Kernel = Callable[..., "np.ndarray | tuple[np.ndarray, ...]"]
+#: For each axis, how many planes of the padding before and behind the core lie outside the volume.
+Borders = list[tuple[int, int]]
 
 
 def mirrored(i: np.ndarray, lo: int, hi: int, boundary: str) -> np.ndarray:
@@ -33,44 +36,74 @@ def mirrored(i: np.ndarray, lo: int, hi: int, boundary: str) -> np.ndarray:
     return np.where(i < n, i, (period if boundary == "reflect" else period - 1) - i) + lo
 
 
-def _run(kernel: Kernel, halo: tuple[int, int, int], boundary: str, block: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        vol, at = key[0], key[1:]
-        lo, hi = [[int(rows[f"{n}_{a}"].iloc[0]) for a in "zyx"] for n in ("lo", "hi")]
-        first = [lo[i] + at[i] * block for i in range(3)]
+def replicated(p: np.ndarray, cut: int, borders: Borders) -> np.ndarray:
+    """p, from whose sides cut planes are gone already, with the planes that lie outside the volume made equal to the volume's edge."""
+    for axis, sides in enumerate(borders):
+        q = np.moveaxis(p, axis, 0)
+        before, behind = (max(0, n - cut) for n in sides)
+        if before:
+            q[:before] = q[before]
+        if behind:
+            q[len(q) - behind :] = q[len(q) - behind - 1]
+    return p
+
+
+def _run(kernel: Kernel, halo: tuple[int, int, int], boundary: str, block: int, columns: tuple[str, ...], bordered: bool, placed: bool):
+    def run(rows: pa.Table) -> pa.Table:
+        at = [rows.column(a).to_numpy() for a in "zyx"]
+        lo, hi, cell = [[rows.column(f"{n}_{a}")[0].as_py() for a in "zyx"] for n in ("lo", "hi", "b")]
+        first = [lo[i] + cell[i] * block for i in range(3)]
         last = [min(first[i] + block - 1, hi[i]) for i in range(3)]
         base = [max(lo[i], first[i] - halo[i]) for i in range(3)]
         shape = [min(hi[i], last[i] + halo[i]) - base[i] + 1 for i in range(3)]
         data = np.full(shape, np.nan)
-        data[tuple(rows[a].to_numpy() - base[i] for i, a in enumerate("zyx"))] = rows["v"].to_numpy(dtype=float)
+        data[tuple(a - b for a, b in zip(at, base, strict=True))] = rows.column("v").to_numpy()
         index = [np.clip(mirrored(np.arange(first[i] - halo[i], last[i] + halo[i] + 1), lo[i], hi[i], boundary) - base[i], 0, shape[i] - 1) for i in range(3)]
-        out = kernel(data[np.ix_(*index)])
-        z, y, x = np.meshgrid(*[np.arange(first[i], last[i] + 1) for i in range(3)], indexing="ij")
-        return pd.DataFrame({"vol_id": vol, "z": z.ravel(), "y": y.ravel(), "x": x.ravel(), "v": out.ravel()})
+        padded = data[np.ix_(*index)]
+        borders = [(max(0, halo[i] - (first[i] - lo[i])), max(0, halo[i] - (hi[i] - last[i]))) for i in range(3)]
+        out = kernel(padded, *([tuple(first)] if placed else []), *([borders] if bordered or placed else []))
+        out = out if isinstance(out, tuple) else (out,)
+        places = np.meshgrid(*[np.arange(first[i], last[i] + 1, dtype=np.int32) for i in range(3)], indexing="ij")
+        n = places[0].size
+        vol = pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([rows.column("vol_id")[0].as_py()], pa.string())).cast(pa.string())
+        return pa.table({"vol_id": vol, **{a: pa.array(p.ravel()) for a, p in zip("zyx", places, strict=True)}, **{c: pa.array(np.ascontiguousarray(o, dtype=np.float64).ravel()) for c, o in zip(columns, out, strict=True)}})
 
     return run
 
 
-def with_blocks(vox: DataFrame, halo: tuple[int, int, int], block: int) -> DataFrame:
-    """Rows with bz, by, bx of each block that needs them, and their volume's bounds."""
-    out = vox.join(extents(vox), "vol_id")
+def with_blocks(vox: DataFrame, halo: tuple[int, int, int], block: int, bounds: DataFrame | None = None) -> DataFrame:
+    """Rows with b_z, b_y, b_x of each block that needs them, and their volume's bounds."""
+    out = vox.join(extents(vox) if bounds is None else bounds, "vol_id")
     for a, h in zip("zyx", halo, strict=True):
         lo, hi, c = F.col(f"lo_{a}"), F.col(f"hi_{a}"), F.col(a)
         first = F.floor((F.greatest(lo, c - h) - lo) / block).cast("int")
         last = F.floor((F.least(hi, c + h) - lo) / block).cast("int")
-        out = out.withColumn(f"b{a}", F.explode(F.sequence(first, last)) if h else first)
+        out = out.withColumn(f"b_{a}", F.explode(F.sequence(first, last)) if h else first)
     return out
 
 
-def over_blocks(vox: DataFrame, kernel: Kernel, halo: tuple[int, int, int], boundary: str = "replicate", block: int = 24) -> DataFrame:
-    """kernel maps a padded array to the array of its core; returns vol_id, z, y, x, v."""
+def over_blocks(vox: DataFrame, kernel: Kernel, halo: tuple[int, int, int], boundary: str = "replicate", block: int = 32, columns: tuple[str, ...] = ("v",), bordered: bool = False, placed: bool = False) -> DataFrame:
+    """kernel maps a padded array to the array of its core, or to a tuple of arrays, one for each of columns; bordered kernels
+    are told which padding lies outside the volume, placed ones where the core starts, too. Returns vol_id, z, y, x and columns."""
     if boundary not in BOUNDARIES:
         raise ValueError(f"boundary is one of {BOUNDARIES}")
     block = max(block, *halo)
-    return with_blocks(vox.select("vol_id", "z", "y", "x", "v"), halo, block).groupBy("vol_id", "bz", "by", "bx").applyInPandas(_run(kernel, halo, boundary, block), VOXELS)
+    rows = with_blocks(vox.select("vol_id", "z", "y", "x", F.col("v").cast("double").alias("v")), halo, block)
+    schema = "vol_id string, z int, y int, x int, " + ", ".join(f"{c} double" for c in columns)
+    return rows.groupBy("vol_id", "b_z", "b_y", "b_x").applyInArrow(_run(kernel, halo, boundary, block, columns, bordered, placed), schema)
 
 
 def windows(padded: np.ndarray, halo: tuple[int, int, int]) -> np.ndarray:
     """A view: the window of each core place, flattened in the last axis."""
     w = np.lib.stride_tricks.sliding_window_view(padded, tuple(2 * h + 1 for h in halo))
     return w.reshape(*w.shape[:3], -1)
+
+
+def box_mean(padded: np.ndarray, r: int) -> np.ndarray:
+    """Mean of the (2 r + 1)^3 window of each core place, an axis at a time: work does not grow with the window."""
+    out, d = padded, 2 * r + 1
+    for axis in range(3):
+        sums = np.cumsum(np.concatenate((np.zeros_like(np.take(out, [0], axis=axis)), out), axis=axis), axis=axis)
+        n = out.shape[axis]
+        out = (np.take(sums, np.arange(d, n + 1), axis=axis) - np.take(sums, np.arange(n + 1 - d), axis=axis)) / d
+    return out

@@ -1,10 +1,13 @@
 """Seeded one-dimensional k-means over value counts, seeds, and the choice among runs.
 
-A Lloyd round aggregates the counts of distinct values by nearest mean: voxels are read once, rounds see value counts.
+Voxels are read once, for the counts of distinct values. Where no volume has more than FEW_VALUES of these, a volume's
+counts are a bounded group and its rounds run in one task, on prefix sums; else each round aggregates the counts by nearest mean.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,19 +47,99 @@ def warm_seeds(means: DataFrame, vox: DataFrame, k: int) -> DataFrame:
 
 #: The bound after which a run is an error rather than an answer.
 MOST_ROUNDS = 20_000
-
-
-def kmeans(vox: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
-    """vol_id, means (sorted) after Lloyd rounds over the whole volume, until no voxel changes its cluster or, if given, so many rounds.
-    Each round is an aggregate of value counts by nearest mean, ties to the smaller mean; an empty cluster keeps its mean. The driver
-    holds the means and cluster sizes of each volume.
+#: Distinct values of a volume (16 bytes each) that one task may hold.
+FEW_VALUES = 2_000_000
+
+
+class Values:
+    """Sorted distinct values of a volume with prefix sums of counts and of values."""
+
+    def __init__(self, v: np.ndarray, n: np.ndarray):
+        order = np.argsort(v)
+        self.v, self.n = v[order], n[order].astype(np.int64)
+        self.c = np.concatenate(([0], np.cumsum(self.n)))
+        self.centre = float(self.v @ self.n / self.c[-1])
+        self.s = np.concatenate(([0.0], np.cumsum(self.n * (self.v - self.centre))))
+
+    def above(self, least: float) -> Values:
+        keep = self.v > least
+        return Values(self.v[keep], self.n[keep])
+
+    def quantiles(self, ps: np.ndarray) -> np.ndarray:
+        place = np.asarray(ps) * (self.c[-1] - 1)
+        low = np.floor(place).astype(np.int64)
+        at = lambda r: self.v[np.searchsorted(self.c[1:], r, side="right")]
+        a, b = at(low), at(np.minimum(low + 1, self.c[-1] - 1))
+        return a + (b - a) * (place - low)
+
+    def edges(self, means: np.ndarray) -> np.ndarray:
+        """Where the values of each mean's cluster start, and the end; ties go to the smaller mean."""
+        return np.concatenate(([0], np.searchsorted(self.v, (means[1:] + means[:-1]) / 2, side="right"), [len(self.v)]))
+
+    def lloyd(self, means: list[float], rounds: int | None) -> np.ndarray:
+        means, sizes = np.sort(np.asarray(means, float)), None
+        for _ in range(MOST_ROUNDS if rounds is None else rounds):
+            e = self.edges(means)
+            n = np.diff(self.c[e])
+            means = np.where(n > 0, np.diff(self.s[e]) / np.maximum(n, 1) + self.centre, means)
+            if sizes is not None and np.array_equal(n, sizes):
+                return means
+            sizes = n
+        if rounds is None:
+            raise RuntimeError(f"clusters still change after {MOST_ROUNDS} rounds")
+        return means
+
+    def scores(self, means: np.ndarray) -> tuple[float | None, float]:
+        """Calinski-Harabasz (None where undefined) and mean silhouette of the values labelled by nearest mean."""
+        e = self.edges(means)
+        n, sums = np.diff(self.c[e]), np.diff(self.s[e])
+        own = np.repeat(np.arange(len(means)), np.diff(e))
+        held = n > 0
+        k, total = int(held.sum()), int(self.c[-1])
+        m = np.where(held, sums / np.maximum(n, 1), 0.0)
+        d = self.v - self.centre
+        within = float(self.n @ (d - m[own]) ** 2)
+        ch = float(n[held] @ m[held] ** 2) / (k - 1) / (within / (total - k)) if k > 1 and total > k and within > 0 else None
+        a, b = np.full(len(d), np.nan), np.full(len(d), np.inf)
+        for j in np.flatnonzero(held):
+            at = np.clip(np.arange(1, len(d) + 1), e[j], e[j + 1])  # members of j up to each value
+            c, s = self.c[at] - self.c[e[j]], self.s[at] - self.s[e[j]]
+            away = d * c - s + (sums[j] - s) - d * (n[j] - c)
+            mine = own == j
+            if n[j] > 1:
+                a[mine] = away[mine] / (n[j] - 1)
+            b[~mine] = np.minimum(b[~mine], away[~mine] / n[j])
+        if k < 2:
+            return ch, 0.0
+        top = np.maximum(a, b)
+        one = np.where(np.isnan(a) | (top == 0), 0.0, (b - a) / np.where(top == 0, 1.0, top))
+        return ch, float(self.n @ one / total)
+
+
+def few_values(counts: DataFrame, bound: int = FEW_VALUES) -> bool:
+    most = counts.groupBy("vol_id").agg(F.count("*").alias("k")).agg(F.max("k")).first()[0]
+    return most is None or most <= bound
+
+
+def kmeans(vox: DataFrame, seeds: DataFrame, rounds: int | None = None, bound: int = FEW_VALUES) -> DataFrame:
+    """vol_id, means (sorted) after Lloyd rounds over the whole volume, until no voxel changes its cluster or, if given, so many rounds;
+    ties to the smaller mean; an empty cluster keeps its mean.
 
     Clusters are intervals of values, so equal cluster sizes in two rounds on end are equal clusters: a test in whole
     numbers, which does not depend on the order in which sums are added."""
-    n = cut(value_counts(vox))
+    n = cut(value_counts(vox).where("v is not null"))
+    schema = "vol_id string, means array<double>"
+    if few_values(n, bound):
+
+        def run(counts: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            if not len(counts) or not len(own):
+                return pd.DataFrame({"vol_id": [], "means": []})
+            means = Values(counts["v"].to_numpy(float), counts["n"].to_numpy()).lloyd(own["seeds"].iloc[0], rounds)
+            return pd.DataFrame({"vol_id": [own["vol_id"].iloc[0]], "means": [means.tolist()]})
+
+        return n.groupBy("vol_id").cogroup(seeds.groupBy("vol_id")).applyInPandas(run, schema)
     now = {r["vol_id"]: sorted(r["means"]) for r in seeds.select("vol_id", F.col("seeds").alias("means")).collect()}
     sizes: dict = {}
-    schema = "vol_id string, means array<double>"
     make = lambda: vox.sparkSession.createDataFrame(list(now.items()), schema)
     label = F.size(F.filter(F.sequence(F.lit(1), F.size("means") - 1), lambda j: F.col("v") > (F.element_at("means", j) + F.element_at("means", j + 1)) / 2))
     label = F.when(F.size("means") > 1, label).otherwise(0)
@@ -80,8 +163,53 @@ def label_by_means(vox: DataFrame, means: DataFrame) -> DataFrame:
     return vox.join(means, "vol_id").select("vol_id", "z", "y", "x", "v", F.when(F.size("means") > 1, label).otherwise(0).alias("label"))
 
 
-def sweep(vox: DataFrame, ks: range, rounds: int | None = None) -> DataFrame:
-    """k, strategy, means, ch, silhouette. Warm starts need the means of k - 1 (of its better strategy by ch), so k runs in order."""
+STRATEGIES = ("quantile_anchored", "warm_start")
+
+
+def _deduped(seeds: np.ndarray, tolerance: float = 1e-4) -> list[float]:
+    out: list[float] = []
+    for s in np.sort(seeds).tolist():
+        out.append(out[-1] + tolerance if out and s - out[-1] < tolerance else s)
+    return out
+
+
+def _warm(means: np.ndarray, lo: float, hi: float) -> list[float]:
+    e = np.sort(np.concatenate(([lo], means, [hi])))
+    i = int(np.argmax(np.diff(e)))
+    return _deduped(np.concatenate((means, [(e[i] + e[i + 1]) / 2])))
+
+
+def _sweep_values(vol_id: str, whole: Values, ks: list[int], rounds: int | None) -> list[tuple]:
+    ahead, out, previous = whole.above(0.0), [], None
+    for k in ks:
+        runs = {"quantile_anchored": _deduped(ahead.quantiles(np.array([(2 + 96 * i / max(1, k - 1)) / 100 for i in range(k)])))}
+        if previous is not None and len(previous) == k - 1:
+            runs["warm_start"] = _warm(previous, ahead.v[0], ahead.v[-1])
+        rows = []
+        for name, seeds in runs.items():
+            means = whole.lloyd(seeds, rounds)
+            rows.append((vol_id, k, name, means.tolist(), *ahead.scores(means)))
+        out += rows
+        scored = [r for r in rows if r[4] is not None]
+        previous = np.array(max(scored, key=lambda r: r[4])[3]) if scored else None  # of equals the first
+    return out
+
+
+def sweep(vox: DataFrame, ks: range, rounds: int | None = None, bound: int = FEW_VALUES) -> DataFrame:
+    """k, strategy, means, ch, silhouette (both of v > 0). Warm starts need the means of k - 1 (of its better strategy by ch), so k runs in order;
+    volumes are independent."""
+    n = cut(value_counts(vox).where("v is not null"))
+    if few_values(n, bound):
+        numbers = list(ks)
+
+        def run(counts: pd.DataFrame) -> pd.DataFrame:
+            rows = []
+            if (counts["v"] > 0).any():
+                rows = _sweep_values(counts["vol_id"].iloc[0], Values(counts["v"].to_numpy(float), counts["n"].to_numpy()), numbers, rounds)
+            return pd.DataFrame(rows, columns=["vol_id", "k", "strategy", "means", "ch", "silhouette"]).astype({"ch": "float64"})
+
+        found = n.groupBy("vol_id").applyInPandas(run, "vol_id string, k int, strategy string, means array<double>, ch double, silhouette double")
+        return found.withColumn("ch", F.when(~F.isnan("ch"), F.col("ch")))
     out, previous = None, None
     for k in ks:
         runs = [("quantile_anchored", quantile_seeds(vox, k))]
@@ -89,7 +217,7 @@ def sweep(vox: DataFrame, ks: range, rounds: int | None = None) -> DataFrame:
             runs.append(("warm_start", warm_seeds(previous, vox, k)))
         rows = None
         for name, seeds in runs:
-            means = kmeans(vox, seeds, rounds)
+            means = kmeans(vox, seeds, rounds, bound)
             labelled = label_by_means(vox.where("v > 0"), means)
             row = means.join(calinski_harabasz(labelled).select("vol_id", "ch"), "vol_id").join(silhouette(labelled).select("vol_id", "silhouette"), "vol_id")
             row = row.select("vol_id", F.lit(k).alias("k"), F.lit(name).alias("strategy"), "means", "ch", "silhouette")
@@ -104,3 +232,10 @@ def best_runs(rows: DataFrame) -> DataFrame:
     """The run of greatest ch of each volume; of equals the smaller k, then the strategy that comes first. Undefined ch never wins."""
     w = Window.partitionBy("vol_id").orderBy(F.desc_nulls_last("ch"), "k", "strategy")
     return rows.where("ch is not null").withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+
+
+def best_per_k(rows: DataFrame) -> DataFrame:
+    """vol_id, best: a map from k to strategy, ch and silhouette of the run of greatest ch."""
+    w = Window.partitionBy("vol_id", "k").orderBy(F.desc_nulls_last("ch"), "strategy")
+    top = rows.where("ch is not null").withColumn("r", F.row_number().over(w)).where("r = 1")
+    return top.groupBy("vol_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", F.struct("strategy", "ch", "silhouette"))))).alias("best"))

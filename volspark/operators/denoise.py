@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volspark.functions.stats import mse_psnr, percentiles
-from volspark.operators.blocks import over_blocks, windows
-from volspark.operators.stencil import gradient_magnitude, median_filter, median_without_centre
+from volspark.operators.blocks import Borders, box_mean, over_blocks, replicated, windows
+from volspark.operators.stencil import median_without_centre, plain_gradient, plain_median
 from volspark.schema import KEYS
 from volspark.session import cut
 
-#: The modulus and factors of the linear congruential generator that makes noise the same in every engine.
-LCG_A, LCG_C, LCG_M = 1103515245, 12345, 2147483648
+#: Factors of place and seed, and of the mixing rounds, for noise that is the same in every engine: all products of 32-bit numbers
+#: with the latter fit a signed long.
+PLACE_Z, PLACE_Y, PLACE_X, SEED = 2654435761, 2246822519, 3266489917, 668265263
+MIX_1, MIX_2, WORD = 739982445, 695872825, 4294967296
 
 
 def adaptive_median(vox: DataFrame, largest: int = 7) -> DataFrame:
@@ -39,24 +43,32 @@ def adaptive_median(vox: DataFrame, largest: int = 7) -> DataFrame:
 
 
 def adaptive_median_approximation(vox: DataFrame) -> DataFrame:
-    """In-plane median of radius 1; where the gradient of that median exceeds its 82nd percentile the original value stays."""
-    med = median_filter(vox, (0, 1, 1))
-    grad = gradient_magnitude(med)
-    top = percentiles(grad, [0.82]).select("vol_id", F.col("p")[0].alias("top"))
-    g = grad.select(*KEYS, F.col("v").alias("g"))
-    m = med.select(*KEYS, F.col("v").alias("m"))
-    out = vox.join(m, KEYS).join(g, KEYS).join(top, "vol_id")
-    return out.select(*KEYS, F.when(F.col("g") > F.col("top"), F.col("v")).otherwise(F.col("m")).alias("v"))
+    """In-plane median of radius 1; where the gradient of that median exceeds its 82nd percentile the original value stays.
+    Median and gradient come from one pass over blocks."""
+
+    def kernel(p: np.ndarray, borders: Borders) -> tuple[np.ndarray, ...]:
+        m = plain_median(p, (0, 1, 1))[1:-1]  # core and one more plane on each side
+        m = replicated(m, 1, borders)
+        return p[2:-2, 2:-2, 2:-2], m[1:-1, 1:-1, 1:-1], plain_gradient(m)
+
+    local = cut(over_blocks(vox, kernel, (2, 2, 2), "replicate", columns=("v", "m", "g"), bordered=True))
+    top = percentiles(local.select("vol_id", F.col("g").alias("v")), [0.82]).select("vol_id", F.col("p")[0].alias("top"))
+    return local.join(top, "vol_id").select(*KEYS, F.when(F.col("g") > F.col("top"), F.col("v")).otherwise(F.col("m")).alias("v"))
 
 
 def adaptive_wiener(vox: DataFrame, size: int = 5, noise: float | None = None) -> DataFrame:
     """mu + max(s2 - n2, 0) / max(s2, eps) (v - mu), with window mean mu and variance s2; n2 is their mean unless
-    given. Even sizes grow by one; borders mirrored with the edge."""
+    given. Even sizes grow by one; borders mirrored with the edge. Mean and variance come from one pass over blocks."""
     h = (size + 1 - size % 2) // 2
-    mean = over_blocks(vox, lambda p: windows(p, (h, h, h)).mean(axis=-1), (h, h, h), "symmetric").select(*KEYS, F.col("v").alias("mu"))
-    square = over_blocks(vox.withColumn("v", F.col("v") * F.col("v")), lambda p: windows(p, (h, h, h)).mean(axis=-1), (h, h, h), "symmetric").select(*KEYS, F.col("v").alias("sq"))
-    local = vox.join(mean, KEYS).join(square, KEYS).withColumn("s2", F.col("sq") - F.col("mu") * F.col("mu"))
+
+    def kernel(p: np.ndarray) -> tuple[np.ndarray, ...]:
+        mu = box_mean(p, h)
+        core = p[h:-h, h:-h, h:-h]
+        return core, mu, box_mean(p * p, h) - mu * mu
+
+    local = over_blocks(vox, kernel, (h, h, h), "symmetric", columns=("v", "mu", "s2"))
     if noise is None:
+        local = cut(local)
         local = local.join(local.groupBy("vol_id").agg(F.avg("s2").alias("n2")), "vol_id")
     else:
         local = local.withColumn("n2", F.lit(float(noise)))
@@ -64,27 +76,27 @@ def adaptive_wiener(vox: DataFrame, size: int = 5, noise: float | None = None) -
     return local.select(*KEYS, (F.col("mu") + gain * (F.col("v") - F.col("mu"))).alias("v"))
 
 
-def _lcg(seed: Column, rounds: int) -> Column:
-    for _ in range(rounds):
-        seed = (seed * LCG_A + LCG_C) % LCG_M
-    return seed
-
-
-def linear_index() -> Column:
-    """A number for each place, less than 2^31 for grids under 1024 per axis."""
-    return (F.col("z").cast("long") * 1024 + F.col("y")) * 1024 + F.col("x")
+def with_hash(vox: DataFrame, name: str, seed: int) -> DataFrame:
+    """A number of 32 bits for each place and seed, the same wherever it is computed: a linear combination, then xor-shifts and
+    multiplications, so that numbers of different seeds are independent streams. A step is a projection of its own, since it uses its input twice."""
+    h = F.col("z").cast("long") * PLACE_Z + F.col("y").cast("long") * PLACE_Y + F.col("x").cast("long") * PLACE_X + F.lit(seed).cast("long") * SEED
+    out = vox.withColumn(name, F.pmod(h, F.lit(WORD)))
+    for shift, factor in ((15, MIX_1), (12, MIX_2), (15, None)):
+        mixed = F.col(name).bitwiseXOR(F.shiftrightunsigned(name, shift))
+        out = out.withColumn(name, mixed if factor is None else (mixed * factor) % WORD)
+    return out
 
 
-def uniform(rounds: int, seed: int) -> Column:
-    """In (0, 1), the same for a place wherever it is computed."""
-    return (_lcg((linear_index() + seed) % LCG_M, rounds) + 0.5) / LCG_M
+def uniform(name: str) -> Column:
+    """In (0, 1), of a number of with_hash."""
+    return (F.col(name) + 0.5) / float(WORD)
 
 
 def gaussian_noise(vox: DataFrame, sigma: float, clip: bool = False, seed: int = 1) -> DataFrame:
     """Adds Box-Muller noise; clip: to whole numbers 0..255."""
-    n = F.sqrt(-2 * F.log(uniform(3, seed))) * F.cos(2 * np.pi * uniform(3, seed + 7919))
+    n = F.sqrt(-2 * F.log(uniform("u1"))) * F.cos(2 * np.pi * uniform("u2"))
     v = F.col("v") + sigma * n
-    return vox.select(*KEYS, (F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), v))).cast("double") if clip else v).alias("v"))
+    return with_hash(with_hash(vox.select(*KEYS, "v"), "u1", seed), "u2", seed + 7919).select(*KEYS, (F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), v))).cast("double") if clip else v).alias("v"))
 
 
 def salt_and_pepper(vox: DataFrame, density: float, low: float | None = None, high: float | None = None, seed: int = 1, extremes: DataFrame | None = None) -> DataFrame:
@@ -92,7 +104,7 @@ def salt_and_pepper(vox: DataFrame, density: float, low: float | None = None, hi
     (or of ``extremes``). The voxels of smallest noise number are found by a threshold over number counts per volume, not by a global sort."""
     r = (extremes if extremes is not None else vox).groupBy("vol_id").agg(F.min("v").alias("mn"), F.max("v").alias("mx"))
     n = vox.groupBy("vol_id").agg(F.count("*").alias("n"))
-    keyed = vox.withColumn("u", _lcg((linear_index() + seed) % LCG_M, 3)).withColumn("slot", (F.col("u") / 65536).cast("int"))
+    keyed = with_hash(vox.select(*KEYS, "v"), "u", seed + 104_729).withColumn("slot", F.shiftrightunsigned("u", 16).cast("int"))
     slots = keyed.groupBy("vol_id", "slot").agg(F.count("*").alias("k"))
     before = slots.withColumn("before", F.sum("k").over(Window.partitionBy("vol_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("k")).drop("k")
     rank = F.row_number().over(Window.partitionBy("vol_id", "slot").orderBy("u", "z", "y", "x")) + F.col("before")
@@ -118,12 +130,22 @@ FILTERS = {"median26": median_without_centre, "adaptive_median": lambda v: adapt
 FILTERS |= {f"adaptive_median_{w}": lambda v, w=w: adaptive_median(v, w) for w in (5, 7, 9)}
 
 
-def denoise_table(vox: DataFrame, noises: list[tuple[str, float, float]], filters: list[str]) -> DataFrame:
-    """noise, density, sigma, filter, n, mse, psnr for each combination: one plan per combination, unioned."""
+def denoise_table(vox: DataFrame, noises: list[tuple[str, float, float]], filters: list[str] | dict[tuple[str, float, float], list[str]]) -> DataFrame:
+    """noise, density, sigma, filter, n, mse, psnr. filters: those of every noise, or of each.
+
+    The noisy copies of a volume are volumes of one relation, so each filter runs once over all that it is asked for."""
+    wanted = filters if isinstance(filters, dict) else {n: filters for n in noises}
+    vox = cut(vox)
+    name = lambda i: F.concat(F.col("vol_id"), F.lit(f"#{i}")).alias("vol_id")
+    place = ["z", "y", "x", "v"]
+    noisy = reduce(DataFrame.unionByName, [add_noise(vox, *n).select(name(i), *place) for i, n in enumerate(noises)])
+    noisy = cut(noisy.withColumn("i", F.substring_index("vol_id", "#", -1).cast("int")))
     out = None
-    for kind, density, sigma in noises:
-        noisy = cut(add_noise(vox, kind, density, sigma))
-        for name in filters:
-            row = mse_psnr(vox, FILTERS[name](noisy)).select(F.lit(kind).alias("noise"), F.lit(density).alias("density"), F.lit(sigma).alias("sigma"), F.lit(name).alias("filter"), "n", "mse", "psnr")
-            out = row if out is None else out.unionByName(row)
-    return out
+    for f in dict.fromkeys(x for n in noises for x in wanted[n]):
+        own = [i for i, n in enumerate(noises) if f in wanted[n]]
+        clean = vox.select(F.explode(F.array(*[F.lit(i) for i in own])).alias("i"), "*").select(F.concat("vol_id", F.lit("#"), "i").alias("vol_id"), *place)
+        row = mse_psnr(clean, FILTERS[f](noisy.where(F.col("i").isin(own)).select(*KEYS, "v"))).withColumn("filter", F.lit(f))
+        out = row if out is None else out.unionByName(row)
+    at = F.substring_index("vol_id", "#", -1).cast("int")
+    of = lambda k: F.element_at(F.array(*[F.lit(n[k]) for n in noises]), at + 1)
+    return out.select(of(0).alias("noise"), of(1).alias("density"), of(2).alias("sigma"), "filter", "n", "mse", "psnr")

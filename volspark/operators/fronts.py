@@ -1,82 +1,145 @@
-"""Front propagation, and a smooth bias estimate. One volume and one set of parameters is the parallel unit of a front."""
+"""Front propagation over blocks, and a smooth bias estimate."""
 
 from __future__ import annotations
 
-import heapq
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volspark.functions.pointwise import sigmoid
 from volspark.operators.stencil import curvature_diffusion, gaussian_gradient
-from volspark.schema import KEYS, VOXELS
-
-
-def march(speed: np.ndarray, seed: tuple[int, int, int], start: float, stop: float) -> np.ndarray:
-    """First-order arrival times (Sethian 1996) from the seed, which has time start; NaN where stop is exceeded first."""
-    time = np.full(speed.shape, np.inf)
-    done = np.zeros(speed.shape, bool)
-    time[seed] = start
-    heap = [(start, seed)]
-    while heap:
-        t, p = heapq.heappop(heap)
-        if done[p]:
-            continue
-        if t > stop:
-            break
-        done[p] = True
-        for axis in range(3):
-            for d in (-1, 1):
-                q = list(p)
-                q[axis] += d
-                if not 0 <= q[axis] < speed.shape[axis]:
-                    continue
-                q = tuple(q)
-                if done[q] or not speed[q] > 0:
-                    continue
-                new = _arrival(time, done, q, 1.0 / speed[q])
-                if new < time[q]:
-                    time[q] = new
-                    heapq.heappush(heap, (new, q))
-    return np.where(done, time, np.nan)
-
-
-def _arrival(time: np.ndarray, done: np.ndarray, q: tuple[int, ...], cost: float) -> float:
-    """Upwind solution of |grad t| = cost from finished neighbours."""
-    best = []
-    for axis in range(3):
-        at = [time[n] for d in (-1, 1) if 0 <= q[axis] + d < time.shape[axis] and done[n := (*q[:axis], q[axis] + d, *q[axis + 1 :])]]
-        if at:
-            best.append(min(at))
-    best.sort()
-    out = np.inf
-    for k in range(1, len(best) + 1):
-        b = sum(best[:k])
-        disc = b * b - k * (sum(v * v for v in best[:k]) - cost * cost)
-        if disc < 0:
+from volspark.schema import KEYS
+from volspark.session import cut
+from volspark.sources.grids import extents
+
+
+def relax(time: np.ndarray, cost: np.ndarray, stop: float) -> np.ndarray:
+    """First-order upwind arrival times (Sethian 1996) of the core of an array padded by one plane, whose values are known times of
+    neighbours (inf: none). Times only fall, from known ones outwards, so the rounds end in the solution of |grad t| = cost;
+    times beyond stop are not passed on, nor is anything into places of infinite cost (no speed)."""
+    inner = (slice(1, -1),) * 3
+    near = [(tuple(slice(0, -2) if i == a else slice(1, -1) for i in range(3)), tuple(slice(2, None) if i == a else slice(1, -1) for i in range(3))) for a in range(3)]
+    open_ = np.isfinite(cost)
+    while True:
+        best = np.sort(np.stack([np.minimum(time[a], time[b]) for a, b in near]), axis=0)
+        best = np.where(best <= stop, best, np.inf)
+        todo = open_ & np.isfinite(best[0]) & (best[0] < time[inner])
+        if not todo.any():
+            return time
+        t, c = best[:, todo], cost[todo]
+        new = t[0] + c
+        for k in (2, 3):  # one more axis counts where its time is under the solution without it
+            more = np.isfinite(t[k - 1]) & (t[k - 1] < new)
+            b, q = t[:k, more].sum(axis=0), (t[:k, more] ** 2).sum(axis=0)
+            new[more] = (b + np.sqrt(np.maximum(b * b - k * (q - c[more] ** 2), 0.0))) / k
+        old = time[inner][todo]
+        if not (new < old).any():
+            return time
+        time[inner][todo] = np.minimum(new, old)
+
+
+_STATE = "vol_id string, b_z int, b_y int, b_x int, lo array<int>, hi array<int>, speed binary, times binary"
+_FACE = "vol_id string, b_z int, b_y int, b_x int, axis int, side int, plane binary"
+_CELL = ["vol_id", "b_z", "b_y", "b_x"]
+
+
+def _shape(first: list[int], hi: list[int], block: int) -> list[int]:
+    return [min(block, h - f + 1) for f, h in zip(first, hi, strict=True)]
+
+
+def _pack(block: int):
+    """A block's voxels as one row: its speeds as an array; its times with a plane more on each side, for what neighbours send."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        lo, hi, cell = [[rows.column(f"{n}_{a}")[0].as_py() for a in "zyx"] for n in ("lo", "hi", "b")]
+        first = [a + b * block for a, b in zip(lo, cell, strict=True)]
+        data = np.zeros(_shape(first, hi, block))
+        data[tuple(rows.column(a).to_numpy() - f for a, f in zip("zyx", first, strict=True))] = rows.column("v").to_numpy()
+        own = [rows.column("vol_id")[0].as_py(), *cell, lo, hi, data.tobytes(), np.full([n + 2 for n in data.shape], np.inf).tobytes()]
+        return pa.table([pa.array([x], t) for x, t in zip(own, [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()], strict=True)], names=[c.split()[0] for c in _STATE.split(", ")])
+
+    return run
+
+
+def _advance(block: int, seed: tuple[int, int, int], start: float, stop: float, first_round: bool):
+    """A block with the planes that its neighbours sent: the block with its times, and a row for each face whose times fell."""
+    columns = [c.split()[0] for c in (_STATE + ", " + _FACE.split("b_x int, ")[1]).split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+
+    def run(state: pa.Table, faces: pa.Table) -> pa.Table:
+        out = []
+        if state.num_rows:
+            own = state.to_pylist()[0]
+            cell = [own[f"b_{a}"] for a in "zyx"]
+            first = [a + b * block for a, b in zip(own["lo"], cell, strict=True)]
+            shape = _shape(first, own["hi"], block)
+            speed = np.frombuffer(own["speed"]).reshape(shape)
+            time = np.frombuffer(own["times"]).reshape([n + 2 for n in shape]).copy()
+            before = time[1:-1, 1:-1, 1:-1].copy()
+            if first_round and all(f <= s < f + n for f, s, n in zip(first, seed, shape, strict=True)):
+                time[tuple(s - f + 1 for s, f in zip(seed, first, strict=True))] = start
+            for r in faces.to_pylist():
+                q = np.moveaxis(time, r["axis"], 0)[0 if r["side"] < 0 else -1, 1:-1, 1:-1]
+                q[...] = np.minimum(q, np.frombuffer(r["plane"]).reshape(q.shape))
+            with np.errstate(divide="ignore"):
+                cost = np.where(speed > 0, 1.0 / speed, np.inf)
+            time = relax(time, cost, stop)
+            now = time[1:-1, 1:-1, 1:-1]
+            key = [own["vol_id"], *cell]
+            out.append([*key, own["lo"], own["hi"], own["speed"], time.tobytes(), None, None, None])
+            for axis in range(3):
+                for side in (-1, 1):
+                    at = 0 if side < 0 else -1
+                    plane, old = np.moveaxis(now, axis, 0)[at], np.moveaxis(before, axis, 0)[at]
+                    there = [b + side if i == axis else b for i, b in enumerate(cell)]
+                    inside = own["lo"][axis] <= first[axis] + side * (block if side < 0 else shape[axis]) <= own["hi"][axis]
+                    if inside and ((plane < old) & (plane <= stop)).any():
+                        out.append([own["vol_id"], *there, None, None, None, None, axis, -side, np.ascontiguousarray(plane).tobytes()])
+        cols = zip(*out, strict=True) if out else [[] for _ in columns]
+        return pa.table([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=columns)
+
+    return run, _STATE + ", " + _FACE.split("b_x int, ")[1]
+
+
+def fast_marching(speed: DataFrame, seed: tuple[int, int, int], initial_distance: float = 5.0, stopping: float = 100.0, block: int = 48) -> DataFrame:
+    """Arrival times; the trial node has -initial_distance; null where the front has not come by the stopping time.
+
+    Blocks are solved alone; faces whose times fell go to the neighbour, which is solved again, until none falls. A round moves
+    face planes and the blocks that got one; the front of all volumes of the relation advances together. Values of one place that differ: any.
+    """
+    rows = speed.select(*KEYS, F.col("v").cast("double").alias("v")).join(extents(speed), "vol_id")
+    rows = rows.select("*", *[F.floor((F.col(a) - F.col(f"lo_{a}")) / block).cast("int").alias(f"b_{a}") for a in "zyx"])
+    state = cut(rows.groupBy(*_CELL).applyInArrow(_pack(block), _STATE))
+    here = reduce(lambda a, b: a & b, [(F.col("lo")[i] + F.col(f"b_{a}") * block <= seed[i]) & (F.col("lo")[i] + (F.col(f"b_{a}") + 1) * block > seed[i]) for i, a in enumerate("zyx")])
+    active, faces, count = state.where(here), speed.sparkSession.createDataFrame([], _FACE), 0
+    while True:
+        run, schema = _advance(block, seed, -initial_distance, stopping, count == 0)
+        out = cut(active.groupBy(*_CELL).cogroup(faces.groupBy(*_CELL)).applyInArrow(run, schema))
+        done = out.where("speed is not null").select(state.columns)
+        state = state.join(done.select(*_CELL), _CELL, "left_anti").unionByName(done)
+        faces = out.where("plane is not null").select([c.split()[0] for c in _FACE.split(", ")])
+        count += 1
+        if faces.isEmpty():
             break
-        t = (b + np.sqrt(disc)) / k
-        if k == len(best) or t <= best[k]:
-            return float(t)
-        out = min(out, float(t))
-    return out
-
-
-def fast_marching(speed: DataFrame, seed: tuple[int, int, int], initial_distance: float = 5.0, stopping: float = 100.0) -> DataFrame:
-    """Arrival times; the trial node has -initial_distance; null where the front has not come by the stopping time."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        base = [int(rows[a].min()) for a in "zyx"]
-        at = tuple(rows[a].to_numpy() - b for a, b in zip("zyx", base, strict=True))
-        data = np.zeros([int(a.max()) + 1 for a in at])
-        data[at] = rows["v"].to_numpy(dtype=float)
-        t = march(data, tuple(s - b for s, b in zip(seed, base, strict=True)), -initial_distance, stopping)[at]
-        return pd.DataFrame({"vol_id": rows["vol_id"], "z": rows["z"], "y": rows["y"], "x": rows["x"], "v": t})
-
-    out = speed.groupBy("vol_id").applyInPandas(run, VOXELS)
-    return out.select(*KEYS, F.when(~F.isnan("v"), F.col("v")).alias("v"))
+        if count % 8 == 0:
+            state = cut(state)
+        active = state.join(faces.select(*_CELL).distinct(), _CELL, "left_semi")
+
+    def unpack(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                first = [r["lo"][i] + r[f"b_{a}"] * block for i, a in enumerate("zyx")]
+                shape = _shape(first, r["hi"], block)
+                t = np.frombuffer(r["times"]).reshape([n + 2 for n in shape])[1:-1, 1:-1, 1:-1].ravel()
+                places = np.meshgrid(*[np.arange(f, f + n, dtype=np.int32) for f, n in zip(first, shape, strict=True)], indexing="ij")
+                vol = pa.DictionaryArray.from_arrays(pa.array(np.zeros(t.size, np.int32)), pa.array([r["vol_id"]], pa.string())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([vol, *[pa.array(p.ravel()) for p in places], pa.array(t, mask=~(t <= stopping))], names=[*KEYS, "v"])
+
+    return state.mapInArrow(unpack, "vol_id string, z int, y int, x int, v double")
 
 
 def level_set(vox: DataFrame, seed: tuple[int, int, int], iterations: int, sigma: float, alpha: float, beta: float, stopping: float) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from volspark.functions.stats import robust_stats
+from volspark.functions.stats import calinski_harabasz, percentiles, robust_stats, silhouette
 from volspark.operators import regions
+from volspark.operators.denoise import with_hash
 from volspark.operators.stencil import gradient_magnitude
 from volspark.operators.threshold import METHODS
 from volspark.schema import KEYS
@@ -46,7 +47,7 @@ def compactness(mask: DataFrame, by: list[str]) -> DataFrame:
     box = " * ".join(f"(max({a}) - min({a}) + 1)" for a in "zyx")
     sized = labelled.groupBy("vol_id", "component").agg(F.count("*").alias("n"), F.expr(f"cast(count(*) as double) / ({box})").alias("compact"))
     first = sized.withColumn("k", F.row_number().over(Window.partitionBy("vol_id").orderBy(F.desc("n"), "component"))).where("k = 1")
-    return first.select(F.substring_index("vol_id", "#", 1).alias("vol_id"), F.substring_index("vol_id", "#", -1).cast("int").alias("label"), F.col("n").alias("largest"), "compact")
+    return first.select(F.regexp_replace("vol_id", "#[^#]*$", "").alias("vol_id"), F.substring_index("vol_id", "#", -1).cast("int").alias("label"), F.col("n").alias("largest"), "compact")
 
 
 def edge_support(mask: DataFrame, grad: DataFrame, roi_mean: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def edge_support(mask: DataFrame, grad: DataFrame, roi_mean: DataFrame, bounds:
     named = mask.withColumn("vol_id", F.concat_ws("#", "vol_id", "label"))
     b = mask.select("vol_id", "label").distinct().join(bounds, "vol_id").withColumn("vol_id", F.concat_ws("#", "vol_id", "label")).drop("label")
     ring = regions.dilate(named, regions.CROSS, b).join(named.select(*KEYS), KEYS, "left_anti")
-    ring = ring.select(F.substring_index("vol_id", "#", 1).alias("vol_id"), F.substring_index("vol_id", "#", -1).cast("int").alias("label"), "z", "y", "x")
+    ring = ring.select(F.regexp_replace("vol_id", "#[^#]*$", "").alias("vol_id"), F.substring_index("vol_id", "#", -1).cast("int").alias("label"), "z", "y", "x")
     m = ring.join(grad.select(*KEYS, F.col("v").alias("g")), KEYS).groupBy("vol_id", "label").agg(F.avg("g").alias("ring"))
     return m.join(roi_mean, "vol_id").select("vol_id", "label", F.least(F.col("ring") / F.col("roi_grad") / 3, F.lit(1.0)).alias("edge"))
 
@@ -127,13 +128,33 @@ def clean_mask(mask: DataFrame, vox: DataFrame, least: int = 50, top: int = 3) -
 
 def stratified_sample(labelled: DataFrame, grad: DataFrame, total: int = 20_000, seed: int = 42) -> DataFrame:
     """Of each cluster max(50, total // k) voxels: half from gradients of at least the cluster's 75th percentile, half from below; small
-    clusters whole. Which voxels: those of smallest hash, so the sample does not depend on partitioning."""
-    g = labelled.join(grad.select(*KEYS, F.col("v").alias("g")), KEYS)
-    p = g.groupBy("vol_id", "label").agg(F.percentile("g", 0.75).alias("p75"), F.count("*").alias("size"))
-    k = p.groupBy("vol_id").agg(F.count("*").alias("k"))
-    s = g.join(p, ["vol_id", "label"]).join(k, "vol_id").withColumn("quota", F.greatest(F.lit(50), F.floor(F.lit(total) / F.col("k"))))
-    s = s.withColumn("at_edge", F.col("g") >= F.col("p75"))
-    w = Window.partitionBy("vol_id", "label", "at_edge").orderBy(F.xxhash64("z", "y", "x", F.lit(seed)), "z", "y", "x")
+    clusters whole, and a cluster one of whose pools is empty gives its whole quota from all its voxels. Which voxels: those of smallest
+    noise number, so the sample does not depend on partitioning."""
+    g = cut(labelled.join(grad.select(*KEYS, F.col("v").alias("g")), KEYS))
+    edge = percentiles(g.select("vol_id", "label", F.col("g").alias("v")), [0.75], "label").select("vol_id", "label", F.col("p")[0].alias("p75"))
+    s = g.join(edge, ["vol_id", "label"]).withColumn("at_edge", F.col("g") >= F.col("p75"))
+    size = s.groupBy("vol_id", "label").agg(F.count("*").alias("size"), F.count_if("at_edge").alias("edges"))
+    k = size.groupBy("vol_id").agg(F.count("*").alias("k"))
+    s = s.join(size, ["vol_id", "label"]).join(k, "vol_id").withColumn("quota", F.greatest(F.lit(50), F.floor(F.lit(total) / F.col("k"))))
+    s = s.withColumn("pool", F.when(F.col("edges") == F.col("size"), False).otherwise(F.col("at_edge")))
+    s = with_hash(s, "u", seed)
+    # of a pool the smallest numbers: a bound from counts of their upper halves first, so that no task orders a whole pool
     half = F.floor(F.col("quota") / 2)
-    s = s.withColumn("r", F.row_number().over(w)).where((F.col("size") <= F.col("quota")) | (F.col("r") <= F.when(F.col("at_edge"), half).otherwise(F.col("quota") - half)))
-    return s.select(*KEYS, "v", "label")
+    share = F.when(F.col("edges") == F.col("size"), F.col("quota")).when(F.col("pool"), half).otherwise(F.col("quota") - half)
+    s = s.withColumn("share", F.when(F.col("size") <= F.col("quota"), F.col("size")).otherwise(share)).withColumn("slot", F.shiftrightunsigned("u", 16).cast("int"))
+    keys = ["vol_id", "label", "pool"]
+    slots = s.groupBy(*keys, "slot").agg(F.count("*").alias("n"))
+    before = slots.withColumn("before", F.sum("n").over(Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).drop("n")
+    s = s.join(before, [*keys, "slot"]).where("before < share")
+    rank = F.row_number().over(Window.partitionBy(*keys, "slot").orderBy("u", "z", "y", "x"))
+    return s.withColumn("r", F.col("before") + rank).where("r <= share").select(*KEYS, "v", "label")
+
+
+def evaluate(labelled: DataFrame, grad: DataFrame, repeats: int = 3, total: int = 20_000, seed: int = 42) -> DataFrame:
+    """vol_id, and mean and variance over repeated stratified samples of Calinski-Harabasz and silhouette: ch_mean, ch_var, silhouette_mean, silhouette_var."""
+    rows = None
+    for i in range(repeats):
+        s = cut(stratified_sample(labelled, grad, total, seed + i))
+        row = calinski_harabasz(s).select("vol_id", "ch").join(silhouette(s).select("vol_id", "silhouette"), "vol_id")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows.groupBy("vol_id").agg(*[f(c).alias(f"{c}_{n}") for c in ("ch", "silhouette") for n, f in (("mean", F.avg), ("var", F.var_pop))])

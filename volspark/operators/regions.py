@@ -7,11 +7,15 @@ which a chain of n labels needs about log n. So rounds move labels of block face
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from volspark.operators.blocks import Borders, over_blocks, with_blocks
 from volspark.schema import KEYS
 from volspark.session import cut
 from volspark.sources.grids import extents
@@ -23,9 +27,40 @@ def linear(z="z", y="y", x="x"):
     return F.shiftleft(at(z), 42) + F.shiftleft(at(y), 21) + at(x)
 
 
-def star_components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest member) of edges (a, b)."""
+#: Edges that one task may resolve; a graph of more takes rounds over all executors.
+FEW_EDGES = 200_000
+
+
+def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of all edges of a task."""
+    root: dict = {}
+
+    def own(n):
+        root.setdefault(n, n)
+        return n
+
+    def find(n):
+        while root[n] != n:
+            root[n] = root[root[n]]
+            n = root[n]
+        return n
+
+    for b in batches:
+        for u, v in zip(b["u"], b["v"], strict=True):
+            x, y = find(own(u)), find(own(v))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    if root:
+        yield pd.DataFrame({"node": list(root), "component": [find(n) for n in root]})
+
+
+def star_components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+    """node, component (its smallest member) of edges (a, b): at most few of them in one task, else by alternating
+    large-star and small-star rounds."""
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if e.count() <= few:
+        kind = e.schema["u"].dataType.simpleString()
+        return e.coalesce(1).mapInPandas(_resolve, f"node {kind}, component {kind}")
     last = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -121,19 +156,19 @@ def connected_threshold(vox: DataFrame, seed: tuple[int, int, int], lower: float
 
 
 def confidence_connected(vox: DataFrame, seed: tuple[int, int, int], multiplier: float = 2.5, rounds: int = 5, radius: int = 1) -> DataFrame:
-    """mean +- multiplier std (population) of the cube about the seed, then of the region, so many rounds; then the last region.
-    The volume has one vol_id; the seed's value always counts as inside."""
+    """mean +- multiplier std (population) of the cube about the seed, then of the region, so many rounds; then the last region, of
+    each volume. The seed's value always counts as inside; a volume without the seed has no region."""
     near = F.lit(True)
     for a, s in zip("zyx", seed, strict=True):
         near = near & F.col(a).between(s - radius, s + radius)
-    stats = vox.where(near).agg(F.avg("v"), F.stddev_pop("v")).first()
-    at = vox.where((F.col("z") == seed[0]) & (F.col("y") == seed[1]) & (F.col("x") == seed[2])).select("v").first()
-    region = None
+    stats = lambda d: d.groupBy("vol_id").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    at = vox.where((F.col("z") == seed[0]) & (F.col("y") == seed[1]) & (F.col("x") == seed[2])).select("vol_id", F.col("v").alias("own"))
+    now, region = stats(vox.where(near)), None
     for i in range(rounds + 1):
-        lo, hi = stats[0] - multiplier * stats[1], stats[0] + multiplier * stats[1]
-        region = cut(flood(vox.where(F.col("v").between(min(lo, at["v"]), max(hi, at["v"]))), seed))
+        limits = now.join(at, "vol_id").select("vol_id", F.least(F.col("mean") - multiplier * F.col("std"), "own").alias("lo"), F.greatest(F.col("mean") + multiplier * F.col("std"), "own").alias("hi"))
+        region = cut(flood(vox.join(limits, "vol_id").where("v between lo and hi"), seed))
         if i < rounds:
-            stats = vox.join(region, KEYS, "left_semi").agg(F.avg("v"), F.stddev_pop("v")).first()
+            now = stats(vox.join(region, KEYS, "left_semi"))
     return region
 
 
@@ -144,24 +179,48 @@ def ball(r: int) -> list[tuple[int, int, int]]:
 CROSS = [(0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 
 
-def _shifted(mask: DataFrame, offsets: list[tuple[int, int, int]]) -> DataFrame:
-    o = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for a, v in zip("zyx", t, strict=True)]) for t in offsets]))
-    return mask.select(*KEYS, o.alias("o")).select("vol_id", *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in "zyx"])
+def _grown(bounds: DataFrame, by: int) -> DataFrame:
+    return bounds.select("vol_id", *[(F.col(f"{n}_{a}") + d).alias(f"{n}_{a}") for a in "zyx" for n, d in (("lo", -by), ("hi", by))])
+
+
+def _morph(mask: DataFrame, offsets: list[tuple[int, int, int]], bounds: DataFrame, erodes: bool, outside: bool = False, block: int = 32) -> DataFrame:
+    """Voxels inside bounds of which an offset (erodes: every offset) leads into the mask; outside: whether places out of bounds are of the mask.
+    A voxel goes to the blocks whose halo holds it, not to every offset, and a block's offsets are shifts of its array."""
+    halo = tuple(max(abs(o[i]) for o in offsets) for i in range(3))
+    block = max(block, *halo)
+
+    def run(rows: pa.Table) -> pa.Table:
+        lo, hi, cell = [[rows.column(f"{n}_{a}")[0].as_py() for a in "zyx"] for n in ("lo", "hi", "b")]
+        first = [lo[i] + cell[i] * block for i in range(3)]
+        size = [min(first[i] + block - 1, hi[i]) - first[i] + 1 for i in range(3)]
+        data = np.zeros([n + 2 * h for n, h in zip(size, halo, strict=True)], bool)
+        if outside:
+            inner = [np.arange(first[i] - halo[i], first[i] + size[i] + halo[i]) for i in range(3)]
+            free = [(c < lo[i]) | (c > hi[i]) for i, c in enumerate(inner)]
+            data |= free[0][:, None, None] | free[1][None, :, None] | free[2][None, None, :]
+        at = [rows.column(a).to_numpy() - first[i] + halo[i] for i, a in enumerate("zyx")]
+        data[tuple(at)] = True
+        out = np.full(size, erodes)
+        for o in offsets:
+            moved = data[tuple(slice(h + d, h + d + n) for h, d, n in zip(halo, o, size, strict=True))]
+            out = out & moved if erodes else out | moved
+        found = np.nonzero(out)
+        vol = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(found[0]), np.int32)), pa.array([rows.column("vol_id")[0].as_py()], pa.string())).cast(pa.string())
+        return pa.table({"vol_id": vol, **{a: pa.array((f + first[i]).astype(np.int32)) for i, (a, f) in enumerate(zip("zyx", found, strict=True))}})
+
+    rows = with_blocks(mask.select(*KEYS), halo, block, bounds)
+    return rows.groupBy("vol_id", "b_z", "b_y", "b_x").applyInArrow(run, "vol_id string, z int, y int, x int")
 
 
 def dilate(mask: DataFrame, offsets: list[tuple[int, int, int]], bounds: DataFrame) -> DataFrame:
     """The mask's voxels moved by all offsets, inside bounds (of extents())."""
-    out = _shifted(mask, offsets).distinct().join(bounds, "vol_id")
-    return out.where(" and ".join(f"{a} between lo_{a} and hi_{a}" for a in "zyx")).select(*KEYS)
+    return _morph(mask, [tuple(-v for v in o) for o in offsets], bounds, erodes=False)
 
 
 def erode(mask: DataFrame, offsets: list[tuple[int, int, int]], vox: DataFrame | None = None) -> DataFrame:
-    """Voxels all of whose neighbours by offset are in the mask; outside the volume is not, or is, if the volume is given."""
-    if vox is not None:
-        background = vox.select(*KEYS).join(mask, KEYS, "left_anti")
-        return mask.select(*KEYS).join(dilate(background, [tuple(-v for v in o) for o in offsets], extents(vox)), KEYS, "left_anti")
-    n = _shifted(mask, [tuple(-v for v in o) for o in offsets]).groupBy(*KEYS).agg(F.count("*").alias("n"))
-    return n.where(F.col("n") == len(offsets)).select(*KEYS)
+    """Voxels all of whose neighbours by offset are in the mask; outside the volume is not, or is, if the (dense) volume is given.
+    offsets hold (0, 0, 0)."""
+    return _morph(mask, offsets, extents(mask if vox is None else vox), erodes=True, outside=vox is not None)
 
 
 def closing(mask: DataFrame, offsets: list[tuple[int, int, int]], bounds: DataFrame) -> DataFrame:
@@ -170,7 +229,8 @@ def closing(mask: DataFrame, offsets: list[tuple[int, int, int]], bounds: DataFr
 
 def safe_closing(mask: DataFrame, offsets: list[tuple[int, int, int]], bounds: DataFrame) -> DataFrame:
     """Closing in a volume with a margin, so that the volume's border erodes nothing."""
-    out = erode(_shifted(mask, offsets).distinct(), offsets).join(bounds, "vol_id")
+    wide = _grown(bounds, max(abs(v) for o in offsets for v in o))
+    out = erode(dilate(mask, offsets, wide), offsets).join(bounds, "vol_id")
     return out.where(" and ".join(f"{a} between lo_{a} and hi_{a}" for a in "zyx")).select(*KEYS)
 
 
@@ -192,49 +252,85 @@ def fill_holes(mask: DataFrame, vox: DataFrame) -> DataFrame:
 
 
 def watershed(height: DataFrame, threshold: float = 0.0, level: float = 0.0) -> DataFrame:
-    """vol_id, z, y, x, label: basins of steepest descent, those merged whose saliency is at most level of the volume's range."""
-    return merge_basins(basins(height, threshold), level)
+    """vol_id, z, y, x, label: basins of steepest descent, those merged whose saliency is at most level of the volume's range. Heights under
+    threshold (a fraction of the range) rise to it."""
+    found = basins(floored(height, threshold) if threshold > 0 else height)
+    return found.select(*KEYS, "label") if level <= 0 else merge_levels(found, [level]).select(*KEYS, "label")
+
+
+def floored(height: DataFrame, threshold: float) -> DataFrame:
+    """Heights under a fraction of the volume's range above its minimum rise to it."""
+    r = height.groupBy("vol_id").agg(F.min("v").alias("mn"), F.max("v").alias("mx"))
+    return height.join(r, "vol_id").select(*KEYS, F.greatest("v", F.col("mn") + threshold * (F.col("mx") - F.col("mn"))).alias("v"))
 
 
-def basins(height: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """vol_id, z, y, x, h, range, i, label: basins of steepest descent before any are merged.
+def basins(height: DataFrame) -> DataFrame:
+    """vol_id, z, y, x, v, label: basins of steepest descent before any are merged.
 
-    Heights under threshold (a fraction of the range) rise to it. Each voxel points to its lowest face neighbour (ties, and plateaus: the
-    lowest linear index, so pointers go down in (height, index) and end in minima); pointers are resolved by doubling.
+    Each voxel points to its lowest face neighbour (ties, and plateaus: the lowest linear index, so pointers go down in (height, index) and
+    end in minima). A block follows the pointers that stay inside it; those that leave it are resolved by doubling.
     """
-    r = height.groupBy("vol_id").agg(F.min("v").alias("mn"), F.max("v").alias("mx"))
-    h = height.join(r, "vol_id").select(*KEYS, F.greatest("v", F.col("mn") + threshold * (F.col("mx") - F.col("mn"))).alias("h"), (F.col("mx") - F.col("mn")).alias("range"), linear().alias("i"))
-    h = cut(h)
-    moved = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for a, v in zip("zyx", t, strict=True)]) for t in CROSS]))
-    near = h.select("vol_id", *[F.col(a) for a in "zyx"], F.struct("h", "i").alias("to"), moved.alias("o")).select("vol_id", *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in "zyx"], "to")
-    down = near.groupBy(*KEYS).agg(F.min("to").alias("to"))
-    p = cut(h.join(down, KEYS).select("vol_id", "i", F.col("to.i").alias("to")))
-    while True:
-        q = p.select(F.col("vol_id").alias("w"), F.col("i").alias("j"), F.col("to").alias("next"))
-        step = cut(p.join(q, (F.col("vol_id") == F.col("w")) & (F.col("to") == F.col("j"))).select("vol_id", "i", F.col("next").alias("to"), (F.col("to") != F.col("next")).alias("moved")))
-        done = step.where("moved").isEmpty()
-        p = step.select("vol_id", "i", "to")
+    p = cut(over_blocks(height, _descend, (1, 1, 1), "replicate", columns=("v", "tz", "ty", "tx"), placed=True))
+    p = p.select(*KEYS, "v", linear().alias("i"), linear(*[F.col(f"t{a}").cast("int") for a in "zyx"]).alias("to"))
+    # a voxel's own root is in its block or is the first voxel beyond it, whose root is looked up
+    jump = cut(p.select("vol_id", "i", "to").join(p.select("vol_id", F.col("to").alias("i")).distinct(), ["vol_id", "i"], "left_semi"))
+    while not jump.where("i <> to").isEmpty():
+        nxt = jump.select("vol_id", F.col("i").alias("to"), F.col("to").alias("next"))
+        step = cut(jump.join(nxt, ["vol_id", "to"]).select("vol_id", "i", "to", F.col("next")))
+        done = step.where("to <> next").isEmpty()
+        jump = step.select("vol_id", "i", F.col("next").alias("to"))
         if done:
             break
-    return cut(h.join(p, ["vol_id", "i"]).select(*KEYS, "h", "range", "i", F.col("to").alias("label")))
+    roots = jump.select("vol_id", F.col("i").alias("to"), F.col("to").alias("label"))
+    return cut(p.join(roots, ["vol_id", "to"]).select(*KEYS, "v", "label"))
+
+
+def _descend(p: np.ndarray, start: tuple[int, int, int], borders: Borders) -> tuple[np.ndarray, ...]:
+    """For each core voxel: its height, and where the pointers lead it: a minimum, or the first voxel out of the block."""
+    shape = np.array(p.shape)
+    core = tuple(slice(1, -1) for _ in range(3))
+    h, where = p[core], np.indices(p.shape)
+    best, at = np.full(h.shape, np.inf), [np.zeros(h.shape, np.int64)] * 3
+    for d in sorted(CROSS):  # by linear index, so that of equals the first stays
+        axis = next((i for i, k in enumerate(d) if k), 0)
+        moved = tuple(slice(1 + k, n - 1 + k) for k, n in zip(d, p.shape, strict=True))
+        take = p[moved] < best
+        if borders[axis][0] and d[axis] < 0:
+            np.moveaxis(take, axis, 0)[0] = False
+        if borders[axis][1] and d[axis] > 0:
+            np.moveaxis(take, axis, 0)[-1] = False
+        best = np.where(take, p[moved], best)
+        at = [np.where(take, w[moved], a) for w, a in zip(where, at, strict=True)]
+    to = np.arange(p.size).reshape(p.shape)
+    to[core] = np.ravel_multi_index(at, p.shape)
+    to = to.ravel()
+    while True:
+        nxt = to[to]
+        if np.array_equal(nxt, to):
+            break
+        to = nxt
+    ends = np.unravel_index(to.reshape(p.shape)[core], p.shape)
+    return h, *[e - 1 + s for e, s in zip(ends, start, strict=True)]
 
 
-def merge_basins(basin: DataFrame, level: float) -> DataFrame:
-    """vol_id, z, y, x, label. A pair of basins meets at the lowest pass over their common border; its saliency is the pass over the higher of the two minima."""
-    if level <= 0:
-        return basin.select(*KEYS, "label")
-    basin = basin.withColumn("least", F.col("range") * level)
-    floors = basin.groupBy("vol_id", "label").agg(F.min("h").alias("floor"))
+def merge_levels(basin: DataFrame, levels: list[float]) -> DataFrame:
+    """level, vol_id, z, y, x, label for each level. A pair of basins meets at the lowest pass over their common border; its saliency is the
+    pass over the higher of the two minima, and it merges where that is at most level of the volume's range."""
+    floors = basin.groupBy("vol_id", "label").agg(F.min("v").alias("floor"))
+    span = basin.groupBy("vol_id").agg((F.max("v") - F.min("v")).alias("range"))
     pairs = None
     for a in "zyx":
-        b = basin.select("vol_id", *[(F.col(c) - 1 if c == a else F.col(c)).alias(c) for c in "zyx"], F.col("label").alias("l2"), F.col("h").alias("h2"))
-        e = basin.join(b, KEYS).where("label <> l2").select("vol_id", "least", F.least("label", "l2").alias("a"), F.greatest("label", "l2").alias("b"), F.greatest("h", "h2").alias("pass"))
+        b = basin.select("vol_id", *[(F.col(c) - 1 if c == a else F.col(c)).alias(c) for c in "zyx"], F.col("label").alias("l2"), F.col("v").alias("h2"))
+        e = basin.join(b, KEYS).where("label <> l2").select("vol_id", F.least("label", "l2").alias("a"), F.greatest("label", "l2").alias("b"), F.greatest("v", "h2").alias("pass"))
         pairs = e if pairs is None else pairs.unionByName(e)
-    low = pairs.groupBy("vol_id", "least", "a", "b").agg(F.min("pass").alias("pass"))
+    low = pairs.groupBy("vol_id", "a", "b").agg(F.min("pass").alias("pass")).join(span, "vol_id")
     fa = floors.select("vol_id", F.col("label").alias("a"), F.col("floor").alias("fa"))
     fb = floors.select("vol_id", F.col("label").alias("b"), F.col("floor").alias("fb"))
-    shallow = low.join(fa, ["vol_id", "a"]).join(fb, ["vol_id", "b"]).where("pass - greatest(fa, fb) <= least")
-    node = lambda c: F.concat_ws("|", "vol_id", F.lpad(F.col(c).cast("string"), 20, "0"))
-    merged = star_components(shallow.select(node("a").alias("a"), node("b").alias("b")))
-    label = F.coalesce(F.substring_index("component", "|", -1).cast("long"), F.col("label"))
-    return basin.withColumn("own", node("label")).join(merged, F.col("own") == F.col("node"), "left").select(*KEYS, label.alias("label"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(float(x)).alias("level")) for i, x in enumerate(levels)])).alias("l")
+    shallow = low.join(fa, ["vol_id", "a"]).join(fb, ["vol_id", "b"]).select("*", each).where("pass - greatest(fa, fb) <= range * l.level")
+    node = lambda c, k: F.concat_ws("|", "vol_id", k, F.lpad(F.col(c).cast("string"), 20, "0"))
+    merged = star_components(shallow.select(node("a", F.col("l.k")).alias("a"), node("b", F.col("l.k")).alias("b")))
+    named = floors.select("vol_id", F.col("label").alias("basin"), each).select("vol_id", "basin", "l.level", node("basin", F.col("l.k")).alias("own"))
+    label = F.coalesce(F.substring_index("component", "|", -1).cast("long"), F.col("basin")).alias("label")
+    to = named.join(merged, F.col("own") == F.col("node"), "left").select("vol_id", F.col("basin"), "level", label)
+    return basin.select(*KEYS, F.col("label").alias("basin")).join(to, ["vol_id", "basin"]).select("level", *KEYS, "label")

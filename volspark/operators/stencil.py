@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from volspark.operators.blocks import over_blocks, windows
+from volspark.operators.blocks import Borders, box_mean, over_blocks, replicated, windows
 
 
 def _cube(r: int) -> tuple[int, int, int]:
@@ -13,32 +13,38 @@ def _cube(r: int) -> tuple[int, int, int]:
 
 
 def mean_filter(vox: DataFrame, r: int, boundary: str = "replicate") -> DataFrame:
-    d = 2 * r + 1
+    return over_blocks(vox, lambda p: box_mean(p, r), _cube(r), boundary)
 
-    def kernel(p: np.ndarray) -> np.ndarray:
-        return np.concatenate([windows(p[z : z + d], _cube(r)).mean(axis=-1) for z in range(p.shape[0] - d + 1)])
 
-    return over_blocks(vox, kernel, _cube(r), boundary)
+def _by_plane(p: np.ndarray, halo: tuple[int, int, int], f) -> np.ndarray:
+    """f of the windows of one core plane after the other, so that a large window's copies stay small."""
+    d = 2 * halo[0] + 1
+    return np.concatenate([f(windows(p[z : z + d], halo)) for z in range(p.shape[0] - d + 1)])
 
 
-def median_filter(vox: DataFrame, halo: tuple[int, int, int], boundary: str = "replicate") -> DataFrame:
-    """Median of the whole window; halo (z, y, x) may differ by axis."""
-    d = 2 * halo[0] + 1
+def _middle(w: np.ndarray) -> np.ndarray:
+    """Median over the last axis: the middle value, of an even number the mean of the middle two. NaN goes last (as the largest)."""
+    n = w.shape[-1]
+    if n % 2:
+        return np.partition(w, n // 2, axis=-1)[..., n // 2]
+    part = np.partition(w, (n // 2 - 1, n // 2), axis=-1)
+    return (part[..., n // 2 - 1] + part[..., n // 2]) / 2
 
-    def kernel(p: np.ndarray) -> np.ndarray:  # plane by plane, so that a large window's copies stay small
-        return np.concatenate([np.median(windows(p[z : z + d], halo), axis=-1) for z in range(p.shape[0] - d + 1)])
 
-    return over_blocks(vox, kernel, halo, boundary)
+def plain_median(p: np.ndarray, halo: tuple[int, int, int]) -> np.ndarray:
+    return _by_plane(p, halo, _middle)
+
+
+def median_filter(vox: DataFrame, halo: tuple[int, int, int], boundary: str = "replicate") -> DataFrame:
+    """Median of the whole window; halo (z, y, x) may differ by axis."""
+    return over_blocks(vox, lambda p: plain_median(p, halo), halo, boundary)
 
 
 def median_without_centre(vox: DataFrame, r: int = 1) -> DataFrame:
     """Median of the neighbours alone: of their even number the mean of the middle two; borders mirrored without the edge."""
     n = (2 * r + 1) ** 3
-
-    def kernel(p: np.ndarray) -> np.ndarray:
-        return np.median(np.delete(windows(p, _cube(r)), n // 2, axis=-1), axis=-1)
-
-    return over_blocks(vox, kernel, _cube(r), "reflect")
+    others = np.delete(np.arange(n), n // 2)
+    return over_blocks(vox, lambda p: _by_plane(p, _cube(r), lambda w: _middle(w[..., others])), _cube(r), "reflect")
 
 
 def _central(p: np.ndarray) -> list[np.ndarray]:
@@ -52,14 +58,15 @@ def _central(p: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def plain_gradient(p: np.ndarray, truncate: bool = False) -> np.ndarray:
+    g = np.sqrt(sum(d * d for d in _central(p)))
+    return np.floor(np.clip(g, 0, 255)) if truncate else g
+
+
 def gradient_magnitude(vox: DataFrame, truncate: bool = False, boundary: str = "replicate") -> DataFrame:
     """Square root of summed squared central differences (unit spacing); truncate: whole numbers 0..255."""
 
-    def kernel(p: np.ndarray) -> np.ndarray:
-        g = np.sqrt(sum(d * d for d in _central(p)))
-        return np.floor(np.clip(g, 0, 255)) if truncate else g
-
-    return over_blocks(vox, kernel, (1, 1, 1), boundary)
+    return over_blocks(vox, lambda p: plain_gradient(p, truncate), (1, 1, 1), boundary)
 
 
 def sobel_magnitude(vox: DataFrame) -> DataFrame:
@@ -113,46 +120,47 @@ def adaptive_equalisation(vox: DataFrame, alpha: float, beta: float, r: int, low
     q(d, a) = sign(d) |2 d|^a / 2: alpha = beta = 0 is classic equalisation, alpha = beta = 1 the identity.
     """
 
-    def plane(p: np.ndarray) -> np.ndarray:
-        w = (windows(p, _cube(r)) - low) / (high - low) - 0.5
-        u = ((p[r : p.shape[0] - r, r : p.shape[1] - r, r : p.shape[2] - r] - low) / (high - low) - 0.5)[..., None]
+    return over_blocks(vox, lambda p: plain_equalisation(p, alpha, beta, r, low, high), _cube(r), "replicate")
+
+
+def plain_equalisation(p: np.ndarray, alpha: float, beta: float, r: int, low: float, high: float) -> np.ndarray:
+    def plane(w: np.ndarray) -> np.ndarray:
+        w = (w - low) / (high - low) - 0.5
+        u = w[..., w.shape[-1] // 2, None]
         d = u - w
         f = 0.5 * np.sign(d) * np.abs(2 * d) ** alpha - beta * 0.5 * np.sign(d) * np.abs(2 * d) + beta * u
         return (f.mean(axis=-1) + 0.5) * (high - low) + low
 
-    def kernel(p: np.ndarray) -> np.ndarray:  # plane by plane, so that a large window's copies stay small
-        return np.concatenate([plane(p[z : z + 2 * r + 1]) for z in range(p.shape[0] - 2 * r)])
-
-    return over_blocks(vox, kernel, _cube(r), "replicate")
+    return _by_plane(p, _cube(r), plane)
 
 
 def curvature_diffusion(vox: DataFrame, iterations: int, step: float = 0.0625, conductance: float = 3.0) -> DataFrame:
     """Modified curvature diffusion: v grows by step * |grad v| * div(c(|grad v|) grad v / |grad v|), c = exp(-(|grad v| / conductance)^2 / 2).
+    Nothing flows over the volume's border: before each iteration the values outside it are those of its edge.
 
     A halo of two voxels per iteration lets a block run them alone, in rounds of at most 4 between shuffles.
     """
 
     def sweep(p: np.ndarray) -> np.ndarray:
-        q = np.pad(p, 1, mode="edge")
-        g = _central(q)
+        """One iteration; the result is smaller by 2 on each side."""
+        g = _central(p)
         size = np.sqrt(sum(d * d for d in g)) + 1e-12
         c = np.exp(-0.5 * (size / conductance) ** 2)
-        div = 0.0
-        for axis in range(3):
-            flux = np.pad(c * g[axis] / size, 1, mode="edge")
-            div = div + _central(flux)[axis]
-        return p + step * size * div
+        inner = (slice(1, -1),) * 3
+        div = sum(_central(c * g[axis] / size)[axis] for axis in range(3))
+        return p[2:-2, 2:-2, 2:-2] + step * size[inner] * div
 
     out, left = vox, iterations
     while left > 0:
         n = min(left, 4)
 
-        def kernel(p: np.ndarray, n: int = n) -> np.ndarray:
-            for _ in range(n):
+        def kernel(p: np.ndarray, borders: Borders, n: int = n) -> np.ndarray:
+            for k in range(n - 1, -1, -1):
                 p = sweep(p)
-            h = 2 * n
-            return p[h:-h, h:-h, h:-h]
+                if k:
+                    p = replicated(p, 2 * (n - k), borders)
+            return p
 
-        out = over_blocks(out, kernel, _cube(2 * n), "replicate")
+        out = over_blocks(out, kernel, _cube(2 * n), "replicate", bordered=True)
         left -= n
     return out

@@ -134,27 +134,35 @@ def curvature_diffusion_5(spark, sf):
 
 # --- noise ---
 
-_IDX = "((CAST(z AS BIGINT) * 1024 + y) * 1024 + x + 1) % 2147483648"
+def _hashes(streams: dict[str, int], source: str = "g") -> str:
+    """CTEs up to u: source and, for each name, the hash of its place and seed."""
+    place = f"CAST(z AS BIGINT) * {denoise.PLACE_Z} + CAST(y AS BIGINT) * {denoise.PLACE_Y} + CAST(x AS BIGINT) * {denoise.PLACE_X}"
+    steps = [f"u0 AS (SELECT *, {', '.join(f'({place} + {seed * denoise.SEED}) % {denoise.WORD} AS {n}' for n, seed in streams.items())} FROM {source})"]
+    for k, (shift, factor) in enumerate(((15, denoise.MIX_1), (12, denoise.MIX_2), (15, None))):
+        mixed = (lambda n, s=shift: f"xor({n}, {n} >> {s})") if factor is None else (lambda n, s=shift, f=factor: f"xor({n}, {n} >> {s}) * {f} % {denoise.WORD}")
+        steps.append(f"u{k + 1} AS (SELECT * REPLACE ({', '.join(f'{mixed(n)} AS {n}' for n in streams)}) FROM u{k})")
+    return ", ".join(steps)
 
 
-def _lcg(e: str, rounds: int = 3) -> str:
-    for _ in range(rounds):
-        e = f"(({e}) * 1103515245 + 12345) % 2147483648"
-    return e
+_BOX_MULLER = f"(sqrt(-2 * ln((a + 0.5) / {float(denoise.WORD)})) * cos(2 * pi() * ((b + 0.5) / {float(denoise.WORD)})))"
+_STREAMS = {"a": 1, "b": 1 + 7919}
 
 
-@query(f"WITH {grid('events')}, u AS (SELECT *, ({_lcg(_IDX)} + 0.5::DOUBLE) / 2147483648 AS a, ({_lcg(_IDX.replace('+ 1)', '+ 7920)'))} + 0.5::DOUBLE) / 2147483648 AS b FROM g) SELECT vol_id, z, y, x, round(v + 20 * (sqrt(-2 * ln(a)) * cos(2 * pi() * b)), 6) AS v FROM u")
+@query(f"WITH {grid('events')}, {_hashes(_STREAMS)} SELECT vol_id, z, y, x, round(v + 20 * {_BOX_MULLER}, 6) AS v FROM u3")
 def gaussian_noise(spark, sf):
     return _r(denoise.gaussian_noise(voxels(spark, sf, "events"), 20.0), "v")
 
 
-@query(f"""WITH g0 AS ({GRIDS["events"]}), g AS (SELECT * FROM {uint8("g0")}), u AS (SELECT *, row_number() OVER (ORDER BY {_lcg(_IDX)}, z, y, x) AS k, floor(count(*) OVER () * 0.1) AS n FROM g)
-SELECT vol_id, z, y, x, CAST(CASE WHEN k <= floor(n / 2) THEN 255 WHEN k <= n THEN 0 ELSE v END AS DOUBLE) AS v FROM u""")
+@query(f"""WITH g0 AS ({GRIDS["events"]}), g AS (SELECT * FROM {uint8("g0")}), {_hashes({"c": 1 + 104_729})},
+k AS (SELECT *, row_number() OVER (ORDER BY c, z, y, x) AS k, floor(count(*) OVER () * 0.1) AS n FROM u3)
+SELECT vol_id, z, y, x, CAST(CASE WHEN k <= floor(n / 2) THEN 255 WHEN k <= n THEN 0 ELSE v END AS DOUBLE) AS v FROM k""")
 def salt_and_pepper(spark, sf):
     return denoise.salt_and_pepper(_u8(spark, sf), 0.1, 0, 255)
 
 
-@query()
+@query(f"""WITH {grid("events")}, {_hashes(_STREAMS | {"c": 1 + 104_729})},
+k AS (SELECT *, row_number() OVER (ORDER BY c, z, y, x) AS k, floor(count(*) OVER () * 0.05) AS n, min(v) OVER () AS mn, max(v) OVER () AS mx FROM u3)
+SELECT vol_id, z, y, x, round(CASE WHEN k <= floor(n / 2) THEN mx WHEN k <= n THEN mn ELSE v + 10 * {_BOX_MULLER} END, 6) AS v FROM k""")
 def mixed_noise(spark, sf):
     return _r(denoise.mixed_noise(voxels(spark, sf, "events"), 0.05, 10.0, own_extremes=True), "v")
 

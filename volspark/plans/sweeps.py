@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volspark.functions import pointwise as P
-from volspark.functions import stats as A
 from volspark.operators import cluster, denoise, fronts, lesion, regions, stencil, threshold
+from volspark.operators.blocks import box_mean, over_blocks
 from volspark.schema import KEYS
 from volspark.session import cut
 from volspark.sources.grids import rescale_uint16
@@ -62,63 +65,79 @@ def threshold_comparison(vox: DataFrame, bins: int = 128) -> DataFrame:
     return out
 
 
+def _named(vox: DataFrame, i: int) -> DataFrame:
+    """The volume under a name of its own, for a run over several."""
+    return vox.select(F.concat("vol_id", F.lit(f"#{i}")).alias("vol_id"), "z", "y", "x", "v")
+
+
+def _of_runs(rows: DataFrame, runs: list[tuple], names: list[str]) -> DataFrame:
+    """vol_id as it was and, in front of the other columns, the parameters of the run."""
+    at = F.substring_index("vol_id", "#", -1).cast("int")
+    columns = [F.element_at(F.array(*[F.lit(r[k]) for r in runs]), at + 1).alias(n) for k, n in enumerate(names)]
+    return rows.select(F.regexp_replace("vol_id", "#[^#]*$", "").alias("vol_id"), *columns, *[c for c in rows.columns if c != "vol_id"])
+
+
 def watershed_sweep(vox: DataFrame, sigmas: list[float], thresholds: list[float], levels: list[float]) -> DataFrame:
-    """Basins for each combination; the gradient of a sigma is made once, and so are the basins that levels merge."""
-    out = None
+    """Basins for each combination. Gradients of all sigmas and thresholds are volumes of one relation, whose basins are found together; all
+    levels merge them together."""
+    runs, made = [], []
     for s in sigmas:
         grad = cut(stencil.gaussian_gradient(vox, s))
         for t in thresholds:
-            basins = regions.basins(grad, t)
-            for level in levels:
-                w = regions.merge_basins(basins, level)
-                row = w.groupBy("vol_id").agg(F.countDistinct("label").alias("basins"), F.count("*").alias("n"))
-                row = row.select("vol_id", F.lit(s).alias("sigma"), F.lit(t).alias("threshold"), F.lit(level).alias("level"), "basins", "n")
-                row = cut(row)
-                out = row if out is None else out.unionByName(row)
-    return out
+            made.append(_named(regions.floored(grad, t), len(runs)))
+            runs.append((s, t))
+    basins = regions.basins(reduce(DataFrame.unionByName, made))
+    w = regions.merge_levels(basins, levels)
+    rows = w.groupBy("vol_id", "level").agg(F.countDistinct("label").alias("basins"), F.count("*").alias("n"))
+    return _of_runs(rows, runs, ["sigma", "threshold"])
 
 
 def level_set_sweep(vox: DataFrame, seed: tuple[int, int, int], iterations: list[int], sigmas: list[float], alphas: list[float], betas: list[float], stoppings: list[float], fixed: tuple[float, float, float], best: tuple[int, float]) -> DataFrame:
     """Phase one: iterations by sigma at the fixed alpha, beta, stopping. Phase two: alpha by beta by stopping at the best iterations and sigma.
 
-    Diffusions and gradients are made once. A front's times do not depend on where it stops, so each speed is marched once, to its last stop.
+    Diffusions and gradients are made once. A front's times do not depend on where it stops, so each speed is marched once, to its last stop;
+    the speeds are volumes of one relation, whose fronts advance together.
     """
-    runs = [(1, i, s, *fixed[:2], [fixed[2]]) for i in iterations for s in sigmas]
-    runs += [(2, *best, a, b, stoppings) for a in alphas for b in betas]
-    smooth, grads, out = {}, {}, None
-    for phase, i, s, a, b, stops in runs:
-        smooth[i] = smooth.get(i) or cut(stencil.curvature_diffusion(vox, i))
+    runs = [(1, i, s, *fixed[:2]) for i in iterations for s in sigmas] + [(2, *best, a, b) for a in alphas for b in betas]
+    smooth, grads, made, last, at = {}, {}, [], vox, 0
+    for i in sorted({r[1] for r in runs}):  # each diffusion goes on from the one before it
+        smooth[i] = last = cut(stencil.curvature_diffusion(last, i - at))
+        at = i
+    for k, (_, i, s, a, b) in enumerate(runs):
         grads[i, s] = grads.get((i, s)) or cut(stencil.gaussian_gradient(smooth[i], s))
-        speed = grads[i, s].select(*KEYS, P.sigmoid(F.col("v"), a, b).alias("v"))
-        m = fronts.fast_marching(speed, seed, stopping=max(stops)).groupBy("vol_id").agg(F.array(*[F.count_if(F.col("v").between(0, t)) for t in stops]).alias("counts"))
-        m = m.select("vol_id", F.explode(F.arrays_zip(F.array(*map(F.lit, stops)).alias("stopping"), F.col("counts").alias("voxels"))).alias("r"))
-        row = m.select("vol_id", *[F.lit(v).alias(n) for n, v in (("phase", phase), ("iterations", i), ("sigma", s), ("alpha", a), ("beta", b))], F.col("r.stopping").alias("stopping"), F.col("r.voxels").alias("voxels"))
-        out = row if out is None else out.unionByName(row)
-    return out
+        made.append(_named(grads[i, s].select(*KEYS, P.sigmoid(F.col("v"), a, b).alias("v")), k))
+    times = fronts.fast_marching(reduce(DataFrame.unionByName, made), seed, stopping=max([fixed[2], *stoppings]))
+    inside = _of_runs(times, runs, ["phase", "iterations", "sigma", "alpha", "beta"])
+    stops = F.when(F.col("phase") == 1, F.array(F.lit(fixed[2]))).otherwise(F.array(*map(F.lit, stoppings)))
+    keys = ["vol_id", "phase", "iterations", "sigma", "alpha", "beta", "stopping"]
+    return inside.select("*", F.explode(stops).alias("stopping")).groupBy(*keys).agg(F.count_if(F.col("v").between(0, F.col("stopping"))).alias("voxels"))
 
 
 def noise_table(vox: DataFrame, noises: list[tuple[str, float, float, int]], others: list[str]) -> DataFrame:
     """The adaptive median of each noise and largest window, and the other filters of each noise: noise, density, sigma, filter, n, mse, psnr."""
-    vox = cut(vox)
-    kinds = dict.fromkeys(n[:3] for n in noises)
-    tables = [cut(denoise.denoise_table(vox, [k], [f"adaptive_median_{w}" for *m, w in noises if tuple(m) == k] + others)) for k in kinds]
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
+    kinds = list(dict.fromkeys(n[:3] for n in noises))
+    return denoise.denoise_table(vox, kinds, {k: [f"adaptive_median_{w}" for *m, w in noises if tuple(m) == k] + others for k in kinds})
 
 
 def filter_batch(vox: DataFrame) -> DataFrame:
-    """Gradient, means, medians and local equalisations of one volume: a summary row per run."""
-    runs = [("gradient", stencil.gradient_magnitude(vox, truncate=True))]
-    runs += [(f"mean_r{r}", stencil.mean_filter(vox, r)) for r in FILTER_RADII]
-    runs += [(f"median_r{r}", stencil.median_filter(vox, (r, r, r))) for r in FILTER_RADII]
-    runs += [(f"equalise_a{a}_b{b}_r{r}", stencil.adaptive_equalisation(vox, a, b, r, 0.0, 500.0)) for a in EQUALISE for b in EQUALISE for r in EQUALISE_RADII]
-    out = None
-    for name, df in runs:
-        row = A.describe(df).select("vol_id", F.lit(name).alias("filter"), "n", *[F.round(c, 4).alias(c) for c in ("min", "max", "mean", "std")])
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Gradient, means, medians and local equalisations of one volume: a summary row per run. All runs are columns of one pass over blocks."""
+    low, high = 0.0, 500.0
+    runs = {"gradient": (1, lambda p: stencil.plain_gradient(p, True))}
+    runs |= {f"mean_r{r}": (r, lambda p, r=r: box_mean(p, r)) for r in FILTER_RADII}
+    runs |= {f"median_r{r}": (r, lambda p, r=r: stencil.plain_median(p, (r, r, r))) for r in FILTER_RADII}
+    runs |= {f"equalise_a{a}_b{b}_r{r}": (r, lambda p, a=a, b=b, r=r: stencil.plain_equalisation(p, a, b, r, low, high)) for a in EQUALISE for b in EQUALISE for r in EQUALISE_RADII}
+    most = max(r for r, _ in runs.values())
+
+    def kernel(p: np.ndarray) -> tuple[np.ndarray, ...]:
+        inner = lambda r: p[tuple(slice(most - r, n - most + r) for n in p.shape)]
+        return tuple(f(inner(r)) for r, f in runs.values())
+
+    columns = tuple(f"c{i}" for i in range(len(runs)))
+    made = over_blocks(vox, kernel, (most,) * 3, "replicate", block=16, columns=columns)
+    stats = lambda c: F.struct(F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"))
+    rows = made.groupBy("vol_id").agg(*[stats(c).alias(c) for c in columns])
+    one = F.explode(F.array(*[F.struct(F.lit(name).alias("filter"), F.col(c).alias("s")) for c, name in zip(columns, runs, strict=True)])).alias("r")
+    return rows.select("vol_id", one).select("vol_id", "r.filter", "r.s.n", *[F.round(f"r.s.{c}", 4).alias(c) for c in ("min", "max", "mean", "std")])
 
 
 def region_growing(vox: DataFrame, seed: tuple[int, int, int], lower: float, upper: float) -> DataFrame:
