@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import EDGE, docs
@@ -54,3 +57,52 @@ def test_held_out_accuracy(spark):
     out = langid.op1_language_id(spark, sf)
     hit = out.where("held_out").join(truth, F.col("doc_id") == F.col("i")).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
     assert hit > 0.97
+
+
+def grams(text):
+    """n-grams of a text as strings: letters in lower case, every run of other characters a space, one at each end."""
+    t = "".join(c if c.isalpha() else " " for c in text.lower())
+    t = " " + " ".join(t.split()) + " "
+    return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+
+def test_kernel_and_model_equal_brute_force(spark):
+    langs = {"aa": "abcde", "bb": "defgh", "cc": "ijkla"}
+    r = random.Random(4)
+    make = lambda k: " ".join("".join(r.choice(k) for _ in range(r.randint(1, 5))) for _ in range(r.randint(1, 12)))
+    rows = [(i, make(k), lang) for i, (lang, k) in enumerate(sorted(langs.items()) * 12)]
+    dim = 1 << 20
+    found = [(x, s) for _, x, s in langid.blocks([t for _, t, _ in rows], dim)]
+    x, sizes = np.concatenate([a for a, _ in found]).astype(float), np.concatenate([b for _, b in found])
+    sets = [grams(t) for _, t, _ in rows]
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    assert sizes.tolist() == [len(a) for a in sets] and np.allclose(x @ x.T, kernel, atol=1e-5)
+
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(d, F.lit(True), per_language=10, landmarks=4, dim=1 << 16)
+    # the same sample: the smallest hashes of the id
+    order = [r["doc_id"] for r in d.orderBy(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 31)), "doc_id").collect()]
+    used = {k: [i for i in order if rows[i][2] == k][:10] for k in langs}
+    marks = [i for k in sorted(langs) for i in used[k][:4]]
+    train = [i for k in sorted(langs) for i in used[k]]
+    w, v = np.linalg.eigh(kernel[np.ix_(marks, marks)])
+    half = v / np.sqrt(np.maximum(w, 0) + 1e-3) @ v.T
+    phi = kernel[np.ix_(train, marks)] @ half
+    y = np.array([[1.0 if rows[i][2] == k else -1.0 for k in sorted(langs)] for i in train])
+    weights = np.linalg.solve(phi.T @ phi / len(train) + 1e-2 / len(marks) * np.eye(len(marks)), phi.T @ y / len(train))
+    z = kernel[:, marks] @ half @ weights
+    names, scores = model.predict([t for _, t, _ in rows])
+    assert names == [sorted(langs)[j] for j in z.argmax(axis=1)]
+    e = np.exp(4 * (z - z.max(axis=1, keepdims=True)))
+    assert np.allclose(scores, (e / e.sum(axis=1, keepdims=True)).max(axis=1), atol=2e-3)
+
+
+def test_pieces_of_a_long_text(monkeypatch):
+    text = "  ".join(["abc1def", "x" * 70, "ÄÖ;;", " ", "end."] * 9)
+    def one():
+        row = np.zeros(1 << 16, bool)
+        return langid.presence(text, 1 << 16, row), np.flatnonzero(row).tolist()
+    whole = one()
+    for n in (1, 2, 7, 64):
+        monkeypatch.setattr(langid, "_PIECE", n)
+        assert one() == whole

@@ -7,11 +7,11 @@ One-versus-rest kernel ridge regression on phi solves (Phi'Phi + lambda I) W = P
 Scoring is two matrix products per block of texts: presence (texts x dim) by landmarks (dim x m), then by m x languages.
 
 Training uses at most ``per_language`` labelled texts of each language (a documented bound; which ones is decided by a
-hash of the id; a repeated id counts once), of which ``landmarks`` per language are landmarks. Landmarks go to the driver; the
+hash of the id; a repeated id counts once) and the ``languages`` most frequent languages (256, a documented bound, too), of which ``landmarks`` per language are landmarks. Landmarks go to the driver; the
 normal equations are summed over partitions on the executors. Every text is read whole, in training and in prediction.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is every text if there is nothing to
-learn from; ties go to the alphabetically first language; repeated rows get a row each.
+learn from; ties go to the alphabetically first language; repeated rows get a row each. Very long texts are read in pieces of ``_PIECE`` characters.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ NGRAMS = (1, 2, 3)
 #: Odd multipliers of the n-gram hash, fixed so that all tasks agree.
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 _BLOCK = 128
+#: Landmarks of all languages together (at least 4 a language are taken), so that the model fits the driver and every task.
+MOST_LANDMARKS = 2048
 
 _letters: np.ndarray | None = None
 
@@ -43,29 +45,40 @@ def _letter_table() -> np.ndarray:
     return _letters
 
 
+#: Characters of a text that are looked at at a time.
+_PIECE = 1 << 18
+
+
 def presence(text: str | None, dim: int, row: np.ndarray) -> int:
     """Sets row (bool, zeroed) at the text's n-grams. Returns the number set; 0 for no letter."""
     if not text:
         return 0
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letter = _letter_table()[codes]
-    if not letter.any():
-        return 0
-    codes = np.where(letter, codes, np.uint32(0x20))
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    codes = np.concatenate(([np.uint32(0x20)], codes[keep], [np.uint32(0x20)]))
-    if not letter[-1]:
-        codes = codes[:-1]
     shift = np.uint32(32 - int(dim).bit_length() + 1)
-    h = np.zeros(len(codes), dtype=np.uint32)
-    for n, by in enumerate(_MULTIPLIERS[: max(NGRAMS)], start=1):
-        if len(codes) < n:
-            break
-        h = (h[: len(codes) - n + 1] + codes[n - 1 :]) * np.uint32(by)
-        h ^= h >> np.uint32(15)
-        if n in NGRAMS:
-            row[(h * np.uint32(0x27D4EB2F)) >> shift] = True
+    space = np.array([0x20], np.uint32)
+    tail, any_letter = space, False  # the last kept characters, for n-grams that lie in two pieces
+    for a in range(0, len(text), _PIECE):
+        codes = np.frombuffer(text[a : a + _PIECE].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        letter = _letter_table()[codes]
+        any_letter |= bool(letter.any())
+        codes = np.where(letter, codes, np.uint32(0x20))
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]  # of a run of other characters the first
+        keep[0] |= tail[-1] != 0x20
+        codes = np.concatenate((tail, codes[keep]))
+        if a + _PIECE >= len(text) and codes[-1] != 0x20:
+            codes = np.concatenate((codes, space))
+        h = np.zeros(len(codes), dtype=np.uint32)
+        for n, by in enumerate(_MULTIPLIERS[: max(NGRAMS)], start=1):
+            if len(codes) < n:
+                break
+            h = (h[: len(codes) - n + 1] + codes[n - 1 :]) * np.uint32(by)
+            h ^= h >> np.uint32(15)
+            if n in NGRAMS:
+                row[(h * np.uint32(0x27D4EB2F)) >> shift] = True
+        tail = codes[-(max(NGRAMS) - 1) :] if len(codes) >= max(NGRAMS) - 1 else codes
+    if not any_letter:
+        row[:] = False
+        return 0
     return int(np.count_nonzero(row))
 
 
@@ -102,9 +115,9 @@ class Model:
         return names, scores
 
 
-def _bounded(rows: DataFrame, id_col: str, lang_col: str, bound: int) -> DataFrame:
-    """At most bound rows (id, lang) of each language: those with the smallest hashes of their id."""
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+def _bounded(rows: DataFrame, id_col: str, lang_col: str, bound: int, languages: int = 256) -> DataFrame:
+    """At most bound rows (id, lang) of each of the most frequent languages: those with the smallest hashes of their id."""
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(languages).collect()}
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * bound / n + 50 / n)))]) if counts else None
     if share is None:
         return rows.limit(0)
@@ -114,17 +127,20 @@ def _bounded(rows: DataFrame, id_col: str, lang_col: str, bound: int) -> DataFra
     return few.withColumn("k", F.row_number().over(w)).where(F.col("k") <= bound).select(id_col, lang_col, "k")
 
 
-def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, landmarks: int = 48, dim: int = 1 << 13, ridge: float = 1e-2) -> Model:
+def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, landmarks: int = 48, dim: int = 1 << 13, ridge: float = 1e-2, languages: int = 256) -> Model:
     """Learns from text and non-null lang of the rows where usable holds."""
+    most = languages
     spark = docs.sparkSession
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    chosen = _bounded(rows.select(id_col, lang_col), id_col, lang_col, per_language).collect()
+    chosen = _bounded(rows.select(id_col, lang_col), id_col, lang_col, per_language, most).collect()
     if not chosen:
         return Model([], np.zeros((dim, 0), np.float32), np.zeros((0, 0), np.float32), dim)
     languages = sorted({r[1] for r in chosen})
     rank = {r[0]: r[2] for r in chosen}
-    ids = spark.createDataFrame([(r[0],) for r in chosen], T.StructType([T.StructField("__id", docs.schema[id_col].dataType)]))
-    sample = rows.join(F.broadcast(ids.distinct()), F.col(id_col) == F.col("__id"), "left_semi").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    landmarks = min(landmarks, max(4, MOST_LANDMARKS // len(languages)))
+    own = free_name(docs, "chosen")
+    ids = spark.createDataFrame([(r[0],) for r in chosen], T.StructType([T.StructField(own, docs.schema[id_col].dataType)]))
+    sample = rows.join(F.broadcast(ids.distinct()), F.col(id_col) == F.col(own), "left_semi").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sample = sample.groupBy("id", "lang").agg(F.min("text").alias("text")).select("id", "text", "lang")  # of an id with many rows, one
     marks = sample.where(F.col("id").isin([k for k, n in rank.items() if n <= landmarks])).collect()
     marks = sorted(marks, key=lambda r: (r["lang"], rank[r["id"]], r["text"]))
