@@ -23,7 +23,7 @@ def brute(text, items, n=10):
                 if w[s : s + len(win)] == win:
                     hit.update(range(s, s + len(win)))
                     found.add(i)
-    return len(w), len(hit), sorted(found)
+    return len(w), len(hit), sorted(found, key=str)
 
 
 def _case(seed):
@@ -54,8 +54,8 @@ def test_dataframe_and_shards(spark):
     for shard_words in (2_000_000, 60):
         out, found = D.find_contamination(d, bench, shard_words=shard_words)
         assert found not in d.columns
-        got = {r["doc_id"]: (r[found]["n_words"], sum(b - a for a, b in r[found]["spans"]), sorted(r[found]["items"])) for r in out.collect()}
-        assert got == {i: brute(t, items) for i, t in rows}
+        got = {r["doc_id"]: (r[found]["n_words"], sum(b - a for a, b in r[found]["spans"]), sorted(r[found]["items"], key=str)) for r in out.collect()}
+        assert got == {i: brute(t, [*items, (None, "a b")]) for i, t in rows}
 
 
 def test_cut_and_coverage(spark):
@@ -72,3 +72,14 @@ def test_empty_tables(spark):
     d = docs(spark, ["a b"])
     assert D.find_contamination(d, bench)[0].count() == 1
     assert D.find_contamination(d.limit(0), bench)[0].count() == 0
+
+
+def test_large_benchmark_in_one_automaton():
+    r = random.Random(1)
+    vocab = [f"w{i}" for i in range(500)]
+    items = [(str(k), [r.choice(vocab).encode() for _ in range(1000)]) for k in range(30)]
+    m = D.Matcher(items)
+    doc = [b"x"] + items[3][1][5:40] + [b"w1", b"w2"] + items[7][1][:9] + [b"x"]
+    assert m.find(doc) == ([(1, 36)], {"3"})
+    again = D.Matcher.opened(D.compiled(items))
+    assert again.find(items[9][1]) == ([(0, 1000)], {"9"})

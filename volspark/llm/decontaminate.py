@@ -2,19 +2,23 @@
 
 The automaton is built over word numbers of the items (each item added after a reset to the root), and document
 words stream through it: state and longest matching length are updated by each word. Where the length reaches the
-window (10 words), the last 10 words are a window of some item; where it reaches the length of a shorter item, that
-item is looked up by its words. Only runs of words that all occur in the items are streamed, since any other word
-resets the automaton. The set of hit words is exact: the vocabulary compares whole words, states whole sequences.
-
-The items are broadcast in shards of at most ``shard_words`` words; a larger benchmark takes one pass per shard over
-the documents, whose spans are written between passes, so memory in a task stays bounded.
-
-Defined cases: null or wordless texts have no words, no hits and no items; wordless or null items are never found;
-items with equal words are found together; a repeated document row gives a row each.
+window (10 words), the last 10 words are a window of some item, and the state on the suffix links that stands for that length
+names the items that have it; items of fewer words are marked at the state of the whole item, and found from
+any state by the next marked one on its suffix links. Only runs of words that all occur in the items are streamed, since any
+other word resets the automaton. The set of hit words is exact: the vocabulary compares whole words, states whole sequences.
+
+The automaton is built on the driver, once for each shard of the items of about ``shard_words`` words, and broadcast as arrays; a Python
+worker opens them once. A larger benchmark takes one pass per shard over the documents, whose spans are written between passes, so
+memory in a task stays bounded.
+
+Defined cases: null or wordless texts have no words, no hits and no items; wordless items are never found;
+items with equal words are found together; the words of an item without an id are hit like others, and such items count as
+one item without a name; a repeated document row gives a row each; a very long text is streamed like others, at some 100 bytes a word.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -68,68 +72,126 @@ class SuffixAutomaton:
                 self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, w)
             last = new
 
-    def matching(self, words: list[int]) -> list[int]:
-        """For each word, the length of the longest suffix up to it that occurs in an added sequence."""
-        state = n = 0
-        out = []
-        moves, link, length = self.moves, self.link, self.length
-        for w in words:
-            to = moves[state].get(w)
-            while to is None and state:
-                state = link[state]
-                n = length[state]
-                to = moves[state].get(w)
-            if to is None:
-                state = n = 0
-            else:
-                state, n = to, n + 1
-            out.append(n)
-        return out
-
 
 class Matcher:
-    """Finds windows of items in documents. items: (id as string, words)."""
-
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
-        self.window, self.automaton = window, SuffixAutomaton()
-        self.vocabulary: dict[bytes, int] = {}
-        self.owners: dict[tuple[int, ...], set[str]] = {}
-        for item, words in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            if ids:
-                self.automaton.add(ids)
-                for k in range(max(1, len(ids) - window + 1)):
-                    self.owners.setdefault(tuple(ids[k : k + window]), set()).add(item)
-        self.sizes = sorted({len(k) for k in self.owners})
-
-    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    """Finds windows of items in documents. items: (id as string or None, words)."""
+
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
+        self._open(*compiled(items, window))
+
+    @classmethod
+    def opened(cls, arrays: tuple) -> Matcher:
+        """From the arrays of compiled()."""
+        out = cls.__new__(cls)
+        out._open(*arrays)
+        return out
+
+    def _open(self, vocabulary: list[bytes], length: np.ndarray, link: np.ndarray, keys: np.ndarray, to: np.ndarray, windows: dict[int, list], short: dict[int, list], window: int) -> None:
+        self.window, self.windows, self.short = window, windows, short
+        self.vocabulary = {w: i + 1 for i, w in enumerate(vocabulary)}
+        self.base = len(vocabulary) + 1
+        self.length, self.link = length.tolist(), link.tolist()
+        self.moves = dict(zip(keys.tolist(), to.tolist(), strict=True))
+        # the nearest state with short items on the suffix links, the state itself included
+        self.marked = [-1] * len(self.length)
+        if short:
+            for s in np.argsort(length, kind="stable").tolist():
+                self.marked[s] = s if s in short else self.marked[self.link[s]] if s else -1
+        self.least = min([window] * bool(windows) + [n for held in short.values() for n, _ in held], default=0)
+
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Maximal runs [start, end) of hit words, and the ids of items with windows that occur."""
         spans: list[tuple[int, int]] = []
-        items: set[str] = set()
-        if not self.sizes or len(words) < self.sizes[0]:
+        items: set[str | None] = set()
+        least, window = self.least, self.window
+        if not least or len(words) < least:
             return spans, items
-        get, least = self.vocabulary.get, self.sizes[0]
+        get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words))
         edges = np.flatnonzero(np.diff(np.concatenate(([0], ids > 0, [0])).astype(np.int8)))
+        moves, length, link, base, short = self.moves, self.length, self.link, self.base, self.short
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             if b - a < least:
                 continue
-            run = ids[a:b].tolist()
-            for i, n in enumerate(self.automaton.matching(run)):
-                if n < least:
+            state = n = 0
+            for i, w in enumerate(ids[a:b].tolist(), start=a + 1):
+                to = moves.get(state * base + w)
+                while to is None and state:
+                    state = link[state]
+                    n = length[state]
+                    to = moves.get(state * base + w)
+                if to is None:
+                    state = n = 0
                     continue
-                for size in self.sizes:
-                    if size > n:
-                        break
-                    if owner := self.owners.get(tuple(run[i + 1 - size : i + 1])):
-                        items |= owner
-                        start, end = a + i + 1 - size, a + i + 1
-                        while spans and spans[-1][1] >= start:
-                            start = min(start, spans.pop()[0])
-                        spans.append((start, end))
+                state, n = to, n + 1
+                size = 0
+                if n >= window:
+                    at = state
+                    while length[link[at]] >= window:
+                        at = link[at]
+                    items.update(self.windows[at])
+                    size = window
+                if short and n >= least:
+                    at = self.marked[state]
+                    while at >= 0:
+                        for m, held in short[at]:
+                            if m <= n:
+                                items.update(held)
+                                size = max(size, m)
+                        at = self.marked[link[at]] if at else -1
+                if size:
+                    start = i - size
+                    while spans and spans[-1][1] >= start:
+                        start = min(start, spans.pop()[0])
+                    spans.append((start, i))
         return spans, items
 
 
+def compiled(items: list[tuple[str | None, list[bytes]]], window: int = WINDOW) -> tuple:
+    """What Matcher opens, of items (id as string or None, words): the automaton as arrays, the items of each window's state, and for each
+    state of whole short items their lengths and ids."""
+    automaton, vocabulary = SuffixAutomaton(), {}
+    numbered = []
+    for item, words in items:
+        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words]
+        if ids:
+            automaton.add(ids)
+            numbered.append((item, ids))
+    windows: dict[int, set] = {}
+    short: dict[int, dict[int, set]] = {}
+    length, link, moves = automaton.length, automaton.link, automaton.moves
+    for item, ids in numbered:
+        state, size = 0, min(window, len(ids))
+        for i, w in enumerate(ids, start=1):
+            state = moves[state][w]  # each prefix of an item is in the automaton
+            if i >= size:
+                at = state
+                while length[link[at]] >= size:
+                    at = link[at]
+                if size == window:
+                    windows.setdefault(at, set()).add(item)
+                else:
+                    short.setdefault(at, {}).setdefault(size, set()).add(item)
+    base = len(vocabulary) + 1
+    count = sum(map(len, moves))
+    keys = np.fromiter((s * base + w for s, m in enumerate(moves) for w in m), np.int64, count)
+    to = np.fromiter((t for m in moves for t in m.values()), np.int32, count)
+    named = lambda held: list(held)
+    return list(vocabulary), np.array(length, np.int32), np.array(link, np.int32), keys, to, {s: named(h) for s, h in windows.items()}, {s: [(n, named(h)) for n, h in by.items()] for s, by in short.items()}, window
+
+
+_opened: dict[str, Matcher] = {}
+
+
+def _matcher(shared) -> Matcher:
+    """The matcher of a broadcast, made once per Python worker; that of an earlier shard is given up."""
+    token, compiled_items = shared.value
+    if token not in _opened:
+        _opened.clear()
+        _opened[token] = Matcher.opened(compiled_items)
+    return _opened[token]
+
+
 _FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
@@ -138,7 +200,7 @@ def _pass(shared, text_col: str, found_col: str, max_coverage: float | None):
     kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(*shared.value)
+        matcher = _matcher(shared)
         for b in slices(batches):
             before = b.column(found_col).to_pylist() if found_col in b.schema.names else [None] * b.num_rows
             out = []
@@ -147,7 +209,7 @@ def _pass(shared, text_col: str, found_col: str, max_coverage: float | None):
                 spans, items = matcher.find(words)
                 if old and (old["spans"] or old["items"]):
                     spans, items = _union([*map(tuple, old["spans"]), *spans]), items | set(old["items"])
-                out.append({"n_words": len(words), "spans": spans, "items": sorted(items)})
+                out.append({"n_words": len(words), "spans": spans, "items": sorted(items, key=lambda i: (i is None, i or ""))})
             cols = [(n, c) for n, c in zip(b.schema.names, b.columns, strict=True) if n != found_col]
             if max_coverage is not None:
                 covered = [sum(y - x for x, y in r["spans"]) for r in out]
@@ -172,14 +234,14 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _passes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, window: int, shard_words: int, max_coverage: float | None) -> tuple[DataFrame, str]:
     spark, found = docs.sparkSession, free_name(docs, "found")
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     words = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first()["n"] // 2 + 1  # a word takes two characters at least
     shards = -(-words // shard_words)
     schema = T.StructType([*docs.schema.fields, T.StructField(found, _FOUND)])
     out = docs
     for k in range(shards):
-        part = items.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == k) if shards > 1 else items
-        shared = spark.sparkContext.broadcast(([(r["i"], ascii_words(r["t"])) for r in part.toLocalIterator()], window))
+        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k) if shards > 1 else items
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, compiled([(r["i"], ascii_words(r["t"])) for r in part.toLocalIterator()], window)))
         last = k + 1 == shards
         limit = max_coverage if last else None
         out = out.mapInArrow(_pass(shared, text_col, found, limit), docs.schema if limit is not None else schema)
@@ -188,12 +250,12 @@ def _passes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
     return out, found
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = 2_000_000) -> tuple[DataFrame, str]:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = 400_000) -> tuple[DataFrame, str]:
     """docs with one more column (its name is returned too): struct n_words, spans ([start, end) of hit words), items (sorted ids)."""
     return _passes(docs, benchmark, text_col, item_col, item_text, window, shard_words, None)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, max_coverage: float = 0.5, shard_words: int = 2_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, max_coverage: float = 0.5, shard_words: int = 400_000) -> DataFrame:
     """docs with hit spans cut out of the texts (from the first character of a span's first word to the end of its last); documents of
     which more than max_coverage of the words are hit go. Wordless and null texts stay as they are."""
     return _passes(docs, benchmark, text_col, item_col, item_text, window, shard_words, max_coverage)[0]
