@@ -19,6 +19,7 @@ ORACLE_SQL = {
     "op3_warc": warc.OP3_SQL,
     "op4_near_duplicates": minhash.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
+    "op6_license_scan": licenses.OP6_SQL,
     "op7_chat_format": chat.OP7_SQL,
     "op8_suffix_dedup": suffix_dedup.OP8_SQL,
     "op9_top_k": topk.OP9_SQL,
