@@ -49,8 +49,20 @@ def test_windows_with_history(spark):
         assert t.startswith("<|im_repeat|>system<|im_sep|>be kind<|im_end|>")
     assert any(t.count("<|im_repeat|>") > 1 for t in later)
     check(spark, rows, budget=10, history=0)
+    for budget, history in ((60, 30), (80, 20), (200, 0), (120, 120), (400, 100)):
+        for r in check(spark, rows, budget=budget, history=history).collect():
+            # within the budget, or one own turn and no more
+            turns = r["formatted"].count("<|im_end|>")
+            assert len(r["formatted"]) <= 4 * budget or turns == 1, (budget, r)
     check(spark, rows, budget=100_000, history=100)
 
 
+def test_long_conversation_fills_its_windows(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", "w" * (40 + i * 29 % 120)) for i in range(400)]
+    w = chat.format_conversations(_turns(spark, rows), budget=400, history=40).collect()
+    used = [len(r["formatted"]) / 1600 for r in w]
+    assert len(w) > 10 and max(used) <= 1 and sum(used) / len(used) > 0.75
+
+
 def test_empty(spark):
     assert chat.format_conversations(_turns(spark, [(1, 0, "a", "b")]).limit(0)).count() == 0

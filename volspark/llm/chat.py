@@ -5,17 +5,20 @@ A turn is ``<|im_start|>role<|im_sep|>text<|im_end|>``; a turn that a later wind
 string (``<|``, ``<s>``, ``</s>``, ``[INST]``, ``<<SYS>>`` ...) behind its first character; as other backslashes
 are doubled, a single one marks an escape and both steps can be undone.
 
-Windows come from prefix sums of turn tokens (``length / 4`` rounded up, plus 4 for the template): turns whose
-start lies in the same slice of ``budget`` tokens form a window, so a window holds less than ``budget`` tokens
-beside its last turn and no turn is ever cut. Each later window of a conversation repeats its system turn and
-those turns before it that end within the last ``history`` tokens; repeated turns are never loss targets. So every
-turn is own turn of exactly one window, and every assistant text is under the loss mask once.
+Windows come from prefix sums of turn tokens (a quarter of the characters of the formatted turn, rounded up). Of the ``budget``
+tokens of a window, the system turn and up to ``history`` tokens of the turns before it are set aside; what is left is
+the capacity for own turns. Turns of more than half of it are windows of their own. With q the largest of the others,
+turns whose start lies in the same slice of capacity - q tokens form a window, so their sum is within the capacity and no turn is ever
+cut. Each later window repeats the system turn and those turns of the window before it that end within what the budget still
+holds, ``history`` tokens at most; repeated turns are never loss targets. So every turn is own turn of exactly one window, every
+assistant text is under the loss mask once, and a window keeps to its budget unless one own turn alone exceeds it.
 
-The only shuffle is by conversation; windows and the read-back reuse that partitioning. Prefix sums are a sorted
-running window (constant memory); the digest of a conversation needs its whole text in one row.
+The only shuffle is by conversation; windows and the read-back reuse that partitioning. Prefix sums are sorted
+running windows (constant memory, spilled where needed); the digest of a conversation needs its whole text in one row.
 
 Defined cases: null role or text is empty; turns are ordered by turn (null first), role, text; repeated rows are
-turns of their own; rows with null conv_id form one conversation.
+turns of their own; rows with null conv_id form one conversation; a very long text is one turn and one window, never cut; a system turn of
+more than half the budget is not repeated.
 """
 
 from __future__ import annotations
@@ -42,20 +45,30 @@ def format_conversations(turns: DataFrame, budget: int = 2048, history: int = 51
     if not 0 <= history <= budget:
         raise ValueError("history must lie within 0 and budget")
     t = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    t = t.withColumn("n", F.ceil(F.length("text") / 4) + 4)
-    conv = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    t = t.withColumn("pos", F.row_number().over(conv)).withColumn("head", F.first(F.struct("role", "text")).over(conv))
+    t = t.withColumn("n", F.ceil((F.lit(len(REPEAT) + len(SEP) + len(END)) + F.length(escape(F.col("role"))) + F.length(escape(F.col("text")))) / 4))
+    conv, whole = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text"), Window.partitionBy("conv_id")
+    t = t.withColumn("pos", F.row_number().over(conv)).withColumn("head", F.first(F.struct("role", "text", "n")).over(conv))
     t = t.withColumn("stop", F.sum("n").over(conv.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("stop") - F.col("n"))
-    t = t.withColumn("win", F.floor(F.col("start") / budget))
-    # the first start of the next slice, if a turn starts there; turns of other slices can't be within history of it
-    next_start = F.min("start").over(Window.partitionBy("conv_id").orderBy("win").rangeBetween(1, 1))
-    t = t.withColumn("next_start", next_start).withColumn("opens", F.row_number().over(Window.partitionBy("conv_id", "win").orderBy("pos")) == 1)
-    system = (F.col("pos") > 1) & (F.col("head.role") == "system") & F.col("opens")
+    t = t.withColumn("system_n", F.when((F.col("head.role") == "system") & (F.col("head.n") * 2 <= budget), F.col("head.n")).otherwise(0))
+    t = t.withColumn("before", F.least(F.lit(history), F.floor((F.lit(budget) - F.col("system_n")) / 2)))
+    t = t.withColumn("room", F.lit(budget) - F.col("system_n") - F.col("before")).withColumn("alone", F.col("n") * 2 > F.col("room"))
+    t = t.withColumn("slice", F.floor(F.col("start") / (F.col("room") - F.coalesce(F.max(F.when(~F.col("alone"), F.col("n"))).over(whole), F.lit(0)))))
+    place = Window.partitionBy("conv_id").orderBy("pos")
+    last = lambda c: F.lag(c).over(place)
+    opens = (F.col("pos") == 1) | F.col("alone") | last("alone") | (last("slice") != F.col("slice"))
+    t = t.withColumn("opens", opens).withColumn("win", F.sum(F.col("opens").cast("long")).over(place.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    own = Window.partitionBy("conv_id", "win")
+    t = t.withColumn("own_n", F.sum("n").over(own))
+    t = t.withColumn("keeps", (F.col("win") > 0) & (F.col("system_n") > 0) & (F.col("system_n") + F.col("own_n") <= budget))
+    left = F.lit(budget) - F.col("own_n") - F.when(F.col("keeps"), F.col("system_n")).otherwise(0)
+    # for the turns of a window: from which token on they are history of the next
+    since = F.col("start") - F.greatest(F.lit(0), F.least(F.col("before"), left))
+    t = t.withColumn("next_since", F.min(F.when(F.col("opens"), since)).over(Window.partitionBy("conv_id").orderBy("win").rangeBetween(1, 1)))
     is_head = (F.col("pos") == 1) & (F.col("role") == "system")
     piece = lambda win, rank, repeat, role, text: F.struct(win.alias("win"), F.lit(rank).alias("rank"), F.col("pos"), F.lit(repeat).alias("repeat"), role.alias("role"), text.alias("text"))
     own = piece(F.col("win"), 2, False, F.col("role"), F.col("text"))
-    again = F.when((F.col("start") >= F.col("next_start") - history) & ~is_head, piece(F.col("win") + 1, 1, True, F.col("role"), F.col("text")))
-    kept = F.when(system & (F.col("win") > 0), piece(F.col("win"), 0, True, F.col("head.role"), F.col("head.text")))
+    again = F.when((F.col("start") >= F.col("next_since")) & ~is_head, piece(F.col("win") + 1, 1, True, F.col("role"), F.col("text")))
+    kept = F.when(F.col("opens") & F.col("keeps"), piece(F.col("win"), 0, True, F.col("head.role"), F.col("head.text")))
     rows = t.select("conv_id", F.explode(F.array_compact(F.array(own, again, kept))).alias("p")).select("conv_id", F.col("p.win").alias("win"), "p")
     parts = rows.groupBy("conv_id", "win").agg(F.sort_array(F.collect_list(F.struct("p.rank", "p.pos", "p.repeat", "p.role", "p.text"))).alias("ps"))
     marked = F.transform("ps", lambda p: F.struct(F.concat(F.when(p["repeat"], REPEAT).otherwise(START), escape(p["role"]), F.lit(SEP)).alias("head"), escape(p["text"]).alias("body"), (~p["repeat"] & (p["role"] == "assistant")).alias("target")))
@@ -101,14 +114,21 @@ def _escaped_length(column: str) -> str:
 OP7_SQL = f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
-o AS (SELECT *, CAST(ceil(length(text) / 4) AS BIGINT) + 4 AS n, row_number() OVER w AS pos FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-p AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY pos) - n AS start, {_escaped_length("role")} + {_escaped_length("text")} AS size FROM o),
-s AS (SELECT *, CAST(start // 2048 AS BIGINT) AS win, first_value(role) OVER c AS head_role, first_value(size) OVER c AS head_size FROM p WINDOW c AS (PARTITION BY conv_id ORDER BY pos)),
-f AS (SELECT conv_id, win, min(start) AS first FROM s GROUP BY conv_id, win),
+z AS (SELECT *, {_escaped_length("role")} + {_escaped_length("text")} AS size FROM t),
+o AS (SELECT *, CAST(ceil(({len(REPEAT) + len(SEP) + len(END)} + size) / 4) AS BIGINT) AS n, row_number() OVER w AS pos FROM z WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+p AS (SELECT *, sum(n) OVER w - n AS start, first_value(CASE WHEN role = 'system' THEN n ELSE 0 END) OVER w AS head_n, first_value(role) OVER w AS head_role, first_value(size) OVER w AS head_size FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+q AS (SELECT *, CASE WHEN head_n * 2 <= 2048 THEN head_n ELSE 0 END AS system_n FROM p),
+r AS (SELECT *, least(512, (2048 - system_n) // 2) AS before FROM q),
+a AS (SELECT *, n * 2 > 2048 - system_n - before AS alone FROM r),
+l AS (SELECT *, start // (2048 - system_n - before - coalesce(max(n) FILTER (WHERE NOT alone) OVER (PARTITION BY conv_id), 0)) AS slice FROM a),
+e AS (SELECT *, pos = 1 OR alone OR coalesce(lag(alone) OVER w, false) OR coalesce(lag(slice) OVER w <> slice, true) AS opens FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+v AS (SELECT *, CAST(sum(opens::INTEGER) OVER (PARTITION BY conv_id ORDER BY pos) AS BIGINT) - 1 AS win FROM e),
+s AS (SELECT *, sum(n) OVER (PARTITION BY conv_id, win) AS own_n, win > 0 AND system_n > 0 AND system_n + sum(n) OVER (PARTITION BY conv_id, win) <= 2048 AS keeps FROM v),
+f AS (SELECT conv_id, win, keeps, head_size, start - greatest(0, least(before, 2048 - own_n - CASE WHEN keeps THEN system_n ELSE 0 END)) AS since FROM s WHERE opens),
 own AS (SELECT conv_id, sum({len(START) + len(SEP) + len(END)} + size) AS c FROM s GROUP BY conv_id),
 again AS (SELECT s.conv_id, sum({len(REPEAT) + len(SEP) + len(END)} + size) AS c FROM s JOIN f ON f.conv_id = s.conv_id AND f.win = s.win + 1
-          WHERE s.start >= f.first - 512 AND NOT (s.pos = 1 AND s.role = 'system') GROUP BY s.conv_id),
-kept AS (SELECT s.conv_id, sum({len(REPEAT) + len(SEP) + len(END)} + head_size) AS c FROM s JOIN f ON f.conv_id = s.conv_id AND f.win = s.win AND f.first = s.start WHERE s.win > 0 AND s.pos > 1 AND head_role = 'system' GROUP BY s.conv_id),
+          WHERE s.start >= f.since AND NOT (s.pos = 1 AND s.role = 'system') GROUP BY s.conv_id),
+kept AS (SELECT conv_id, sum({len(REPEAT) + len(SEP) + len(END)} + head_size) AS c FROM f WHERE keeps GROUP BY conv_id),
 d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
              coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256
       FROM s GROUP BY conv_id)
