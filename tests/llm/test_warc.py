@@ -63,3 +63,13 @@ def test_repeated_id_with_two_payloads(spark):
     want = [(5, hashlib.sha256(t.encode()).hexdigest(), len(t), "response", None) for t in (BIG, other)]
     want += [(6, want[1][1], 160, "revisit", "5"), (7, hashlib.sha256(b"").hexdigest(), 0, "response", None)]
     assert sorted((r["page_id"], r["digest"], r["payload_bytes"], r["record_type"], r["refers_to"] or "") for r in rows) == sorted((*w[:4], w[4] or "") for w in want)
+
+
+def test_equal_rows_have_one_response(spark):
+    rows = [(5, "http://a.org", BIG)] * 3 + [(5, None, BIG), (6, "http://b.org", BIG), (-7, "http://c.org", "y" * 120), (-7, "http://d.org", "y" * 120), (8, "http://e.org", "s"), (8, "http://e.org", "s"), (None, "x", BIG)]
+    captures = warc.write_archives(_pages(spark, rows))
+    back = warc.read_records(warc.lookup(warc.build_index(captures), captures.select("url_key", "page_id", "record"))).collect()
+    assert len(back) == len({r["record"] for r in back}) == len(rows)
+    got = sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"]), r["payload_bytes"]) for r in back)
+    assert got == sorted([("5", "response", "None", 150), *[("5", "revisit", "5", 150)] * 3, ("6", "revisit", "5", 150), ("-7", "response", "None", 120), ("-7", "revisit", "-7", 120), *[("8", "response", "None", 1)] * 2, ("None", "response", "None", 150)])
+    assert sorted(len(r["payload"]) for r in back) == [0, 0, 0, 0, 0, 1, 1, 120, 150, 150]

@@ -14,8 +14,9 @@ Reading: looked-up records are grouped by archive and sorted by offset, so an ar
 forward by ranges; headers are parsed and payloads cut by Content-Length.
 
 Defined cases: null html is an empty payload; null url has the empty key; payloads under 100 bytes are always responses;
-repeated ids are records of their own, told apart by the archive's name and the row's number in it; the page id has its
-own header. A revisit of a page with a repeated id names the page, and its payload digest tells which record is meant.
+repeated ids are records of their own: a response is named by id and payload digest, others by id, archive and number in it; the
+page id has its own header. Of equal payloads with one smallest page_id the least url (null first) is the response, of equal rows one; all others
+revisit it. Rows without an id are responses. page_id is a whole number. A very long payload is one record, held whole by its task.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import bisect
 import gzip
 import io
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -49,14 +51,14 @@ def surt(url: Column) -> Column:
     return F.when(url.isNull(), F.lit("")).when(at > 0, key).otherwise(url)
 
 
-def record_bytes(record: str, record_type: str, url: str, payload: bytes, digest: str, refers_to: str | None, page_id: int | None = None) -> bytes:
-    """One WARC record as a gzip member. A revisit has no payload; its block length is 0."""
+def record_bytes(record: str, record_type: str, url: str, payload: bytes, digest: str, refers_to: str | None, page_id: int | None = None, size: int | None = None) -> bytes:
+    """One WARC record as a gzip member. A revisit has no payload; its block length is 0, and size tells how long the payload is."""
     head = [("WARC-Type", record_type), ("WARC-Record-ID", f"<urn:volspark:{record}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", " ".join(url.split())), ("WARC-Payload-Digest", f"sha256:{digest}")]
     if record_type == "revisit":
         head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:volspark:{refers_to}>")]
     if page_id is not None:
         head += [("WARC-Page-ID", str(page_id))]
-    head += [("WARC-Payload-Length", str(len(payload)))]
+    head += [("WARC-Payload-Length", str(len(payload) if size is None else size))]
     body = b"" if record_type == "revisit" else payload
     head += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(body)))]
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n"
@@ -92,10 +94,10 @@ def _writer(root: str, archive_bytes: int):
                         name, at, number = f"{base}/{own}.warc.gz", 0, 0
                         out = store.open_output_stream(name, compression=None)
                     page_id = None if pd.isna(r.page_id) else int(r.page_id)
-                    record = f"{page_id}-{own}-{number}" if page_id is None or r.repeated else f"{page_id}"
+                    record = f"{page_id}-{own}-{number}" if r.name is None else r.name
                     number += 1
                     kind = "response" if pd.isna(r.refers_to) else "revisit"
-                    data = record_bytes(record, kind, r.url or "", (r.html or "").encode("utf-8", "surrogatepass"), r.digest, None if kind == "response" else str(int(r.refers_to)), page_id)
+                    data = record_bytes(record, kind, r.url or "", (r.html or "").encode("utf-8", "surrogatepass"), r.digest, r.refers_name, page_id, int(r.size))
                     out.write(data)
                     rows.append((r.url_key, page_id, record, kind, name, at, len(data)))
                     at += len(data)
@@ -120,13 +122,25 @@ def write_archives(pages: DataFrame, archive_bytes: int = 64 << 20, root: str |
     """pages: page_id, url, html. Writes the archives and returns the capture table, itself written to the shared folder."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     raw = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    keyed = p.select("page_id", "url", "html", surt(F.col("url")).alias("url_key"), F.sha2(raw, 256).alias("digest"), F.octet_length(raw).alias("size"))
-    first = keyed.where(F.col("size") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
-    refers = F.when((F.col("size") >= LEAST_BYTES) & (F.col("page_id") != F.col("first")), F.col("first"))
     # written first, so that its size is known: without repeats the join moves no page
     repeats = materialise(p.where("page_id is not null").groupBy("page_id").count().where("count > 1").select(F.col("page_id").alias("again")), "repeats")
-    rows = keyed.join(first, F.col("digest") == F.col("d"), "left").join(repeats, F.col("page_id") == F.col("again"), "left")
-    rows = rows.select("page_id", "url", "html", "url_key", "digest", refers.alias("refers_to"), F.col("again").isNotNull().alias("repeated"))
+    keyed = p.join(repeats, F.col("page_id") == F.col("again"), "left").select("page_id", "url", "html", surt(F.col("url")).alias("url_key"), F.sha2(raw, 256).alias("digest"), F.octet_length(raw).alias("size"), F.col("again").isNotNull().alias("repeated"))
+    large = F.col("size") >= LEAST_BYTES
+    first = keyed.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select(F.col("digest").alias("d"), "first")
+    # equal rows of a repeated id come together (only the first needs its payload), and the least url of an id and payload is the first
+    many = keyed.where("repeated").groupBy("page_id", "url", "url_key", "digest", "size", "repeated").agg(F.count("*").alias("n"), F.any_value("html").alias("html"))
+    many = many.select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
+    least = keyed.where(F.col("repeated") & large).groupBy("page_id", "digest").agg(F.min(F.struct("url")).alias("least")).toDF("t_id", "t_digest", "least")
+    many = many.join(least, (F.col("page_id") == F.col("t_id")) & (F.col("digest") == F.col("t_digest")), "left")
+    many = many.withColumn("leads", (F.col("k") == 1) & F.struct("url").eqNullSafe(F.col("least")))
+    rows = keyed.where("not repeated").withColumn("leads", F.lit(True)).unionByName(many.select("page_id", "url", F.when((F.col("k") == 1) | ~large, F.col("html")).alias("html"), "url_key", "digest", "size", "repeated", "leads"))
+    rows = rows.join(first, F.col("digest") == F.col("d"), "left")
+    named = first.join(repeats, F.col("first") == F.col("again"), "left_semi").select(F.col("d").alias("named"))
+    rows = rows.join(named, F.col("digest") == F.col("named"), "left")
+    refers = F.when(large & F.col("page_id").isNotNull() & ((F.col("page_id") != F.col("first")) | ~F.col("leads")), F.col("first"))
+    refers_name = F.when(refers.isNotNull(), F.concat(F.col("first").cast("string"), F.when(F.col("named").isNotNull(), F.concat(F.lit("-"), F.substring("digest", 1, 32))).otherwise("")))
+    name = F.when(F.col("page_id").isNotNull() & ~F.col("repeated"), F.col("page_id").cast("string")).when(F.col("repeated") & large & refers.isNull(), F.concat(F.col("page_id").cast("string"), F.lit("-"), F.substring("digest", 1, 32)))
+    rows = rows.select("page_id", "url", "html", "url_key", "digest", F.col("size").alias("size"), refers.alias("refers_to"), refers_name.alias("refers_name"), name.alias("name"))
     captures = rows.mapInPandas(_writer(root or fresh_path(pages.sparkSession, "warc"), archive_bytes), CAPTURE)
     return materialise(captures, "captures")
 
@@ -158,9 +172,13 @@ def _packer(block_rows: int):
     return run
 
 
+#: Parts of an index, so that its top level (an entry a part) fits the driver and every task; beyond a billion captures parts grow.
+MOST_PARTS = 16_384
+
+
 def build_index(captures: DataFrame, block_rows: int = 256, part_rows: int = 65_536) -> DataFrame:
     """The index's blocks (part, block, first entry, n, compressed entries), written to the shared folder."""
-    parts = max(1, -(-captures.count() // part_rows))
+    parts = min(MOST_PARTS, max(1, -(-captures.count() // part_rows)))
     keys = [F.col("url_key"), F.coalesce("page_id", F.lit(-(1 << 63))), F.col("record")]
     ordered = captures.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
     blocks = ordered.mapInPandas(_packer(block_rows), "part int, block int, first_key string, first_id long, first_record string, n int, entries binary")
@@ -169,7 +187,7 @@ def build_index(captures: DataFrame, block_rows: int = 256, part_rows: int = 65_
 
 def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted: url_key, page_id, record. Adds file, offset and length of those captures that the index holds."""
-    tops = index.where("block = 0").select("first_key", "first_id", "first_record", "part").collect()  # one row per part
+    tops = index.where("block = 0").select("first_key", "first_id", "first_record", "part").collect()  # MOST_PARTS rows at most
     tops = sorted((r[0], r[1], r[2], r[3]) for r in tops)
     if not tops:
         return wanted.withColumns({"file": F.lit(None).cast("string"), "offset": F.lit(None).cast("long"), "length": F.lit(None).cast("long")}).limit(0)
@@ -216,7 +234,7 @@ def read_records(places: DataFrame) -> DataFrame:
                     stream.seek(int(offset))
                     head, body = parse_record(gzip.GzipFile(fileobj=io.BytesIO(stream.read(int(length)))).read())
                     refers = head.get("warc-refers-to")
-                    rows.append((head["warc-record-id"][14:-1], head.get("warc-page-id"), head["warc-type"], refers and refers[14:-1], head["warc-target-uri"], head["warc-payload-digest"].removeprefix("sha256:"), int(head["warc-payload-length"]), body))
+                    rows.append((head["warc-record-id"][14:-1], head.get("warc-page-id"), head["warc-type"], refers and re.sub("(?<=.)-[0-9a-f]{32}$", "", refers[14:-1]), head["warc-target-uri"], head["warc-payload-digest"].removeprefix("sha256:"), int(head["warc-payload-length"]), body))
                 frame = pd.DataFrame(rows, columns=["record", "page_id", "record_type", "refers_to", "url", "digest", "payload_bytes", "payload"])
                 frame["page_id"] = pd.array([None if i is None else int(i) for i in frame["page_id"]], dtype="Int64")
                 yield frame
@@ -239,10 +257,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = """
-WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+WITH p AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first, row_number() OVER (PARTITION BY d ORDER BY page_id, url NULLS FIRST) AS k FROM p)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
-       CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+       CASE WHEN n >= 100 AND page_id IS NOT NULL AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id IS NOT NULL AND k > 1 THEN first END AS refers_to
 FROM f
 """
