@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 from volspark.llm import topk
 
 
-def brute(rows, k=10):
+def brute(rows, k=10, mod=lambda q: q % 5 == 0):
     good = [(i, np.floor(np.asarray(v, np.float32).astype(float) * 1024)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
     for q, x in good:
-        if q % 5 == 0:
+        if mod(q):
             found = sorted((-int(x @ y), c) for c, y in good if c != q and len(y) == len(x))[:k]
             out |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(found)}
     return out
@@ -29,6 +29,30 @@ def test_equals_brute_force(spark):
         assert _run(spark, rows, **more) == want
 
 
+def test_large_values_are_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.uniform(-1e5, 1e5, 64)).astype(np.float32).tolist()) for i in range(60)]
+    exact = [(i, [int(np.floor(float(np.float32(c)) * 1024)) for c in v]) for i, v in rows]
+    want = set()
+    for q, x in exact:
+        if q % 5 == 0:
+            found = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), c) for c, y in exact if c != q)[:10]
+            want |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(found)}
+    assert max(abs(r[3]) for r in want) > 1 << 53
+    assert _run(spark, rows) == want == _run(spark, rows, shard_rows=10, block_rows=3)
+    huge = _run(spark, [(0, [3e30, 1.0]), (1, [3e30, 0.0]), (2, [-3e30, 0.0])])
+    assert huge == {(0, 1, 1, (1 << 63) - 1), (0, 2, 2, -(1 << 63))}
+
+
+def test_copies_fill_no_shard_and_ids_of_any_type(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [1.0, 2.0, 0.5]) for i in range(200)] + [(i, rng.normal(size=3).astype(np.float32).tolist()) for i in range(200, 400)]
+    assert _run(spark, rows, shard_rows=30, block_rows=5) == brute(rows)
+    d = spark.createDataFrame([(f"v{i:04}", v) for i, v in rows[190:240]], "vec_id string, embedding array<float>")
+    got = topk.top_k(d, F.col("vec_id").endswith("5"), shard_rows=20).collect()
+    assert {(int(r["query_id"][1:]), r["rank"], int(r["vec_id"][1:]), r["score"]) for r in got} == brute(rows[190:240], mod=lambda q: q % 10 == 5)
+
+
 def test_few_rows(spark):
     assert _run(spark, [(0, [1.0]), (1, [2.0])]) == {(0, 1, 1, 1024 * 2048)}
     assert _run(spark, [(0, [1.0])]) == set()

@@ -1,34 +1,56 @@
 """Exact top-k inner-product search: a ball tree per shard, branch and bound.
 
-Vectors become integers floor(1024 x). They are dealt into shards of about ``shard_rows``; queries into blocks of about
-``block_rows``. A task gets one shard and one block: it builds the shard's ball tree (recursive median splits along the
-direction of largest spread; a node has a centre and a radius) and searches it for each query, nodes ordered by the
-upper bound q.c + |q| r. Within a shard, a query's current kth score prunes the remaining nodes; across shards, kth
-scores found in a pilot shard (a bounded hash sample of the rows) are given to every task, so all shards start with
-a lower bound that is already near the final one. Shard results (k rows a query and shard at most) meet in a window.
+Vectors become integers floor(1024 x). Shards are balls in space: the leaves of a ball tree over a bounded sample (``sample`` rows, chosen by a hash)
+give the cells, a vector goes to the cell of the nearest centre, and a cell of more rows than ``shard_rows`` is dealt over
+several shards by a hash, so that a group of copies fills no task. Every row is in one shard; a shard's radius about its cell's centre
+is that of all its rows.
 
-Pruning is strict (bound < kth score), bounds are rounded up, so equal scores survive to the tie rule: exact.
-Queries times shards is the work a stated query set asks for; vectors are replicated once per block, queries once per shard.
+A query meets shards in three waves, best upper bound q.c + |q| r first: one shard, then up to eight more, then the rest. After each wave its
+current kth score is shared, and only shards whose bound reaches it are met in the next, so a query is replicated only where
+an answer may lie. A task gets one shard and a block of about ``block_rows`` of its queries: it builds the shard's ball tree
+(recursive median splits along the direction of largest spread; a node has a centre and a radius) and descends it by a priority queue,
+the node of greatest bound first, with the kth score so far pruning the rest. Results meet in a window of k rows a query and wave.
+
+Pruning is strict (bound < kth score), bounds are rounded up, so equal scores survive to the tie rule. Scores are exact: in double precision
+where |q| |x| is under 2^53, in 64-bit integers under 2^62, beyond that in integers of any size, and what a long can't hold is its nearest long.
 
 Defined cases: null vectors and those with null or non-finite components take no part; vectors are compared only with
-those of their own dimension; ties go to the smaller vec_id; a repeated row is a candidate of its own, a repeated
-query id is searched once per distinct vector.
+those of their own dimension; ties go to the smaller id; a repeated row is a candidate of its own, a repeated
+query id is searched once per distinct vector; ids may be of any type that has an order; rows with a null id take no part; an empty table gives one.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from volspark.llm.common import materialise, table
 
 _LEAF = 64
+_LONG = (1 << 63) - 1
+#: Cells at most, so that their centres (64 MB at 2,048 dimensions) can be sent to every task.
+MOST_CELLS = 4096
+#: Shards at most (beyond half a billion vectors they grow), so that the driver and every task can hold their radii.
+MOST_SHARDS = 32_768
+
+
+def exact_scores(points: np.ndarray, q: np.ndarray, bound: float) -> list[int]:
+    """Inner products of vectors of whole numbers (as float64); bound is at least |q| |x| of every one."""
+    if bound < 2.0**53:
+        return (points @ q).astype(np.int64).tolist()
+    if bound < 2.0**62 and np.abs(points).max(initial=0.0) < 2.0**62 and np.abs(q).max(initial=0.0) < 2.0**62:
+        return (points.astype(np.int64) @ q.astype(np.int64)).tolist()
+    whole = [int(c) for c in q]
+    return [max(-_LONG - 1, min(_LONG, sum(int(c) * w for c, w in zip(p, whole, strict=True)))) for p in points]
 
 
 class BallTree:
-    """Over integer vectors x (n x d, float64 holding exact integers)."""
+    """Over integer vectors x (n x d, float64 holding whole numbers)."""
 
     def __init__(self, x: np.ndarray, leaf: int = _LEAF):
         self.order = np.arange(len(x))
@@ -58,37 +80,36 @@ class BallTree:
             todo = nxt
         self.centres, self.radii = np.array(centres), np.array(radii)
         self.points = x[self.order]
+        self.largest = float(np.sqrt((self.points**2).sum(axis=1).max(initial=0.0)))
+
+    def leaves(self) -> list[int]:
+        return [n for n, left in enumerate(self.left) if left < 0]
 
-    def search(self, q: np.ndarray, self_id: int, ids: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
+    def search(self, q: np.ndarray, self_id, ids: np.ndarray, k: int, floor: int | None) -> list[tuple[int, object]]:
         """(score, id) of the best k of ids (in tree order) with scores of floor or more, best first."""
         norm = float(np.sqrt(q @ q))
-        margin = lambda b: b + 1e-9 * np.abs(b) + 1e-3  # noqa: E731  rounding of centres and radii
-        bounds = margin(self.centres @ q + norm * self.radii)
-        # nodes whose bound is under the floor go with all below them
-        frontier, leaves = [0], []
-        while frontier:
-            nxt = []
-            for n in frontier:
-                if bounds[n] >= floor:
-                    if self.left[n] < 0:
-                        leaves.append(n)
-                    else:
-                        nxt += [self.left[n], self.left[n] + 1]
-            frontier = nxt
-        leaves.sort(key=lambda n: -bounds[n])
-        best: list[tuple[int, int]] = []
-        at = 0
-        while at < len(leaves) and bounds[leaves[at]] >= floor:
-            group = [n for n in leaves[at : at + 8] if bounds[n] >= floor]
-            at += 8
-            rows = np.concatenate([np.arange(self.lo[n], self.hi[n]) for n in group])
-            scores = self.points[rows] @ q
-            ok = np.flatnonzero((scores >= floor) & (ids[rows] != self_id))
-            if len(ok):
-                best += zip(scores[ok].astype(np.int64).tolist(), ids[rows[ok]].tolist(), strict=True)
-                best = sorted(best, key=lambda r: (-r[0], r[1]))[:k]
+        bounds = self.centres @ q + norm * self.radii
+        bounds += 1e-9 * (np.abs(bounds) + norm * self.largest) + 1e-3  # rounding of centres, radii and products
+        most = norm * self.largest * (1 + 1e-9)
+        best: list[tuple[int, object]] = []
+        queue = [(-bounds[0], 0)]
+        while queue:
+            bound, n = heapq.heappop(queue)
+            if floor is not None and -bound < floor:
+                break  # no node that is left can reach the kth score
+            left = self.left[n]
+            if left >= 0:
+                for child in (left, left + 1):
+                    if floor is None or bounds[child] >= floor:
+                        heapq.heappush(queue, (-min(bounds[child], -bound), child))
+                continue
+            rows = slice(self.lo[n], self.hi[n])
+            scores = exact_scores(self.points[rows], q, most)
+            found = [(s, i) for s, i in zip(scores, ids[rows].tolist(), strict=True) if i != self_id and (floor is None or s >= floor)]
+            if found:
+                best = sorted(best + found, key=lambda r: (-r[0], r[1]))[:k]
                 if len(best) == k:
-                    floor = max(floor, best[-1][0])
+                    floor = best[-1][0] if floor is None else max(floor, best[-1][0])
         return best
 
 
@@ -102,21 +123,14 @@ def _searcher(k: int):
         if len(vectors) and len(queries):
             tree = BallTree(_matrix(vectors["v"]))
             ids = vectors["id"].to_numpy()[tree.order]
-            for q, qid, qno, floor in zip(_matrix(queries["q_v"]), queries["q_id"], queries["qno"], queries["floor"], strict=True):
-                out += [(qno, qid, i, s) for s, i in tree.search(q, qid, ids, k, -np.inf if floor is None or np.isnan(floor) else floor)]
-        return pd.DataFrame(out, columns=["qno", "query_id", "vec_id", "score"]).astype({"qno": "string", "query_id": "int64", "vec_id": "int64", "score": "int64"})
+            for q, qid, qno, has, floor in zip(_matrix(queries["q_v"]), queries["q_id"], queries["qno"], queries["has"], queries["floor"], strict=True):
+                out += [(qno, qid, i, s) for s, i in tree.search(q, qid, ids, k, int(floor) if has else None)]
+        frame = pd.DataFrame(out, columns=["qno", "query_id", "vec_id", "score"])
+        return frame if out else frame.astype({"score": "int64"})
 
     return run
 
 
-def _search(vectors: DataFrame, queries: DataFrame, shards: int, blocks: int, k: int) -> DataFrame:
-    """vectors: id, v, dim, shard; queries: qno, q_id, q_v, dim, block, floor. Up to k rows for each query and shard."""
-    v = vectors.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v")
-    q = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "qno", "q_id", "q_v", "floor")
-    keys = ["dim", "shard", "block"]
-    return v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(_searcher(k), "qno string, query_id long, vec_id long, score long")
-
-
 def _top(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("qno").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -125,29 +139,107 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 def quantised(vector: Column) -> Column:
     """floor(1024 x) of each component as double; null where a component is null or not finite."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(vector.isNotNull() & ~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * 1024).cast("double")))
+    big = lambda x: F.abs(x) >= 2.0**43  # noqa: E731  a whole number already, and maybe beyond a long
+    return F.when(vector.isNotNull() & ~bad, F.transform(vector, lambda x: F.when(big(x.cast("double")), x.cast("double") * 1024).otherwise(F.floor(x.cast("double") * 1024).cast("double"))))
+
+
+def _dealt(base: DataFrame, n: int, shard_rows: int, sample: int) -> tuple[DataFrame, list[dict]]:
+    """base with cell and distance to the cell's centre, and the cells' centres. Vectors of other dimensions than the most frequent one have cell -1."""
+    share = min(1.0, 1.2 * sample / max(n, 1))
+    spot = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 31))
+    dims = base.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
+    dim = dims[0]["dim"] if dims else 0
+    cells = min(MOST_CELLS, -(-n // shard_rows))
+    centres = np.zeros((0, dim))
+    if cells > 1 and dim:
+        some = _matrix(base.where((F.col("dim") == dim) & (spot < share * float(1 << 31))).select("v").limit(2 * sample).toPandas()["v"])
+        if len(some):
+            tree = BallTree(some, max(1, len(some) // cells))
+            centres = tree.centres[tree.leaves()][:MOST_CELLS]
+    shared = base.sparkSession.sparkContext.broadcast(centres)
+
+    def assign(batches):
+        c = shared.value
+        half = (c**2).sum(axis=1) / 2
+        for b in batches:
+            x = b.column("v")
+            cell, far = np.full(b.num_rows, -1, np.int32), np.zeros(b.num_rows)
+            own = np.flatnonzero(b.column("dim").to_numpy(zero_copy_only=False) == c.shape[1]) if len(c) else []
+            for a in range(0, len(own), 1024):
+                part = own[a : a + 1024]
+                m = np.stack([np.asarray(x[int(i)].values, dtype=np.float64) for i in part])
+                cell[part] = np.argmax(m @ c.T - half, axis=1)
+                far[part] = np.sqrt(((m - c[cell[part]]) ** 2).sum(axis=1))
+            rest = np.flatnonzero(cell < 0)
+            for i in rest:
+                far[i] = np.sqrt((np.asarray(x[int(i)].values, dtype=np.float64) ** 2).sum())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(far)], names=[*b.schema.names, "cell", "far"])
+
+    kind = base.schema["id"].dataType.simpleString()
+    return base.mapInArrow(assign, f"id {kind}, v array<double>, dim int, is_query boolean, cell int, far double"), centres
+
+
+def _router(centres: np.ndarray, shards: list[tuple[int, int, int, float]], most: int | None):
+    """For each query the shards it has not met whose bound reaches its floor, best bound first, most of them at most. shards: number, dim, cell, radius."""
+    numbers, dims, cell, radii = (np.array([s[i] for s in shards]) for i in range(4))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for v, has, floor, met in zip(b.column("q_v"), b.column("has").to_pylist(), b.column("floor").to_pylist(), b.column("met").to_pylist(), strict=True):
+                q = np.asarray(v.values, dtype=np.float64)
+                norm = float(np.sqrt(q @ q))
+                ahead = np.zeros(len(numbers))
+                in_cell = cell >= 0
+                if len(centres) and len(q) == centres.shape[1]:
+                    ahead[in_cell] = (centres @ q)[cell[in_cell]]
+                bound = ahead + norm * radii
+                bound += 1e-9 * (np.abs(ahead) + norm * radii) + 1e-3
+                ok = (dims == len(q)) & ~np.isin(numbers, met)
+                if has:
+                    ok &= bound >= float(floor) - 1e-12 * abs(float(floor))
+                at = np.flatnonzero(ok)
+                at = at[np.argsort(-bound[at], kind="stable")][:most]
+                out.append(numbers[at].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], names=[*b.schema.names, "shards"])
+
+    return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 16_384, block_rows: int = 2_048) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 16_384, block_rows: int = 2_048, sample: int = 50_000) -> DataFrame:
     """For each row where is_query holds (an expression of id_col): query_id, rank, vec_id, score."""
+    kind = vectors.schema[id_col].dataType.simpleString()
     base = vectors.select(F.col(id_col).alias(id_col), quantised(F.col(vector_col)).alias("v")).where(F.col("v").isNotNull() & F.col(id_col).isNotNull())
-    base = materialise(base.select(F.col(id_col).cast("long").alias("id"), "v", F.size("v").alias("dim"), F.coalesce(is_query, F.lit(False)).alias("is_query")), "topk")
-    n, m = base.agg(F.count("*"), F.count_if("is_query")).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
-    deal = lambda c, parts, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(parts)).cast("int")
-    spread = F.hash("v")  # repeated ids, too, spread over the shards
-    dealt = base.select("id", "v", "dim", F.pmod(F.xxhash64("id", spread), F.lit(shards)).cast("int").alias("shard"))
+    base = materialise(base.select(F.col(id_col).alias("id"), "v", F.size("v").alias("dim"), F.coalesce(is_query, F.lit(False)).alias("is_query")), "topk")
+    n = base.count()
+    shard_rows = max(shard_rows, n // MOST_SHARDS)
+    celled, centres = _dealt(base, n, shard_rows, sample)
+    celled = materialise(celled, "topk-cells")
+    sizes = celled.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
+    parts = materialise(sizes.withColumn("parts", F.ceil(F.col("n") / shard_rows).cast("int")).withColumn("first", F.sum("parts").over(Window.orderBy("dim", "cell").rowsBetween(Window.unboundedPreceding, -1))).na.fill(0, ["first"]), "topk-shards")
+    shards = [(int(r["first"]) + j, r["dim"], r["cell"], r["radius"]) for r in parts.toLocalIterator() for j in range(r["parts"])]  # a row a shard
+    number = (F.col("first") + F.pmod(F.xxhash64("id", "v", F.lit(7)), F.col("parts"))).cast("int")
+    dealt = celled.join(F.broadcast(parts.select(F.col("dim").alias("d"), F.col("cell").alias("c"), "first", "parts")), (F.col("dim") == F.col("d")) & (F.col("cell") == F.col("c"))).select("id", "v", number.alias("shard"))
     qno = F.concat_ws(":", "id", F.md5(F.to_json(F.struct("v"))))
-    q = base.where("is_query").select(qno.alias("qno"), F.col("id").alias("q_id"), F.col("v").alias("q_v"), "dim").dropDuplicates(["qno"])
-    q = materialise(q.withColumn("block", deal("qno", blocks, 1)), "topk-queries")
-    if shards > 1:
-        pilot = dealt.where(F.col("shard") == 0)
-        first = _search(pilot, q.withColumn("floor", F.lit(None).cast("double")), 1, blocks, k)
-        floors = _top(first, k).where(F.col("rank") == k).select(F.col("qno").alias("f_qno"), F.col("score").cast("double").alias("floor"))
-        q = materialise(q.join(floors, F.col("qno") == F.col("f_qno"), "left").drop("f_qno"), "topk-floors")
-    else:
-        q = q.withColumn("floor", F.lit(None).cast("double"))
-    return _top(_search(dealt, q, shards, blocks, k), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    q = base.where("is_query").select(qno.alias("qno"), F.col("id").alias("q_id"), F.col("v").alias("q_v")).dropDuplicates(["qno"])
+    state = "has boolean, floor long, met array<int>"
+    q = materialise(q.select("*", F.lit(False).alias("has"), F.lit(0).cast("long").alias("floor"), F.array().cast("array<int>").alias("met")), "topk-queries")
+    best = None
+    for most in (1, 8, None):
+        route = _router(centres, shards, most)
+        routed = materialise(q.mapInArrow(route, f"qno string, q_id {kind}, q_v array<double>, {state}, shards array<int>"), "topk-routes")
+        asked = routed.select("qno", "q_id", "q_v", "has", "floor", F.explode("shards").alias("shard"))
+        load = routed.select(F.explode("shards").alias("s")).groupBy("s").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+        asked = asked.join(load, F.col("shard") == F.col("s")).select("shard", F.pmod(F.xxhash64("qno"), F.col("blocks")).cast("int").alias("block"), "qno", "q_id", "q_v", "has", "floor")
+        held = dealt.join(load, F.col("shard") == F.col("s")).select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v")
+        found = held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(_searcher(k), f"qno string, query_id {kind}, vec_id {kind}, score long")
+        best = materialise(_top(found if best is None else found.unionByName(best.drop("rank")), k), "topk-found")
+        if most is None:
+            break
+        floors = best.where(F.col("rank") == k).select(F.col("qno").alias("f_qno"), F.col("score").alias("kth"))
+        q = routed.join(floors, F.col("qno") == F.col("f_qno"), "left")
+        q = materialise(q.select("qno", "q_id", "q_v", F.col("kth").isNotNull().alias("has"), F.coalesce("kth", F.lit(0)).alias("floor"), F.concat("met", "shards").alias("met")), "topk-floors")
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
