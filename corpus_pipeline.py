@@ -22,32 +22,35 @@ def _recounted(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter or null (und) and those whose best language scores under LEAST_SCORE."""
+    """Rejects documents without a letter or null (und) and those whose best language scores under LEAST_SCORE. Without rows to
+    learn from every document goes; each of repeated rows is judged alone; very long texts are read whole, in pieces."""
     model = langid.fit(docs, F.lit(True))
     out, lang, score = langid.identify(docs, model)
     return out.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates (5-word shingles, similarity 0.8) the smallest doc_id stays, and one of its rows."""
-    gone = minhash.near_duplicates(docs, k=5).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone"), "left_anti")
-    once = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Of each class of near duplicates (5-word shingles, similarity 0.8) one row stays, that of the smallest doc_id; rows without one take
+    part and stay only where no row of their class has one. Of rows equal in doc_id and text any one stays; texts without words all
+    stay; an empty table gives one."""
+    return minhash.first_of_classes(docs, k=5)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every byte out of the texts that a repeated 200-byte string covers; no document goes."""
+    """Cuts every byte out of the texts that a repeated 200-byte string covers; no document goes. Null and shorter texts stay as they
+    are; repeated rows are copies of each other and lose all; very long texts are searched in pieces; an empty table gives one."""
     return _recounted(suffix_dedup.remove_repeats(docs), docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts the words that benchmark windows cover; documents covered by more than half go."""
+    """Cuts the words that benchmark windows cover; documents covered by more than half go. Texts without words stay; each of repeated
+    rows is judged alone; an empty table or benchmark leaves what there is."""
     return _recounted(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_words, n_pieces, ids (4-byte little-endian integers), and whether decoding gives the text back (U+2581 being a space)."""
+    """doc_id, lang, source, n_words, n_pieces, ids (4-byte little-endian integers), and whether decoding gives the text back (U+2581 being a space).
+    Null texts have null ids, empty ones none; a row for each of repeated rows; an empty table gives one."""
     model = pieces.read_model(pieces.tokenizer_path())
     out, n_words, ids, decoded = pieces.encode(docs, model)
     same = F.col(decoded) == F.replace("text", F.lit(pieces.SPACE), F.lit(" "))
