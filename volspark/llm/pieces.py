@@ -12,13 +12,13 @@ higher-order aggregate:
 
 Characters that no piece covers become byte pieces (or the unknown piece where a table has none).
 
-Which words: all are counted (per task first, then by word); the lattice takes those frequent enough that at most
+Which words: all are counted, exactly (per task first, then by word); the lattice takes those frequent enough that at most
 ``lattice_words`` remain, and their encodings, bounded in number and length, are broadcast. Rarer words, and those over
 ``LONG`` characters, take the same fold in Python where they occur: a lattice row costs some 100 microseconds a
 word, and the rare words of a corpus are most of its distinct ones. Texts are never shuffled; results do not depend on the bound.
 
 Defined cases: null text encodes to null and decodes to null, empty text to no pieces; U+2581 in a text is a space, as in
-SentencePiece itself; repeated rows are encoded each.
+SentencePiece itself; repeated rows are encoded each; a very long text is split into words at once, some 60 bytes a word; an empty table gives one.
 """
 
 from __future__ import annotations
@@ -276,25 +276,24 @@ class _Splitter:
 
 
 def count_words(docs: DataFrame, model: PieceTable, text_col: str = "text", flush: int = 200_000) -> DataFrame:
-    """word, n: about how often each word of at most LONG characters occurs in all texts. A task that holds many words forgets
-    those it has seen once since (lossy counting), so counts may be low; they only choose the words of the lattice, no result depends on them."""
+    """word, n: how often each word of at most LONG characters occurs in all texts. A task that holds many words hands on its counts and
+    starts anew, so the counts are exact and its memory bounded."""
     split = _Splitter(model)
 
+    def handed_on(counts: Counter[str]) -> pa.RecordBatch:
+        kept = {w: n for w, n in counts.items() if len(w) <= LONG}
+        return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], names=["word", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
-        least = 1
         for b in batches:
             for text in b.column(0):
                 if (t := text.as_py()) is not None:
                     counts.update(split(t))
                 if len(counts) > flush:
-                    least = 2
-                    counts = Counter({w: n for w, n in counts.items() if n > 1})
-                    while len(counts) > flush // 2:  # many repeated words: forget the rarer ones, too
-                        least += 1
-                        counts = Counter({w: n for w, n in counts.items() if n >= least})
-        kept = [(w, n) for w, n in counts.items() if n >= least and len(w) <= LONG]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
+                    yield handed_on(counts)
+                    counts = Counter()
+        yield handed_on(counts)
 
     return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
