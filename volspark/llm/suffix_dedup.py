@@ -23,7 +23,7 @@ their spans travel in buckets chosen at random. Anchors whose 64 bytes occur mor
 strings are hashed (128 bits) and counted with partial aggregation, so no bucket holds an unbounded group.
 
 Defined cases: null is empty; texts under 200 bytes lose nothing; overlapping repeats inside one text count;
-repeated rows are copies of each other; ids may be null or repeated.
+repeated rows are copies of each other; ids may be null, repeated and of any type; very long texts are searched in chunks.
 """
 
 from __future__ import annotations
@@ -382,7 +382,7 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     that lose something and have no copy; at most a row per text."""
     spark = docs.sparkSession
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), raw.alias("raw"), F.unhex(F.substring(F.sha2(raw, 256), 1, 32)).alias("d"))
+    rows = docs.select(F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col))).alias("id"), raw.alias("raw"), F.unhex(F.substring(F.sha2(raw, 256), 1, 32)).alias("d"))
     d64 = F.xxhash64("d")
     rows = rows.select("d", "raw", d64.alias("d64"), F.coalesce("id", d64).alias("key")).where(F.octet_length("raw") >= LENGTH)
 

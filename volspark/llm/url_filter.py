@@ -10,7 +10,8 @@ Rules are broadcast only while they are fewer than ``max_broadcast_rules``; more
 equi-join on the suffixes of each host, whose number is that of its labels.
 
 Defined cases: null url or one without ``://`` has an empty host and path and fits no rule; rules with null
-host or path are ignored; of equal rules, ``block`` wins; equally long rules that fit: the longer host wins.
+host or path are ignored; of equal rules, ``block`` wins; equally long rules that fit: the longer host wins; ids may be null, repeated and of any type that
+has an order; a very long url is one row like others; an empty table gives one.
 """
 
 from __future__ import annotations
@@ -90,14 +91,15 @@ def _sweep(rules: _Rules, default: str, id_col: str):
 
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", max_broadcast_rules: int = 100_000) -> DataFrame:
     """rules: verdict, host, path. Returns id_col, host, path, rule, verdict, a row for each row of pages."""
-    urls = pages.select(F.col(id_col).cast("long").alias(id_col), F.col(url_col).alias("url"))
+    kind = pages.schema[id_col].dataType.simpleString()
+    urls = pages.select(id_col, F.col(url_col).alias("url"))
     urls = urls.select(id_col, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("__key", key_of(F.col("host")))
     rules = rules.where("host is not null and path is not null").select("verdict", F.translate("host", UPPER, LOWER).alias("host"), "path")
     head = rules.withColumn("k", key_of(F.col("host"))).select("k", "host", "path", "verdict").limit(max_broadcast_rules + 1).collect()
     if len(head) <= max_broadcast_rules:
         n = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         swept = urls.repartitionByRange(n, "__key", "path", id_col).sortWithinPartitions("__key", "path", id_col)
-        return swept.mapInPandas(_sweep(_Rules([tuple(r) for r in head]), default, id_col), f"{id_col} long, host string, path string, rule string, verdict string")
+        return swept.mapInPandas(_sweep(_Rules([tuple(r) for r in head]), default, id_col), f"{id_col} {kind}, host string, path string, rule string, verdict string")
     return match_by_join(urls, rules, id_col, default)
 
 
