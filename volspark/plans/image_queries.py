@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from volspark.operators import cluster, denoise, fronts, lesion, regions, stencil, threshold
 from volspark.plans import sweeps
+from volspark.plans import sqltext as T
 from volspark.plans.sqltext import GRIDS, central, grid, histogram, uint8
 from volspark.plans.sqltext import stencil as near
 from volspark.schema import KEYS
@@ -127,7 +128,19 @@ def adaptive_equalisation(spark, sf):
     return _r(stencil.adaptive_equalisation(voxels(spark, sf, "events"), 0.3, 0.5, 2, 0.0, 500.0), "v")
 
 
-@query()
+def _diffusion_sql(iterations: int) -> str:
+    """Each step: central differences with replicated borders, their flux, and its divergence; no flux is there outside the volume."""
+    line = {a: f"(PARTITION BY {', '.join(b for b in 'zyx' if b != a)} ORDER BY {a})" for a in "zyx"}
+    beside = lambda c, a, rest: f"(lead({c}, 1, {rest}) OVER {line[a]} - lag({c}, 1, {rest}) OVER {line[a]}) / 2"
+    steps = ["v0 AS MATERIALIZED (SELECT z, y, x, v FROM g)"]
+    for k in range(iterations):
+        steps.append(f"g{k} AS MATERIALIZED (SELECT z, y, x, v, {', '.join(f'{beside("v", a, "v")} AS g{a}' for a in 'zyx')} FROM v{k})")
+        steps.append(f"f{k} AS MATERIALIZED (SELECT z, y, x, v, s, {', '.join(f'exp(-0.5 * pow(s / 3, 2)) * g{a} / s AS f{a}' for a in 'zyx')} FROM (SELECT *, sqrt(gz * gz + gy * gy + gx * gx) + 1e-12 AS s FROM g{k}))")
+        steps.append(f"v{k + 1} AS MATERIALIZED (SELECT z, y, x, v + 0.0625 * s * ({' + '.join(beside(f'f{a}', a, '0') for a in 'zyx')}) AS v FROM f{k})")
+    return f"WITH {grid('events')}, {', '.join(steps)} SELECT 'events' AS vol_id, z, y, x, round(v, 6) AS v FROM v{iterations}"
+
+
+@query(_diffusion_sql(5))
 def curvature_diffusion_5(spark, sf):
     return _r(stencil.curvature_diffusion(voxels(spark, sf, "events"), 5), "v")
 
@@ -167,7 +180,30 @@ def mixed_noise(spark, sf):
     return _r(denoise.mixed_noise(voxels(spark, sf, "events"), 0.05, 10.0, own_extremes=True), "v")
 
 
-@query()
+def _denoise_sql() -> str:
+    kinds = list(dict.fromkeys(n[:3] for n in sweeps.NOISES))
+    gauss = lambda s: f"floor(greatest(0, least(255, v + {s} * {_BOX_MULLER})))"
+    pepper = lambda e, d: f"CASE WHEN k <= floor(floor(n * {d}) / 2) THEN 255 WHEN k <= floor(n * {d}) THEN 0 ELSE {e} END"
+    made = {"none": lambda d, s: "v", "gaussian": lambda d, s: gauss(s), "salt_pepper": lambda d, s: pepper("v", d), "mixed": lambda d, s: pepper(gauss(s), d)}
+    noisy = " UNION ALL ".join(f"SELECT '{i}' AS vol_id, z, y, x, CAST({made[k](d, s)} AS DOUBLE) AS v FROM k" for i, (k, d, s) in enumerate(kinds))
+    inside = lambda r: f"WHERE abs(dy) <= {r} AND abs(dx) <= {r}"
+    sizes = ", ".join(f"min(w) FILTER ({inside(r)}) AS lo{r}, median(w) FILTER ({inside(r)}) AS mid{r}, max(w) FILTER ({inside(r)}) AS hi{r}" for r in (1, 2, 3, 4))
+    steps = lambda h: " ".join(f"WHEN lo{r} < mid{r} AND mid{r} < hi{r} THEN CASE WHEN lo{r} < v AND v < hi{r} THEN v ELSE mid{r} END" for r in range(1, h + 1))
+    found = [f"SELECT vol_id, z, y, x, 'adaptive_median_{w}' AS filter, CASE {steps(w // 2)} ELSE mid{w // 2} END AS v FROM am WHERE vol_id IN ({', '.join(repr(str(kinds.index(n[:3]))) for n in sweeps.NOISES if n[3] == w)})" for w in (5, 7, 9)]
+    found.append("SELECT vol_id, z, y, x, 'median26', median(w) FROM q WHERE NOT (dz = 0 AND dy = 0 AND dx = 0) GROUP BY vol_id, z, y, x")
+    found.append("SELECT vol_id, z, y, x, 'wiener', mu + greatest(s2 - n2, 0) / greatest(s2, 2.220446049250313e-16) * (v - mu) FROM wl JOIN wn USING (vol_id)")
+    names = " ".join(f"WHEN '{i}' THEN '{k}'" for i, (k, _, _) in enumerate(kinds)), " ".join(f"WHEN '{i}' THEN {d}::DOUBLE" for i, (_, d, _) in enumerate(kinds)), " ".join(f"WHEN '{i}' THEN {s}::DOUBLE" for i, (_, _, s) in enumerate(kinds))
+    return f"""WITH g0 AS ({GRIDS["events"]}), g AS (SELECT * FROM {uint8("g0")}), {_hashes(_STREAMS | {"c": 1 + 104_729})},
+k AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY c, z, y, x) AS k, count(*) OVER () AS n FROM u3), noisy AS MATERIALIZED ({noisy}),
+{near((0, 4, 4), "reflect", "noisy", "p").replace("FROM noisy g,", "FROM noisy g,")}, am AS (SELECT vol_id, z, y, x, any_value(v) AS v, {sizes} FROM p GROUP BY vol_id, z, y, x),
+{near((1, 1, 1), "reflect", "noisy", "q")}, {near((1, 1, 1), "symmetric", "noisy", "w")},
+wl AS MATERIALIZED (SELECT vol_id, z, y, x, any_value(v) AS v, avg(w) AS mu, avg(w * w) - avg(w) * avg(w) AS s2 FROM w GROUP BY vol_id, z, y, x), wn AS (SELECT vol_id, avg(s2) AS n2 FROM wl GROUP BY vol_id),
+f AS ({" UNION ALL ".join(found)}),
+s AS (SELECT f.vol_id, filter, count(*) AS n, avg(pow(g.v - f.v, 2)) AS mse, CAST(max(g.v) AS DOUBLE) AS top FROM f JOIN g USING (z, y, x) GROUP BY f.vol_id, filter)
+SELECT CASE vol_id {names[0]} END AS noise, CASE vol_id {names[1]} END AS density, CASE vol_id {names[2]} END AS sigma, filter, n, round(mse, 4) AS mse, round(CASE WHEN mse > 0 THEN 10 * log10(top * top / mse) ELSE 'Infinity'::DOUBLE END, 4) AS psnr FROM s"""
+
+
+@query(_denoise_sql())
 def denoise_table(spark, sf):
     t = sweeps.noise_table(_u8(spark, sf), sweeps.NOISES, ["median26", "wiener"])
     return _r(t, "mse", "psnr", digits=4)
@@ -282,7 +318,37 @@ def quantile_seeds_5(spark, sf):
     return cluster.quantile_seeds(voxels(spark, sf, "events"), 5).select(F.explode("seeds").alias("seed")).select(F.round("seed", 6).alias("seed"))
 
 
-@query()
+def _sweep_sql(ks: range) -> str:
+    """Lloyd to the end as a recursion over lists of means, warm starts from the better run of one cluster less, both scores from value counts."""
+    label = lambda ms, k: f"len(list_filter(range(1, {k}), lambda i: v > ({ms}[i] + {ms}[i + 1]) / 2))"
+    cte = ["r AS (SELECT (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) * 255.0 AS v FROM g)", "q AS MATERIALIZED (SELECT v, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY v)", "p AS MATERIALIZED (SELECT * FROM q WHERE v > 0)", "pv AS MATERIALIZED (SELECT v FROM r WHERE v > 0)"]
+    rows = []
+    for k in ks:
+        runs = {"quantile_anchored": f"SELECT quantile_cont(v, [{', '.join(repr((2 + 96 * i / (k - 1)) / 100) for i in range(k))}]) AS ms FROM pv"}
+        if k > ks[0]:
+            gaps = "list_transform(range(1, len(e)), lambda i: e[i + 1] - e[i])"
+            runs["warm_start"] = f"SELECT list_sort(list_append(ms, (e[gap] + e[gap + 1]) / 2)) AS ms FROM (SELECT *, list_position({gaps}, list_max({gaps})) AS gap FROM (SELECT ms, list_sort(list_concat(list_concat([(SELECT min(v) FROM p)], ms), [(SELECT max(v) FROM p)])) AS e FROM best{k - 1}))"
+        for name, seeds in runs.items():
+            t = f"{k}{name[0]}"
+            cte.append(f"""l{t}(step, ms, sizes, done) AS (SELECT 0, ms, NULL::BIGINT[], false FROM ({seeds}) UNION ALL
+SELECT step + 1, ms2, sz2, coalesce(sz2 = sizes, false) FROM (SELECT st.step, st.sizes, list(coalesce(a.m, st.ms[c.j + 1]) ORDER BY c.j) AS ms2, list(coalesce(a.n, 0)::BIGINT ORDER BY c.j) AS sz2
+    FROM l{t} st JOIN range({k}) c(j) ON true LEFT JOIN (SELECT {label("s2.ms", k)} AS j, sum(n * v) / sum(n) AS m, sum(n) AS n FROM l{t} s2, q GROUP BY 1) a ON a.j = c.j WHERE NOT st.done GROUP BY st.step, st.sizes))""")
+            cte.append(f"e{t} AS MATERIALIZED (SELECT ms FROM l{t} WHERE done)")
+            cte.append(f"o{t} AS MATERIALIZED (SELECT v, n, {label('ms', k)} AS label FROM p, e{t})")
+            cte.append(f"c{t} AS MATERIALIZED (SELECT label, sum(n) AS n, sum(n * v) AS s, sum(n * v) / sum(n) AS m FROM o{t} GROUP BY label)")
+            within = f"(SELECT sum(o.n * pow(o.v - c.m, 2)) FROM o{t} o JOIN c{t} c USING (label))"
+            cte.append(f"h{t} AS MATERIALIZED (SELECT (sum(n * pow(m - (SELECT sum(n * v) / sum(n) FROM p), 2)) / (count(*) - 1)) / ({within} / (sum(n) - count(*))) AS ch FROM c{t})")
+            cte.append(f"""d{t} AS (SELECT x.v, x.label, x.n, c.label AS other, c.n AS size, sum(CASE WHEN x.label = c.label THEN x.n ELSE 0 END) OVER w AS cc, sum(CASE WHEN x.label = c.label THEN x.n * x.v ELSE 0 END) OVER w AS cs, c.s AS total
+    FROM o{t} x, c{t} c WINDOW w AS (PARTITION BY c.label ORDER BY x.v))""")
+            cte.append(f"a{t} AS (SELECT v, label, n, other, size, v * cc - cs + (total - cs) - v * (size - cc) AS away FROM d{t})")
+            cte.append(f"s{t} AS (SELECT v, label, any_value(n) AS n, max(CASE WHEN other = label AND size > 1 THEN away / (size - 1) END) AS a, min(CASE WHEN other <> label THEN away / size END) AS b FROM a{t} GROUP BY v, label)")
+            rows.append(f"SELECT 'events' AS vol_id, {k} AS k, '{name}' AS strategy, {k} AS n_means, round((SELECT ch FROM h{t}), 4) AS ch, round((SELECT sum(n * CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) / sum(n) FROM s{t}), 4) AS silhouette")
+        both = " UNION ALL ".join(f"SELECT ms, ch, '{n}' AS s FROM e{k}{n[0]}, h{k}{n[0]}" for n in runs)
+        cte.append(f"best{k} AS MATERIALIZED (SELECT ms FROM ({both}) ORDER BY ch DESC, s LIMIT 1)")
+    return f"WITH RECURSIVE {grid('events')}, {', '.join(cte)} {' UNION ALL '.join(rows)}"
+
+
+@query(_sweep_sql(sweeps.KS))
 def kmeans_sweep(spark, sf):
     rows = cluster.sweep(G.rescale_intensity(voxels(spark, sf, "events")), sweeps.KS)
     return _r(rows.select("vol_id", "k", "strategy", F.size("means").alias("n_means"), "ch", "silhouette"), "ch", "silhouette", digits=4)
@@ -329,7 +395,16 @@ def connected_threshold(spark, sf):
     return regions.connected_threshold(g, (mid, 10, 12), 10, 400)
 
 
-@query()
+def _confidence_sql(rounds: int, multiplier: float) -> str:
+    cte = ["own AS (SELECT v FROM g WHERE z = 1 AND y = 10 AND x = 12)", "s0 AS (SELECT avg(v) AS m, stddev_pop(v) AS s FROM g WHERE z BETWEEN 0 AND 2 AND y BETWEEN 9 AND 11 AND x BETWEEN 11 AND 13)"]
+    for k in range(rounds + 1):
+        cte.append(f"b{k} AS MATERIALIZED (SELECT z, y, x, g.v FROM g, s{k}, own WHERE g.v BETWEEN least(m - {multiplier} * s, own.v) AND greatest(m + {multiplier} * s, own.v))")
+        cte.append(T.flood(f"f{k}", f"b{k}", "z = 1 AND y = 10 AND x = 12"))
+        cte.append(f"s{k + 1} AS (SELECT avg(v) AS m, stddev_pop(v) AS s FROM b{k} JOIN f{k} USING (z, y, x))")
+    return ", ".join(cte)
+
+
+@query(f"WITH RECURSIVE {grid('events')}, {_confidence_sql(2, 1.0)} SELECT 'events' AS vol_id, z, y, x FROM f2")
 def confidence_connected(spark, sf):
     g = voxels(spark, sf, "events")
     return regions.confidence_connected(g, (1, 10, 12), 1.0, 2)
@@ -400,7 +475,11 @@ def watershed_basins(spark, sf):
     return regions.watershed(voxels(spark, sf, "events"))
 
 
-@query()
+_GRADIENT = f"{near((1, 1, 1), 'replicate')}, gr AS MATERIALIZED (SELECT z, y, x, sqrt({central()}) AS v FROM n GROUP BY z, y, x)"
+
+
+@query(f"""WITH RECURSIVE {grid("events")}, {_GRADIENT}, {T.watershed("w", "gr", 0.05)}, {T.merged("c", "w", 0.1)}
+SELECT 'events' AS vol_id, z, y, x, component AS label FROM w_b JOIN c ON c.i = w_b.label""")
 def watershed_merged(spark, sf):
     return regions.watershed(stencil.gradient_magnitude(voxels(spark, sf, "events")), 0.05, 0.1)
 
@@ -436,12 +515,56 @@ def lesion_pipeline(spark, sf):
     return sweeps.lesion_report(voxels(spark, sf, "events"))
 
 
-@query()
+_U16 = "u AS (SELECT vol_id, z, y, x, CAST(floor((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) * 65535.0) AS DOUBLE) AS v FROM g)"
+
+
+def _compared_sql() -> str:
+    one = lambda sql: sql.split(f"{histogram(128)}", 1)[1].lstrip().removeprefix(",").strip()
+    rows = []
+    for name in ("otsu", "huang", "triangle"):
+        rest = one(ORACLE_SQL[f"{name}_128"])
+        rest = f"WITH {rest}" if not rest.startswith("SELECT") else rest
+        rows.append(f"SELECT '{name}' AS method, bin, threshold FROM ({rest})")
+    found = " UNION ALL ".join(rows).replace("round(lo + (bin + 1) * w, 6)", "lo + (bin + 1) * w")
+    return f"WITH {grid('events')}, {_U16}, {histogram(128, 'u')}, t AS ({found}) SELECT 'events' AS vol_id, method, bin, round(threshold, 4) AS threshold, count(*) FILTER (WHERE v > threshold) AS above, count(*) AS n FROM u, t GROUP BY method, bin, threshold"
+
+
+@query(_compared_sql())
 def threshold_comparison(spark, sf):
     return sweeps.threshold_comparison(voxels(spark, sf, "events"))
 
 
-@query()
+def _separable_gradient(name: str, sigma: float) -> str:
+    """CTEs: name(z, y, x, v), the Gaussian gradient, an axis at a time, borders replicated."""
+    g, d = stencil.gaussian_weights(sigma)
+    r = len(g) // 2
+    cte = []
+    for axis in "zyx":
+        source = "g"
+        for a in "zyx":
+            w = d if a == axis else g
+            rows = ", ".join(f"({k}, {float(w[k + r])!r}::DOUBLE)" for k in range(-r, r + 1))
+            on = " AND ".join(f"h.{b} = t.{'at' if b == a else b}" for b in "zyx")
+            out = f"{name}_{axis}{a}"
+            cte.append(f"{out} AS MATERIALIZED (SELECT t.z, t.y, t.x, sum(c * h.v) AS v FROM (SELECT s.z, s.y, s.x, c, greatest(0, least((SELECT max({a}) FROM g), s.{a} + k)) AS at FROM {source} s, (VALUES {rows}) o(k, c)) t JOIN {source} h ON {on} GROUP BY t.z, t.y, t.x)")
+            source = out
+    total = " + ".join(f"pow({a}.v, 2)" for a in "zyx")
+    return ", ".join(cte) + f", {name} AS MATERIALIZED (SELECT z.z, z.y, z.x, sqrt({total}) AS v FROM {name}_zx z JOIN {name}_yx y ON y.z = z.z AND y.y = z.y AND y.x = z.x JOIN {name}_xx x ON x.z = z.z AND x.y = z.y AND x.x = z.x)"
+
+
+def _watershed_sweep_sql(sigmas: list[float], thresholds: list[float], levels: list[float]) -> str:
+    cte, rows = [], []
+    for i, sigma in enumerate(sigmas):
+        cte.append(_separable_gradient(f"h{i}", sigma))
+        for j, threshold in enumerate(thresholds):
+            cte.append(T.watershed(f"w{i}{j}", f"h{i}", threshold))
+            for k, level in enumerate(levels):
+                cte.append(T.merged(f"c{i}{j}{k}", f"w{i}{j}", level))
+                rows.append(f"SELECT 'events' AS vol_id, {sigma}::DOUBLE AS sigma, {threshold}::DOUBLE AS threshold, {level}::DOUBLE AS level, (SELECT count(DISTINCT component) FROM c{i}{j}{k}) AS basins, (SELECT count(*) FROM g) AS n")
+    return f"WITH RECURSIVE {grid('events')}, {', '.join(cte)} {' UNION ALL '.join(rows)}"
+
+
+@query(_watershed_sweep_sql(**sweeps.WATERSHED))
 def watershed_sweep(spark, sf):
     return sweeps.watershed_sweep(voxels(spark, sf, "events"), **sweeps.WATERSHED)
 
@@ -451,17 +574,44 @@ def level_set_sweep(spark, sf):
     return sweeps.level_set_sweep(voxels(spark, sf, "events"), (1, 10, 12), **sweeps.LEVEL_SET, fixed=sweeps.LEVEL_SET_FIXED, best=sweeps.LEVEL_SET_BEST)
 
 
-@query()
+def _filter_batch_sql() -> str:
+    inside = lambda r: f"abs(dz) <= {r} AND abs(dy) <= {r} AND abs(dx) <= {r}"
+    f = lambda a, b: f"0.5 * sign(d) * pow(abs(2 * d), {a}) - {b} * 0.5 * sign(d) * abs(2 * d) + {b} * u"
+    runs = {"gradient": f"floor(least(255, greatest(0, sqrt({central()}))))"}
+    runs |= {f"mean_r{r}": f"avg(w) FILTER (WHERE {inside(r)})" for r in sweeps.FILTER_RADII} | {f"median_r{r}": f"median(w) FILTER (WHERE {inside(r)})" for r in sweeps.FILTER_RADII}
+    runs |= {f"equalise_a{a}_b{b}_r{r}": f"(avg({f(a, b)}) FILTER (WHERE {inside(r)}) + 0.5) * 500" for a in sweeps.EQUALISE for b in sweeps.EQUALISE for r in sweeps.EQUALISE_RADII}
+    columns = ", ".join(f"{e} AS c{i}" for i, e in enumerate(runs.values()))
+    rows = " UNION ALL ".join(f"SELECT 'events' AS vol_id, '{name}' AS filter, count(*) AS n, round(min(c{i}), 4) AS min, round(max(c{i}), 4) AS max, round(avg(c{i}), 4) AS mean, round(stddev_pop(c{i}), 4) AS std FROM s" for i, name in enumerate(runs))
+    return f"WITH {grid('events')}, {near((5, 5, 5), 'replicate')}, k AS (SELECT *, v / 500 - 0.5 AS u, (v - w) / 500 AS d FROM n), s AS MATERIALIZED (SELECT z, y, x, {columns} FROM k GROUP BY z, y, x) {rows}"
+
+
+@query(_filter_batch_sql())
 def filter_batch(spark, sf):
     return sweeps.filter_batch(voxels(spark, sf, "events"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {grid("events")}, {_confidence_sql(2, 1.0)}, a AS MATERIALIZED (SELECT z, y, x FROM g WHERE v BETWEEN 10 AND 400), {T.flood("c", "a", "z = 1 AND y = 10 AND x = 12")}
+SELECT 'connected_threshold' AS method, count(*) AS voxels FROM c UNION ALL SELECT 'confidence_connected', count(*) FROM f2 UNION ALL SELECT 'both', count(*) FROM c JOIN f2 USING (z, y, x)""")
 def region_growing_comparison(spark, sf):
     return sweeps.region_growing(voxels(spark, sf, "events"), (1, 10, 12), 10, 400)
 
 
-@query()
+_LABELS = "CASE WHEN v < 30 THEN 0 WHEN v < 120 THEN 1 ELSE 2 END AS label"
+
+
+def _sample_sql(seed: int, total: int, name: str = "s") -> str:
+    """CTEs: name(z, y, x, v, label) of the relation lab(z, y, x, v, label, g)."""
+    return f"""{name}_p AS (SELECT label, quantile_cont(g, 0.75) AS p75, count(*) AS size, (SELECT count(DISTINCT label) FROM lab) AS k FROM lab GROUP BY label),
+{name}_q AS (SELECT lab.*, size, greatest(50, {total} // k) AS quota, g >= p75 AS at_edge, count(*) FILTER (WHERE g >= p75) OVER (PARTITION BY label) AS edges FROM lab JOIN {name}_p USING (label)),
+{_hashes({"u": seed}, f"{name}_q").replace("u0 AS", f"{name}_u0 AS").replace("u1 AS", f"{name}_u1 AS").replace("u2 AS", f"{name}_u2 AS").replace("u3 AS", f"{name}_u3 AS").replace("FROM u", f"FROM {name}_u")},
+{name}_r AS (SELECT *, CASE WHEN edges = size THEN quota WHEN at_edge THEN quota // 2 ELSE quota - quota // 2 END AS share, row_number() OVER (PARTITION BY label, at_edge AND edges < size ORDER BY u, z, y, x) AS r FROM {name}_u3),
+{name} AS MATERIALIZED (SELECT z, y, x, v, label FROM {name}_r WHERE size <= quota OR r <= share)"""
+
+
+_LAB = f"{_GRADIENT}, lab AS MATERIALIZED (SELECT g.z, g.y, g.x, g.v, {_LABELS.replace('v <', 'g.v <')}, gr.v AS g FROM g JOIN gr USING (z, y, x))"
+
+
+@query(f"WITH {grid('events')}, {_LAB}, {_sample_sql(42, 3000)} SELECT 'events' AS vol_id, * FROM s")
 def stratified_sample(spark, sf):
     g = voxels(spark, sf, "events")
     labels = g.select(*KEYS, "v", F.when(F.col("v") < 30, 0).when(F.col("v") < 120, 1).otherwise(2).alias("label"))
