@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from volspark.functions.pointwise import positive_shift, zscore
 from volspark.functions.stats import calinski_harabasz, percentiles, robust_stats, silhouette
 from volspark.operators import regions
 from volspark.operators.denoise import with_hash
@@ -158,3 +159,11 @@ def evaluate(labelled: DataFrame, grad: DataFrame, repeats: int = 3, total: int
         row = calinski_harabasz(s).select("vol_id", "ch").join(silhouette(s).select("vol_id", "silhouette"), "vol_id")
         rows = row if rows is None else rows.unionByName(row)
     return rows.groupBy("vol_id").agg(*[f(c).alias(f"{c}_{n}") for c in ("ch", "silhouette") for n, f in (("mean", F.avg), ("var", F.var_pop))])
+
+
+def preprocessing_stats(vox: DataFrame, roi: Column) -> DataFrame:
+    """vol_id, shift, n, min, max, mean of the ROI after the positive shift and the z-score."""
+    shift = vox.where(roi).groupBy("vol_id").agg(F.greatest(F.lit(0.0), 1 - F.min("v")).alias("shift"))
+    inside = zscore(positive_shift(vox, roi).join(vox.where(roi).select(*KEYS, F.lit(True).alias("roi")), KEYS), F.col("roi"))
+    rows = inside.groupBy("vol_id").agg(F.count("*").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"))
+    return shift.join(rows, "vol_id")

@@ -503,13 +503,114 @@ def polynomial_log_bias(spark, sf):
     return _r(fronts.polynomial_log_bias(voxels(spark, sf, "events")), "v", digits=5)
 
 
-@query()
-def lesion_scores(spark, sf):
+_LABELS = "CASE WHEN v < 30 THEN 0 WHEN v < 120 THEN 1 ELSE 2 END AS label"
+
+
+def _sample_sql(seed: int, total: int, name: str = "s") -> str:
+    """CTEs: name(z, y, x, v, label) of the relation lab(z, y, x, v, label, g)."""
+    return f"""{name}_p AS (SELECT label, quantile_cont(g, 0.75) AS p75, count(*) AS size, (SELECT count(DISTINCT label) FROM lab) AS k FROM lab GROUP BY label),
+{name}_q AS (SELECT lab.*, size, greatest(50, {total} // k) AS quota, g >= p75 AS at_edge, count(*) FILTER (WHERE g >= p75) OVER (PARTITION BY label) AS edges FROM lab JOIN {name}_p USING (label)),
+{_hashes({"u": seed}, f"{name}_q").replace("u0 AS", f"{name}_u0 AS").replace("u1 AS", f"{name}_u1 AS").replace("u2 AS", f"{name}_u2 AS").replace("u3 AS", f"{name}_u3 AS").replace("FROM u", f"FROM {name}_u")},
+{name}_r AS (SELECT *, CASE WHEN edges = size THEN quota WHEN at_edge THEN quota // 2 ELSE quota - quota // 2 END AS share, row_number() OVER (PARTITION BY label, at_edge AND edges < size ORDER BY u, z, y, x) AS r FROM {name}_u3),
+{name} AS MATERIALIZED (SELECT z, y, x, v, label FROM {name}_r WHERE size <= quota OR r <= share)"""
+
+
+_LAB = f"{_GRADIENT}, lab AS MATERIALIZED (SELECT g.z, g.y, g.x, g.v, {_LABELS.replace('v <', 'g.v <')}, gr.v AS g FROM g JOIN gr USING (z, y, x))"
+
+
+def _scores_sql(name: str, masks: str, chosen: str) -> str:
+    """CTEs: name(label, size, mean, tail, compact, edge, score) of masks(z, y, x, v, label), whose clusters chosen(label) are admissible; the statistics are those of lab."""
+    return f"""{T.parts(f"{name}_c", masks, "label")},
+{name}_z AS (SELECT label, component, count(*) AS n, CAST(count(*) AS DOUBLE) / ((max(z) - min(z) + 1) * (max(y) - min(y) + 1) * (max(x) - min(x) + 1)) AS compact FROM {name}_c GROUP BY label, component),
+{name}_k AS (SELECT label, compact FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, component) AS r FROM {name}_z) WHERE r = 1),
+{name}_d AS (SELECT DISTINCT z, y, x, label FROM ({T.moved(masks, regions.CROSS, ", m.label")}) WHERE {T.BOX} EXCEPT SELECT z, y, x, label FROM {masks}),
+{name}_g AS (SELECT label, least(avg(gr.v) / (SELECT avg(g) + 1e-8 FROM lab) / 3, 1.0) AS edge FROM {name}_d JOIN gr USING (z, y, x) GROUP BY label),
+{name}_m AS (SELECT label, count(*) AS size, avg(v) AS mean FROM {masks} JOIN {chosen} USING (label) GROUP BY label),
+{name}_t AS (SELECT *, least(greatest(CASE WHEN bright THEN (mean - p90) / iqr ELSE (p10 - mean) / iqr END, 0), 1) AS tail FROM {name}_m, stats),
+{name} AS MATERIALIZED (SELECT label, size, mean, tail, compact, coalesce(edge, 0) AS edge, 0.5 * tail + 0.25 * compact + 0.25 * coalesce(edge, 0) AS score FROM {name}_t JOIN {name}_k USING (label) LEFT JOIN {name}_g USING (label))"""
+
+
+_STATS = """means AS MATERIALIZED (SELECT label, avg(v) AS m, count(*) AS n FROM lab GROUP BY label),
+stats AS MATERIALIZED (SELECT quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.9) AS p90, greatest(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 1e-6) AS iqr,
+    (SELECT max(m) FROM means) - quantile_cont(v, 0.5) >= quantile_cont(v, 0.5) - (SELECT min(m) FROM means) AS bright FROM lab)"""
+
+
+def _some_labels(spark, sf):
     g = voxels(spark, sf, "events")
-    labels = g.select(*KEYS, "v", F.when(F.col("v") < 30, 0).when(F.col("v") < 120, 1).otherwise(2).alias("label"))
+    return g, g.select(*KEYS, "v", F.when(F.col("v") < 30, 0).when(F.col("v") < 120, 1).otherwise(2).alias("label"))
+
+
+@query(f"""WITH RECURSIVE {grid("events")}, {_LAB}, {_STATS}, ok AS (SELECT label FROM means WHERE n BETWEEN 0.001 * (SELECT count(*) FROM lab) AND 0.9 * (SELECT count(*) FROM lab)), {_scores_sql("s", "lab", "ok")}
+SELECT 'events' AS vol_id, label, size, round(mean, 5) AS mean_intensity, round(tail, 5) AS tail_extremeness, round(compact, 5) AS compactness, round(edge, 5) AS edge_support, round(score, 5) AS score FROM s""")
+def lesion_scores(spark, sf):
+    g, labels = _some_labels(spark, sf)
     return _r(lesion.score_clusters(labels, g, max_fraction=0.9), "mean_intensity", "tail_extremeness", "compactness", "edge_support", "score", digits=5)
 
 
+def _pick_sql(tail: str, least: float, most: float) -> str:
+    fixed = {"bright": "true", "dark": "false"}.get(tail)
+    stats = _STATS if fixed is None else _STATS.replace("(SELECT max(m) FROM means) - quantile_cont(v, 0.5) >= quantile_cont(v, 0.5) - (SELECT min(m) FROM means) AS bright", f"{fixed} AS bright")
+    return f"""WITH RECURSIVE {grid("events")}, {_LAB}, {stats}, ok AS (SELECT label FROM means WHERE n BETWEEN {least} * (SELECT count(*) FROM lab) AND {most} * (SELECT count(*) FROM lab)), {_scores_sql("s", "lab", "ok")},
+pr AS (SELECT label AS one, lead(label) OVER (ORDER BY m, label) AS two, row_number() OVER (ORDER BY m, label) AS pair FROM means),
+pl AS MATERIALIZED (SELECT z, y, x, v, CAST(pair AS INTEGER) AS label FROM lab JOIN pr ON two IS NOT NULL AND (label = one OR label = two)),
+po AS (SELECT label FROM pl GROUP BY label HAVING count(*) <= {most} * (SELECT count(*) FROM lab)), {_scores_sql("t", "pl", "po")},
+bs AS (SELECT [label] AS labels, score FROM s ORDER BY score DESC, label LIMIT 1), bp AS (SELECT [one, two] AS labels, score FROM t JOIN pr ON pair = label ORDER BY score DESC, label LIMIT 1),
+fb AS (SELECT [label] AS labels FROM means ORDER BY m {"ASC" if tail == "dark" else "DESC"}, label LIMIT 1),
+al AS (SELECT fb.labels AS f, bs.labels AS a, bs.score AS sa, bp.labels AS b, bp.score AS sb FROM fb LEFT JOIN bs ON true LEFT JOIN bp ON true)
+SELECT 'events' AS vol_id, '{tail} {least} {most}' AS rule, array_to_string(CASE WHEN sb > sa + 0.05 THEN b ELSE coalesce(a, f) END, ',') AS labels, round(CASE WHEN sb > sa + 0.05 THEN sb ELSE sa END, 5) AS score FROM al"""
+
+
+#: Rules that end in a single cluster, a pair, and the fallback.
+_PICKS = [("auto", 0.001, 0.9), ("bright", 0.001, 0.99), ("dark", 0.001, 0.9), ("dark", 0.001, 0.01)]
+
+
+@query(" UNION ALL ".join(f"(SELECT * FROM ({_pick_sql(*p)}))" for p in _PICKS))
+def pick_clusters(spark, sf):
+    g, labels = _some_labels(spark, sf)
+    rows = None
+    for tail, least, most in _PICKS:
+        row = lesion.pick_clusters(labels, g, tail, least, most).select("vol_id", F.lit(f"{tail} {least} {most}").alias("rule"), F.array_join("labels", ",").alias("labels"), F.round("score", 5).alias("score"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+@query(f"""WITH RECURSIVE {grid("events")}, m AS MATERIALIZED (SELECT z, y, x FROM g WHERE v > 150), {T.parts("c", "m")}, k AS (SELECT component FROM c GROUP BY component HAVING count(*) >= 3 ORDER BY count(*) DESC, component LIMIT 3),
+t AS MATERIALIZED (SELECT z, y, x FROM c JOIN k USING (component)), d AS MATERIALIZED ({T.dilated("t", regions.CROSS)}), e AS MATERIALIZED ({T.eroded("d", regions.CROSS)}), {T.filled("f", "e")}
+SELECT 'events' AS vol_id, z, y, x FROM f""")
+def clean_mask(spark, sf):
+    g = voxels(spark, sf, "events")
+    return lesion.clean_mask(g.where("v > 150"), g, 3, 3)
+
+
+@query(f"""WITH RECURSIVE {grid("events")}, {histogram(128)}, o AS ({_otsu(128).replace("round(lo + (bin + 1) * w, 6)", "lo + (bin + 1) * w")}), m AS MATERIALIZED (SELECT z, y, x FROM g, o WHERE v > threshold),
+cd AS MATERIALIZED ({T.dilated("m", regions.ball(1), inside=False)}), ce AS MATERIALIZED (SELECT * FROM ({T.eroded("cd", regions.ball(1))}) WHERE {T.BOX}),
+bg AS MATERIALIZED (SELECT z, y, x FROM g EXCEPT SELECT z, y, x FROM ce), oe AS MATERIALIZED (SELECT z, y, x FROM ce EXCEPT ({T.dilated("bg", regions.ball(1))})), od AS MATERIALIZED ({T.dilated("oe", regions.ball(1))}),
+{T.filled("f", "od")}, {T.parts("c", "f")}, k AS (SELECT component FROM c GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)
+SELECT 'events' AS vol_id, z, y, x FROM c JOIN k USING (component)""")
+def foreground_roi(spark, sf):
+    return lesion.foreground(voxels(spark, sf, "events"), "otsu", 1, 1, least=1)
+
+
+@query(f"""WITH {grid("events")}, {_LAB}, {", ".join(_sample_sql(42 + i, 3000, f"s{i}") for i in range(3))},
+{", ".join(f"""c{i} AS (SELECT label, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM s{i} GROUP BY label), h{i} AS (SELECT (sum(n * pow(m - (SELECT avg(v) FROM s{i}), 2)) / (count(*) - 1)) / (sum(n * s) / (sum(n) - count(*))) AS ch FROM c{i}),
+q{i} AS (SELECT label, v, count(*) AS n FROM s{i} GROUP BY 1, 2), d{i} AS (SELECT a.label, a.v, any_value(a.n) AS n, b.label AS other, sum(b.n * abs(a.v - b.v)) AS away FROM q{i} a, q{i} b GROUP BY a.label, a.v, b.label),
+w{i} AS (SELECT d.label, v, any_value(d.n) AS n, max(CASE WHEN other = d.label AND c.n > 1 THEN away / (c.n - 1) END) AS a, min(CASE WHEN other <> d.label THEN away / c.n END) AS b FROM d{i} d JOIN c{i} c ON c.label = d.other GROUP BY d.label, v)""" for i in range(3))},
+r AS ({" UNION ALL ".join(f"SELECT (SELECT ch FROM h{i}) AS ch, (SELECT sum(n * CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) / sum(n) FROM w{i}) AS si" for i in range(3))})
+SELECT 'events' AS vol_id, round(avg(ch), 4) AS ch_mean, round(var_pop(ch), 3) AS ch_var, round(avg(si), 6) AS silhouette_mean, round(var_pop(si), 8) AS silhouette_var FROM r""")
+def repeated_evaluation(spark, sf):
+    g, labels = _some_labels(spark, sf)
+    e = lesion.evaluate(labels, stencil.gradient_magnitude(g), 3, 3000)
+    return e.select("vol_id", F.round("ch_mean", 4).alias("ch_mean"), F.round("ch_var", 3).alias("ch_var"), F.round("silhouette_mean", 6).alias("silhouette_mean"), F.round("silhouette_var", 8).alias("silhouette_var"))
+
+
+@query(f"""WITH {grid("events")}, s AS (SELECT greatest(0, 1 - min(v)) AS shift FROM g WHERE v > 50), p AS (SELECT v + shift AS v, shift FROM g, s WHERE v > 50), m AS (SELECT avg(v) AS mu, stddev_pop(v) AS sd FROM p), z AS (SELECT (v - mu) / CASE WHEN sd < 1e-6 THEN 1 ELSE sd END AS v FROM p, m)
+SELECT 'events' AS vol_id, round((SELECT shift FROM s), 6) AS shift, count(*) AS n, round(min(v), 5) AS min, round(max(v), 5) AS max, round(avg(v), 5) + 0.0 AS mean FROM z""")
+def preprocessing_stats(spark, sf):
+    g = voxels(spark, sf, "events")
+    st = lesion.preprocessing_stats(g, F.col("v") > 50)
+    return st.select("vol_id", F.round("shift", 6).alias("shift"), "n", *[F.round(c, 5).alias(c) for c in ("min", "max")], (F.round("mean", 5) + 0.0).alias("mean"))
+
+
 @query()
 def lesion_pipeline(spark, sf):
     return sweeps.lesion_report(voxels(spark, sf, "events"))
@@ -596,21 +697,6 @@ def region_growing_comparison(spark, sf):
     return sweeps.region_growing(voxels(spark, sf, "events"), (1, 10, 12), 10, 400)
 
 
-_LABELS = "CASE WHEN v < 30 THEN 0 WHEN v < 120 THEN 1 ELSE 2 END AS label"
-
-
-def _sample_sql(seed: int, total: int, name: str = "s") -> str:
-    """CTEs: name(z, y, x, v, label) of the relation lab(z, y, x, v, label, g)."""
-    return f"""{name}_p AS (SELECT label, quantile_cont(g, 0.75) AS p75, count(*) AS size, (SELECT count(DISTINCT label) FROM lab) AS k FROM lab GROUP BY label),
-{name}_q AS (SELECT lab.*, size, greatest(50, {total} // k) AS quota, g >= p75 AS at_edge, count(*) FILTER (WHERE g >= p75) OVER (PARTITION BY label) AS edges FROM lab JOIN {name}_p USING (label)),
-{_hashes({"u": seed}, f"{name}_q").replace("u0 AS", f"{name}_u0 AS").replace("u1 AS", f"{name}_u1 AS").replace("u2 AS", f"{name}_u2 AS").replace("u3 AS", f"{name}_u3 AS").replace("FROM u", f"FROM {name}_u")},
-{name}_r AS (SELECT *, CASE WHEN edges = size THEN quota WHEN at_edge THEN quota // 2 ELSE quota - quota // 2 END AS share, row_number() OVER (PARTITION BY label, at_edge AND edges < size ORDER BY u, z, y, x) AS r FROM {name}_u3),
-{name} AS MATERIALIZED (SELECT z, y, x, v, label FROM {name}_r WHERE size <= quota OR r <= share)"""
-
-
-_LAB = f"{_GRADIENT}, lab AS MATERIALIZED (SELECT g.z, g.y, g.x, g.v, {_LABELS.replace('v <', 'g.v <')}, gr.v AS g FROM g JOIN gr USING (z, y, x))"
-
-
 @query(f"WITH {grid('events')}, {_LAB}, {_sample_sql(42, 3000)} SELECT 'events' AS vol_id, * FROM s")
 def stratified_sample(spark, sf):
     g = voxels(spark, sf, "events")
