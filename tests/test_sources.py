@@ -1,9 +1,12 @@
+import zlib
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.test_kernels import A, array, volume
 from volspark.operators import views
-from volspark.sources import listing, sinks
+from volspark.sources import listing, nifti, sinks
 from volspark.sources.nifti import NiftiSource, make_header
 from volspark.streaming import ingest
 
@@ -19,6 +22,45 @@ def test_nifti_round_trip(spark, tmp_path):
     assert np.allclose(array(spark.read.format("nifti").load(str(tmp_path / "out")), A.shape), data)
 
 
+def test_volume_in_pieces_fails_whole(spark, tmp_path):
+    nifti.register(spark)
+    two = volume(spark, A).unionByName(volume(spark, A * 2, "b"))
+    with pytest.raises(Exception, match="in pieces"):
+        two.repartition(4, "z").write.format("nifti").mode("append").save(str(tmp_path / "out"))
+    assert not list((tmp_path / "out").iterdir())
+    nifti.write_volumes(two.repartition(4, "z"), f"file://{tmp_path}/out")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.nii", "b.nii"]
+    back = spark.read.format("nifti").load(f"file://{tmp_path}/out")
+    assert np.allclose(array(back.where("vol_id = 'b'"), A.shape), A * 2)
+
+
+def test_geometry_survives(spark, tmp_path):
+    turned = "0,-1,0,1,0,0,0,0,1"
+    nifti.write_volumes(volume(spark, A), str(tmp_path / "g"), compress="true", spacing="0.5,2,3", origin="-10,4.5,7", direction=turned)
+    assert [p.name for p in (tmp_path / "g").iterdir()] == ["a.nii.gz"]
+    r = spark.read.format("volume_geometry").load(str(tmp_path / "g")).first()
+    assert r["shape"] == list(A.shape[::-1]) and r["type"] == "float32" and r["vol_id"] == "a"
+    assert np.allclose(r["spacing"], [0.5, 2, 3]) and np.allclose(r["origin"], [-10, 4.5, 7]) and np.allclose(r["direction"], [float(x) for x in turned.split(",")])
+    assert np.allclose(array(spark.read.format("nifti").load(str(tmp_path / "g")), A.shape), A)
+
+
+def test_int64_and_meta_images(spark, tmp_path):
+    nifti.register(spark)
+    h = bytearray(nifti.make_header(A.shape[::-1]))
+    h[70:74] = (1024).to_bytes(2, "little") + (64).to_bytes(2, "little")
+    (tmp_path / "long.nii").write_bytes(bytes(h) + A.astype("<i8").tobytes())
+    meta = "ObjectType = Image\nNDims = 3\nDimSize = {} {} {}\nElementType = MET_SHORT\nElementSpacing = 1 2 3\nOffset = 4 5 6\nTransformMatrix = 0 1 0 -1 0 0 0 0 1\n{}ElementDataFile = LOCAL\n".format
+    (tmp_path / "plain.mha").write_bytes(meta(*A.shape[::-1], "").encode() + A.astype("<i2").tobytes())
+    (tmp_path / "packed.mha").write_bytes(meta(*A.shape[::-1], "CompressedData = True\n").encode() + zlib.compress(A.astype("<i2").tobytes()))
+    back = spark.read.format("nifti").option("slab", 2).load(str(tmp_path))
+    for name in ("long", "plain", "packed"):
+        assert np.array_equal(array(back.where(f"vol_id = '{name}'"), A.shape), A)
+    rows = {r["vol_id"]: r for r in spark.read.format("volume_geometry").load(str(tmp_path)).collect()}
+    assert rows["long"]["type"] == "int64" and rows["plain"]["spacing"] == [1, 2, 3] and rows["plain"]["origin"] == [4, 5, 6] and rows["packed"]["direction"] == [0, -1, 0, 1, 0, 0, 0, 0, 1]
+    half = np.sqrt(0.5)
+    assert np.allclose(nifti._rotation(0, 0, half, 1.0), [[0, -1, 0], [1, 0, 0], [0, 0, 1]])
+
+
 def test_listing(spark, tmp_path):
     for p in ("brain/x.nii.gz", "other/liver_y.mha", "a_1_2.nii", "skip.txt"):
         (tmp_path / p).parent.mkdir(exist_ok=True)

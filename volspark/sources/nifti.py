@@ -1,21 +1,34 @@
-"""A Python data source for NIfTI-1 volumes (.nii, .nii.gz): a partition per file, or per slab of an uncompressed one; and a writer."""
+"""Python data sources for volumes in files: NIfTI-1 (.nii, .nii.gz) and MetaImage (.mha).
+
+Reading ("nifti"): a partition per file, or per slab of slices of an uncompressed one. Paths may be of any store that pyarrow opens (file, hdfs, s3 ...);
+a folder gives its .nii.gz, then its .nii, then its .mha files, each sorted. "volume_geometry" reads headers alone.
+
+Writing ("nifti"): a task writes the volumes it holds under names of the attempt; the commit on the driver renames them, or, if a volume came
+in pieces from several tasks, deletes all and fails, so that no volume is ever half written. write_volumes() brings each volume to one task before.
+"""
 
 from __future__ import annotations
 
-import glob
 import gzip
-import os
+import io
 import struct
+import uuid
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from volspark.schema import VOXELS
 
-#: NIfTI-1 data type codes (fixed values of the format).
-TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
+#: NIfTI-1 data type codes and MetaImage element types (fixed values of the formats).
+TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
+META_TYPES = {"MET_UCHAR": "u1", "MET_CHAR": "i1", "MET_USHORT": "u2", "MET_SHORT": "i2", "MET_UINT": "u4", "MET_INT": "i4", "MET_ULONG_LONG": "u8", "MET_LONG_LONG": "i8", "MET_FLOAT": "f4", "MET_DOUBLE": "f8"}
+SUFFIXES = (".nii.gz", ".nii", ".mha")
+IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
 
 
 @dataclass
@@ -26,6 +39,16 @@ class Header:
     slope: float
     inter: float
     spacing: tuple[float, float, float]
+    origin: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    direction: tuple[float, ...] = IDENTITY  # 3 x 3, by rows
+    packed: bool = False  # the values are one zlib stream
+
+
+def _rotation(b: float, c: float, d: float, sign: float) -> np.ndarray:
+    """Of the quaternion of a NIfTI header."""
+    a = np.sqrt(max(0.0, 1 - b * b - c * c - d * d))
+    r = np.array([[a * a + b * b - c * c - d * d, 2 * (b * c - a * d), 2 * (b * d + a * c)], [2 * (b * c + a * d), a * a + c * c - b * b - d * d, 2 * (c * d - a * b)], [2 * (b * d - a * c), 2 * (c * d + a * b), a * a + d * d - b * b - c * c]])
+    return r * np.array([1.0, 1.0, sign])
 
 
 def parse_header(raw: bytes) -> Header:
@@ -36,14 +59,66 @@ def parse_header(raw: bytes) -> Header:
     if dim[0] < 3 or any(d > 1 for d in dim[4 : dim[0] + 1]):
         raise ValueError(f"a volume has three dimensions, this one {dim[0]}")
     code = struct.unpack(order + "h", raw[70:72])[0]
+    if code not in TYPES:
+        raise ValueError(f"data type {code} is not supported")
     pix = struct.unpack(order + "8f", raw[76:108])
     offset, slope, inter = struct.unpack(order + "3f", raw[108:120])
-    return Header(dim[1:4], np.dtype(order + TYPES[code]), int(offset), slope or 1.0, inter if slope else 0.0, pix[1:4])
+    qform, sform = struct.unpack(order + "2h", raw[252:256])
+    spacing, origin, direction = np.array(pix[1:4]), np.zeros(3), np.eye(3)
+    if sform > 0:
+        rows = np.array(struct.unpack(order + "12f", raw[280:328])).reshape(3, 4)
+        spacing = np.sqrt((rows[:, :3] ** 2).sum(axis=0))
+        origin, direction = rows[:, 3], rows[:, :3] / np.where(spacing > 0, spacing, 1.0)
+    elif qform > 0:
+        q = struct.unpack(order + "6f", raw[256:280])
+        origin, direction = np.array(q[3:]), _rotation(*q[:3], -1.0 if pix[0] < 0 else 1.0)
+    return Header(dim[1:4], np.dtype(order + TYPES[code]), int(offset), slope or 1.0, inter if slope else 0.0, tuple(map(float, spacing)), tuple(map(float, origin)), tuple(map(float, direction.ravel())))
+
+
+def parse_meta_header(raw: bytes) -> Header:
+    """Of a MetaImage file whose values follow the header."""
+    mark = raw.find(b"ElementDataFile")
+    end = raw.find(b"\n", mark) + 1
+    if mark < 0 or not end:
+        raise ValueError("not a MetaImage header")
+    fields = {k.strip(): v.strip() for k, _, v in (line.partition("=") for line in raw[:end].decode("latin-1").splitlines())}
+    if fields["ElementDataFile"] != "LOCAL" or fields.get("NDims") != "3" or fields.get("ElementNumberOfChannels", "1") != "1":
+        raise ValueError("a MetaImage volume has three dimensions, one channel and its values in the same file")
+    order = ">" if fields.get("BinaryDataByteOrderMSB", fields.get("ElementByteOrderMSB", "False")).lower() == "true" else "<"
+    numbers = lambda names, rest: tuple(float(x) for x in next((fields[n] for n in names if n in fields), rest).split())
+    matrix = np.array(numbers(("TransformMatrix", "Rotation", "Orientation"), "1 0 0 0 1 0 0 0 1")).reshape(3, 3).T  # stored by columns
+    return Header(tuple(int(x) for x in fields["DimSize"].split()), np.dtype(order + META_TYPES[fields["ElementType"]]), end, 1.0, 0.0, numbers(("ElementSpacing", "ElementSize"), "1 1 1"), numbers(("Offset", "Position", "Origin"), "0 0 0"), tuple(map(float, matrix.ravel())), fields.get("CompressedData", "False").lower() == "true")
+
+
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """A path, absolute or of any scheme; Hadoop writes file:/x for file:///x."""
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = "file://" + path[5:]
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
 def _stem(path: str) -> str:
-    name = os.path.basename(path)
-    return name[:-7] if name.endswith(".nii.gz") else name[:-4]
+    name = path.rsplit("/", 1)[-1]
+    return next(name[: -len(s)] for s in SUFFIXES if name.endswith(s))
+
+
+def _open(path: str):
+    store, name = _store(path)
+    stream = store.open_input_file(name)
+    return gzip.GzipFile(fileobj=stream) if path.endswith(".gz") else stream
+
+
+def read_header(path: str) -> Header:
+    with _open(path) as s:
+        return parse_meta_header(s.read(65_536)) if path.endswith(".mha") else parse_header(s.read(352))
+
+
+def _files(path: str) -> list[str]:
+    store, name = _store(path)
+    if store.get_file_info(name).type == pafs.FileType.File:
+        return [path]
+    found = sorted(f.base_name for f in store.get_file_info(pafs.FileSelector(name)) if f.type == pafs.FileType.File and not f.base_name.startswith((".", "_")))
+    return [f"{path.rstrip('/')}/{n}" for s in SUFFIXES for n in found if n.endswith(s)]
 
 
 @dataclass
@@ -55,61 +130,100 @@ class _Slab(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.slab = options["path"].removeprefix("file://"), int(options.get("slab", 16))
+        self.path, self.slab = options["path"], int(options.get("slab", 16))
 
     def partitions(self):
-        files = [self.path] if os.path.isfile(self.path) else sorted(glob.glob(f"{self.path}/*.nii.gz")) + sorted(glob.glob(f"{self.path}/*.nii"))
         out = []
-        for f in files:
-            with (gzip.open if f.endswith(".gz") else open)(f, "rb") as s:
-                n = parse_header(s.read(352)).shape[2]
-            step = n if f.endswith(".gz") else self.slab  # a gzip stream has no random access
-            out += [_Slab(f, z, min(n, z + step)) for z in range(0, n, step)]
+        for f in _files(self.path):
+            h = read_header(f)
+            n = h.shape[2]
+            step = n if f.endswith(".gz") or h.packed else self.slab  # a compressed stream has no random access
+            out += [_Slab(f, z, min(n, z + step)) for z in range(0, n, max(step, 1))]
         return out
 
     def read(self, partition: _Slab):
-        with (gzip.open if partition.path.endswith(".gz") else open)(partition.path, "rb") as s:
-            h = parse_header(s.read(352))
-            nx, ny, _ = h.shape
+        h = read_header(partition.path)
+        nx, ny, _ = h.shape
+        size = nx * ny * h.dtype.itemsize
+        with _open(partition.path) as s:
+            offset = h.offset
+            if h.packed:
+                s.seek(h.offset)
+                s, offset = io.BytesIO(zlib.decompress(s.read())), 0
             for z in range(partition.z0, partition.z1):
-                s.seek(h.offset + z * nx * ny * h.dtype.itemsize)
-                v = np.frombuffer(s.read(nx * ny * h.dtype.itemsize), h.dtype).astype(np.float64) * h.slope + h.inter
+                s.seek(offset + z * size)
+                v = np.frombuffer(s.read(size), h.dtype).astype(np.float64) * h.slope + h.inter
                 y, x = np.divmod(np.arange(nx * ny, dtype=np.int32), nx)
                 names = pa.DictionaryArray.from_arrays(np.zeros(nx * ny, np.int32), [_stem(partition.path)]).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([names, pa.array(np.full(nx * ny, z, np.int32)), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(v)], names=["vol_id", "z", "y", "x", "v"])
 
 
+class _GeometryReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.path = options["path"]
+
+    def partitions(self):
+        return [_Slab(f, 0, 0) for f in _files(self.path)]
+
+    def read(self, partition: _Slab):
+        h = read_header(partition.path)
+        yield _stem(partition.path), partition.path, list(map(int, h.shape)), list(h.spacing), list(h.origin), list(h.direction), h.dtype.newbyteorder("=").name
+
+
 @dataclass
 class _Written(WriterCommitMessage):
-    files: list[str]
+    files: dict[str, str]  # volume: name of the attempt
 
 
 class _Writer(DataSourceWriter):
-    """One file per volume: a task must hold whole volumes (repartition by vol_id before)."""
+    """A file per volume. Options: compress (true: .nii.gz), spacing, origin (three numbers) and direction (nine, by rows), comma-separated."""
 
     def __init__(self, options: dict):
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"].rstrip("/")
+        self.suffix = ".nii.gz" if options.get("compress", "false").lower() == "true" else ".nii"
+        numbers = lambda n, rest: tuple(float(x) for x in options[n].split(",")) if n in options else rest
+        self.geometry = numbers("spacing", (1.0, 1.0, 1.0)), numbers("origin", (0.0, 0.0, 0.0)), numbers("direction", IDENTITY)
 
     def write(self, rows):
         by: dict[str, list] = {}
         for r in rows:
             by.setdefault(r.vol_id, []).append((r.z, r.y, r.x, r.v))
-        os.makedirs(self.path, exist_ok=True)
-        done = []
+        store, base = _store(self.path)
+        store.create_dir(base, recursive=True)
+        done = {}
         for vol, vs in by.items():
             a = np.array(vs)
             z, y, x = (a[:, i].astype(int) for i in range(3))
             data = np.zeros((z.max() + 1, y.max() + 1, x.max() + 1), "<f4")
             data[z, y, x] = a[:, 3]
-            name = f"{self.path}/{vol}.nii"
-            with open(f"{name}.tmp{os.getpid()}", "wb") as f:
-                f.write(make_header(data.shape[::-1]) + data.tobytes())
-            os.replace(f"{name}.tmp{os.getpid()}", name)
-            done.append(name)
+            raw = make_header(data.shape[::-1], *self.geometry) + data.tobytes()
+            done[vol] = f"{base}/.{uuid.uuid4().hex}.tmp"
+            with store.open_output_stream(done[vol], compression=None) as f:
+                f.write(gzip.compress(raw, 6, mtime=0) if self.suffix.endswith(".gz") else raw)
         return _Written(done)
 
+    def commit(self, messages):
+        store, base = _store(self.path)
+        pieces: dict[str, list[str]] = {}
+        for m in messages:
+            for vol, name in (m.files if m else {}).items():
+                pieces.setdefault(vol, []).append(name)
+        torn = sorted(v for v, names in pieces.items() if len(names) > 1)
+        if torn:
+            self.abort(messages)
+            raise ValueError(f"volumes came in pieces from several tasks (repartition by vol_id, or use write_volumes): {torn[:5]}")
+        for vol, (name,) in pieces.items():
+            store.move(name, f"{base}/{vol}{self.suffix}")
+
+    def abort(self, messages):
+        store, _ = _store(self.path)
+        for m in messages:
+            for name in (m.files if m else {}).values():
+                if store.get_file_info(name).type == pafs.FileType.File:
+                    store.delete_file(name)
+
 
-def make_header(shape: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> bytes:
+def make_header(shape: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), origin: tuple[float, float, float] = (0.0, 0.0, 0.0), direction: tuple[float, ...] = IDENTITY) -> bytes:
     """Header of a float32 volume, shape as x, y, z."""
     h = bytearray(352)
     struct.pack_into("<i", h, 0, 348)
@@ -117,6 +231,9 @@ def make_header(shape: tuple[int, int, int], spacing: tuple[float, float, float]
     struct.pack_into("<2h", h, 70, 16, 32)
     struct.pack_into("<8f", h, 76, 1.0, *spacing, 0, 0, 0, 0)
     struct.pack_into("<3f", h, 108, 352.0, 1.0, 0.0)
+    struct.pack_into("<2h", h, 252, 0, 1)
+    rows = np.concatenate((np.array(direction).reshape(3, 3) * np.array(spacing), np.array(origin)[:, None]), axis=1)
+    struct.pack_into("<12f", h, 280, *rows.ravel())
     h[344:348] = b"n+1\0"
     return bytes(h)
 
@@ -136,3 +253,28 @@ class NiftiSource(DataSource):
 
     def writer(self, schema, overwrite: bool):
         return _Writer(self.options)
+
+
+class GeometrySource(DataSource):
+    """vol_id, path, shape (x, y, z), spacing, origin, direction (by rows) and type of the volumes of a folder."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "volume_geometry"
+
+    def schema(self) -> str:
+        return "vol_id string, path string, shape array<int>, spacing array<double>, origin array<double>, direction array<double>, type string"
+
+    def reader(self, schema):
+        return _GeometryReader(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    for source in (NiftiSource, GeometrySource):
+        spark.dataSource.register(source)
+
+
+def write_volumes(vox: DataFrame, path: str, **options: str) -> None:
+    """Each volume as one file, whatever the partitioning; a volume must fit a task, as a file is written in one go."""
+    register(vox.sparkSession)
+    vox.repartition("vol_id").write.format("nifti").mode("append").options(**options).save(path)
