@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_kernels import A, array, volume
-from volspark.operators import views
+from volspark.operators import cluster, views
 from volspark.sources import listing, nifti, sinks
 from volspark.sources.nifti import NiftiSource, make_header
 from volspark.streaming import ingest
@@ -93,3 +93,27 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     r = spark.table("volume_stats").select("n", F.round("mean", 6).alias("m")).first()
     assert (r["n"], r["m"]) == (A.size, round(A.mean(), 6))
+
+
+def test_reports_logs_and_paths(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "image_name string, k long")
+    sinks.write_report(rows, str(tmp_path / "report"))
+    sinks.write_report(rows.where("k = 2"), str(tmp_path / "report"))
+    assert [tuple(r) for r in sinks.read_report(spark, str(tmp_path / "report"), "image_name string, k long").collect()] == [("b", 2)]
+    (tmp_path / "list.json").write_text('[{"image_name": "c",\n "k": 3}]')
+    assert sinks.read_report(spark, str(tmp_path / "list.json")).first()["k"] == 3
+    for step in ("read", "write"):
+        sinks.append_log(spark.createDataFrame([(step, "done")], "step string, message string"), str(tmp_path / "log"))
+    assert {r["step"] for r in spark.read.json(str(tmp_path / "log")).collect()} == {"read", "write"}
+    (tmp_path / "Images").mkdir()
+    (tmp_path / "Images" / "x.nii").write_bytes(b"1")
+    assert listing.resolve(f"{tmp_path}/x.nii", f"{tmp_path}/Images") == f"{tmp_path}/Images/x.nii"
+    with pytest.raises(FileNotFoundError):
+        listing.resolve(f"{tmp_path}/y.nii", f"{tmp_path}/Images")
+
+
+def test_label_numbers_and_guard(spark):
+    d = spark.createDataFrame([(i,) for i in range(3)], "label int")
+    assert [r[0] for r in cluster.spread_labels(d, 3).collect()] == [0, 84, 168]
+    with pytest.raises(ValueError, match="at most 4"):
+        cluster.uniform_seeds(volume(spark, A), 5, most=4)

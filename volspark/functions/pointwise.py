@@ -24,6 +24,26 @@ def to_uint8(v: Column) -> Column:
     return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), v))).cast("int")
 
 
+#: Names of the classes of each organ (fixed values).
+TISSUES = {
+    "brain": {0: "Fondo / CSF", 1: "Sustancia gris", 2: "Sustancia blanca", 3: "Tumor (hiper.)"},
+    "breast": {0: "Fondo", 1: "Tejido oscuro", 2: "Tejido intermedio", 3: "Tumor (hiper.)"},
+    "liver": {0: "Fondo", 1: "Tejido hepático", 2: "Tejido hiper.", 3: "Tumor (hiper.)"},
+}
+
+
+def tissue(organ: Column, label: Column) -> Column:
+    """The name of an organ's class; null for others."""
+    names = F.create_map(*[F.lit(x) for o, by in TISSUES.items() for i, name in by.items() for x in (f"{o}:{i}", name)])
+    return F.element_at(names, F.concat(organ, F.lit(":"), label.cast("string")))
+
+
+def clamp(i: Column, low: Column | int, high: Column | int) -> Column:
+    """i, not under low nor over high."""
+    wrap = lambda c: c if isinstance(c, Column) else F.lit(c)
+    return F.greatest(wrap(low), F.least(wrap(high), i))
+
+
 def file_stem(path: Column) -> Column:
     """The name without folders and without .nii.gz, .nii or .mha."""
     return F.regexp_replace(F.regexp_extract(path, r"[^/\\]*$", 0), r"\.(nii\.gz|nii|mha)$", "")

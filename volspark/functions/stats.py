@@ -152,3 +152,17 @@ def silhouette(labelled: DataFrame) -> DataFrame:
     ab = p.groupBy("vol_id", "label", "v", "n").agg(F.max(F.when(F.col("other") == F.col("label"), F.when(F.col("size") > 1, mean))).alias("a"), F.min(F.when(F.col("other") != F.col("label"), mean)).alias("b"))
     s = F.when(F.col("a").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return ab.groupBy("vol_id").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * s) / F.sum("n")).alias("silhouette"))
+
+
+def focus_or(first: DataFrame, second: DataFrame, vox: DataFrame) -> DataFrame:
+    """vol_id, axis, idx, source: the slice of most voxels of the first mask, where that is empty of the second, else the middle one."""
+    of = lambda mask, name: focus_slices(by_slice(mask, F.count("*"))).select("vol_id", "axis", F.col("idx").alias(name))
+    middle = by_slice(vox, F.count("*")).groupBy("vol_id", "axis").agg(F.expr("cast((max(idx) + 1) div 2 as int)").alias("middle"))
+    all_of = middle.join(of(first, "a"), ["vol_id", "axis"], "left").join(of(second, "b"), ["vol_id", "axis"], "left")
+    source = F.when(F.col("a").isNotNull(), "first").when(F.col("b").isNotNull(), "second").otherwise("middle")
+    return all_of.select("vol_id", "axis", F.coalesce("a", "b", "middle").alias("idx"), source.alias("source"))
+
+
+def tallies(runs: DataFrame, by: str) -> DataFrame:
+    """by (null: all), n, succeeded, failed, seconds, longest of runs with ok and seconds."""
+    return runs.rollup(by).agg(F.count("*").alias("n"), F.count_if("ok").alias("succeeded"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("failed"), F.sum("seconds").alias("seconds"), F.max("seconds").alias("longest"))

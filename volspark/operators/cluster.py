@@ -15,8 +15,10 @@ from volspark.functions.stats import calinski_harabasz, percentiles, silhouette,
 from volspark.session import cut
 
 
-def uniform_seeds(vox: DataFrame, k: int) -> DataFrame:
-    """k evenly spaced values from the least to the greatest v > 0."""
+def uniform_seeds(vox: DataFrame, k: int, most: int | None = None) -> DataFrame:
+    """k evenly spaced values from the least to the greatest v > 0; an error for more than most, if given."""
+    if most is not None and k > most:
+        raise ValueError(f"at most {most} clusters")
     r = vox.where("v > 0").groupBy("vol_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     at = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / max(1, k - 1))
     return r.select("vol_id", at.alias("seeds"))
@@ -163,9 +165,6 @@ def label_by_means(vox: DataFrame, means: DataFrame) -> DataFrame:
     return vox.join(means, "vol_id").select("vol_id", "z", "y", "x", "v", F.when(F.size("means") > 1, label).otherwise(0).alias("label"))
 
 
-STRATEGIES = ("quantile_anchored", "warm_start")
-
-
 def _deduped(seeds: np.ndarray, tolerance: float = 1e-4) -> list[float]:
     out: list[float] = []
     for s in np.sort(seeds).tolist():
@@ -228,6 +227,11 @@ def sweep(vox: DataFrame, ks: range, rounds: int | None = None, bound: int = FEW
     return out
 
 
+def spread_labels(labels: DataFrame, k: int) -> DataFrame:
+    """Labels 0 .. k - 1 as values over the range of a byte, 255 // k - 1 apart."""
+    return labels.withColumn("label", (F.col("label") * (255 // k - 1)).cast("int"))
+
+
 def best_runs(rows: DataFrame) -> DataFrame:
     """The run of greatest ch of each volume; of equals the smaller k, then the strategy that comes first. Undefined ch never wins."""
     w = Window.partitionBy("vol_id").orderBy(F.desc_nulls_last("ch"), "k", "strategy")

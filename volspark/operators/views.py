@@ -46,3 +46,12 @@ def parameter_grid(runs: DataFrame, row: str, col: str, fixed: str, value: str,
     mid = vals.select(F.element_at("a", (F.floor(F.size("a") / 2) + 1).cast("int")).alias("mid"))
     kept = runs.join(F.broadcast(mid), F.col(fixed) == F.col("mid"))
     return kept.groupBy(row).pivot(col, columns).agg(F.first(value))
+
+
+def summary_grid(cells: dict[tuple[str, str], DataFrame], axis: str, index: int | None = None) -> DataFrame:
+    """row, col, r, c, v: the same slice of a volume for each row and column of a figure."""
+    out = None
+    for (row, col), vox in cells.items():
+        p = plane(vox, axis, index).select(F.lit(row).alias("row"), F.lit(col).alias("col"), "r", "c", "v")
+        out = p if out is None else out.unionByName(p)
+    return out

@@ -200,13 +200,13 @@ k AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY c, z, y, x) AS k, count
 wl AS MATERIALIZED (SELECT vol_id, z, y, x, any_value(v) AS v, avg(w) AS mu, avg(w * w) - avg(w) * avg(w) AS s2 FROM w GROUP BY vol_id, z, y, x), wn AS (SELECT vol_id, avg(s2) AS n2 FROM wl GROUP BY vol_id),
 f AS ({" UNION ALL ".join(found)}),
 s AS (SELECT f.vol_id, filter, count(*) AS n, avg(pow(g.v - f.v, 2)) AS mse, CAST(max(g.v) AS DOUBLE) AS top FROM f JOIN g USING (z, y, x) GROUP BY f.vol_id, filter)
-SELECT CASE vol_id {names[0]} END AS noise, CASE vol_id {names[1]} END AS density, CASE vol_id {names[2]} END AS sigma, filter, n, round(mse, 4) AS mse, round(CASE WHEN mse > 0 THEN 10 * log10(top * top / mse) ELSE 'Infinity'::DOUBLE END, 4) AS psnr FROM s"""
+SELECT CASE vol_id {names[0]} END AS noise, CASE vol_id {names[1]} END AS density, CASE vol_id {names[2]} END AS sigma, filter, n, round(mse, 6) AS mse, round(CASE WHEN mse > 0 THEN 10 * log10(top * top / mse) ELSE 'Infinity'::DOUBLE END, 4) AS psnr FROM s"""
 
 
 @query(_denoise_sql())
 def denoise_table(spark, sf):
     t = sweeps.noise_table(_u8(spark, sf), sweeps.NOISES, ["median26", "wiener"])
-    return _r(t, "mse", "psnr", digits=4)
+    return _r(_r(t, "psnr", digits=4), "mse")
 
 
 # --- thresholds ---
@@ -318,9 +318,20 @@ def quantile_seeds_5(spark, sf):
     return cluster.quantile_seeds(voxels(spark, sf, "events"), 5).select(F.explode("seeds").alias("seed")).select(F.round("seed", 6).alias("seed"))
 
 
+def _list_label(ms: str, k: int) -> str:
+    return f"len(list_filter(range(1, {k}), lambda i: v > ({ms}[i] + {ms}[i + 1]) / 2))"
+
+
+def _lloyd_list(t: str, k: int, seeds: str) -> str:
+    """CTE of a WITH RECURSIVE: rounds over a list of means, those of the counts q, until no cluster changes."""
+    return f"""l{t}(step, ms, sizes, done) AS (SELECT 0, ms, NULL::BIGINT[], false FROM ({seeds}) UNION ALL
+SELECT step + 1, ms2, sz2, coalesce(sz2 = sizes, false) FROM (SELECT st.step, st.sizes, list(coalesce(a.m, st.ms[c.j + 1]) ORDER BY c.j) AS ms2, list(coalesce(a.n, 0)::BIGINT ORDER BY c.j) AS sz2
+    FROM l{t} st JOIN range({k}) c(j) ON true LEFT JOIN (SELECT {_list_label("s2.ms", k)} AS j, sum(n * v) / sum(n) AS m, sum(n) AS n FROM l{t} s2, q GROUP BY 1) a ON a.j = c.j WHERE NOT st.done GROUP BY st.step, st.sizes))"""
+
+
 def _sweep_sql(ks: range) -> str:
     """Lloyd to the end as a recursion over lists of means, warm starts from the better run of one cluster less, both scores from value counts."""
-    label = lambda ms, k: f"len(list_filter(range(1, {k}), lambda i: v > ({ms}[i] + {ms}[i + 1]) / 2))"
+    label = _list_label
     cte = ["r AS (SELECT (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) * 255.0 AS v FROM g)", "q AS MATERIALIZED (SELECT v, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY v)", "p AS MATERIALIZED (SELECT * FROM q WHERE v > 0)", "pv AS MATERIALIZED (SELECT v FROM r WHERE v > 0)"]
     rows = []
     for k in ks:
@@ -330,9 +341,7 @@ def _sweep_sql(ks: range) -> str:
             runs["warm_start"] = f"SELECT list_sort(list_append(ms, (e[gap] + e[gap + 1]) / 2)) AS ms FROM (SELECT *, list_position({gaps}, list_max({gaps})) AS gap FROM (SELECT ms, list_sort(list_concat(list_concat([(SELECT min(v) FROM p)], ms), [(SELECT max(v) FROM p)])) AS e FROM best{k - 1}))"
         for name, seeds in runs.items():
             t = f"{k}{name[0]}"
-            cte.append(f"""l{t}(step, ms, sizes, done) AS (SELECT 0, ms, NULL::BIGINT[], false FROM ({seeds}) UNION ALL
-SELECT step + 1, ms2, sz2, coalesce(sz2 = sizes, false) FROM (SELECT st.step, st.sizes, list(coalesce(a.m, st.ms[c.j + 1]) ORDER BY c.j) AS ms2, list(coalesce(a.n, 0)::BIGINT ORDER BY c.j) AS sz2
-    FROM l{t} st JOIN range({k}) c(j) ON true LEFT JOIN (SELECT {label("s2.ms", k)} AS j, sum(n * v) / sum(n) AS m, sum(n) AS n FROM l{t} s2, q GROUP BY 1) a ON a.j = c.j WHERE NOT st.done GROUP BY st.step, st.sizes))""")
+            cte.append(_lloyd_list(t, k, seeds))
             cte.append(f"e{t} AS MATERIALIZED (SELECT ms FROM l{t} WHERE done)")
             cte.append(f"o{t} AS MATERIALIZED (SELECT v, n, {label('ms', k)} AS label FROM p, e{t})")
             cte.append(f"c{t} AS MATERIALIZED (SELECT label, sum(n) AS n, sum(n * v) AS s, sum(n * v) / sum(n) AS m FROM o{t} GROUP BY label)")
@@ -588,7 +597,7 @@ bg AS MATERIALIZED (SELECT z, y, x FROM g EXCEPT SELECT z, y, x FROM ce), oe AS
 {T.filled("f", "od")}, {T.parts("c", "f")}, k AS (SELECT component FROM c GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)
 SELECT 'events' AS vol_id, z, y, x FROM c JOIN k USING (component)""")
 def foreground_roi(spark, sf):
-    return lesion.foreground(voxels(spark, sf, "events"), "otsu", 1, 1, least=1)
+    return lesion.foreground(voxels(spark, sf, "events"), "otsu", 1, 1, least=0)
 
 
 @query(f"""WITH {grid("events")}, {_LAB}, {", ".join(_sample_sql(42 + i, 3000, f"s{i}") for i in range(3))},
@@ -702,3 +711,22 @@ def stratified_sample(spark, sf):
     g = voxels(spark, sf, "events")
     labels = g.select(*KEYS, "v", F.when(F.col("v") < 30, 0).when(F.col("v") < 120, 1).otherwise(2).alias("label"))
     return lesion.stratified_sample(labels, stencil.gradient_magnitude(g), 3000)
+
+
+@query(f"SELECT vol_id, k, strategy, ch FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ch DESC, strategy) AS r FROM ({_sweep_sql(sweeps.KS)})) WHERE r = 1")
+def best_run_per_k(spark, sf):
+    rows = cluster.sweep(G.rescale_intensity(voxels(spark, sf, "events")), sweeps.KS)
+    best = cluster.best_per_k(rows).select("vol_id", F.explode("best").alias("k", "b"))
+    return best.select("vol_id", "k", "b.strategy", F.round("b.ch", 4).alias("ch"))
+
+
+_COUNTS = "SELECT vol_id, '{0}' AS method, CAST(label AS INTEGER) AS label, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM g), 6) AS percent FROM {1} GROUP BY vol_id, label"
+
+
+@query(f"""WITH RECURSIVE {grid("orders")}, {histogram(128)}, o AS ({_multi(3).replace("'events'", "'orders'").replace("round(", "(").replace(", 6)", ")")}), q AS MATERIALIZED (SELECT v, count(*) AS n FROM g GROUP BY v),
+{_lloyd_list("k", 3, "SELECT [lo, lo + (hi - lo) / 2, hi] AS ms FROM (SELECT min(v) AS lo, max(v) AS hi FROM g WHERE v > 0)")}, km AS MATERIALIZED (SELECT ms FROM lk WHERE done),
+p AS (SELECT quantile_cont(v, 0.40) AS a, quantile_cont(v, 0.60) AS b FROM g WHERE v > 0),
+la AS (SELECT vol_id, CASE WHEN v BETWEEN a AND b THEN 1 ELSE 0 END AS label FROM g, p), lb AS (SELECT g.vol_id, (v > t1)::INTEGER + (v > t2)::INTEGER AS label FROM g, o), lc AS (SELECT vol_id, {_list_label("ms", 3)} AS label FROM g, km)
+{" UNION ALL ".join(_COUNTS.format(n, t) for n, t in (("range", "la"), ("otsu", "lb"), ("kmeans", "lc")))}""")
+def threshold_workshop(spark, sf):
+    return _r(sweeps.workshop(voxels(spark, sf, "orders"), "liver"), "percent")

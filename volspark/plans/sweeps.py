@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volspark.functions import pointwise as P
+from volspark.functions import stats as A
 from volspark.operators import cluster, denoise, fronts, lesion, regions, stencil, threshold
 from volspark.operators.blocks import box_mean, over_blocks
 from volspark.schema import KEYS
@@ -140,6 +141,20 @@ def filter_batch(vox: DataFrame) -> DataFrame:
     return rows.select("vol_id", one).select("vol_id", "r.filter", "r.s.n", *[F.round(f"r.s.{c}", 4).alias(c) for c in ("min", "max", "mean", "std")])
 
 
+def workshop(vox: DataFrame, organ: str) -> DataFrame:
+    """The three segmentations of a volume side by side: the organ's narrow percentile range, multi-Otsu of three classes, k-means of three clusters:
+    method, label, n, percent."""
+    vox = cut(vox)
+    low, high = A.ORGAN_PERCENTILES[organ][1]
+    limits = A.percentiles(vox.where("v > 0"), [low, high])
+    made = {
+        "range": vox.join(limits, "vol_id").select(*KEYS, P.binary_threshold(F.col("v"), F.col("p")[0], F.col("p")[1]).alias("label")),
+        "otsu": threshold.apply_cuts(vox, threshold.multi_otsu(vox, 3)),
+        "kmeans": cluster.label_by_means(vox, cluster.kmeans(vox, cluster.uniform_seeds(vox, 3, most=4))),
+    }
+    return reduce(DataFrame.unionByName, [A.label_counts(df).select("vol_id", F.lit(name).alias("method"), "label", "n", "percent") for name, df in made.items()])
+
+
 def region_growing(vox: DataFrame, seed: tuple[int, int, int], lower: float, upper: float) -> DataFrame:
     """Voxels of the connected-threshold and the confidence-connected region, and of both."""
     a = cut(regions.connected_threshold(vox, seed, lower, upper))

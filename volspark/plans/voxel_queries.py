@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -310,3 +311,98 @@ def parameter_sweep_totals(spark, sf):
     grid_ = spark.createDataFrame([(s, level) for s in (0.5, 1.0, 2.0) for level in (0.1, 0.2, 0.3)], "sigma double, level double")
     runs = voxels(spark, sf, "events").crossJoin(F.broadcast(grid_))  # nine rows
     return runs.rollup("sigma", "level").agg(F.count_if(F.col("v") > 100 * F.col("sigma") * (1 + F.col("level"))).alias("hits"), F.count("*").alias("n"))
+
+
+# --- files, reports, lookups ---
+
+_FILES_SQL = "f AS (SELECT '/data/' || lower(r_name) || '/' || lower(n_name) || '_' || n_nationkey || '_' || n_regionkey || '.nii.gz' AS path FROM nation JOIN region ON n_regionkey = r_regionkey)"
+
+
+def _files(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet").join(spark.read.parquet(f"{sf}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.select(F.concat(F.lit("/data/"), F.lower("r_name"), F.lit("/"), F.lower("n_name"), F.lit("_"), "n_nationkey", F.lit("_"), "n_regionkey", F.lit(".nii.gz")).alias("path"))
+
+
+_ORGANS = [("a", "asia", "nation_9"), ("b", "nowhere", "nation_2"), ("c", "europe", "nation_1"), ("d", "nowhere", "nothing")]
+
+
+@query(f"""WITH {_FILES_SQL}, o(organ, folder, pattern) AS (VALUES {", ".join(map(str, _ORGANS))}),
+m AS (SELECT organ, path, CASE WHEN contains(path, '/' || folder || '/') THEN 0 ELSE 1 END AS k FROM f JOIN o ON contains(path, '/' || folder || '/') OR contains(lower(regexp_extract(path, '[^/]*$')), pattern))
+SELECT organ, path FROM (SELECT *, row_number() OVER (PARTITION BY organ ORDER BY k, path) AS r FROM m) WHERE r = 1""")
+def discover_files(spark, sf):
+    from volspark.sources.listing import discover
+
+    return discover(_files(spark, sf), spark.createDataFrame(_ORGANS, "organ string, folder string, pattern string"))
+
+
+@query(f"""WITH {_FILES_SQL}, s AS (SELECT path, regexp_replace(regexp_extract(path, '[^/]*$'), '[.]nii[.]gz$', '') AS stem FROM f), r AS (SELECT path, substr(stem, 8) AS params FROM s WHERE starts_with(stem, 'nation_'))
+SELECT path, params, split_part(params, '_', 1) AS a, split_part(params, '_', 2) AS b, split_part(params, '_', 3) AS c, CAST(NULL AS VARCHAR) AS d FROM r""")
+def results_of_image(spark, sf):
+    from volspark.sources.listing import parameters, results_of
+
+    return parameters(results_of(_files(spark, sf), "nation"), ["a", "b", "c", "d"])
+
+
+@query("WITH r AS (SELECT n_regionkey AS image, CASE WHEN n_nationkey < 8 THEN 'mask' WHEN n_nationkey < 9 THEN 'labels' ELSE 'other' END AS kind FROM nation) SELECT image, kind FROM r WHERE image IN (SELECT image FROM r WHERE kind IN ('mask', 'labels') GROUP BY image HAVING count(DISTINCT kind) = 2)")
+def images_with_all_results(spark, sf):
+    from volspark.sources.listing import all_present
+
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    kind = F.when(F.col("n_nationkey") < 8, "mask").when(F.col("n_nationkey") < 9, "labels").otherwise("other")
+    return all_present(n.select(F.col("n_regionkey").alias("image"), kind.alias("kind")), ["mask", "labels"])
+
+
+@query("SELECT n_name AS image_name, CAST(CASE WHEN n_regionkey = 1 THEN -1 ELSE n_nationkey END AS BIGINT) AS k FROM nation")
+def report_upsert(spark, sf):
+    from volspark.sources.sinks import as_json, upsert
+
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    old = n.select(F.col("n_name").alias("image_name"), F.col("n_nationkey").cast("long").alias("k"))
+    new = n.where("n_regionkey = 1").select(F.col("n_name").alias("image_name"), F.lit(-1).cast("long").alias("k"))
+    return as_json(upsert(old, new)).select(F.from_json("json", "image_name string, k long").alias("j")).select("j.*")
+
+
+@query(f"WITH {grid('events')}, r AS (SELECT CASE x % 3 WHEN 0 THEN 'mean' WHEN 1 THEN 'median' ELSE 'gradient' END AS filter, v > 20 AS ok, v / 10 AS seconds FROM g) SELECT filter, count(*) AS n, count(*) FILTER (WHERE ok) AS succeeded, count(*) FILTER (WHERE NOT ok) AS failed, round(sum(seconds), 4) AS seconds, round(max(seconds), 4) AS longest FROM r GROUP BY ROLLUP (filter)")
+def run_tallies(spark, sf):
+    name = F.element_at(F.array(F.lit("mean"), F.lit("median"), F.lit("gradient")), F.col("x") % 3 + 1)
+    runs = voxels(spark, sf, "events").select(name.alias("filter"), (F.col("v") > 20).alias("ok"), (F.col("v") / 10).alias("seconds"))
+    return _r(A.tallies(runs, "filter"), "seconds", "longest", digits=4)
+
+
+_TISSUES_SQL = ", ".join(f"('{o}', {i}, '{name}')" for o, by in P.TISSUES.items() for i, name in by.items())
+
+
+@query(f"WITH {grid('events')}, t(organ, label, tissue) AS (VALUES {_TISSUES_SQL}), l AS (SELECT o.organ, CAST(least(4, floor(v / 60)) AS INTEGER) AS label, greatest(1, least((SELECT max(z) FROM g) - 1, z - 3)) AS near FROM g, (VALUES ('brain'), ('breast'), ('liver')) o(organ)) SELECT organ, label, tissue, CAST(min(near) AS INTEGER) AS first, CAST(max(near) AS INTEGER) AS last, count(*) AS n FROM l LEFT JOIN t USING (organ, label) GROUP BY ALL")
+def tissue_names(spark, sf):
+    g = voxels(spark, sf, "events")
+    most = g.agg((F.max("z") - 1).alias("most"))
+    each = g.crossJoin(F.broadcast(most)).select("v", P.clamp(F.col("z") - 3, 1, F.col("most")).alias("near"), F.explode(F.array(*map(F.lit, P.TISSUES))).alias("organ"))
+    each = each.withColumn("label", F.least(F.lit(4), F.floor(F.col("v") / 60)).cast("int"))
+    return each.withColumn("tissue", P.tissue(F.col("organ"), F.col("label"))).groupBy("organ", "label", "tissue").agg(F.min("near").alias("first"), F.max("near").alias("last"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {grid("events")}, a AS ({_slices_sql("count(*)", "(SELECT * FROM g WHERE v > 400 AND z > 5)")}), s AS (SELECT axis, arg_max(idx, (m, -idx)) AS idx FROM a GROUP BY axis), c(axis, mid) AS (SELECT 'z', (max(z) + 1) // 2 FROM g UNION ALL SELECT 'y', 10 UNION ALL SELECT 'x', 12)
+SELECT 'events' AS vol_id, axis, CAST(coalesce(idx, mid) AS INTEGER) AS idx, CASE WHEN idx IS NULL THEN 'middle' ELSE 'second' END AS source FROM c LEFT JOIN s USING (axis)""")
+def focus_slices_with_fallback(spark, sf):
+    g = voxels(spark, sf, "events")
+    return A.focus_or(g.where("v > 1e9"), g.where("v > 400 and z > 5"), g)
+
+
+@query(f"WITH {grid('events')}, e AS ({GRIDS['orders']}) SELECT 'raw' AS row, 'events' AS col, y AS r, x AS c, v FROM g WHERE z = 1 UNION ALL SELECT 'half', 'events', y, x, v / 2 FROM g WHERE z = 1 UNION ALL SELECT 'raw', 'orders', y, x, v FROM e WHERE z = 1")
+def summary_grid(spark, sf):
+    from volspark.operators.views import summary_grid as cells
+
+    g, o = voxels(spark, sf, "events"), voxels(spark, sf, "orders")
+    return cells({("raw", "events"): g, ("half", "events"): g.withColumn("v", F.col("v") / 2), ("raw", "orders"): o}, "z", 1)
+
+
+@query(f"WITH {grid('events')} SELECT vol_id, z, y, x, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM g")
+def nifti_round_trip(spark, sf):
+    """Written compressed, a file per volume, and read back with its slices."""
+    from volspark.session import shared_folder
+    from volspark.sources.nifti import register, write_volumes
+
+    path = f"{shared_folder(spark)}/volspark-nifti-{uuid.uuid4().hex}"
+    write_volumes(voxels(spark, sf, "events"), path, compress="true", spacing="1,1,2")
+    register(spark)
+    return spark.read.format("nifti").load(path)

@@ -25,9 +25,23 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where none is set and all runs on this machine."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='volspark-ckpt-')}")
+        root = sc.getCheckpointDir()
+    return root.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder (spark.checkpoint.dir); a temporary folder only where none is set."""
+    """Cuts the lineage with a checkpoint in the shared folder; Spark's cleaner deletes it with the DataFrame where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="volspark-ckpt-"))
+    folder = shared_folder(df.sparkSession)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
     return df.checkpoint()

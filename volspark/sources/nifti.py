@@ -90,7 +90,7 @@ def parse_meta_header(raw: bytes) -> Header:
     return Header(tuple(int(x) for x in fields["DimSize"].split()), np.dtype(order + META_TYPES[fields["ElementType"]]), end, 1.0, 0.0, numbers(("ElementSpacing", "ElementSize"), "1 1 1"), numbers(("Offset", "Position", "Origin"), "0 0 0"), tuple(map(float, matrix.ravel())), fields.get("CompressedData", "False").lower() == "true")
 
 
-def _store(path: str) -> tuple[pafs.FileSystem, str]:
+def store_of(path: str) -> tuple[pafs.FileSystem, str]:
     """A path, absolute or of any scheme; Hadoop writes file:/x for file:///x."""
     if path.startswith("file:") and not path.startswith("file://"):
         path = "file://" + path[5:]
@@ -103,7 +103,7 @@ def _stem(path: str) -> str:
 
 
 def _open(path: str):
-    store, name = _store(path)
+    store, name = store_of(path)
     stream = store.open_input_file(name)
     return gzip.GzipFile(fileobj=stream) if path.endswith(".gz") else stream
 
@@ -114,7 +114,7 @@ def read_header(path: str) -> Header:
 
 
 def _files(path: str) -> list[str]:
-    store, name = _store(path)
+    store, name = store_of(path)
     if store.get_file_info(name).type == pafs.FileType.File:
         return [path]
     found = sorted(f.base_name for f in store.get_file_info(pafs.FileSelector(name)) if f.type == pafs.FileType.File and not f.base_name.startswith((".", "_")))
@@ -188,7 +188,7 @@ class _Writer(DataSourceWriter):
         by: dict[str, list] = {}
         for r in rows:
             by.setdefault(r.vol_id, []).append((r.z, r.y, r.x, r.v))
-        store, base = _store(self.path)
+        store, base = store_of(self.path)
         store.create_dir(base, recursive=True)
         done = {}
         for vol, vs in by.items():
@@ -203,7 +203,7 @@ class _Writer(DataSourceWriter):
         return _Written(done)
 
     def commit(self, messages):
-        store, base = _store(self.path)
+        store, base = store_of(self.path)
         pieces: dict[str, list[str]] = {}
         for m in messages:
             for vol, name in (m.files if m else {}).items():
@@ -216,7 +216,7 @@ class _Writer(DataSourceWriter):
             store.move(name, f"{base}/{vol}{self.suffix}")
 
     def abort(self, messages):
-        store, _ = _store(self.path)
+        store, _ = store_of(self.path)
         for m in messages:
             for name in (m.files if m else {}).values():
                 if store.get_file_info(name).type == pafs.FileType.File:
