@@ -47,9 +47,15 @@ def clear(spark: SparkSession) -> None:
         drop_path(spark, _written.pop())
 
 
-#: For a write: its shuffle files are deleted when it is done, as the table stands in the shared folder; and rows with
-#: texts or sets go to Python in batches of few, so that buffers stay small.
-_WRITE_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: For a write: its shuffle files are deleted when it is done, as the table stands in the shared folder; rows with
+#: texts or sets go to Python in batches of few, so that buffers stay small; and tasks are not merged beyond 16 MB nor tables of more
+#: than 2 MB broadcast unasked, so that sorts, hash tables and the driver take the same memory whatever the size of the input.
+_WRITE_CONF = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16MB",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "2MB",
+}
 
 
 def write_table(df: DataFrame, path: str) -> None:
