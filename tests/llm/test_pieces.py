@@ -72,3 +72,27 @@ def test_unigram_viterbi(spark):
         got = sum(score[by_id[k]] if k in by_id else model.worst for k in lattice[i][0])
         want = sum(brute("▁" + w) for w in t.split(" "))
         assert np.isclose(got, want)
+
+
+def _merged(spark, model, words):
+    from volspark.llm.pieces import WordEncoder, encode_words
+
+    encode = WordEncoder(model)
+    got = {r["word"]: r["ids"] for r in encode_words(spark.createDataFrame([(w,) for w in words], "word string"), model).collect()}
+    assert set(got) == set(words)
+    for w, ids in got.items():
+        assert ids == np.frombuffer(encode(w), "<i4").tolist(), w
+
+
+def test_merges_by_bits_and_one_by_one(spark, bpe):
+    rng = np.random.default_rng(5)
+    words = {"".join(rng.choice(list("abeinrst\n日▁"), int(n))) for n in rng.integers(1, 96, 300)}
+    _merged(spark, bpe, sorted({w for w in words if set(w) & set("abeinrst")} | {"a" * n for n in (1, 2, 60, 61, 62, 63, 64, 95, 96)}))
+
+
+def test_merges_whose_parts_come_late(spark):
+    """Unions that score better than the pieces they are made of: the pass over the edges meets them too early."""
+    rng = np.random.default_rng(7)
+    pieces = list("abc") + sorted({"".join(rng.choice(list("abc"), int(n))) for n in rng.integers(2, 6, 60)})
+    rows = [(0, "<unk>", 0.0, 2), *((i + 1, p, -float(s), 1) for i, (p, s) in enumerate(zip(pieces, rng.permutation(len(pieces)), strict=True)))]
+    _merged(spark, P.PieceTable(rows, is_bpe=True), sorted({"".join(rng.choice(list("abc"), int(n))) for n in rng.integers(1, 40, 400)}))

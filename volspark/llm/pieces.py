@@ -42,6 +42,8 @@ from volspark.llm.common import discard, free_name, materialise, slices, table
 
 SPACE = "▁"
 LONG = 96
+#: Characters of a word whose boundaries fit the bits of a long, one bit being a flag.
+BITS = 61
 MAX_PIECES = 1_000_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
@@ -128,14 +130,26 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
 
 
 def _fold_merges() -> Column:
-    """Boundaries of the pieces left when no two neighbours make an edge."""
+    """Boundaries of the pieces left when no two neighbours make an edge. Of words up to BITS characters the boundaries are the bits of a
+    long, and a single pass over the edges, best first, merges each that has one boundary left inside. That is the order of merges
+    unless an edge came up before its parts were there (two boundaries inside); such words, and longer ones, take the merges one by one."""
+    by_score = """array_sort(transform(filter(edges, e -> e.n > 1), e -> struct(-e.score as cost, e.start as start,
+        shiftleft(1L, e.start - 1) | shiftleft(1L, e.start + e.n - 1) as ends, shiftleft(shiftleft(1L, e.n - 1) - 1, e.start) as inside)))"""
+    passed = f"""aggregate({by_score}, shiftleft(1L, size_ + 1) - 1,
+        (m, e) -> if((m & e.ends) <> e.ends, m, if(bit_count(m & e.inside) > 1, m | shiftleft(1L, 63), m & ~e.inside)))"""
+    bits = "filter(sequence(1, size_ + 1), i -> (m & shiftleft(1L, i - 1)) <> 0)"
+    return F.expr(f"if(size_ <= {BITS}, transform(array({passed}), m -> if(m < 0, null, {bits}))[0], null)")
+
+
+def _fold_merges_one_by_one() -> Column:
+    """The same, a merge a step, the best score of all neighbours first, the leftmost of equals."""
     best = "array_max(transform(sequence(0, size(b) - 3), i -> struct(element_at(by_span, b[i] * 256 + b[i + 2] - b[i]) as score, -i as at)))"
-    return F.expr(
-        f"""aggregate(sequence(2, greatest(size_, 2)), struct(sequence(1, size_ + 1) as b, false as done),
+    steps = f"""aggregate(sequence(2, greatest(size_, 2)), struct(sequence(1, size_ + 1) as b, false as done),
         (acc, k) -> if(acc.done or size(acc.b) < 3, acc, transform(array(acc.b), b -> transform(array({best}), m ->
             if(m.score is null, struct(b as b, true as done), struct(filter(b, (x, j) -> j <> 1 - m.at) as b, false as done)))[0])[0]),
         acc -> acc.b)"""
-    )
+    pairs = "map_from_entries(transform(filter(edges, e -> e.n > 1), e -> struct(e.start * 256 + e.n, e.score)))"
+    return F.expr(f"transform(array({pairs}), by_span -> {steps})[0]")
 
 
 def _fold_viterbi() -> Column:
@@ -152,8 +166,7 @@ def encode_words(words: DataFrame, model: PieceTable) -> DataFrame:
     whole = lattice(words, pieces, model.longest).withColumn("size_", F.length("word"))
     span = lambda e: e["start"] * 256 + e["n"]
     if model.is_bpe:
-        pairs = F.map_from_entries(F.transform(F.filter("edges", lambda e: e["n"] > 1), lambda e: F.struct(span(e), e["score"])))
-        cut = whole.withColumn("by_span", pairs).withColumn("b", _fold_merges())
+        cut = whole.withColumn("b", F.coalesce(_fold_merges(), _fold_merges_one_by_one()))
     else:
         covered = F.transform(F.filter("edges", lambda e: e["n"] == 1), lambda e: e["start"])
         bare = F.transform(F.array_except(F.sequence(F.lit(1), F.col("size_")), covered), lambda i: F.struct(i.alias("start"), F.lit(1).alias("n"), F.lit(-1).alias("id"), F.lit(model.worst).alias("score")))
