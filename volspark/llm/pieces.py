@@ -14,8 +14,8 @@ Characters that no piece covers become byte pieces (or the unknown piece where a
 
 Which words: all are counted, exactly (per task first, then by word); the lattice takes those frequent enough that at most
 ``lattice_words`` remain, and their encodings, bounded in number and length, are broadcast. Rarer words, and those over
-``LONG`` characters, take the same fold in Python where they occur: a lattice row costs some 100 microseconds a
-word, and the rare words of a corpus are most of its distinct ones. Texts are never shuffled; results do not depend on the bound.
+``LONG`` characters, take the same merges in Python where they occur: rare words are most of a corpus's distinct ones, and their
+encodings would have to be joined back by a shuffle. Texts are never shuffled; results do not depend on the bound.
 
 Defined cases: null text encodes to null and decodes to null, empty text to no pieces; U+2581 in a text is a space, as in
 SentencePiece itself; repeated rows are encoded each; a very long text is split into words at once, some 60 bytes a word; an empty table gives one.
