@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from volspark.llm import chat, decontaminate, langid, licenses, minhash, pieces, suffix_dedup, topk, url_filter, warc
+from volspark.llm import bpe, chat, decontaminate, langid, licenses, minhash, pieces, suffix_dedup, topk, url_filter, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_top_k": topk.op9_top_k,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_bpe": bpe.op11_bpe,
 }
 
 ORACLE_SQL = {
