@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from volspark.llm import bpe, chat, decontaminate, langid, licenses, minhash, pieces, suffix_dedup, topk, url_filter, warc
+from volspark.llm import bpe, chat, codes, decontaminate, langid, licenses, minhash, pieces, suffix_dedup, topk, url_filter, warc, whitening
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_top_k": topk.op9_top_k,
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_bpe": bpe.op11_bpe,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_vector_codes": codes.op13_vector_codes,
 }
 
 ORACLE_SQL = {
@@ -25,4 +27,5 @@ ORACLE_SQL = {
     "op8_suffix_dedup": suffix_dedup.OP8_SQL,
     "op9_top_k": topk.OP9_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
+    "op13_vector_codes": codes.OP13_SQL,
 }
