@@ -374,3 +374,70 @@ def test_names_with_hash_and_absent_seed(spark):
     assert {r["vol_id"] for r in lesion.score_clusters(labels, v, max_fraction=1.0).collect()} == {"a#b"}
     both = v.unionByName(volume(spark, A[:2], "small"))
     assert {r["vol_id"] for r in regions.confidence_connected(both, (4, 4, 4), 2.0, 1).collect()} == {"a#b"}
+
+
+def _greedy(edges, floors, limit):
+    """Regions of a graph: again and again the two of least saliency merge (pass less the higher floor as it is by then), up to limit."""
+    region = {n: {n} for n in floors}
+    floor = {n: (f, n) for n, f in floors.items()}
+    of = {n: n for n in floors}
+    while True:
+        low = {}
+        for a, b, h in edges:
+            p, q = sorted((of[a], of[b]))
+            if p != q:
+                low[p, q] = min(low.get((p, q), (np.inf,)), (h, a, b))
+        best = min(((h[0] - max(floor[p], floor[q])[0], h, p, q) for (p, q), h in low.items()), default=None)
+        if best is None or best[0] > limit:
+            return {frozenset(r) for r in region.values()}
+        _, _, p, q = best
+        for n in region[q]:
+            of[n] = p
+        region[p] |= region.pop(q)
+        floor[p] = min(floor[p], floor.pop(q))
+
+
+@pytest.mark.parametrize(("seed", "whole"), [(0, False), (1, False), (2, True), (3, True), (4, False)])
+def test_merge_tree_equals_merging_by_saliency(spark, seed, whole):
+    rng = np.random.default_rng(seed)
+    n = 40
+    draw = (lambda k: rng.integers(0, 30, k).astype(float)) if whole else (lambda k: rng.uniform(0, 30, k))
+    floors = dict(enumerate(draw(n).tolist()))
+    pairs = {tuple(sorted(p)) for p in rng.integers(0, n, (120, 2)).tolist() if p[0] != p[1]} | {(i, i + 1) for i in range(n - 1)}
+    edges = [(a, b, max(floors[a], floors[b]) + float(d)) for (a, b), d in zip(sorted(pairs), draw(len(pairs)), strict=True)]
+    graph = spark.createDataFrame([("v", a, b, h, floors[a], floors[b], a, b) for a, b, h in edges], regions._PASSES)
+    for few in (0, 30, 1000):  # by rounds, by both, in one task
+        tree = [tuple(r) for r in regions.merge_tree(graph, few).select("a", "b", "saliency").collect()]
+        assert len(tree) == n - 1
+        for limit in (0.0, 2.0, 5.0, 12.0, 100.0):
+            of = {i: i for i in range(n)}
+            for a, b, s in tree:
+                if s <= limit:
+                    p, q = of[a], of[b]
+                    of = {k: p if v == q else v for k, v in of.items()}
+            got = {frozenset(k for k, v in of.items() if v == r) for r in set(of.values())}
+            if whole:  # ties may be merged in another order, into as many regions
+                assert len(got) == len(_greedy(edges, floors, limit))
+            else:
+                assert got == _greedy(edges, floors, limit)
+
+
+def test_a_merged_basin_has_the_lower_floor(spark):
+    line = np.array([0, 6, 5, 7, 4, 20], float).reshape(1, 1, -1)
+    label = lambda level: [r["label"] for r in regions.watershed(volume(spark, line), 0.0, level).orderBy("x").collect()]
+    at = label(0.1)  # 5 merges with 0 over 6; from 0 and 5 to 4 the pass is 3 above the higher floor, limit 2
+    assert len(set(at)) == 2 and at[0] == at[2] != at[4]
+    assert len(set(label(0.04))) == 3 and len(set(label(0.15))) == 1
+
+
+def test_merge_tree_of_one_or_no_basin(spark):
+    flat = regions.basins(volume(spark, np.zeros((2, 3, 3))))
+    assert {r["label"] for r in regions.merge_levels(flat, [0.5]).collect()} == {regions.basins(volume(spark, np.zeros((1, 1, 1)))).first()["label"]}
+    assert regions.merge_levels(flat.where("false"), [0.5]).count() == 0
+
+
+def test_basin_graph_over_blocks(spark):
+    rng = np.random.default_rng(3)
+    b = regions.basins(volume(spark, rng.normal(size=(7, 8, 9)))).cache()
+    want = {tuple(r) for r in regions.basin_graph(b).collect()}
+    assert len(want) > 50 and {tuple(r) for r in regions.basin_graph(b, block=3).collect()} == want

@@ -252,7 +252,7 @@ def fill_holes(mask: DataFrame, vox: DataFrame) -> DataFrame:
 
 
 def watershed(height: DataFrame, threshold: float = 0.0, level: float = 0.0) -> DataFrame:
-    """vol_id, z, y, x, label: basins of steepest descent, those merged whose saliency is at most level of the volume's range. Heights under
+    """vol_id, z, y, x, label: basins of steepest descent, merged in order of saliency up to level of the volume's range. Heights under
     threshold (a fraction of the range) rise to it."""
     found = basins(floored(height, threshold) if threshold > 0 else height)
     return found.select(*KEYS, "label") if level <= 0 else merge_levels(found, [level]).select(*KEYS, "label")
@@ -273,7 +273,13 @@ def basins(height: DataFrame) -> DataFrame:
     p = cut(over_blocks(height, _descend, (1, 1, 1), "replicate", columns=("v", "tz", "ty", "tx"), placed=True))
     p = p.select(*KEYS, "v", linear().alias("i"), linear(*[F.col(f"t{a}").cast("int") for a in "zyx"]).alias("to"))
     # a voxel's own root is in its block or is the first voxel beyond it, whose root is looked up
-    jump = cut(p.select("vol_id", "i", "to").join(p.select("vol_id", F.col("to").alias("i")).distinct(), ["vol_id", "i"], "left_semi"))
+    jump = _followed(cut(p.select("vol_id", "i", "to").join(p.select("vol_id", F.col("to").alias("i")).distinct(), ["vol_id", "i"], "left_semi")))
+    roots = jump.select("vol_id", F.col("i").alias("to"), F.col("to").alias("label"))
+    return cut(p.join(roots, ["vol_id", "to"]).select(*KEYS, "v", "label"))
+
+
+def _followed(jump: DataFrame) -> DataFrame:
+    """Pointers (vol_id, i, to), each place having one, followed to their ends, which point to themselves: by doubling."""
     while not jump.where("i <> to").isEmpty():
         nxt = jump.select("vol_id", F.col("i").alias("to"), F.col("to").alias("next"))
         step = cut(jump.join(nxt, ["vol_id", "to"]).select("vol_id", "i", "to", F.col("next")))
@@ -281,8 +287,7 @@ def basins(height: DataFrame) -> DataFrame:
         jump = step.select("vol_id", "i", F.col("next").alias("to"))
         if done:
             break
-    roots = jump.select("vol_id", F.col("i").alias("to"), F.col("to").alias("label"))
-    return cut(p.join(roots, ["vol_id", "to"]).select(*KEYS, "v", "label"))
+    return jump
 
 
 def _descend(p: np.ndarray, start: tuple[int, int, int], borders: Borders) -> tuple[np.ndarray, ...]:
@@ -313,24 +318,103 @@ def _descend(p: np.ndarray, start: tuple[int, int, int], borders: Borders) -> tu
     return h, *[e - 1 + s for e, s in zip(ends, start, strict=True)]
 
 
-def merge_levels(basin: DataFrame, levels: list[float]) -> DataFrame:
-    """level, vol_id, z, y, x, label for each level. A pair of basins meets at the lowest pass over their common border; its saliency is the
-    pass over the higher of the two minima, and it merges where that is at most level of the volume's range."""
+_PASSES = "vol_id string, a long, b long, pass double, floor_a double, floor_b double, oa long, ob long"
+
+
+def _block_passes(rows: pa.Table) -> pa.Table:
+    """The lowest pass between each two basins that meet in a block, or between it and the first plane of the next ones."""
+    at = [rows.column(c).to_numpy() for c in "zyx"]
+    base = [int(a.min()) for a in at]
+    place = tuple(a - b for a, b in zip(at, base, strict=True))
+    shape = [int(a.max()) + 1 for a in place]
+    label, v = np.full(shape, -1, np.int64), np.full(shape, np.nan)
+    label[place], v[place] = rows.column("label").to_numpy(), rows.column("v").to_numpy()
+    found = []
+    for axis in range(3):
+        p, q = (np.moveaxis(label, axis, 0)[k] for k in (slice(0, -1), slice(1, None)))
+        h = np.maximum(*(np.moveaxis(v, axis, 0)[k] for k in (slice(0, -1), slice(1, None))))
+        meet = (p != q) & (p >= 0) & (q >= 0)
+        found.append((np.minimum(p, q)[meet], np.maximum(p, q)[meet], h[meet]))
+    a, b, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((h, b, a))
+    a, b, h = a[order], b[order], h[order]
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    vol = pa.array([rows.column("vol_id")[0].as_py()] * int(first.sum()), pa.string())
+    return pa.table({"vol_id": vol, "a": a[first], "b": b[first], "pass": h[first]})
+
+
+def basin_graph(basin: DataFrame, block: int = 32) -> DataFrame:
+    """vol_id, a, b, pass, floor_a, floor_b, oa, ob: for each two basins that share a border the lowest pass over it (the higher of the two
+    voxels there) and both floors. A block finds its own passes, so rows of the volume are shuffled once; a < b, and oa, ob are the same."""
+    rows = with_blocks(basin.select(*KEYS, "v", "label"), (1, 1, 1), block, extents(basin))
+    low = rows.groupBy("vol_id", "b_z", "b_y", "b_x").applyInArrow(_block_passes, "vol_id string, a long, b long, pass double").groupBy("vol_id", "a", "b").agg(F.min("pass").alias("pass"))
     floors = basin.groupBy("vol_id", "label").agg(F.min("v").alias("floor"))
+    of = lambda c: floors.select("vol_id", F.col("label").alias(c), F.col("floor").alias(f"floor_{c}"))
+    return low.join(of("a"), ["vol_id", "a"]).join(of("b"), ["vol_id", "b"]).select("vol_id", "a", "b", "pass", "floor_a", "floor_b", F.col("a").alias("oa"), F.col("b").alias("ob"))
+
+
+def _merge_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The merges of all edges of a task, the lowest pass first: the region of the higher floor ends there."""
+    edges = pd.concat([pd.DataFrame(columns=[c.split()[0] for c in _PASSES.split(", ")]), *batches], ignore_index=True)
+    floor, root = {}, {}
+
+    def find(n):
+        root.setdefault(n, n)
+        while root[n] != n:
+            root[n] = root[root[n]]
+            n = root[n]
+        return n
+
+    out = []
+    for r in edges.sort_values(["pass", "oa", "ob"]).itertuples(index=False):
+        vol, a, b, height, floor_a, floor_b, oa, ob = r
+        floor.setdefault((vol, a), floor_a)
+        floor.setdefault((vol, b), floor_b)
+        p, q = find((vol, a)), find((vol, b))
+        if p != q:
+            if (floor[p], p) < (floor[q], q):
+                p, q = q, p
+            root[p] = q
+            out.append((vol, oa, ob, height - floor[p]))
+    yield pd.DataFrame(out, columns=["vol_id", "a", "b", "saliency"])
+
+
+def merge_tree(graph: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+    """vol_id, a, b, saliency: the merges that make one basin of each connected part of the graph (of basin_graph()), one row for each basin
+    that ends. Regions merge in order of saliency, the pass less the higher of the two regions' floors as they are by then, and the merged region
+    has the lower floor: the basins of a limit are what the rows of at most that saliency connect. Of equal passes that of the
+    smaller labels counts, of equal floors the smaller label is the deeper.
+
+    A region whose lowest pass leads to a deeper one ends at that pass, whatever else merges before: in the order of saliencies, too, no other
+    pass could come first. So a round ends all such regions at once, contracts the graph and keeps the lowest pass of each pair,
+    until at most few edges are left, which one task merges in order. A graph of few edges takes no round."""
+    edges, done = cut(graph), None
+    while edges.count() > few:
+        flip = lambda d: d.select("vol_id", F.col("b").alias("a"), F.col("a").alias("b"), "pass", F.col("floor_b").alias("floor_a"), F.col("floor_a").alias("floor_b"), "oa", "ob")
+        low = edges.unionByName(flip(edges)).groupBy("vol_id", "a").agg(F.min(F.struct("pass", "oa", "ob", "b", "floor_a", "floor_b")).alias("m")).select("vol_id", "a", "m.*")
+        ends = F.struct("floor_b", "b") < F.struct("floor_a", "a")
+        low = cut(low.select("vol_id", "a", "pass", "oa", "ob", "floor_a", F.when(ends, F.col("b")).otherwise(F.col("a")).alias("to")))
+        merged = low.where("a <> to").select("vol_id", F.col("oa").alias("a"), F.col("ob").alias("b"), (F.col("pass") - F.col("floor_a")).alias("saliency"))
+        done = merged if done is None else done.unionByName(merged)
+        roots = _followed(low.select("vol_id", F.col("a").alias("i"), "to"))
+        roots = roots.join(low.select("vol_id", F.col("a").alias("to"), F.col("floor_a").alias("floor")), ["vol_id", "to"])
+        of = lambda c: roots.select("vol_id", F.col("i").alias(c), F.col("to").alias(f"r{c}"), F.col("floor").alias(f"f{c}"))
+        moved = edges.select("vol_id", "a", "b", "pass", "oa", "ob").join(of("a"), ["vol_id", "a"]).join(of("b"), ["vol_id", "b"]).where("ra <> rb")
+        one = moved.select("vol_id", F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "pass", "oa", "ob", F.when(F.col("ra") < F.col("rb"), F.col("fa")).otherwise(F.col("fb")).alias("floor_a"), F.when(F.col("ra") < F.col("rb"), F.col("fb")).otherwise(F.col("fa")).alias("floor_b"))
+        edges = cut(one.groupBy("vol_id", "a", "b").agg(F.min(F.struct("pass", "oa", "ob", "floor_a", "floor_b")).alias("m")).select("vol_id", "a", "b", "m.pass", "m.floor_a", "m.floor_b", "m.oa", "m.ob"))
+    last = edges.coalesce(1).mapInPandas(_merge_in_order, "vol_id string, a long, b long, saliency double")
+    return last if done is None else done.unionByName(last)
+
+
+def merge_levels(basin: DataFrame, levels: list[float], few: int = FEW_EDGES) -> DataFrame:
+    """level, vol_id, z, y, x, label for each level: basins of the merge tree, cut at a fraction of the volume's range. The label is the least of the merged."""
     span = basin.groupBy("vol_id").agg((F.max("v") - F.min("v")).alias("range"))
-    pairs = None
-    for a in "zyx":
-        b = basin.select("vol_id", *[(F.col(c) - 1 if c == a else F.col(c)).alias(c) for c in "zyx"], F.col("label").alias("l2"), F.col("v").alias("h2"))
-        e = basin.join(b, KEYS).where("label <> l2").select("vol_id", F.least("label", "l2").alias("a"), F.greatest("label", "l2").alias("b"), F.greatest("v", "h2").alias("pass"))
-        pairs = e if pairs is None else pairs.unionByName(e)
-    low = pairs.groupBy("vol_id", "a", "b").agg(F.min("pass").alias("pass")).join(span, "vol_id")
-    fa = floors.select("vol_id", F.col("label").alias("a"), F.col("floor").alias("fa"))
-    fb = floors.select("vol_id", F.col("label").alias("b"), F.col("floor").alias("fb"))
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(float(x)).alias("level")) for i, x in enumerate(levels)])).alias("l")
-    shallow = low.join(fa, ["vol_id", "a"]).join(fb, ["vol_id", "b"]).select("*", each).where("pass - greatest(fa, fb) <= range * l.level")
+    shallow = merge_tree(basin_graph(basin), few).join(span, "vol_id").select("*", each).where("saliency <= range * l.level")
     node = lambda c, k: F.concat_ws("|", "vol_id", k, F.lpad(F.col(c).cast("string"), 20, "0"))
-    merged = star_components(shallow.select(node("a", F.col("l.k")).alias("a"), node("b", F.col("l.k")).alias("b")))
-    named = floors.select("vol_id", F.col("label").alias("basin"), each).select("vol_id", "basin", "l.level", node("basin", F.col("l.k")).alias("own"))
+    merged = star_components(shallow.select(node("a", F.col("l.k")).alias("a"), node("b", F.col("l.k")).alias("b")), few)
+    named = basin.select("vol_id", F.col("label").alias("basin")).distinct().select("vol_id", "basin", each).select("vol_id", "basin", "l.level", node("basin", F.col("l.k")).alias("own"))
     label = F.coalesce(F.substring_index("component", "|", -1).cast("long"), F.col("basin")).alias("label")
     to = named.join(merged, F.col("own") == F.col("node"), "left").select("vol_id", F.col("basin"), "level", label)
     return basin.select(*KEYS, F.col("label").alias("basin")).join(to, ["vol_id", "basin"]).select("level", *KEYS, "label")

@@ -107,16 +107,22 @@ def filled(name: str, mask: str) -> str:
 
 
 def watershed(name: str, height: str, threshold: float) -> str:
-    """CTEs of a WITH RECURSIVE: name_b(z, y, x, v, label), name_s(a, b, saliency over range) of the basins of height(z, y, x, v)."""
+    """CTEs of a WITH RECURSIVE: name_b(z, y, x, v, label), name_s(a, b, saliency, span) of the basins of height(z, y, x, v): regions merge one pass
+    after the other, the lowest first, and the one of the higher floor ends; root has the region of each basin, floors its floor."""
     return f"""{name}_m AS (SELECT min(v) AS mn, max(v) AS mx FROM {height}),
 {name}_h AS MATERIALIZED (SELECT z, y, x, greatest(v, mn + {threshold}::DOUBLE * (mx - mn)) AS v, {linear()} AS i FROM {height}, {name}_m),
 {name}_p AS MATERIALIZED (SELECT a.i, arg_min(b.i, (b.v, b.i)) AS t FROM {name}_h a, (SELECT * FROM {SIX} UNION ALL SELECT 0, 0, 0) o(dz, dy, dx) JOIN {name}_h b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY a.i),
 {name}_w(i, t) AS (SELECT i, t FROM {name}_p UNION SELECT w.i, p.t FROM {name}_w w JOIN {name}_p p ON p.i = w.t),
 {name}_b AS MATERIALIZED (SELECT h.*, w.t AS label FROM {name}_h h JOIN {name}_w w USING (i) JOIN {name}_p p ON p.i = w.t WHERE p.t = w.t),
-{name}_k AS (SELECT label, min(v) AS floor FROM {name}_b GROUP BY label),
-{name}_s AS MATERIALIZED (SELECT a, b, (pass - greatest(fa.floor, fb.floor)) AS saliency, (SELECT max(v) - min(v) FROM {name}_b) AS span FROM (
-    SELECT least(p.label, q.label) AS a, greatest(p.label, q.label) AS b, min(greatest(p.v, q.v)) AS pass FROM {name}_b p, {SIX} JOIN {name}_b q ON q.z = p.z + dz AND q.y = p.y + dy AND q.x = p.x + dx WHERE p.label <> q.label GROUP BY 1, 2)
-    JOIN {name}_k fa ON fa.label = a JOIN {name}_k fb ON fb.label = b)"""
+{name}_k AS MATERIALIZED (SELECT label, min(v) AS floor, row_number() OVER (ORDER BY label) AS no FROM {name}_b GROUP BY label),
+{name}_q AS (SELECT ka.no AS a, kb.no AS b, pass FROM (SELECT least(p.label, q.label) AS la, greatest(p.label, q.label) AS lb, min(greatest(p.v, q.v)) AS pass FROM {name}_b p, {SIX} JOIN {name}_b q ON q.z = p.z + dz AND q.y = p.y + dy AND q.x = p.x + dx WHERE p.label <> q.label GROUP BY 1, 2)
+    JOIN {name}_k ka ON ka.label = la JOIN {name}_k kb ON kb.label = lb),
+{name}_o AS MATERIALIZED (SELECT a, b, pass, row_number() OVER (ORDER BY pass, a, b) AS step FROM {name}_q),
+{name}_t(step, a, b, pass, root, floors, saliency) AS (SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::DOUBLE, (SELECT list(no ORDER BY no) FROM {name}_k), (SELECT list(floor ORDER BY no) FROM {name}_k), NULL::DOUBLE UNION ALL
+    SELECT step, a, b, pass, CASE WHEN p = q THEN root ELSE list_transform(root, lambda r: CASE WHEN r = p THEN q ELSE r END) END, floors, CASE WHEN p <> q THEN pass - floors[p] END
+    FROM (SELECT step, a, b, pass, root, floors, CASE WHEN (floors[p], p) < (floors[q], q) THEN q ELSE p END AS p, CASE WHEN (floors[p], p) < (floors[q], q) THEN p ELSE q END AS q
+        FROM (SELECT o.step, o.a, o.b, o.pass, t.root, t.floors, t.root[o.a] AS p, t.root[o.b] AS q FROM {name}_t t JOIN {name}_o o ON o.step = t.step + 1))),
+{name}_s AS MATERIALIZED (SELECT ka.label AS a, kb.label AS b, saliency, (SELECT max(v) - min(v) FROM {name}_b) AS span FROM {name}_t JOIN {name}_k ka ON ka.no = a JOIN {name}_k kb ON kb.no = b WHERE saliency IS NOT NULL)"""
 
 
 def merged(name: str, basins: str, level: float) -> str:
