@@ -1,22 +1,28 @@
 """Neighbourhood kernels over blocks with a halo.
 
-Each voxel goes to its own block and to the blocks whose halo holds it; a group is one block with its halo, so a
+Between kernels a volume is a relation of chunks, dense boxes on a grid of blocks, as arrays in binary columns. A chunk goes to its
+own block, and the planes in a neighbour's halo to that one; a group is one block with its halo, so a
 task holds (block + 2 halo)^3 values whatever the volume's size, and one shuffle serves any window and any number of
-result columns. Windows at a volume's border read mirrored or replicated places, which lie inside the block and its halo.
+result columns. Windows at a volume's border read mirrored or replicated places, which lie inside the block and its halo. Rows
+of voxels are made at the end.
 
 The grid must be dense; a missing voxel is NaN for the kernel. Rows of one place that differ: the last wins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volspark.schema import BOUNDARIES
+from volspark.session import cut
 from volspark.sources.grids import extents
 
 #: Of a padded array (and, if asked for, of its volume borders) the result, or a tuple of results, of its core.
@@ -48,49 +54,176 @@ def replicated(p: np.ndarray, cut: int, borders: Borders) -> np.ndarray:
     return p
 
 
+def with_blocks(vox: DataFrame, halo: tuple[int, int, int], block: int, bounds: DataFrame | None = None) -> DataFrame:
+    """Rows with b_z, b_y, b_x of each block that needs them, and their volume's bounds."""
+    out = vox.join(extents(vox) if bounds is None else bounds, "vol_id")
+    for a, h in zip("zyx", halo, strict=True):
+        lo, hi, c = F.col(f"lo_{a}"), F.col(f"hi_{a}"), F.col(a)
+        first = F.floor((F.greatest(lo, c - h) - lo) / block).cast("int")
+        last = F.floor((F.least(hi, c + h) - lo) / block).cast("int")
+        out = out.withColumn(f"b_{a}", F.explode(F.sequence(first, last)) if h else first)
+    return out
+
+
+_CHUNK = "vol_id string, b_z int, b_y int, b_x int, first array<int>, size array<int>"
+_CELL = ["vol_id", "b_z", "b_y", "b_x"]
+_BOX = pa.list_(pa.int32())
+#: Voxels that a task gathers before it hands them on by block.
+_GATHER = 1 << 19
+
+
+@dataclass
+class Chunks:
+    """Volumes as rows of dense boxes, for kernels after each other: vol_id, b_z, b_y, b_x (the box's place on the grid of blocks that starts at 0,
+    0, 0), first (its least z, y, x), size, and a column of float64 values in that order for each of columns. bounds: a row a volume, lo and hi."""
+
+    data: DataFrame
+    bounds: DataFrame
+    block: int
+    columns: tuple[str, ...] = ("v",)
+
+
+def chunked(vox: DataFrame, block: int = 32) -> Chunks:
+    """Voxels go to their block by task: a task hands on places and values of a block together, so a block comes in few rows and its voxels
+    are neither sorted nor written as rows. The chunks are cut, so what made vox runs once."""
+    at_type, value_type = pa.binary(), pa.binary()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= _GATHER:
+                yield pieces(held)
+                held = []
+        if held:
+            yield pieces(held)
+
+    def pieces(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        names = pa.compute.dictionary_encode(rows.column("vol_id").combine_chunks())
+        names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+        code = names.indices.fill_null(len(names.dictionary)).to_numpy().astype(np.int64)
+        at = [rows.column(a).to_numpy() for a in "zyx"]
+        cell = [a // block for a in at]
+        key = code
+        for c in cell:
+            key = key * (int(c.max(initial=0)) - int(c.min(initial=0)) + 1) + c - int(c.min(initial=0))
+        order = np.argsort(key, kind="stable")
+        inner = sum((a - c * block).astype(np.int32) * np.int32(block**k) for a, c, k in zip(at, cell, (2, 1, 0), strict=True))[order]
+        v = rows.column("v").to_numpy(zero_copy_only=False).astype(np.float64)[order]
+        key = key[order]
+        cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])) if len(key) else np.zeros(1, int)
+        first = order[cuts[:-1]]
+        ends = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        vols = rows.column("vol_id").take(pa.array(first)).combine_chunks()
+        vols = vols.combine_chunks() if isinstance(vols, pa.ChunkedArray) else vols
+        return pa.RecordBatch.from_arrays([vols, *[pa.array(c[first], pa.int32()) for c in cell], pa.array([inner[i:j].tobytes() for i, j in ends], at_type), pa.array([v[i:j].tobytes() for i, j in ends], value_type)], names=[*_CELL, "at", "v"])
+
+    def assemble(rows: pa.Table) -> pa.Table:
+        at = np.frombuffer(b"".join(rows.column("at").to_pylist()), np.int32)
+        place = np.unravel_index(at, (block,) * 3)
+        lo, hi = [int(p.min()) for p in place], [int(p.max()) for p in place]
+        box = np.full([h - a + 1 for a, h in zip(lo, hi, strict=True)], np.nan)
+        box[tuple(p - a for p, a in zip(place, lo, strict=True))] = np.frombuffer(b"".join(rows.column("v").to_pylist()), np.float64)
+        cell = [rows.column(c)[0].as_py() for c in _CELL[1:]]
+        return _chunk(rows.column("vol_id")[0].as_py(), cell, [c * block + a for c, a in zip(cell, lo, strict=True)], [("v", box)])
+
+    some = vox.select("vol_id", "z", "y", "x", F.col("v").cast("double").alias("v")).mapInArrow(gather, "vol_id string, b_z int, b_y int, b_x int, at binary, v binary")
+    data = cut(some.groupBy(*_CELL).applyInArrow(assemble, f"{_CHUNK}, v binary"))
+    return Chunks(data, _bounds(data), block)
+
+
+def _bounds(data: DataFrame) -> DataFrame:
+    lo = [F.min(F.col("first")[i]) for i in range(3)]
+    hi = [F.max(F.col("first")[i] + F.col("size")[i] - 1) for i in range(3)]
+    return data.groupBy("vol_id").agg(F.array(*lo).alias("lo"), F.array(*hi).alias("hi"))
+
+
+def _chunk(vol: str, cell: list[int], first: list[int], values: list[tuple[str, np.ndarray]]) -> pa.Table:
+    one = {"vol_id": pa.array([vol], pa.string()), **{c: pa.array([k], pa.int32()) for c, k in zip(_CELL[1:], cell, strict=True)}}
+    one |= {"first": pa.array([first], _BOX), "size": pa.array([values[0][1].shape], _BOX)}
+    return pa.table(one | {c: pa.array([np.ascontiguousarray(x, np.float64).tobytes()], pa.binary()) for c, x in values})
+
+
+def _box(row: dict, column: str) -> np.ndarray:
+    return np.frombuffer(row[column], np.float64).reshape(row["size"])
+
+
+def _sent(block: int, halo: tuple[int, int, int], column: str):
+    """What each block needs of a chunk: its own all, its neighbours the planes in their halo."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                box, first = _box(row, column), row["first"]
+                last = [f + n - 1 for f, n in zip(first, row["size"], strict=True)]
+                ranges = [range(max(lo, f - h) // block, min(hi, t + h) // block + 1) for lo, hi, f, t, h in zip(row["lo"], row["hi"], first, last, halo, strict=True)]
+                out = []
+                for cell in itertools.product(*ranges):
+                    lo = [max(f, c * block - h) for f, c, h in zip(first, cell, halo, strict=True)]
+                    hi = [min(t, c * block + block - 1 + h) for t, c, h in zip(last, cell, halo, strict=True)]
+                    if all(a <= z for a, z in zip(lo, hi, strict=True)):
+                        out.append((cell, lo, box[tuple(slice(a - f, z - f + 1) for a, z, f in zip(lo, hi, first, strict=True))]))
+                n = len(out)
+                arrays = [pa.array([row["vol_id"]] * n, pa.string()), *[pa.array([c[i] for c, _, _ in out], pa.int32()) for i in range(3)], pa.array([f for _, f, _ in out], _BOX), pa.array([x.shape for _, _, x in out], _BOX), pa.array([np.ascontiguousarray(x).tobytes() for _, _, x in out], pa.binary()), pa.array([row["lo"]] * n, _BOX), pa.array([row["hi"]] * n, _BOX)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*_CELL, "first", "size", "v", "lo", "hi"])
+
+    return run
+
+
 def _run(kernel: Kernel, halo: tuple[int, int, int], boundary: str, block: int, columns: tuple[str, ...], bordered: bool, placed: bool):
     def run(rows: pa.Table) -> pa.Table:
-        at = [rows.column(a).to_numpy() for a in "zyx"]
-        lo, hi, cell = [[rows.column(f"{n}_{a}")[0].as_py() for a in "zyx"] for n in ("lo", "hi", "b")]
-        first = [lo[i] + cell[i] * block for i in range(3)]
-        last = [min(first[i] + block - 1, hi[i]) for i in range(3)]
+        pieces = rows.to_pylist()
+        lo, hi, cell = pieces[0]["lo"], pieces[0]["hi"], [pieces[0][c] for c in _CELL[1:]]
+        first = [max(lo[i], cell[i] * block) for i in range(3)]
+        last = [min(cell[i] * block + block - 1, hi[i]) for i in range(3)]
         base = [max(lo[i], first[i] - halo[i]) for i in range(3)]
         shape = [min(hi[i], last[i] + halo[i]) - base[i] + 1 for i in range(3)]
         data = np.full(shape, np.nan)
-        data[tuple(a - b for a, b in zip(at, base, strict=True))] = rows.column("v").to_numpy()
-        index = [np.clip(mirrored(np.arange(first[i] - halo[i], last[i] + halo[i] + 1), lo[i], hi[i], boundary) - base[i], 0, shape[i] - 1) for i in range(3)]
-        padded = data[np.ix_(*index)]
+        for r in pieces:
+            data[tuple(slice(f - b, f - b + n) for f, b, n in zip(r["first"], base, r["size"], strict=True))] = _box(r, "v")
+        if any(halo):
+            index = [np.clip(mirrored(np.arange(first[i] - halo[i], last[i] + halo[i] + 1), lo[i], hi[i], boundary) - base[i], 0, shape[i] - 1) for i in range(3)]
+            data = data[np.ix_(*index)]
         borders = [(max(0, halo[i] - (first[i] - lo[i])), max(0, halo[i] - (hi[i] - last[i]))) for i in range(3)]
-        out = kernel(padded, *([tuple(first)] if placed else []), *([borders] if bordered or placed else []))
-        out = out if isinstance(out, tuple) else (out,)
-        places = np.meshgrid(*[np.arange(first[i], last[i] + 1, dtype=np.int32) for i in range(3)], indexing="ij")
-        n = places[0].size
-        vol = pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([rows.column("vol_id")[0].as_py()], pa.string())).cast(pa.string())
-        return pa.table({"vol_id": vol, **{a: pa.array(p.ravel()) for a, p in zip("zyx", places, strict=True)}, **{c: pa.array(np.ascontiguousarray(o, dtype=np.float64).ravel()) for c, o in zip(columns, out, strict=True)}})
+        out = kernel(data, *([tuple(first)] if placed else []), *([borders] if bordered or placed else []))
+        return _chunk(pieces[0]["vol_id"], cell, first, list(zip(columns, out if isinstance(out, tuple) else (out,), strict=True)))
 
     return run
 
 
-def with_blocks(vox: DataFrame, halo: tuple[int, int, int], block: int, bounds: DataFrame | None = None) -> DataFrame:
-    """Rows with b_z, b_y, b_x of each block that needs them, and their volume's bounds."""
-    out = vox.join(extents(vox) if bounds is None else bounds, "vol_id")
-    for a, h in zip("zyx", halo, strict=True):
-        lo, hi, c = F.col(f"lo_{a}"), F.col(f"hi_{a}"), F.col(a)
-        first = F.floor((F.greatest(lo, c - h) - lo) / block).cast("int")
-        last = F.floor((F.least(hi, c + h) - lo) / block).cast("int")
-        out = out.withColumn(f"b_{a}", F.explode(F.sequence(first, last)) if h else first)
-    return out
+def over_chunks(chunks: Chunks, kernel: Kernel, halo: tuple[int, int, int], boundary: str = "replicate", columns: tuple[str, ...] = ("v",), bordered: bool = False, placed: bool = False) -> Chunks:
+    """over_blocks() of the first column of chunks, to chunks: between kernels go the chunks and the planes in their neighbours' halo, as arrays.
+    No halo is wider than a block. A block whose voxels are all missing stays so."""
+    if boundary not in BOUNDARIES:
+        raise ValueError(f"boundary is one of {BOUNDARIES}")
+    if max(halo) > chunks.block:
+        raise ValueError("a halo is at most a block wide")
+    sent = chunks.data.select(*_CELL, "first", "size", chunks.columns[0]).join(chunks.bounds, "vol_id").mapInArrow(_sent(chunks.block, halo, chunks.columns[0]), f"{_CHUNK}, v binary, lo array<int>, hi array<int>")
+    schema = f"{_CHUNK}, " + ", ".join(f"{c} binary" for c in columns)
+    data = sent.groupBy(*_CELL).applyInArrow(_run(kernel, halo, boundary, chunks.block, columns, bordered, placed), schema)
+    return Chunks(data, chunks.bounds, chunks.block, columns)
+
+
+def voxels_of(chunks: Chunks) -> DataFrame:
+    """vol_id, z, y, x and the columns of chunks, a row a voxel."""
+    columns = chunks.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                n = int(np.prod(row["size"]))
+                places = np.meshgrid(*[np.arange(f, f + k, dtype=np.int32) for f, k in zip(row["first"], row["size"], strict=True)], indexing="ij")
+                vol = pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([row["vol_id"]], pa.string())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([vol, *[pa.array(p.ravel()) for p in places], *[pa.array(np.frombuffer(row[c], np.float64)) for c in columns]], names=["vol_id", "z", "y", "x", *columns])
+
+    return chunks.data.mapInArrow(run, "vol_id string, z int, y int, x int, " + ", ".join(f"{c} double" for c in columns))
 
 
 def over_blocks(vox: DataFrame, kernel: Kernel, halo: tuple[int, int, int], boundary: str = "replicate", block: int = 32, columns: tuple[str, ...] = ("v",), bordered: bool = False, placed: bool = False) -> DataFrame:
     """kernel maps a padded array to the array of its core, or to a tuple of arrays, one for each of columns; bordered kernels
     are told which padding lies outside the volume, placed ones where the core starts, too. Returns vol_id, z, y, x and columns."""
-    if boundary not in BOUNDARIES:
-        raise ValueError(f"boundary is one of {BOUNDARIES}")
-    block = max(block, *halo)
-    rows = with_blocks(vox.select("vol_id", "z", "y", "x", F.col("v").cast("double").alias("v")), halo, block)
-    schema = "vol_id string, z int, y int, x int, " + ", ".join(f"{c} double" for c in columns)
-    return rows.groupBy("vol_id", "b_z", "b_y", "b_x").applyInArrow(_run(kernel, halo, boundary, block, columns, bordered, placed), schema)
+    return voxels_of(over_chunks(chunked(vox, max(block, *halo)), kernel, halo, boundary, columns, bordered, placed))
 
 
 def windows(padded: np.ndarray, halo: tuple[int, int, int]) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from volspark.operators.blocks import Borders, box_mean, over_blocks, replicated, windows
+from volspark.operators.blocks import Borders, box_mean, chunked, over_blocks, over_chunks, replicated, voxels_of, windows
 
 
 def _cube(r: int) -> tuple[int, int, int]:
@@ -150,7 +150,9 @@ def curvature_diffusion(vox: DataFrame, iterations: int, step: float = 0.0625, c
         div = sum(_central(c * g[axis] / size)[axis] for axis in range(3))
         return p[2:-2, 2:-2, 2:-2] + step * size[inner] * div
 
-    out, left = vox, iterations
+    if iterations < 1:
+        return vox
+    out, left = chunked(vox, 32), iterations
     while left > 0:
         n = min(left, 4)
 
@@ -161,6 +163,6 @@ def curvature_diffusion(vox: DataFrame, iterations: int, step: float = 0.0625, c
                     p = replicated(p, 2 * (n - k), borders)
             return p
 
-        out = over_blocks(out, kernel, _cube(2 * n), "replicate", bordered=True)
+        out = over_chunks(out, kernel, _cube(2 * n), "replicate", bordered=True)
         left -= n
-    return out
+    return voxels_of(out)
