@@ -65,7 +65,7 @@ def with_blocks(vox: DataFrame, halo: tuple[int, int, int], block: int, bounds:
     return out
 
 
-_CHUNK = "vol_id string, b_z int, b_y int, b_x int, first array<int>, size array<int>"
+CHUNK = "vol_id string, b_z int, b_y int, b_x int, first array<int>, size array<int>"
 _CELL = ["vol_id", "b_z", "b_y", "b_x"]
 _BOX = pa.list_(pa.int32())
 #: Voxels that a task gathers before it hands them on by block.
@@ -126,10 +126,10 @@ def chunked(vox: DataFrame, block: int = 32) -> Chunks:
         box = np.full([h - a + 1 for a, h in zip(lo, hi, strict=True)], np.nan)
         box[tuple(p - a for p, a in zip(place, lo, strict=True))] = np.frombuffer(b"".join(rows.column("v").to_pylist()), np.float64)
         cell = [rows.column(c)[0].as_py() for c in _CELL[1:]]
-        return _chunk(rows.column("vol_id")[0].as_py(), cell, [c * block + a for c, a in zip(cell, lo, strict=True)], [("v", box)])
+        return chunk_row(rows.column("vol_id")[0].as_py(), cell, [c * block + a for c, a in zip(cell, lo, strict=True)], [("v", box)])
 
     some = vox.select("vol_id", "z", "y", "x", F.col("v").cast("double").alias("v")).mapInArrow(gather, "vol_id string, b_z int, b_y int, b_x int, at binary, v binary")
-    data = cut(some.groupBy(*_CELL).applyInArrow(assemble, f"{_CHUNK}, v binary"))
+    data = cut(some.groupBy(*_CELL).applyInArrow(assemble, f"{CHUNK}, v binary"))
     return Chunks(data, _bounds(data), block)
 
 
@@ -139,7 +139,7 @@ def _bounds(data: DataFrame) -> DataFrame:
     return data.groupBy("vol_id").agg(F.array(*lo).alias("lo"), F.array(*hi).alias("hi"))
 
 
-def _chunk(vol: str, cell: list[int], first: list[int], values: list[tuple[str, np.ndarray]]) -> pa.Table:
+def chunk_row(vol: str, cell: list[int], first: list[int], values: list[tuple[str, np.ndarray]]) -> pa.Table:
     one = {"vol_id": pa.array([vol], pa.string()), **{c: pa.array([k], pa.int32()) for c, k in zip(_CELL[1:], cell, strict=True)}}
     one |= {"first": pa.array([first], _BOX), "size": pa.array([values[0][1].shape], _BOX)}
     return pa.table(one | {c: pa.array([np.ascontiguousarray(x, np.float64).tobytes()], pa.binary()) for c, x in values})
@@ -187,7 +187,7 @@ def _run(kernel: Kernel, halo: tuple[int, int, int], boundary: str, block: int,
             data = data[np.ix_(*index)]
         borders = [(max(0, halo[i] - (first[i] - lo[i])), max(0, halo[i] - (hi[i] - last[i]))) for i in range(3)]
         out = kernel(data, *([tuple(first)] if placed else []), *([borders] if bordered or placed else []))
-        return _chunk(pieces[0]["vol_id"], cell, first, list(zip(columns, out if isinstance(out, tuple) else (out,), strict=True)))
+        return chunk_row(pieces[0]["vol_id"], cell, first, list(zip(columns, out if isinstance(out, tuple) else (out,), strict=True)))
 
     return run
 
@@ -199,12 +199,43 @@ def over_chunks(chunks: Chunks, kernel: Kernel, halo: tuple[int, int, int], boun
         raise ValueError(f"boundary is one of {BOUNDARIES}")
     if max(halo) > chunks.block:
         raise ValueError("a halo is at most a block wide")
-    sent = chunks.data.select(*_CELL, "first", "size", chunks.columns[0]).join(chunks.bounds, "vol_id").mapInArrow(_sent(chunks.block, halo, chunks.columns[0]), f"{_CHUNK}, v binary, lo array<int>, hi array<int>")
-    schema = f"{_CHUNK}, " + ", ".join(f"{c} binary" for c in columns)
+    sent = chunks.data.select(*_CELL, "first", "size", chunks.columns[0]).join(chunks.bounds, "vol_id").mapInArrow(_sent(chunks.block, halo, chunks.columns[0]), f"{CHUNK}, v binary, lo array<int>, hi array<int>")
+    schema = f"{CHUNK}, " + ", ".join(f"{c} binary" for c in columns)
     data = sent.groupBy(*_CELL).applyInArrow(_run(kernel, halo, boundary, chunks.block, columns, bordered, placed), schema)
     return Chunks(data, chunks.bounds, chunks.block, columns)
 
 
+def on_chunks(chunks: Chunks, f: Callable[..., np.ndarray], by: DataFrame | None = None) -> Chunks:
+    """f of the arrays of all columns of a chunk, in place, to one column v; by: more arguments for f, a row of numbers a volume (volumes without one go)."""
+    columns = chunks.columns
+    more = [c for c in by.columns if c != "vol_id"] if by is not None else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                out = f(*[_box(row, c) for c in columns], *[row[c] for c in more])
+                yield from chunk_row(row["vol_id"], [row[c] for c in _CELL[1:]], row["first"], [("v", out)]).to_batches()
+
+    data = chunks.data.join(by, "vol_id") if by is not None else chunks.data
+    return Chunks(data.mapInArrow(run, f"{CHUNK}, v binary"), chunks.bounds, chunks.block)
+
+
+def chunk_means(chunks: Chunks, column: str) -> DataFrame:
+    """vol_id and mean of a column of chunks; missing voxels do not count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = [np.frombuffer(x, np.float64) for x in b.column(1).to_pylist()]
+            arrays = [b.column(0), pa.array([float(np.nansum(x)) for x in values]), pa.array([int((~np.isnan(x)).sum()) for x in values], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["vol_id", "s", "n"])
+
+    return chunks.data.select("vol_id", column).mapInArrow(run, "vol_id string, s double, n long").groupBy("vol_id").agg((F.sum("s") / F.sum("n")).alias("mean"))
+
+
+def cut_chunks(chunks: Chunks) -> Chunks:
+    return Chunks(cut(chunks.data), chunks.bounds, chunks.block, chunks.columns)
+
+
 def voxels_of(chunks: Chunks) -> DataFrame:
     """vol_id, z, y, x and the columns of chunks, a row a voxel."""
     columns = chunks.columns
@@ -217,7 +248,7 @@ def voxels_of(chunks: Chunks) -> DataFrame:
                 vol = pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([row["vol_id"]], pa.string())).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([vol, *[pa.array(p.ravel()) for p in places], *[pa.array(np.frombuffer(row[c], np.float64)) for c in columns]], names=["vol_id", "z", "y", "x", *columns])
 
-    return chunks.data.mapInArrow(run, "vol_id string, z int, y int, x int, " + ", ".join(f"{c} double" for c in columns))
+    return chunks.data.select(*_CELL, "first", "size", *columns).mapInArrow(run, "vol_id string, z int, y int, x int, " + ", ".join(f"{c} double" for c in columns))
 
 
 def over_blocks(vox: DataFrame, kernel: Kernel, halo: tuple[int, int, int], boundary: str = "replicate", block: int = 32, columns: tuple[str, ...] = ("v",), bordered: bool = False, placed: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volspark.functions.stats import mse_psnr, percentiles
-from volspark.operators.blocks import Borders, box_mean, over_blocks, replicated, windows
+from volspark.operators.blocks import Borders, Chunks, box_mean, chunk_means, chunked, cut_chunks, on_chunks, over_blocks, over_chunks, replicated, voxels_of, windows
 from volspark.operators.stencil import median_without_centre, plain_gradient, plain_median
 from volspark.schema import KEYS
 from volspark.session import cut
@@ -51,9 +51,10 @@ def adaptive_median_approximation(vox: DataFrame) -> DataFrame:
         m = replicated(m, 1, borders)
         return p[2:-2, 2:-2, 2:-2], m[1:-1, 1:-1, 1:-1], plain_gradient(m)
 
-    local = cut(over_blocks(vox, kernel, (2, 2, 2), "replicate", columns=("v", "m", "g"), bordered=True))
-    top = percentiles(local.select("vol_id", F.col("g").alias("v")), [0.82]).select("vol_id", F.col("p")[0].alias("top"))
-    return local.join(top, "vol_id").select(*KEYS, F.when(F.col("g") > F.col("top"), F.col("v")).otherwise(F.col("m")).alias("v"))
+    local = cut_chunks(over_chunks(chunked(vox), kernel, (2, 2, 2), "replicate", columns=("v", "m", "g"), bordered=True))
+    gradients = voxels_of(Chunks(local.data, local.bounds, local.block, ("g",)))
+    top = percentiles(gradients.select("vol_id", F.col("g").alias("v")), [0.82]).select("vol_id", F.col("p")[0].alias("top"))
+    return voxels_of(on_chunks(local, lambda v, m, g, t: np.where(g > t, v, m), top))
 
 
 def adaptive_wiener(vox: DataFrame, size: int = 5, noise: float | None = None) -> DataFrame:
@@ -66,14 +67,13 @@ def adaptive_wiener(vox: DataFrame, size: int = 5, noise: float | None = None) -
         core = p[h:-h, h:-h, h:-h]
         return core, mu, box_mean(p * p, h) - mu * mu
 
-    local = over_blocks(vox, kernel, (h, h, h), "symmetric", columns=("v", "mu", "s2"))
+    local = over_chunks(chunked(vox, max(32, h)), kernel, (h, h, h), "symmetric", columns=("v", "mu", "s2"))
     if noise is None:
-        local = cut(local)
-        local = local.join(local.groupBy("vol_id").agg(F.avg("s2").alias("n2")), "vol_id")
+        local = cut_chunks(local)
+        by = chunk_means(local, "s2")
     else:
-        local = local.withColumn("n2", F.lit(float(noise)))
-    gain = F.greatest(F.col("s2") - F.col("n2"), F.lit(0.0)) / F.greatest(F.col("s2"), F.lit(float(np.finfo(float).eps)))
-    return local.select(*KEYS, (F.col("mu") + gain * (F.col("v") - F.col("mu"))).alias("v"))
+        by = local.bounds.select("vol_id", F.lit(float(noise)).alias("n2"))
+    return voxels_of(on_chunks(local, lambda v, mu, s2, n2: mu + np.maximum(s2 - n2, 0.0) / np.maximum(s2, np.finfo(float).eps) * (v - mu), by))
 
 
 def with_hash(vox: DataFrame, name: str, seed: int) -> DataFrame:

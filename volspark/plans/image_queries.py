@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from volspark.operators import cluster, denoise, fronts, lesion, regions, stencil, threshold
+from volspark.operators import bias, cluster, denoise, fronts, lesion, regions, stencil, threshold
 from volspark.plans import sweeps
 from volspark.plans import sqltext as T
 from volspark.plans.sqltext import GRIDS, central, grid, histogram, uint8
@@ -507,6 +507,12 @@ def level_set(spark, sf):
     return fronts.level_set(voxels(spark, sf, "events"), (1, 10, 12), 2, 0.5, -20.0, 60.0, 40.0)
 
 
+@query()
+def n4_log_bias(spark, sf):
+    """Fitted on every second voxel, as the grid is small."""
+    return _r(bias.n4_log_bias(voxels(spark, sf, "events"), shrink=2), "v", digits=5)
+
+
 @query()
 def polynomial_log_bias(spark, sf):
     return _r(fronts.polynomial_log_bias(voxels(spark, sf, "events")), "v", digits=5)
