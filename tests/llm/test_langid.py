@@ -106,3 +106,15 @@ def test_pieces_of_a_long_text(monkeypatch):
     for n in (1, 2, 7, 64):
         monkeypatch.setattr(langid, "_PIECE", n)
         assert one() == whole
+
+
+def test_more_languages_than_rows_of_each(spark):
+    """600 languages of one letter each, some of them on repeated ids of two languages: all are learned."""
+    rows = [(i, chr(0x4E00 + i) * 3 + f" {chr(0x4E00 + i)}", f"l{i:03}") for i in range(600)] + [(5, "abc", "l005"), (7, "xyz", "l900")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(d, F.lit(True), most_rows=601)
+    assert len(model.languages) == 601
+    names, _ = model.predict([t for _, t, _ in rows[:300]])
+    assert sum(n == r[2] for n, r in zip(names, rows, strict=False)) > 250
+    few = langid.fit(d, F.lit(True), most_rows=1)  # beyond the bound: the most frequent language, of an id that has other rows as well
+    assert few.languages == ["l005"]

@@ -71,5 +71,22 @@ def test_equal_rows_have_one_response(spark):
     back = warc.read_records(warc.lookup(warc.build_index(captures), captures.select("url_key", "page_id", "record"))).collect()
     assert len(back) == len({r["record"] for r in back}) == len(rows)
     got = sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"]), r["payload_bytes"]) for r in back)
-    assert got == sorted([("5", "response", "None", 150), *[("5", "revisit", "5", 150)] * 3, ("6", "revisit", "5", 150), ("-7", "response", "None", 120), ("-7", "revisit", "-7", 120), *[("8", "response", "None", 1)] * 2, ("None", "response", "None", 150)])
-    assert sorted(len(r["payload"]) for r in back) == [0, 0, 0, 0, 0, 1, 1, 120, 150, 150]
+    assert got == sorted([("5", "response", "None", 150), *[("5", "revisit", "5", 150)] * 3, ("6", "revisit", "5", 150), ("-7", "response", "None", 120), ("-7", "revisit", "-7", 120), *[("8", "response", "None", 1)] * 2, ("None", "revisit", "5", 150)])
+    assert sorted(len(r["payload"]) for r in back) == [0, 0, 0, 0, 0, 0, 1, 1, 120, 150]
+
+
+def test_rows_without_an_id_revisit_the_least_id(spark):
+    rows = [(3, "http://a.org", BIG), (None, "http://b.org", BIG), (5, "http://c.org", BIG), (None, "x", "y" * 120), (None, "x", "y" * 120)]
+    captures = warc.write_archives(_pages(spark, rows))
+    back = warc.read_records(warc.lookup(warc.build_index(captures), captures.select("url_key", "page_id", "record"))).collect()
+    got = sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"]), r["payload_bytes"]) for r in back)
+    # of the second payload no row has an id to refer to
+    assert got == sorted([("3", "response", "None", 150), ("None", "revisit", "3", 150), ("5", "revisit", "3", 150), *[("None", "response", "None", 120)] * 2])
+
+
+def test_a_page_of_many_megabytes(spark):
+    big = "ä<p>" * 2_000_000
+    captures = warc.write_archives(_pages(spark, [(1, "http://a.org", big), (2, "http://b.org", big), (3, "http://c.org", "s")]))
+    back = {r["page_id"]: r for r in warc.read_records(warc.lookup(warc.build_index(captures), captures.select("url_key", "page_id", "record"))).collect()}
+    assert back[1]["payload_bytes"] == back[2]["payload_bytes"] == len(big.encode()) and bytes(back[1]["payload"]) == big.encode()
+    assert back[2]["refers_to"] == "1" and back[2]["digest"] == hashlib.sha256(big.encode()).hexdigest()

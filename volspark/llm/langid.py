@@ -6,8 +6,9 @@ n-grams are hashed into ``dim`` columns. Nystroem: with m landmark texts, phi(x)
 One-versus-rest kernel ridge regression on phi solves (Phi'Phi + lambda I) W = Phi'Y with targets +-1.
 Scoring is two matrix products per block of texts: presence (texts x dim) by landmarks (dim x m), then by m x languages.
 
-Training uses at most ``per_language`` labelled texts of each language (a documented bound; which ones is decided by a
-hash of the id; a repeated id counts once) and the ``languages`` most frequent languages (256, a documented bound, too), of which ``landmarks`` per language are landmarks. Landmarks go to the driver; the
+Training uses at most ``per_language`` labelled texts of each language and ``most_rows`` in all (documented bounds; which ones is decided by a
+hash of the id; a repeated id counts once), of which ``landmarks`` per language are landmarks. No language is left out until there are
+more of them than ``most_rows``. Landmarks go to the driver; the
 normal equations are summed over partitions on the executors. Every text is read whole, in training and in prediction.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is every text if there is nothing to
@@ -31,7 +32,7 @@ NGRAMS = (1, 2, 3)
 #: Odd multipliers of the n-gram hash, fixed so that all tasks agree.
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 _BLOCK = 128
-#: Landmarks of all languages together (at least 4 a language are taken), so that the model fits the driver and every task.
+#: Landmarks of all languages together, so that the model fits the driver and every task.
 MOST_LANDMARKS = 2048
 
 _letters: np.ndarray | None = None
@@ -115,35 +116,35 @@ class Model:
         return names, scores
 
 
-def _bounded(rows: DataFrame, id_col: str, lang_col: str, bound: int, languages: int = 256) -> DataFrame:
-    """At most bound rows (id, lang) of each of the most frequent languages: those with the smallest hashes of their id."""
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(languages).collect()}
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * bound / n + 50 / n)))]) if counts else None
-    if share is None:
-        return rows.limit(0)
+def _bounded(rows: DataFrame, id_col: str, lang_col: str, bound: int, most: int = 8192 * 16) -> DataFrame:
+    """At most bound rows (id, lang, k) of each language, and ``most`` rows in all: those with the smallest hashes of their id. Of more than
+    ``most`` languages the most frequent."""
+    counts = rows.groupBy(F.col(lang_col).alias("of")).count().orderBy(F.desc("count"), "of").limit(most).collect()
+    bound = max(1, min(bound, most // max(1, len(counts))))
+    share = rows.sparkSession.createDataFrame([(r[0], (1.5 * bound + 50) / r[1]) for r in counts], T.StructType([T.StructField("of", rows.schema[lang_col].dataType), T.StructField("share", T.DoubleType())]))
     u = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 31))
-    few = rows.withColumn("u", u).where(F.col("u") < F.element_at(share, F.col(lang_col)) * float(1 << 31)).distinct()  # a repeated id counts once
+    few = rows.withColumn("u", u).join(F.broadcast(share), F.col(lang_col) == F.col("of")).where(F.col("u") < F.col("share") * float(1 << 31))
     w = Window.partitionBy(lang_col).orderBy("u", id_col)
-    return few.withColumn("k", F.row_number().over(w)).where(F.col("k") <= bound).select(id_col, lang_col, "k")
+    return few.select(id_col, lang_col, "u").distinct().withColumn("k", F.row_number().over(w)).where(F.col("k") <= bound).select(id_col, lang_col, "k", "u")  # a repeated id counts once
 
 
-def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, landmarks: int = 48, dim: int = 1 << 13, ridge: float = 1e-2, languages: int = 256) -> Model:
+def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, landmarks: int = 48, dim: int = 1 << 13, ridge: float = 1e-2, most_rows: int = 8192 * 16) -> Model:
     """Learns from text and non-null lang of the rows where usable holds."""
-    most = languages
     spark = docs.sparkSession
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    chosen = _bounded(rows.select(id_col, lang_col), id_col, lang_col, per_language, most).collect()
+    chosen = _bounded(rows.select(id_col, lang_col), id_col, lang_col, per_language, most_rows).collect()
     if not chosen:
         return Model([], np.zeros((dim, 0), np.float32), np.zeros((0, 0), np.float32), dim)
     languages = sorted({r[1] for r in chosen})
-    rank = {r[0]: r[2] for r in chosen}
-    landmarks = min(landmarks, max(4, MOST_LANDMARKS // len(languages)))
-    own = free_name(docs, "chosen")
-    ids = spark.createDataFrame([(r[0],) for r in chosen], T.StructType([T.StructField(own, docs.schema[id_col].dataType)]))
-    sample = rows.join(F.broadcast(ids.distinct()), F.col(id_col) == F.col(own), "left_semi").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sample = sample.groupBy("id", "lang").agg(F.min("text").alias("text")).select("id", "text", "lang")  # of an id with many rows, one
-    marks = sample.where(F.col("id").isin([k for k, n in rank.items() if n <= landmarks])).collect()
-    marks = sorted(marks, key=lambda r: (r["lang"], rank[r["id"]], r["text"]))
+    rank = {(r[0], r[1]): r[2] for r in chosen}
+    # of every language equally many landmarks; of more languages than MOST_LANDMARKS those of the smallest hashes
+    per = max(1, min(landmarks, MOST_LANDMARKS // len(languages)))
+    marked = {(r[0], r[1]) for r in sorted((r for r in chosen if r[2] <= per), key=lambda r: (r[3], r[1]))[: max(MOST_LANDMARKS, per)]}
+    own, of = free_name(docs, "chosen"), free_name(docs, "chosen_lang")
+    pairs = spark.createDataFrame([(r[0], r[1], (r[0], r[1]) in marked) for r in chosen], T.StructType([T.StructField(own, docs.schema[id_col].dataType), T.StructField(of, docs.schema[lang_col].dataType), T.StructField("is_mark", T.BooleanType())]))
+    sample = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(pairs), (F.col("id") == F.col(own)) & (F.col("lang") == F.col(of)))
+    sample = sample.groupBy("id", "lang").agg(F.min("text").alias("text"), F.first("is_mark").alias("is_mark"))  # of an id with many rows, one
+    marks = sorted(sample.where("is_mark").collect(), key=lambda r: (r["lang"], rank[r["id"], r["lang"]], r["text"]))
     found = [(x, s) for _, x, s in blocks([r["text"] for r in marks], dim)]
     base = np.concatenate([x for x, _ in found])[np.concatenate([s for _, s in found]) > 0].T.copy()
     if not base.shape[1]:

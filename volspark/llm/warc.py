@@ -16,7 +16,7 @@ forward by ranges; headers are parsed and payloads cut by Content-Length.
 Defined cases: null html is an empty payload; null url has the empty key; payloads under 100 bytes are always responses;
 repeated ids are records of their own: a response is named by id and payload digest, others by id, archive and number in it; the
 page id has its own header. Of equal payloads with one smallest page_id the least url (null first) is the response, of equal rows one; all others
-revisit it. Rows without an id are responses. page_id is a whole number. A very long payload is one record, held whole by its task.
+revisit it, rows without an id as well; where no row of a payload has an id, all are responses, as there is none to refer to. page_id is a whole number. A very long payload is one record, held whole by its task.
 """
 
 from __future__ import annotations
@@ -137,7 +137,7 @@ def write_archives(pages: DataFrame, archive_bytes: int = 64 << 20, root: str |
     rows = rows.join(first, F.col("digest") == F.col("d"), "left")
     named = first.join(repeats, F.col("first") == F.col("again"), "left_semi").select(F.col("d").alias("named"))
     rows = rows.join(named, F.col("digest") == F.col("named"), "left")
-    refers = F.when(large & F.col("page_id").isNotNull() & ((F.col("page_id") != F.col("first")) | ~F.col("leads")), F.col("first"))
+    refers = F.when(large & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first")) | ~F.col("leads")), F.col("first"))
     refers_name = F.when(refers.isNotNull(), F.concat(F.col("first").cast("string"), F.when(F.col("named").isNotNull(), F.concat(F.lit("-"), F.substring("digest", 1, 32))).otherwise("")))
     name = F.when(F.col("page_id").isNotNull() & ~F.col("repeated"), F.col("page_id").cast("string")).when(F.col("repeated") & large & refers.isNull(), F.concat(F.col("page_id").cast("string"), F.lit("-"), F.substring("digest", 1, 32)))
     rows = rows.select("page_id", "url", "html", "url_key", "digest", F.col("size").alias("size"), refers.alias("refers_to"), refers_name.alias("refers_name"), name.alias("name"))
@@ -258,9 +258,9 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH p AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first, row_number() OVER (PARTITION BY d ORDER BY page_id, url NULLS FIRST) AS k FROM p)
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first, row_number() OVER (PARTITION BY d ORDER BY page_id NULLS LAST, url NULLS FIRST) AS k FROM p)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
-       CASE WHEN n >= 100 AND page_id IS NOT NULL AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 100 AND page_id IS NOT NULL AND k > 1 THEN first END AS refers_to
+       CASE WHEN n >= 100 AND first IS NOT NULL AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND first IS NOT NULL AND k > 1 THEN first END AS refers_to
 FROM f
 """
