@@ -31,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates (5-word shingles, similarity 0.8) one row stays, that of the smallest doc_id; rows without one take
-    part and stay only where no row of their class has one. Of rows equal in doc_id and text any one stays; texts without words all
+    part and stay only where no row of their class has one. Several texts under one doc_id are judged each alone, and those that resemble none stay. Of rows equal in doc_id and text any one stays; texts without words all
     stay; an empty table gives one."""
     return minhash.first_of_classes(docs, k=5)
 
