@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from volspark.functions import stats
 from volspark.operators import cluster, denoise, fronts, lesion, regions, stencil, threshold
 from volspark.operators.blocks import over_blocks, windows
+from volspark.plans import sweeps
 from volspark.schema import KEYS, VOXELS
 from volspark.sources.grids import extents
 
@@ -227,6 +228,23 @@ def test_lesion_parts(spark):
     assert lesion.clean_mask(labels.where("label = 1"), v, 20).count() == 27
     with pytest.raises(ValueError):
         lesion.foreground(v, 500.0)
+    both = volume(spark, a * 10, "large").unionByName(v)  # one volume's voxels do not hide that another has none
+    with pytest.raises(ValueError, match="1 volumes, a"):
+        lesion.foreground(both, 250.0, 0, 0, least=20)
+
+
+@pytest.mark.parametrize("organ", ["brain", "breast", "liver"])
+def test_lesion_run_of_each_organ(spark, organ):
+    rng = np.random.default_rng(7)
+    z, y, x = np.indices((18, 20, 20))
+    body = ((z - 9) / 8) ** 2 + ((y - 10) / 9) ** 2 + ((x - 10) / 9) ** 2 < 1
+    spot = (abs(z - 9) <= 1) & (abs(y - 8) <= 2) & (abs(x - 11) <= 2)
+    a = np.where(body, 200 + rng.normal(0, 6, z.shape) + 40 * (y > 10), rng.uniform(0, 8, z.shape)) + 300 * spot
+    settings = {"close_radius": 1, "open_radius": 1, "least": 500} | ({"least_part": 300} if organ == "breast" else {}) | ({"erode_radius": 2} if organ == "brain" else {})
+    report, mask = sweeps.lesion_run(volume(spark, a), organ, range(3, 5), correct={"iterations": (3,), "shrink": 2}, least_lesion=10, **settings)
+    r, found = report.first(), {(m["z"], m["y"], m["x"]) for m in mask.collect()}
+    assert r["lesion_voxels"] == len(found) and r["roi_voxels"] > 1000
+    assert set(zip(*(c.tolist() for c in np.nonzero(spot)), strict=True)) <= found and len(found) < 2 * spot.sum()
 
 
 def test_kmeans_ends_when_no_cluster_changes(spark):
@@ -248,7 +266,7 @@ def test_border_erodes_nothing(spark):
 
 
 def test_registered_grids_are_whole():
-    from volspark.plans import sweeps
+
 
     assert list(sweeps.KS) == [3, 4, 5, 6, 7, 8] and len(sweeps.NOISES) == 12
     assert np.prod([len(x) for x in sweeps.WATERSHED.values()]) == 27

@@ -19,9 +19,10 @@ from volspark.sources.grids import extents
 TAIL, COMPACT, EDGE, PAIR_LEAD = 0.5, 0.25, 0.25, 0.05
 
 
-def foreground(vox: DataFrame, threshold: float | str, close_radius: int = 1, open_radius: int = 1, erode_radius: int = 0, least: int = 50) -> DataFrame:
-    """Threshold (a number, or the method of a histogram threshold), closing, opening, holes filled, largest component, optional erosion.
-    The volume's border erodes nothing. An error if fewer than least voxels are left."""
+def foreground(vox: DataFrame, threshold: float | str, close_radius: int = 1, open_radius: int = 1, erode_radius: int = 0, least: int = 50, largest: bool = True, least_part: int = 1) -> DataFrame:
+    """Threshold (a number, or the method of a histogram threshold), closing, opening, holes filled, then the largest component, or all of at least
+    least_part voxels; optional erosion, after which the same choice is made. The volume's border erodes nothing. An error if fewer than least
+    voxels are left in any of the volumes."""
     bounds = extents(vox)
     if isinstance(threshold, str):
         m = vox.join(METHODS[threshold](vox).select("vol_id", "threshold"), "vol_id").where(F.col("v") > F.col("threshold")).select(*KEYS)
@@ -31,13 +32,14 @@ def foreground(vox: DataFrame, threshold: float | str, close_radius: int = 1, op
         m = cut(regions.safe_closing(m, regions.ball(close_radius), bounds))
     if open_radius:
         m = cut(regions.safe_opening(m, regions.ball(open_radius), vox))
-    m = cut(regions.fill_holes(m, vox))
-    m = regions.keep_components(cut(regions.components(m)), top=1).select(*KEYS)
+    parts = lambda m: regions.keep_components(cut(regions.components(m)), 1 if largest else least_part, 1 if largest else None).select(*KEYS)
+    m = parts(cut(regions.fill_holes(m, vox)))
     if erode_radius:
-        m = regions.keep_components(cut(regions.components(regions.erode(m, regions.ball(erode_radius), vox))), top=1).select(*KEYS)
+        m = parts(regions.erode(m, regions.ball(erode_radius), vox))
     m = cut(m)
-    if m.count() < least:
-        raise ValueError(f"the foreground has fewer than {least} voxels")
+    sizes = bounds.select("vol_id").join(m.groupBy("vol_id").agg(F.count("*").alias("n")), "vol_id", "left")
+    if least and (small := sizes.where(F.coalesce("n", F.lit(0)) < least).agg(F.count("*"), F.min("vol_id")).first())[0]:
+        raise ValueError(f"the foreground has fewer than {least} voxels in {small[0]} volumes, {small[1]} being one")
     return m
 
 

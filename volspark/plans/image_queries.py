@@ -264,8 +264,11 @@ def triangle_128(spark, sf):
     return _r(threshold.triangle(voxels(spark, sf, "events")), "threshold")
 
 
-@query(f"""WITH {grid("events")}, {histogram(128)}, l AS (SELECT bin, lo, w, sum(n) OVER (ORDER BY bin) AS c, sum(n * (bin + 1)) OVER (ORDER BY bin) AS m, sum(n) OVER () AS n_all, sum(n * (bin + 1)) OVER () AS m_all FROM hist)
-SELECT 'events' AS vol_id, bin, {_EDGE} FROM l WHERE c > 0 AND c < n_all ORDER BY round(-(m * ln(CAST(m AS DOUBLE) / c) + (m_all - m) * ln(CAST(m_all - m AS DOUBLE) / (n_all - c))), 6), bin LIMIT 1""")
+_LI = "l AS (SELECT bin, lo, w, sum(n) OVER (ORDER BY bin) AS c, sum(n * (bin + 1)) OVER (ORDER BY bin) AS m, sum(n) OVER () AS n_all, sum(n * (bin + 1)) OVER () AS m_all FROM hist)"
+_LI_BEST = f"SELECT 'events' AS vol_id, bin, {_EDGE} FROM l WHERE c > 0 AND c < n_all ORDER BY round(-(m * ln(CAST(m AS DOUBLE) / c) + (m_all - m) * ln(CAST(m_all - m AS DOUBLE) / (n_all - c))), 6), bin LIMIT 1"
+
+
+@query(f"WITH {grid('events')}, {histogram(128)}, {_LI} {_LI_BEST}")
 def li_128(spark, sf):
     return _r(threshold.li(voxels(spark, sf, "events")), "threshold")
 
@@ -597,15 +600,30 @@ def clean_mask(spark, sf):
     return lesion.clean_mask(g.where("v > 150"), g, 3, 3)
 
 
-@query(f"""WITH RECURSIVE {grid("events")}, {histogram(128)}, o AS ({_otsu(128).replace("round(lo + (bin + 1) * w, 6)", "lo + (bin + 1) * w")}), m AS MATERIALIZED (SELECT z, y, x FROM g, o WHERE v > threshold),
-cd AS MATERIALIZED ({T.dilated("m", regions.ball(1), inside=False)}), ce AS MATERIALIZED (SELECT * FROM ({T.eroded("cd", regions.ball(1))}) WHERE {T.BOX}),
-bg AS MATERIALIZED (SELECT z, y, x FROM g EXCEPT SELECT z, y, x FROM ce), oe AS MATERIALIZED (SELECT z, y, x FROM ce EXCEPT ({T.dilated("bg", regions.ball(1))})), od AS MATERIALIZED ({T.dilated("oe", regions.ball(1))}),
-{T.filled("f", "od")}, {T.parts("c", "f")}, k AS (SELECT component FROM c GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)
-SELECT 'events' AS vol_id, z, y, x FROM c JOIN k USING (component)""")
+def _foreground_sql(o: str, radius: tuple[int, int], kept: str) -> str:
+    """o: CTEs with o(threshold); kept: the components of c(z, y, x, component) that stay."""
+    close, open_ = map(regions.ball, radius)
+    return f"""WITH RECURSIVE {grid("events")}, {histogram(128)}, {o}, m AS MATERIALIZED (SELECT z, y, x FROM g, o WHERE v > threshold),
+cd AS MATERIALIZED ({T.dilated("m", close, inside=False)}), ce AS MATERIALIZED (SELECT * FROM ({T.eroded("cd", close)}) WHERE {T.BOX}),
+bg AS MATERIALIZED (SELECT z, y, x FROM g EXCEPT SELECT z, y, x FROM ce), oe AS MATERIALIZED (SELECT z, y, x FROM ce EXCEPT ({T.dilated("bg", open_)})), od AS MATERIALIZED ({T.dilated("oe", open_)}),
+{T.filled("f", "od")}, {T.parts("c", "f")}, k AS (SELECT component FROM c GROUP BY component {kept})
+SELECT 'events' AS vol_id, z, y, x FROM c JOIN k USING (component)"""
+
+
+_PLAIN_EDGE = ("round(lo + (bin + 1) * w, 6)", "lo + (bin + 1) * w")
+
+
+@query(_foreground_sql(f"o AS ({_otsu(128).replace(*_PLAIN_EDGE)})", (1, 1), "ORDER BY count(*) DESC, component LIMIT 1"))
 def foreground_roi(spark, sf):
     return lesion.foreground(voxels(spark, sf, "events"), "otsu", 1, 1, least=0)
 
 
+@query(_foreground_sql(f"{_LI}, o AS ({_LI_BEST.replace(*_PLAIN_EDGE)})", (1, 1), "HAVING count(*) >= 5"))
+def foreground_roi_parts(spark, sf):
+    """All parts of a least size, as for breasts."""
+    return lesion.foreground(voxels(spark, sf, "events"), "li", 1, 1, least=0, largest=False, least_part=5)
+
+
 @query(f"""WITH {grid("events")}, {_LAB}, {", ".join(_sample_sql(42 + i, 3000, f"s{i}") for i in range(3))},
 {", ".join(f"""c{i} AS (SELECT label, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM s{i} GROUP BY label), h{i} AS (SELECT (sum(n * pow(m - (SELECT avg(v) FROM s{i}), 2)) / (count(*) - 1)) / (sum(n * s) / (sum(n) - count(*))) AS ch FROM c{i}),
 q{i} AS (SELECT label, v, count(*) AS n FROM s{i} GROUP BY 1, 2), d{i} AS (SELECT a.label, a.v, any_value(a.n) AS n, b.label AS other, sum(b.n * abs(a.v - b.v)) AS away FROM q{i} a, q{i} b GROUP BY a.label, a.v, b.label),
@@ -628,7 +646,14 @@ def preprocessing_stats(spark, sf):
 
 @query()
 def lesion_pipeline(spark, sf):
-    return sweeps.lesion_report(voxels(spark, sf, "events"))
+    """With the liver's settings, but for a least foreground that fits the grid."""
+    return sweeps.lesion_run(voxels(spark, sf, "events"), least_lesion=3, least=50)[0]
+
+
+@query()
+def lesion_mask(spark, sf):
+    """The label map of the same run by the breast's settings, with sizes that fit the grid."""
+    return sweeps.lesion_run(voxels(spark, sf, "events"), "breast", range(3, 5), least_lesion=3, close_radius=1, open_radius=1, least_part=50, least=50)[1]
 
 
 _U16 = "u AS (SELECT vol_id, z, y, x, CAST(floor((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) * 65535.0) AS DOUBLE) AS v FROM g)"

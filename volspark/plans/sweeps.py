@@ -11,47 +11,56 @@ from pyspark.sql import functions as F
 from volspark.functions import pointwise as P
 from volspark.functions import stats as A
 from volspark.operators import cluster, denoise, fronts, lesion, regions, stencil, threshold
+from volspark.operators.bias import n4_log_bias
 from volspark.operators.blocks import box_mean, over_blocks
 from volspark.schema import KEYS
 from volspark.session import cut
 from volspark.sources.grids import rescale_uint16
 
 
-#: Foreground and cluster choice of two organs. The liver's are registered; the brain's erode by 6 besides.
+#: Foreground and cluster choice of each organ (fixed values).
 ORGANS = {
-    "brain": ({"threshold": "otsu", "close_radius": 3, "open_radius": 1, "erode_radius": 6}, {"tail": "bright", "min_fraction": 0.0005, "max_fraction": 0.10}),
-    "liver": ({"threshold": "otsu", "close_radius": 3, "open_radius": 1}, {"tail": "bright", "min_fraction": 0.0005, "max_fraction": 0.10}),
+    "brain": ({"threshold": "otsu", "close_radius": 3, "open_radius": 1, "erode_radius": 6, "least": 5_000}, {"tail": "bright", "min_fraction": 0.0005, "max_fraction": 0.10}),
+    "breast": ({"threshold": "li", "close_radius": 5, "open_radius": 2, "largest": False, "least_part": 20_000, "least": 200_000}, {"tail": "bright", "min_fraction": 0.0005, "max_fraction": 0.08}),
+    "liver": ({"threshold": "otsu", "close_radius": 3, "open_radius": 1, "least": 5_000}, {"tail": "bright", "min_fraction": 0.0005, "max_fraction": 0.10}),
 }
-#: The full grids.
+#: Rounds of the bias correction at each level, and its shrink factor (fixed values).
+BIAS = {"iterations": (40, 40, 30), "shrink": 4}
+#: The full grids (fixed values).
 KS = range(3, 9)
 WATERSHED = {"sigmas": [0.5, 1.0, 2.0], "thresholds": [0.005, 0.01, 0.05], "levels": [0.1, 0.2, 0.4]}
 LEVEL_SET = {"iterations": [5, 15, 30], "sigmas": [0.5, 1.0, 2.0], "alphas": [-0.5, -1.0, -2.0], "betas": [2.0, 3.0, 5.0], "stoppings": [50.0, 100.0, 200.0]}
 LEVEL_SET_FIXED, LEVEL_SET_BEST = (-0.5, 3.0, 100.0), (15, 1.0)
-#: Kind, density, sigma, largest window.
+#: Kind, density, sigma, largest window (fixed values).
 NOISES = [("none", 0.0, 0.0, 5), ("none", 0.0, 0.0, 7), ("none", 0.0, 0.0, 9), ("salt_pepper", 0.05, 0.0, 7), ("salt_pepper", 0.1, 0.0, 7), ("salt_pepper", 0.3, 0.0, 7), ("salt_pepper", 0.1, 0.0, 5), ("salt_pepper", 0.1, 0.0, 9), ("gaussian", 0.0, 5.0, 7), ("gaussian", 0.0, 10.0, 7), ("gaussian", 0.0, 20.0, 7), ("mixed", 0.1, 10.0, 7)]
 FILTER_RADII, EQUALISE, EQUALISE_RADII = (2, 3, 4), (0.3, 0.5), (3, 5)
 
 
-def lesion_report(vox: DataFrame, ks: range = KS, rounds: int | None = None, bias: bool = True, organ: str = "liver") -> DataFrame:
-    """Foreground, bias and normalisation, k sweep by Calinski-Harabasz, cluster choice, clean-up: one row per volume, with the sweep nested."""
+def lesion_run(vox: DataFrame, organ: str = "liver", ks: range = KS, rounds: int | None = None, correct: dict | None = BIAS, least_lesion: int = 50, **settings) -> tuple[DataFrame, DataFrame]:
+    """(report, mask). Foreground, positive shift, bias correction in the foreground, z-score, k sweep by Calinski-Harabasz, cluster choice,
+    clean-up: a row a volume with the sweep nested, and the lesion's voxels. settings override the organ's foreground; correct: those of the bias
+    correction, None for none; least_lesion: voxels of a part that stays."""
     ground, choice = ORGANS[organ]
-    roi = lesion.foreground(vox, **ground).withColumn("in_roi", F.lit(True))
-    flat = vox
-    if bias:
-        shifted = P.positive_shift(vox, F.col("v") > 0)
-        flat = P.remove_log_bias(shifted, fronts.polynomial_log_bias(shifted))
+    vox = cut(vox)
+    roi = lesion.foreground(vox, **(ground | settings)).withColumn("in_roi", F.lit(True))
+    marked = vox.join(roi, KEYS, "left").select(*KEYS, "v", F.coalesce("in_roi", F.lit(False)).alias("in_roi"))
+    least = marked.where("in_roi").groupBy("vol_id").agg(F.greatest(F.lit(0.0), 1 - F.min("v")).alias("shift"))
+    flat = marked.join(least, "vol_id").select(*KEYS, (F.col("v") + F.col("shift")).alias("v"))
+    if correct is not None:
+        flat = n4_log_bias(flat, roi, **correct, corrected=True)
     inside = flat.join(roi.select(*KEYS), KEYS, "left_semi")
-    normal = cut(P.robust_minmax(inside, F.lit(True)))
+    normal = cut(P.zscore(inside, F.lit(True)))
     rows = cut(cluster.sweep(normal, ks, rounds))
     best = cluster.best_runs(rows)
     labelled = cut(cluster.label_by_means(normal, best.select("vol_id", "means")))
     picked = cut(lesion.pick_clusters(labelled, normal, **choice))
     mask = labelled.join(picked, "vol_id").where(F.array_contains("labels", F.col("label"))).select(*KEYS)
-    clean = cut(lesion.clean_mask(mask, vox))
+    clean = cut(lesion.clean_mask(mask, vox, least_lesion))
     sweep = rows.groupBy("vol_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("k", "strategy", F.size("means").alias("n_means"), F.round("ch", 4).alias("ch"))))).alias("sweep"))
     n = clean.groupBy("vol_id").agg(F.count("*").alias("lesion_voxels"))
     size = roi.groupBy("vol_id").agg(F.count("*").alias("roi_voxels"))
-    return best.select("vol_id", "k", "strategy").join(picked.select("vol_id", F.array_join("labels", ",").alias("labels"), F.round("score", 4).alias("score")), "vol_id").join(size, "vol_id").join(n, "vol_id", "left").na.fill(0, ["lesion_voxels"]).join(sweep, "vol_id")
+    report = best.select("vol_id", "k", "strategy").join(picked.select("vol_id", F.array_join("labels", ",").alias("labels"), F.round("score", 4).alias("score")), "vol_id").join(size, "vol_id").join(n, "vol_id", "left").na.fill(0, ["lesion_voxels"]).join(sweep, "vol_id")
+    return report, clean
 
 
 def threshold_comparison(vox: DataFrame, bins: int = 128) -> DataFrame:
