@@ -17,29 +17,44 @@ from volspark.session import cut
 from volspark.sources.grids import extents
 
 
-def relax(time: np.ndarray, cost: np.ndarray, stop: float) -> np.ndarray:
+def march(time: np.ndarray, cost: np.ndarray, stop: float, fresh: np.ndarray | None = None) -> np.ndarray:
     """First-order upwind arrival times (Sethian 1996) of the core of an array padded by one plane, whose values are known times of
-    neighbours (inf: none). Times only fall, from known ones outwards, so the rounds end in the solution of |grad t| = cost;
-    times beyond stop are not passed on, nor is anything into places of infinite cost (no speed)."""
-    inner = (slice(1, -1),) * 3
-    near = [(tuple(slice(0, -2) if i == a else slice(1, -1) for i in range(3)), tuple(slice(2, None) if i == a else slice(1, -1) for i in range(3))) for a in range(3)]
-    open_ = np.isfinite(cost)
-    while True:
-        best = np.sort(np.stack([np.minimum(time[a], time[b]) for a, b in near]), axis=0)
+    neighbours (inf: none); fresh marks the padded places whose time is news (all, if not given). Times only fall, from known ones outwards, so
+    the rounds end in the solution of |grad t| = cost; times beyond stop are not passed on, nor is anything into places of infinite cost
+    (no speed). A round solves the neighbours of the earliest news alone, those of a narrow band of times, so each place is solved a few times
+    whatever the block's size."""
+    shape = time.shape
+    t, c = time.reshape(-1), np.full(shape, np.inf)
+    c[1:-1, 1:-1, 1:-1] = cost
+    c = c.reshape(-1)
+    open_ = np.isfinite(c)
+    steps = [shape[1] * shape[2], shape[2], 1]
+    band = float(np.median(cost[np.isfinite(cost)])) if np.isfinite(cost).any() else 0.0
+    news = (np.isfinite(time) & (time <= stop) & (True if fresh is None else fresh)).reshape(-1).copy()
+    near = np.zeros(t.size, bool)
+    while len(at := np.flatnonzero(news)):
+        at = at[t[at] <= t[at].min() + band]
+        news[at] = False
+        for d in steps:  # places of the padding lead nowhere but inwards
+            near[np.minimum(at + d, t.size - 1)] = True
+            near[np.maximum(at - d, 0)] = True
+        todo = np.flatnonzero(near & open_)
+        near[:] = False
+        if not len(todo):
+            continue
+        best = np.sort(np.stack([np.minimum(t[todo - d], t[todo + d]) for d in steps]), axis=0)
         best = np.where(best <= stop, best, np.inf)
-        todo = open_ & np.isfinite(best[0]) & (best[0] < time[inner])
-        if not todo.any():
-            return time
-        t, c = best[:, todo], cost[todo]
-        new = t[0] + c
+        own = np.isfinite(best[0]) & (best[0] < t[todo])
+        todo, best = todo[own], best[:, own]
+        new, cell = best[0] + c[todo], c[todo]
         for k in (2, 3):  # one more axis counts where its time is under the solution without it
-            more = np.isfinite(t[k - 1]) & (t[k - 1] < new)
-            b, q = t[:k, more].sum(axis=0), (t[:k, more] ** 2).sum(axis=0)
-            new[more] = (b + np.sqrt(np.maximum(b * b - k * (q - c[more] ** 2), 0.0))) / k
-        old = time[inner][todo]
-        if not (new < old).any():
-            return time
-        time[inner][todo] = np.minimum(new, old)
+            more = np.isfinite(best[k - 1]) & (best[k - 1] < new)
+            s, q = best[:k, more].sum(axis=0), (best[:k, more] ** 2).sum(axis=0)
+            new[more] = (s + np.sqrt(np.maximum(s * s - k * (q - cell[more] ** 2), 0.0))) / k
+        fell = new < t[todo]
+        t[todo[fell]] = new[fell]
+        news[todo[fell & (new <= stop)]] = True
+    return time
 
 
 _STATE = "vol_id string, b_z int, b_y int, b_x int, lo array<int>, hi array<int>, speed binary, times binary"
@@ -79,7 +94,7 @@ def _advance(block: int, seed: tuple[int, int, int], start: float, stop: float,
             shape = _shape(first, own["hi"], block)
             speed = np.frombuffer(own["speed"]).reshape(shape)
             time = np.frombuffer(own["times"]).reshape([n + 2 for n in shape]).copy()
-            before = time[1:-1, 1:-1, 1:-1].copy()
+            before, known = time[1:-1, 1:-1, 1:-1].copy(), time.copy()
             if first_round and all(f <= s < f + n for f, s, n in zip(first, seed, shape, strict=True)):
                 time[tuple(s - f + 1 for s, f in zip(seed, first, strict=True))] = start
             for r in faces.to_pylist():
@@ -87,7 +102,7 @@ def _advance(block: int, seed: tuple[int, int, int], start: float, stop: float,
                 q[...] = np.minimum(q, np.frombuffer(r["plane"]).reshape(q.shape))
             with np.errstate(divide="ignore"):
                 cost = np.where(speed > 0, 1.0 / speed, np.inf)
-            time = relax(time, cost, stop)
+            time = march(time, cost, stop, time < known)
             now = time[1:-1, 1:-1, 1:-1]
             key = [own["vol_id"], *cell]
             out.append([*key, own["lo"], own["hi"], own["speed"], time.tobytes(), None, None, None])
