@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from volspark.operators import bias, cluster, denoise, fronts, lesion, regions, stencil, threshold
@@ -10,7 +12,9 @@ from volspark.plans import sqltext as T
 from volspark.plans.sqltext import GRIDS, central, grid, histogram, uint8
 from volspark.plans.sqltext import stencil as near
 from volspark.schema import KEYS
+from volspark.session import cut, shared_folder
 from volspark.sources import grids as G
+from volspark.sources import raster
 from volspark.sources.grids import extents, voxels
 
 QUERIES: dict = {}
@@ -656,6 +660,17 @@ def lesion_mask(spark, sf):
     return sweeps.lesion_run(voxels(spark, sf, "events"), "breast", range(3, 5), least_lesion=3, close_radius=1, open_radius=1, least_part=50, least=50)[1]
 
 
+@query(f"""WITH {grid("events")}, s AS (SELECT concat('events_', z) AS vol_id, v FROM {uint8()})
+SELECT vol_id, CAST(v AS INTEGER) AS bin, count(*) AS n FROM s GROUP BY ALL""")
+def png_histogram(spark, sf):
+    """The planes of a volume as PNG images in the shared folder, and the histograms of the images read back."""
+    folder = f"{shared_folder(spark)}/png-{uuid.uuid4().hex}"
+    planes = _u8(spark, sf).select(F.concat_ws("_", "vol_id", "z").alias("vol_id"), F.col("y").alias("r"), F.col("x").alias("c"), "v")
+    cut(raster.write_png(planes, folder))
+    seen = raster.read_png(spark, f"{folder}/*")
+    return seen.groupBy("vol_id", F.round(F.col("v") * 255).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
 _U16 = "u AS (SELECT vol_id, z, y, x, CAST(floor((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) * 65535.0) AS DOUBLE) AS v FROM g)"
 
 
