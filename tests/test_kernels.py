@@ -459,3 +459,38 @@ def test_basin_graph_over_blocks(spark):
     b = regions.basins(volume(spark, rng.normal(size=(7, 8, 9)))).cache()
     want = {tuple(r) for r in regions.basin_graph(b).collect()}
     assert len(want) > 50 and {tuple(r) for r in regions.basin_graph(b, block=3).collect()} == want
+
+
+@pytest.mark.parametrize("sigma", [0.5, 1.0, 2.0, 12.0])
+def test_recursive_filters_are_nearly_gaussian(sigma):
+    n = 301
+    x = np.zeros(n)
+    x[n // 2] = 1
+    d = np.arange(n) - n // 2
+    g = np.exp(-0.5 * (d / sigma) ** 2)
+    g /= g.sum()
+    assert np.abs(stencil.recursive_filter(x, sigma) - g).max() < (0.02 if sigma < 1 else 5e-3) * g.max()
+    slope = -d / sigma**2 * g
+    if sigma >= 1:
+        assert np.abs(stencil.recursive_filter(x, sigma, True) - slope).max() < 0.02 * slope.max()
+    line = 3.0 * np.arange(n) + 5
+    middle = slice(n // 2 - 20, n // 2 + 20)
+    assert np.allclose(stencil.recursive_filter(line, sigma)[middle], line[middle], atol=1e-6)
+    assert np.allclose(stencil.recursive_filter(line, sigma, True)[middle], 3.0, atol=1e-6)
+    flat = np.full((9, 2), 7.0)
+    assert np.allclose(stencil.recursive_filter(flat, sigma), 7) and np.allclose(stencil.recursive_filter(flat, sigma, True), 0, atol=1e-9)
+
+
+@pytest.mark.parametrize("block", [3, 32])
+def test_recursive_gradient_over_blocks(spark, block, monkeypatch):
+    made = stencil.chunked
+    monkeypatch.setattr(stencil, "chunked", lambda v: made(v, block))
+    got = array(stencil.recursive_gaussian_gradient(volume(spark, A), 1.5), A.shape)
+    along = lambda a, axis, slope: np.moveaxis(stencil.recursive_filter(np.moveaxis(a, axis, 0), 1.5, slope), 0, axis)
+    want = 0.0
+    for axis in range(3):
+        d = A
+        for k in range(3):
+            d = along(d, k, k == axis)
+        want = want + d * d
+    assert np.allclose(got, np.sqrt(want), atol=1e-9)

@@ -205,6 +205,26 @@ def over_chunks(chunks: Chunks, kernel: Kernel, halo: tuple[int, int, int], boun
     return Chunks(data, chunks.bounds, chunks.block, columns)
 
 
+def along_axis(chunks: Chunks, axis: int, f: Callable[..., tuple[np.ndarray, ...]], columns: tuple[str, ...]) -> Chunks:
+    """f of all columns over whole lines of an axis (which comes first in its arrays), to columns: chunks behind each other meet in a task, which holds
+    (length of the axis x block^2) values of each column, whatever the other axes' length."""
+    names, b = chunks.columns, [c for i, c in enumerate(_CELL[1:]) if i != axis]
+    cells = _CELL[1:]
+
+    def run(rows: pa.Table) -> pa.Table:
+        held = sorted(rows.to_pylist(), key=lambda r: r[cells[axis]])
+        lines = [np.moveaxis(np.concatenate([_box(r, c) for r in held], axis=axis), axis, 0) for c in names]
+        out, at, made = [np.moveaxis(x, 0, axis) for x in f(*lines)], 0, []
+        for r in held:
+            part = tuple(slice(at, at + r["size"][axis]) if i == axis else slice(None) for i in range(3))
+            at += r["size"][axis]
+            made.append(chunk_row(r["vol_id"], [r[c] for c in cells], r["first"], [(c, x[part]) for c, x in zip(columns, out, strict=True)]))
+        return pa.concat_tables(made)
+
+    data = chunks.data.select(*_CELL, "first", "size", *names).groupBy("vol_id", *b).applyInArrow(run, f"{CHUNK}, " + ", ".join(f"{c} binary" for c in columns))
+    return Chunks(data, chunks.bounds, chunks.block, columns)
+
+
 def on_chunks(chunks: Chunks, f: Callable[..., np.ndarray], by: DataFrame | None = None) -> Chunks:
     """f of the arrays of all columns of a chunk, in place, to one column v; by: more arguments for f, a row of numbers a volume (volumes without one go)."""
     columns = chunks.columns

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from volspark.operators.blocks import Borders, box_mean, chunked, over_blocks, over_chunks, replicated, voxels_of, windows
+from volspark.operators.blocks import Borders, along_axis, box_mean, chunked, on_chunks, over_blocks, over_chunks, replicated, voxels_of, windows
 
 
 def _cube(r: int) -> tuple[int, int, int]:
@@ -113,6 +113,47 @@ def gaussian_gradient(vox: DataFrame, sigma: float) -> DataFrame:
     return over_blocks(vox, kernel, _cube(r), "replicate")
 
 
+#: Two damped oscillations each that add up to half a Gaussian and half its derivative (Farneback and Westin 2006; fixed values): cosine and sine
+#: amplitudes, and the frequencies and dampings of both.
+SMOOTH, SLOPE = ((1.3530, 1.8151), (-0.3531, 0.0902)), ((-0.6724, -3.4327), (0.6724, 0.6100))
+WAVES = ((0.6681, -1.3932), (2.0787, -1.3732))
+
+
+def recursive_weights(sigma: float, amplitudes: tuple[tuple[float, float], ...], slope: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(c, z): the response at distance n >= 0 is the real part of the sum of c z^n; on the other side the same, for slopes negated. Of sum 1, or
+    of slope 1 on a ramp."""
+    z = np.exp(np.array([complex(damping, w) for w, damping in WAVES]) / sigma)
+    c = np.array([complex(a, -b) for a, b in amplitudes])
+    gain = -2 * (c * z / (1 - z) ** 2).sum().real if slope else (c * (1 + z) / (1 - z)).sum().real
+    return c / gain, z
+
+
+def recursive_filter(x: np.ndarray, sigma: float, slope: bool = False) -> np.ndarray:
+    """Gaussian smoothing, or its derivative, along the first axis: a recurrence forwards and one backwards, so the work does not grow with sigma.
+    Beyond the ends the end's value goes on."""
+    c, z = recursive_weights(sigma, SLOPE if slope else SMOOTH, slope)
+    out = np.zeros(x.shape)
+    for k in range(len(c)):
+        state = x[0] / (1 - z[k])  # of the constant before the line
+        for i in range(len(x)):
+            state = z[k] * state + x[i]
+            out[i] += (c[k] * state).real
+        state = x[-1] / (1 - z[k])
+        for i in range(len(x) - 1, -1, -1):  # what lies behind, the place itself left out
+            out[i] += (-1 if slope else 1) * (c[k] * z[k] * state).real
+            state = z[k] * state + x[i]
+    return out
+
+
+def recursive_gaussian_gradient(vox: DataFrame, sigma: float) -> DataFrame:
+    """Gradient magnitude of the Gaussian-smoothed volume by recursive filters, an axis at a time over whole lines; borders replicated."""
+    smooth, slope = lambda a: recursive_filter(a, sigma), lambda a: recursive_filter(a, sigma, True)
+    c = along_axis(chunked(vox), 2, lambda v: (slope(v), smooth(v)), ("dx", "s"))
+    c = along_axis(c, 1, lambda dx, s: (smooth(dx), slope(s), smooth(s)), ("dx", "dy", "s"))
+    c = along_axis(c, 0, lambda dx, dy, s: (smooth(dx), smooth(dy), slope(s)), ("dx", "dy", "dz"))
+    return voxels_of(on_chunks(c, lambda *d: np.sqrt(sum(x * x for x in d))))
+
+
 def adaptive_equalisation(vox: DataFrame, alpha: float, beta: float, r: int, low: float = 0.0, high: float = 255.0) -> DataFrame:
     """Local histogram equalisation after Stark (2000), over a range low..high mapped to -1/2..1/2.
 

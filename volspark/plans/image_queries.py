@@ -213,6 +213,25 @@ def denoise_table(spark, sf):
     return _r(_r(t, "psnr", digits=4), "mse")
 
 
+def _recursive_sql(sigma: float, reach: int = 60) -> str:
+    """The responses summed over all distances to reach, where they have died away; ends replicated."""
+    cte = []
+    for name, amplitudes, slope in (("k0", stencil.SMOOTH, False), ("k1", stencil.SLOPE, True)):
+        wave = " + ".join(f"exp({damping} * abs(d) / {sigma}) * ({a} * cos({w} * abs(d) / {sigma}) + {b} * sin({w} * abs(d) / {sigma}))" for (a, b), (w, damping) in zip(amplitudes, stencil.WAVES, strict=True))
+        odd = f"CASE WHEN d < 0 THEN -1 WHEN d > 0 THEN 1 ELSE 0 END * ({wave})" if slope else wave
+        cte.append(f"{name} AS MATERIALIZED (SELECT d, h / {'sum(-d * h) OVER ()' if slope else 'sum(h) OVER ()'} AS h FROM (SELECT d, {odd} AS h FROM range(-{reach}, {reach + 1}) t(d)))")
+    cte.append("e AS (SELECT max(z) AS mz, max(y) AS my, max(x) AS mx FROM g)")
+    for n, (name, source, axis, kernel) in enumerate([("xd", "g", "x", "k1"), ("xs", "g", "x", "k0"), ("xds", "xd", "y", "k0"), ("yds", "xs", "y", "k1"), ("yss", "xs", "y", "k0"), ("fx", "xds", "z", "k0"), ("fy", "yds", "z", "k0"), ("fz", "yss", "z", "k1")]):
+        at = ", ".join(f"greatest(0, least(m{a}, a.{a} - d)) AS p{a}" if a == axis else f"a.{a} AS p{a}" for a in "zyx")
+        cte.append(f"{name} AS MATERIALIZED (SELECT t.z, t.y, t.x, sum(t.h * b.v) AS v FROM (SELECT a.z, a.y, a.x, h, {at} FROM {source} a, e, {kernel}) t JOIN {source} b ON b.z = pz AND b.y = py AND b.x = px GROUP BY t.z, t.y, t.x)")
+    return f"WITH {grid('events')}, {', '.join(cte)} SELECT 'events' AS vol_id, z, y, x, round(sqrt(fx.v * fx.v + fy.v * fy.v + fz.v * fz.v), 5) AS v FROM fx JOIN fy USING (z, y, x) JOIN fz USING (z, y, x)"
+
+
+@query(_recursive_sql(1.0))
+def recursive_gaussian_gradient(spark, sf):
+    return _r(stencil.recursive_gaussian_gradient(voxels(spark, sf, "events"), 1.0), "v", digits=5)
+
+
 # --- thresholds ---
 
 _EDGE = "round(lo + (bin + 1) * w, 6) AS threshold"
