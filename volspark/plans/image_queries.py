@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from volspark.operators import bias, cluster, denoise, fronts, lesion, regions, stencil, threshold
-from volspark.plans import sweeps
+from volspark.plans import runs, sweeps
 from volspark.plans import sqltext as T
 from volspark.plans.sqltext import GRIDS, central, grid, histogram, uint8
 from volspark.plans.sqltext import stencil as near
@@ -679,6 +679,22 @@ def lesion_mask(spark, sf):
     return sweeps.lesion_run(voxels(spark, sf, "events"), "breast", range(3, 5), least_lesion=3, close_radius=1, open_radius=1, least_part=50, least=50)[1]
 
 
+def _no_run(v, p):
+    raise ValueError("this run fails")
+
+
+@query(f"""WITH {grid("events")}, r AS (SELECT 'mean' AS run, count(*) AS n, 1 AS ok FROM g UNION ALL SELECT 'mean', count(*), 1 FROM g UNION ALL SELECT 'gradient', count(*), 1 FROM g UNION ALL SELECT 'fails', 0, 0)
+SELECT run, count(*) AS attempts, sum(ok)::BIGINT AS succeeded, (count(*) - sum(ok))::BIGINT AS failed, sum(n)::BIGINT AS n FROM r GROUP BY ROLLUP (run)""")
+def batch_runs(spark, sf):
+    """A batch of two runs, then one of these and three more, one of which fails: tallies of the manifest."""
+    folder = f"{shared_folder(spark)}/batch-{uuid.uuid4().hex}"
+    g = cut(voxels(spark, sf, "events"))
+    mean = [runs.Run("mean", lambda v, p: stencil.mean_filter(v, p["r"]), {"r": r}) for r in (1, 2)]
+    gradient = runs.Run("gradient", lambda v, p: stencil.gradient_magnitude(v))
+    runs.run_all(g, [mean[0], gradient], folder)
+    return runs.tallies(runs.run_all(g, [mean[0], gradient, mean[1], runs.Run("fails", _no_run)], folder)).drop("seconds", "longest")
+
+
 @query(f"""WITH {grid("events")}, s AS (SELECT concat('events_', z) AS vol_id, v FROM {uint8()})
 SELECT vol_id, CAST(v AS INTEGER) AS bin, count(*) AS n FROM s GROUP BY ALL""")
 def png_histogram(spark, sf):

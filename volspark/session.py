@@ -45,3 +45,34 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def _store(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    store, p = _store(spark, path)
+    return store.exists(p)
+
+
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder of any store; none where it is not there."""
+    store, p = _store(spark, folder)
+    return [s.getPath().getName() for s in store.listStatus(p)] if store.exists(p) else []
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    store, p = _store(spark, path)
+    store.delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all checkpoints of this process, those of cut() among them, and begins a new folder for those that follow. Results are lazy and read them, so
+    call it once results are written."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        root = sc.getCheckpointDir().rsplit("/", 1)[0]
+        drop_path(spark, sc.getCheckpointDir())
+        sc.setCheckpointDir(root)
