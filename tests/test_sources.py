@@ -117,3 +117,51 @@ def test_label_numbers_and_guard(spark):
     assert [r[0] for r in cluster.spread_labels(d, 3).collect()] == [0, 84, 168]
     with pytest.raises(ValueError, match="at most 4"):
         cluster.uniform_seeds(volume(spark, A), 5, most=4)
+
+
+def test_a_volume_by_many_tasks(spark, tmp_path):
+    """Slabs by tasks of their own; a compressed file is read by slabs as well, by any other reader as a whole."""
+    import gzip
+
+    wide = np.random.default_rng(4).normal(size=(11, 9, 7)) * 100
+    v = volume(spark, wide).unionByName(volume(spark, wide[:2] + 1, "b")).repartition(5)
+    nifti.register(spark)
+    for compress, suffix in (("true", ".nii.gz"), ("false", ".nii")):
+        out = str(tmp_path / compress)
+        nifti.write_volumes(v, out, compress=compress, dtype="f8", slab=3, spacing="1,2,3")
+        assert sorted(p.name for p in (tmp_path / compress).iterdir()) == [f"a{suffix}", f"b{suffix}"]
+        back = spark.read.format("nifti").option("slab", 2).load(out)
+        assert back.rdd.getNumPartitions() == 7
+        assert np.array_equal(array(back.where("vol_id = 'a'"), wide.shape), wide)
+    raw = gzip.open(tmp_path / "true" / "a.nii.gz").read()
+    assert np.array_equal(np.frombuffer(raw[352:], "<f8").reshape(wide.shape), wide)
+    assert len(nifti.members(str(tmp_path / "true" / "a.nii.gz"))) == 5  # header and four slabs
+    geometry = spark.read.format("volume_geometry").load(str(tmp_path / "true")).orderBy("vol_id").first()
+    assert (geometry["shape"], geometry["spacing"], geometry["type"]) == ([7, 9, 11], [1.0, 2.0, 3.0], "float64")
+
+
+@pytest.mark.parametrize(("dtype", "low", "high"), [("u1", 0, 255), ("i2", -32768, 32767), ("u2", 0, 65535), ("i8", -(1 << 63), (1 << 63) - 1024), ("f4", None, None)])
+def test_types_of_files(spark, tmp_path, dtype, low, high):
+    a = np.array([0.0, 1.9, -1.9, 254.7, 300.2, 40_000.0, 70_000.0, -70_000.0, 1e20]).reshape(1, 3, 3)
+    nifti.write_volumes(volume(spark, a), str(tmp_path), compress="true", dtype=dtype)
+    nifti.register(spark)
+    got = array(spark.read.format("nifti").load(str(tmp_path)), a.shape)
+    assert np.array_equal(got, a.astype(np.float32) if low is None else np.clip(np.trunc(a), low, high))
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    with pytest.raises(Exception, match="no places before 0"):
+        nifti.write_volumes(volume(spark, A).withColumn("z", F.col("z") - 1), str(tmp_path / "x"))
+    nifti.write_volumes(volume(spark, A), str(tmp_path / "y"))
+    broken = volume(spark, A).withColumn("v", F.when(F.col("z") > 3, F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="lost"):
+        nifti.write_volumes(broken, str(tmp_path / "y"))
+    assert [p.name for p in (tmp_path / "y").iterdir()] == ["a.nii"]
+
+
+def test_a_volume_that_begins_late(spark, tmp_path):
+    late = volume(spark, A).withColumns({"z": F.col("z") + 9, "x": F.col("x") + 1})
+    nifti.write_volumes(late, str(tmp_path), compress="true", slab=4)
+    nifti.register(spark)
+    got = array(spark.read.format("nifti").load(str(tmp_path)), (A.shape[0] + 9, A.shape[1], A.shape[2] + 1))
+    assert np.array_equal(got[9:, :, 1:], A) and not got[:9].any() and not got[:, :, 0].any()

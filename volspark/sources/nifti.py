@@ -4,11 +4,16 @@ Reading ("nifti"): a partition per file, or per slab of slices of an uncompresse
 a folder gives its .nii.gz, then its .nii, then its .mha files, each sorted. "volume_geometry" reads headers alone.
 
 Writing ("nifti"): a task writes the volumes it holds under names of the attempt; the commit on the driver renames them, or, if a volume came
-in pieces from several tasks, deletes all and fails, so that no volume is ever half written. write_volumes() brings each volume to one task before.
+in pieces from several tasks, deletes all and fails, so that no volume is ever half written.
+
+write_volumes() is for volumes of any size and type: slabs of planes are cast and compressed by tasks of their own, as gzip members, a task a volume puts
+the members behind each other, and the driver renames whole files. A member says in its header how long it is, so such a file is read by slabs, too, though
+it is compressed; for other readers it is an ordinary .nii.gz.
 """
 
 from __future__ import annotations
 
+import bisect
 import gzip
 import io
 import struct
@@ -22,7 +27,9 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from volspark.operators.blocks import chunked
 from volspark.schema import VOXELS
+from volspark.session import cut, drop_path
 
 #: NIfTI-1 data type codes and MetaImage element types (fixed values of the formats).
 TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
@@ -137,7 +144,8 @@ class _Reader(DataSourceReader):
         for f in _files(self.path):
             h = read_header(f)
             n = h.shape[2]
-            step = n if f.endswith(".gz") or h.packed else self.slab  # a compressed stream has no random access
+            whole = h.packed or (f.endswith(".gz") and members(f) is None)  # such a stream has no random access
+            step = n if whole else self.slab
             out += [_Slab(f, z, min(n, z + step)) for z in range(0, n, max(step, 1))]
         return out
 
@@ -145,7 +153,8 @@ class _Reader(DataSourceReader):
         h = read_header(partition.path)
         nx, ny, _ = h.shape
         size = nx * ny * h.dtype.itemsize
-        with _open(partition.path) as s:
+        inside = members(partition.path) if partition.path.endswith(".gz") else None
+        with _open(partition.path) if inside is None else _Members(partition.path, inside) as s:
             offset = h.offset
             if h.packed:
                 s.seek(h.offset)
@@ -158,6 +167,39 @@ class _Reader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([names, pa.array(np.full(nx * ny, z, np.int32)), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(v)], names=["vol_id", "z", "y", "x", "v"])
 
 
+class _Members(io.RawIOBase):
+    """What a file of members() holds, from any place: only the members that are read are inflated, one at a time."""
+
+    def __init__(self, path: str, inside: list[tuple[int, int, int, int]]):
+        store, name = store_of(path)
+        self.file, self.inside, self.at, self.open_, self.data = store.open_input_file(name), inside, 0, -1, b""
+        self.firsts = [m[2] for m in inside]
+
+    def seek(self, at: int, whence: int = 0) -> int:
+        self.at = at
+        return at
+
+    def read(self, n: int = -1) -> bytes:
+        out = []
+        while n > 0:
+            k = bisect.bisect_right(self.firsts, self.at) - 1
+            offset, length, first, size = self.inside[k]
+            if self.at >= first + size:
+                break
+            if k != self.open_:
+                self.file.seek(offset)
+                self.data, self.open_ = gzip.decompress(self.file.read(length)), k
+            part = self.data[self.at - first : self.at - first + n]
+            out.append(part)
+            self.at += len(part)
+            n -= len(part)
+        return b"".join(out)
+
+    def close(self) -> None:
+        self.file.close()
+        super().close()
+
+
 class _GeometryReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -223,12 +265,40 @@ class _Writer(DataSourceWriter):
                     store.delete_file(name)
 
 
-def make_header(shape: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), origin: tuple[float, float, float] = (0.0, 0.0, 0.0), direction: tuple[float, ...] = IDENTITY) -> bytes:
-    """Header of a float32 volume, shape as x, y, z."""
+#: Mark of the extra field of a member's header that has its length.
+_MARK = b"VS"
+
+
+def member(raw: bytes) -> bytes:
+    """A gzip member whose header has the length of the member and of what it holds (RFC 1952)."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = pack.compress(raw) + pack.flush()
+    size = 12 + 4 + 16 + len(body) + 8
+    return b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff" + struct.pack("<H2sHQQ", 20, _MARK, 16, size, len(raw)) + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
+
+
+def members(path: str) -> list[tuple[int, int, int, int]] | None:
+    """(offset, length, first byte, bytes) of each member of a file of such, of what it holds; None if it is another file. Reads headers alone."""
+    store, name = store_of(path)
+    size, out, at, first = store.get_file_info(name).size, [], 0, 0
+    with store.open_input_file(name) as f:
+        while at < size:
+            f.seek(at)
+            head = f.read(32)
+            if len(head) < 32 or head[:4] != b"\x1f\x8b\x08\x04" or head[12:14] != _MARK:
+                return None
+            length, n = struct.unpack("<QQ", head[16:32])
+            out.append((at, length, first, n))
+            at, first = at + length, first + n
+    return out
+
+
+def make_header(shape: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), origin: tuple[float, float, float] = (0.0, 0.0, 0.0), direction: tuple[float, ...] = IDENTITY, dtype: str = "f4") -> bytes:
+    """Header of a volume, shape as x, y, z."""
     h = bytearray(352)
     struct.pack_into("<i", h, 0, 348)
     struct.pack_into("<8h", h, 40, 3, *shape, 1, 1, 1, 1)
-    struct.pack_into("<2h", h, 70, 16, 32)
+    struct.pack_into("<2h", h, 70, next(c for c, t in TYPES.items() if t == dtype), 8 * np.dtype(dtype).itemsize)
     struct.pack_into("<8f", h, 76, 1.0, *spacing, 0, 0, 0, 0)
     struct.pack_into("<3f", h, 108, 352.0, 1.0, 0.0)
     struct.pack_into("<2h", h, 252, 0, 1)
@@ -274,7 +344,70 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def write_volumes(vox: DataFrame, path: str, **options: str) -> None:
-    """Each volume as one file, whatever the partitioning; a volume must fit a task, as a file is written in one go."""
-    register(vox.sparkSession)
-    vox.repartition("vol_id").write.format("nifti").mode("append").options(**options).save(path)
+def _cast(a: np.ndarray, dtype: str) -> bytes:
+    """Bytes of values of a type; whole numbers are truncated and clipped to its range, what is missing is 0."""
+    a = np.nan_to_num(a, nan=0.0, posinf=np.inf, neginf=-np.inf)
+    if np.dtype(dtype).kind in "iu":
+        info = np.iinfo(dtype)
+        low, high = float(info.min), np.nextafter(float(info.max) + 1, 0) if info.bits == 64 else float(info.max)
+        a = np.clip(np.trunc(a), low, high)
+    return a.astype(np.dtype(dtype).newbyteorder("<")).tobytes()
+
+
+def write_volumes(vox: DataFrame, path: str, compress: str = "false", dtype: str = "f4", slab: int = 32, spacing: str = "1,1,1", origin: str = "0,0,0", direction: str = ",".join(map(str, IDENTITY))) -> None:
+    """Each volume as one file, from place 0, 0, 0 on. A task holds a slab of planes, the one that puts a volume together no more than one slab, compressed. Files appear
+    when all volumes are whole; a failure leaves none, and no parts."""
+    if dtype not in TYPES.values():
+        raise ValueError(f"a type is one of {sorted(TYPES.values())}")
+    spark, base, packed = vox.sparkSession, path.rstrip("/"), compress.lower() == "true"
+    parts, suffix = f"{base}/.parts-{uuid.uuid4().hex}", ".nii.gz" if packed else ".nii"
+    geometry = [tuple(float(x) for x in g.split(",")) for g in (spacing, origin, direction)]
+    pack = member if packed else bytes
+
+    def put(name: str, pieces) -> None:
+        store, at = store_of(name)
+        store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+        with store.open_output_stream(at, compression=None) as f:
+            for p in pieces:
+                f.write(p)
+
+    def write_slab(rows: pa.Table) -> pa.Table:
+        held = rows.to_pylist()
+        (hz, hy, hx), b = held[0]["hi"], held[0]["b_z"]
+        data = np.zeros((min(slab, hz + 1 - b * slab), hy + 1, hx + 1))
+        for r in held:
+            at = [r["first"][0] - b * slab, *r["first"][1:]]
+            data[tuple(slice(f, f + n) for f, n in zip(at, r["size"], strict=True))] = np.frombuffer(r["v"]).reshape(r["size"])
+        name = f"{parts}/{uuid.uuid4().hex}"
+        put(name, [pack(_cast(data, dtype))])
+        return pa.table({"vol_id": [held[0]["vol_id"]], "b_z": pa.array([b], pa.int32()), "name": [name], "hi": pa.array([held[0]["hi"]], pa.list_(pa.int32()))})
+
+    def put_together(rows: pa.Table) -> pa.Table:
+        held = {r["b_z"]: r for r in rows.to_pylist()}
+        vol, (hz, hy, hx) = next((r["vol_id"], r["hi"]) for r in held.values())
+        name = f"{parts}/{uuid.uuid4().hex}"
+
+        def pieces():
+            yield pack(make_header((hx + 1, hy + 1, hz + 1), *geometry, dtype))
+            for b in range(hz // slab + 1):
+                if b in held:
+                    store, at = store_of(held[b]["name"])
+                    with store.open_input_stream(at, compression=None) as f:
+                        yield f.read()
+                else:
+                    yield pack(_cast(np.zeros((min(slab, hz + 1 - b * slab), hy + 1, hx + 1)), dtype))
+
+        put(name, pieces())
+        return pa.table({"vol_id": [vol], "name": [name]})
+
+    chunks = chunked(vox, slab)
+    if not chunks.bounds.where("exists(lo, x -> x < 0)").isEmpty():
+        raise ValueError("a file has no places before 0")
+    try:
+        slabs = cut(chunks.data.join(chunks.bounds, "vol_id").groupBy("vol_id", "b_z").applyInArrow(write_slab, "vol_id string, b_z int, name string, hi array<int>"))
+        whole = cut(slabs.groupBy("vol_id").applyInArrow(put_together, "vol_id string, name string"))
+        for r in whole.toLocalIterator():
+            store, at = store_of(r["name"])
+            store.move(at, f"{store_of(base)[1]}/{r['vol_id']}{suffix}")
+    finally:
+        drop_path(spark, parts)
