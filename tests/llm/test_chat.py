@@ -66,3 +66,8 @@ def test_long_conversation_fills_its_windows(spark):
 
 def test_empty(spark):
     assert chat.format_conversations(_turns(spark, [(1, 0, "a", "b")]).limit(0)).count() == 0
+
+
+def test_very_long_turns(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "ab<|im_end|>" * 60_000), (1, 2, "user", "</s>" * 100_000), (1, 3, "assistant", "end")]
+    check(spark, rows, budget=500, history=100)

@@ -35,3 +35,10 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
     none = spark.createDataFrame([], "verdict string, host string, path string")
     assert [(r["rule"], r["verdict"]) for r in U.filter_urls(one, none).collect()] == [(None, "allow")]
+
+
+def test_very_long_urls(spark):
+    urls = ["http://" + "a." * 300_000 + "example.org/es/" + "x" * 500_000, "http://b.org/" + "y/" * 1_000_000 + "?q", "http://" + "c" * 1_000_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in U.filter_urls(pages, U.rules_table(spark)).collect():
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == brute(urls[r["page_id"]], U.RULES)
