@@ -53,7 +53,7 @@ def zscore(vox: DataFrame, roi: Column) -> DataFrame:
     """(v - mean) / std of the ROI (population; a std under 1e-6 is 1); 0 outside."""
     s = vox.where(roi).groupBy("vol_id").agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd"))
     sd = F.when(F.col("sd") < 1e-6, 1.0).otherwise(F.col("sd"))
-    return vox.withColumn("in_roi", roi).join(s, "vol_id", "left").select(*KEYS, F.when(F.col("in_roi"), (F.col("v") - F.col("mu")) / sd).otherwise(0.0).alias("v"))
+    return vox.withColumn("in_roi", roi).join(F.broadcast(s), "vol_id", "left").select(*KEYS, F.when(F.col("in_roi"), (F.col("v") - F.col("mu")) / sd).otherwise(0.0).alias("v"))
 
 
 def robust_minmax(vox: DataFrame, roi: Column) -> DataFrame:
@@ -61,13 +61,13 @@ def robust_minmax(vox: DataFrame, roi: Column) -> DataFrame:
     s = percentiles(vox.where(roi), [0.01, 0.99])
     span = F.greatest(F.col("p")[1] - F.col("p")[0], F.lit(1e-6))
     t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("v") - F.col("p")[0]) / span))
-    return vox.withColumn("in_roi", roi).join(s, "vol_id", "left").select(*KEYS, F.when(F.col("in_roi"), t).otherwise(0.0).alias("v"))
+    return vox.withColumn("in_roi", roi).join(F.broadcast(s), "vol_id", "left").select(*KEYS, F.when(F.col("in_roi"), t).otherwise(0.0).alias("v"))
 
 
 def positive_shift(vox: DataFrame, roi: Column) -> DataFrame:
     """Adds 1 - min over the ROI to the whole volume if that minimum is under 1."""
     s = vox.where(roi).groupBy("vol_id").agg(F.min("v").alias("mn"))
-    return vox.join(s, "vol_id", "left").select(*KEYS, (F.col("v") + F.when(F.col("mn") < 1, 1 - F.col("mn")).otherwise(0.0)).alias("v"))
+    return vox.join(F.broadcast(s), "vol_id", "left").select(*KEYS, (F.col("v") + F.when(F.col("mn") < 1, 1 - F.col("mn")).otherwise(0.0)).alias("v"))
 
 
 def remove_log_bias(vox: DataFrame, bias: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def _in_buckets(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Value counts with the bucket of each value, and the count of all values of the group."""
     r = counts.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("n_all"))
     at = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(BUCKETS - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS).cast("int"))).otherwise(0)
-    return counts.join(r, keys).withColumn("bucket", at)
+    return counts.join(F.broadcast(r), keys).withColumn("bucket", at)
 
 
 def percentiles(vox: DataFrame, ps: list[float], *by: str) -> DataFrame:
@@ -61,7 +61,7 @@ def histogram(vox: DataFrame, bins: int) -> DataFrame:
     """vol_id, bin, n over the volume's range; the last bin's right edge is closed; a constant volume fills bin 0; empty bins are left out."""
     r = vox.groupBy("vol_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     b = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins).cast("int"))).otherwise(0)
-    return vox.join(r, "vol_id").groupBy("vol_id", "lo", "hi", b.alias("bin")).agg(F.count("*").alias("n"))
+    return vox.join(F.broadcast(r), "vol_id").groupBy("vol_id", "lo", "hi", b.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def label_counts(labels: DataFrame, label: str = "label") -> DataFrame:
@@ -134,7 +134,7 @@ def silhouette(labelled: DataFrame) -> DataFrame:
     """
     n = labelled.groupBy("vol_id", "label", "v").agg(F.count("*").alias("n"))
     tot = n.groupBy("vol_id", "label").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("v")).alias("total"))
-    grid = n.select("vol_id", "v").distinct().join(tot.withColumnRenamed("label", "other"), "vol_id")
+    grid = n.select("vol_id", "v").distinct().join(F.broadcast(tot.withColumnRenamed("label", "other")), "vol_id")
     own = n.select("vol_id", F.col("label").alias("other"), "v", "n")
     g = grid.join(own, ["vol_id", "other", "v"], "left").na.fill(0, ["n"])
     at = _in_buckets(n.groupBy("vol_id", "v").agg(F.sum("n").alias("n")), ["vol_id"]).select("vol_id", "v", "bucket")

@@ -165,14 +165,14 @@ def _fitted(vox: DataFrame, mask: DataFrame | None, shrink: int) -> tuple[Chunks
     step = [F.when(F.col(f"hi_{a}") - F.col(f"lo_{a}") + 1 < shrink, 1).otherwise(shrink) for a in "zyx"]
     frame = cut(e.select("vol_id", F.array(*step).alias("step"), F.array(*[F.col(f"lo_{a}") for a in "zyx"]).alias("lo"), F.array(*[F.col(f"hi_{a}") for a in "zyx"]).alias("hi")))
     some = vox.where("v > 0") if mask is None else vox.where("v > 0").join(mask.select(*KEYS), KEYS, "left_semi")
-    some = some.join(frame.select("vol_id", "step"), "vol_id").where(" and ".join(f"pmod({a}, step[{i}]) = step[{i}] div 2" for i, a in enumerate("zyx")))
+    some = some.join(F.broadcast(frame.select("vol_id", "step")), "vol_id").where(" and ".join(f"pmod({a}, step[{i}]) = step[{i}] div 2" for i, a in enumerate("zyx")))
     return chunked(some.select("vol_id", *[F.floor(F.col(a) / F.col("step")[i]).cast("int").alias(a) for i, a in enumerate("zyx")], F.log("v").alias("v"))), frame
 
 
 def fit_fields(vox: DataFrame, mask: DataFrame | None = None, iterations: tuple[int, ...] = (40, 40, 30), shrink: int = 4, threshold: float = 0.001, few: int = FEW_VOXELS) -> tuple[DataFrame, DataFrame]:
     """(fields, frame): vol_id and lattices of each volume with a fitted voxel, and vol_id, step, lo, hi of all."""
     chunks, frame = _fitted(vox, mask, shrink)
-    rows = chunks.data.join(frame, "vol_id")
+    rows = chunks.data.join(F.broadcast(frame), "vol_id")
     large = cut(chunks.data.groupBy("vol_id").agg(F.sum(F.col("size")[0].cast("long") * F.col("size")[1] * F.col("size")[2]).alias("n")).where(F.col("n") > few).select("vol_id"))
 
     def alone(rows: pa.Table) -> pa.Table:
@@ -180,9 +180,9 @@ def fit_fields(vox: DataFrame, mask: DataFrame | None = None, iterations: tuple[
         found = solve(boxes, list(iterations), threshold)
         return pa.table({"vol_id": pa.array([rows.column("vol_id")[0].as_py()]), "lattices": pa.array([[x.ravel().tolist() for x in found]], pa.list_(pa.list_(pa.float64())))})
 
-    fields = rows.join(large, "vol_id", "left_anti").groupBy("vol_id").applyInArrow(alone, _FIELD)
+    fields = rows.join(F.broadcast(large), "vol_id", "left_anti").groupBy("vol_id").applyInArrow(alone, _FIELD)
     if not large.isEmpty():
-        fields = fields.unionByName(_by_rounds(cut(rows.join(large, "vol_id", "left_semi")), large, iterations, threshold))
+        fields = fields.unionByName(_by_rounds(cut(rows.join(F.broadcast(large), "vol_id", "left_semi")), large, iterations, threshold))
     return cut(fields), frame
 
 
@@ -218,17 +218,17 @@ def _by_rounds(rows: DataFrame, volumes: DataFrame, iterations: tuple[int, ...],
         mesh = 1 << level
         model = cut(model.select("vol_id", F.concat("lattices", F.array(F.array_repeat(F.lit(0.0), (mesh + 3) ** 3))).alias("lattices"), F.lit(True).alias("moves")))
         for _ in range(most):
-            active = rows.join(model.where("moves").drop("moves"), "vol_id")
+            active = rows.join(F.broadcast(model.where("moves").drop("moves")), "vol_id")
             ends = lambda r, p, u, w: (float(np.nanmin(w)), float(np.nanmax(w))) if not np.isnan(w).all() else (None, None)
             span = each_chunk(active, ends, "lo double, hi double").groupBy("vol_id").agg(F.min("lo").alias("w_lo"), F.max("hi").alias("w_hi"))
-            counts = each_chunk(active.join(span, "vol_id"), lambda r, p, u, w: (histogram(w, r["w_lo"], r["w_hi"]).tolist(),), "counts array<double>")
+            counts = each_chunk(active.join(F.broadcast(span), "vol_id"), lambda r, p, u, w: (histogram(w, r["w_lo"], r["w_hi"]).tolist(),), "counts array<double>")
             expected = _added(counts, "counts", "vol_id").join(span, "vol_id").select("vol_id", "counts", F.col("w_lo").alias("lo"), F.col("w_hi").alias("hi"))
             expected = expected.groupBy("vol_id").applyInPandas(sharpen, "vol_id string, lo double, hi double, expected array<double>").toDF("vol_id", "e_lo", "e_hi", "expected")
-            sums = each_chunk(active.join(expected, "vol_id"), lambda r, p, u, w, mesh=mesh: (p.sums(residual(w, np.array(r["expected"]), r["e_lo"], r["e_hi"]), mesh).ravel().tolist(),), "sums array<double>")
+            sums = each_chunk(active.join(F.broadcast(expected), "vol_id"), lambda r, p, u, w, mesh=mesh: (p.sums(residual(w, np.array(r["expected"]), r["e_lo"], r["e_hi"]), mesh).ravel().tolist(),), "sums array<double>")
             points = (mesh + 3) ** 3
             ratio = F.expr(f"transform(sequence(0, {points - 1}), i -> if(sums[i + {points}] > 0, sums[i] / sums[i + {points}], 0d))")
             delta = cut(_added(sums, "sums", "vol_id").select("vol_id", ratio.alias("delta")))
-            change = each_chunk(active.join(delta, "vol_id"), lambda r, p, u, w: (_moments(p.value(_opened([r["delta"]])[0]), u).tolist(),), "m array<double>")
+            change = each_chunk(active.join(F.broadcast(delta), "vol_id"), lambda r, p, u, w: (_moments(p.value(_opened([r["delta"]])[0]), u).tolist(),), "m array<double>")
             m = _added(change, "m", "vol_id")
             rests = F.expr(f"if(m[0] < 2, true, sqrt(greatest(m[2] - m[1] * m[1] / m[0], 0d) / (m[0] - 1)) / (m[1] / m[0]) < {threshold!r}d)")
             rest = m.select("vol_id", rests.alias("rests"))
@@ -258,5 +258,5 @@ def n4_log_bias(vox: DataFrame, mask: DataFrame | None = None, iterations: tuple
                 v = _value(r) / np.exp(f) if corrected else f
                 yield from chunk_row(r["vol_id"], [r["b_z"], r["b_y"], r["b_x"]], r["first"], [("v", v)]).to_batches()
 
-    data = whole.data.join(frame.select("vol_id", "lo", "hi"), "vol_id").join(fields, "vol_id", "left").mapInArrow(evaluate, f"{CHUNK}, v binary")
+    data = whole.data.join(F.broadcast(frame.select("vol_id", "lo", "hi")), "vol_id").join(F.broadcast(fields), "vol_id", "left").mapInArrow(evaluate, f"{CHUNK}, v binary")
     return voxels_of(Chunks(data, whole.bounds, whole.block))

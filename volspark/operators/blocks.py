@@ -56,7 +56,7 @@ def replicated(p: np.ndarray, cut: int, borders: Borders) -> np.ndarray:
 
 def with_blocks(vox: DataFrame, halo: tuple[int, int, int], block: int, bounds: DataFrame | None = None) -> DataFrame:
     """Rows with b_z, b_y, b_x of each block that needs them, and their volume's bounds."""
-    out = vox.join(extents(vox) if bounds is None else bounds, "vol_id")
+    out = vox.join(F.broadcast(extents(vox) if bounds is None else bounds), "vol_id")
     for a, h in zip("zyx", halo, strict=True):
         lo, hi, c = F.col(f"lo_{a}"), F.col(f"hi_{a}"), F.col(a)
         first = F.floor((F.greatest(lo, c - h) - lo) / block).cast("int")
@@ -65,6 +65,65 @@ def with_blocks(vox: DataFrame, halo: tuple[int, int, int], block: int, bounds:
     return out
 
 
+def packed(places: DataFrame, halo: tuple[int, int, int], block: int) -> DataFrame:
+    """vol_id, b_z, b_y, b_x, at: places of a mask by block (on the grid that starts at 0, 0, 0), a place going to all blocks in whose halo it lies. at
+    holds places in the padded block, flat, as int32. A task hands on places of a block together, so that rows are few and no voxel is sorted."""
+    wide = [block + 2 * h for h in halo]
+    steps = (wide[1] * wide[2], wide[2], 1)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= _GATHER:
+                yield from pieces(held)
+                held, n = [], 0
+        if n:
+            yield from pieces(held)
+
+    def pieces(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        names = pa.compute.dictionary_encode(rows.column("vol_id").combine_chunks())
+        names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+        code = names.indices.fill_null(len(names.dictionary)).to_numpy().astype(np.int64)
+        at = [rows.column(a).to_numpy().astype(np.int64) for a in "zyx"]
+        own = [a // block for a in at]
+        inner = [a - c * block for a, c in zip(at, own, strict=True)]
+        some = []
+        for shift in itertools.product(*[(-1, 0, 1) if h else (0,) for h in halo]):
+            near = np.ones(len(code), bool)
+            for s, i, h in zip(shift, inner, halo, strict=True):
+                near &= i < h if s < 0 else i >= block - h if s > 0 else True
+            if len(k := np.flatnonzero(near)):
+                some.append((k, [c[k] + s for c, s in zip(own, shift, strict=True)], sum((i[k] - s * block + h) * n for i, s, h, n in zip(inner, shift, halo, steps, strict=True))))
+        which, flat = np.concatenate([k for k, _, _ in some]), np.concatenate([f for _, _, f in some]).astype(np.int32)
+        cell = [np.concatenate([c[i] for _, c, _ in some]) for i in range(3)]
+        order = np.lexsort((*cell[::-1], code[which]))
+        keys = np.stack((code[which], *cell))[:, order]
+        first = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
+        flat, ends = flat[order], np.append(first[1:], len(order))
+        vols = rows.column("vol_id").combine_chunks().take(pa.array(which[order][first]))
+        vols = vols.combine_chunks() if isinstance(vols, pa.ChunkedArray) else vols
+        yield pa.RecordBatch.from_arrays([vols, *[pa.array(k[first], pa.int32()) for k in keys[1:]], pa.array([flat[i:j].tobytes() for i, j in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())], names=[*_CELL, "at"])
+
+    return places.select("vol_id", *[F.col(a).cast("int").alias(a) for a in "zyx"]).mapInArrow(gather, "vol_id string, b_z int, b_y int, b_x int, at binary")
+
+
+def unpacked(rows: pa.Table, halo: tuple[int, int, int], block: int) -> np.ndarray:
+    """The mask of a padded block from the rows of packed()."""
+    mask = np.zeros([block + 2 * h for h in halo], bool)
+    for x in rows.column("at").to_pylist():
+        mask.reshape(-1)[np.frombuffer(x, np.int32)] = True
+    return mask
+
+
+def place_rows(vol: str, places: list[np.ndarray], **more: np.ndarray) -> pa.Table:
+    """A row a place of a volume."""
+    vols = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(places[0]), np.int32)), pa.array([vol], pa.string())).cast(pa.string())
+    return pa.table({"vol_id": vols, **{a: pa.array(p.astype(np.int32)) for a, p in zip("zyx", places, strict=True)}, **{k: pa.array(x) for k, x in more.items()}})
+
+
 CHUNK = "vol_id string, b_z int, b_y int, b_x int, first array<int>, size array<int>"
 _CELL = ["vol_id", "b_z", "b_y", "b_x"]
 _BOX = pa.list_(pa.int32())
@@ -199,7 +258,7 @@ def over_chunks(chunks: Chunks, kernel: Kernel, halo: tuple[int, int, int], boun
         raise ValueError(f"boundary is one of {BOUNDARIES}")
     if max(halo) > chunks.block:
         raise ValueError("a halo is at most a block wide")
-    sent = chunks.data.select(*_CELL, "first", "size", chunks.columns[0]).join(chunks.bounds, "vol_id").mapInArrow(_sent(chunks.block, halo, chunks.columns[0]), f"{CHUNK}, v binary, lo array<int>, hi array<int>")
+    sent = chunks.data.select(*_CELL, "first", "size", chunks.columns[0]).join(F.broadcast(chunks.bounds), "vol_id").mapInArrow(_sent(chunks.block, halo, chunks.columns[0]), f"{CHUNK}, v binary, lo array<int>, hi array<int>")
     schema = f"{CHUNK}, " + ", ".join(f"{c} binary" for c in columns)
     data = sent.groupBy(*_CELL).applyInArrow(_run(kernel, halo, boundary, chunks.block, columns, bordered, placed), schema)
     return Chunks(data, chunks.bounds, chunks.block, columns)
@@ -236,7 +295,7 @@ def on_chunks(chunks: Chunks, f: Callable[..., np.ndarray], by: DataFrame | None
                 out = f(*[_box(row, c) for c in columns], *[row[c] for c in more])
                 yield from chunk_row(row["vol_id"], [row[c] for c in _CELL[1:]], row["first"], [("v", out)]).to_batches()
 
-    data = chunks.data.join(by, "vol_id") if by is not None else chunks.data
+    data = chunks.data.join(F.broadcast(by), "vol_id") if by is not None else chunks.data
     return Chunks(data.mapInArrow(run, f"{CHUNK}, v binary"), chunks.bounds, chunks.block)
 
 

@@ -162,7 +162,7 @@ def kmeans(vox: DataFrame, seeds: DataFrame, rounds: int | None = None, bound: i
 def label_by_means(vox: DataFrame, means: DataFrame) -> DataFrame:
     """vol_id, z, y, x, v, label: nearest mean, ties to the smaller."""
     label = F.size(F.filter(F.sequence(F.lit(2), F.size("means")), lambda j: F.col("v") > (F.element_at("means", j - 1) + F.element_at("means", j)) / 2))
-    return vox.join(means, "vol_id").select("vol_id", "z", "y", "x", "v", F.when(F.size("means") > 1, label).otherwise(0).alias("label"))
+    return vox.join(F.broadcast(means), "vol_id").select("vol_id", "z", "y", "x", "v", F.when(F.size("means") > 1, label).otherwise(0).alias("label"))
 
 
 def _deduped(seeds: np.ndarray, tolerance: float = 1e-4) -> list[float]:

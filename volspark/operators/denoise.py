@@ -108,7 +108,7 @@ def salt_and_pepper(vox: DataFrame, density: float, low: float | None = None, hi
     slots = keyed.groupBy("vol_id", "slot").agg(F.count("*").alias("k"))
     before = slots.withColumn("before", F.sum("k").over(Window.partitionBy("vol_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("k")).drop("k")
     rank = F.row_number().over(Window.partitionBy("vol_id", "slot").orderBy("u", "z", "y", "x")) + F.col("before")
-    ranked = keyed.join(before, ["vol_id", "slot"]).withColumn("rank", rank).join(n, "vol_id").join(r, "vol_id")
+    ranked = keyed.join(before, ["vol_id", "slot"]).withColumn("rank", rank).join(F.broadcast(n), "vol_id").join(F.broadcast(r), "vol_id")
     count = F.floor(F.col("n") * density)
     top = F.col("mx") if high is None else F.lit(float(high))
     bottom = F.col("mn") if low is None else F.lit(float(low))

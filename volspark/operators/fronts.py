@@ -126,7 +126,7 @@ def fast_marching(speed: DataFrame, seed: tuple[int, int, int], initial_distance
     Blocks are solved alone; faces whose times fell go to the neighbour, which is solved again, until none falls. A round moves
     face planes and the blocks that got one; the front of all volumes of the relation advances together. Values of one place that differ: any.
     """
-    rows = speed.select(*KEYS, F.col("v").cast("double").alias("v")).join(extents(speed), "vol_id")
+    rows = speed.select(*KEYS, F.col("v").cast("double").alias("v")).join(F.broadcast(extents(speed)), "vol_id")
     rows = rows.select("*", *[F.floor((F.col(a) - F.col(f"lo_{a}")) / block).cast("int").alias(f"b_{a}") for a in "zyx"])
     state = cut(rows.groupBy(*_CELL).applyInArrow(_pack(block), _STATE))
     here = reduce(lambda a, b: a & b, [(F.col("lo")[i] + F.col(f"b_{a}") * block <= seed[i]) & (F.col("lo")[i] + (F.col(f"b_{a}") + 1) * block > seed[i]) for i, a in enumerate("zyx")])
@@ -186,6 +186,6 @@ def polynomial_log_bias(vox: DataFrame, step: int = 4) -> DataFrame:
 
     fit = sums.groupBy("vol_id").applyInPandas(solve, "vol_id string, c array<double>")
     value = sum((F.col("c")[i] * t[i] for i in range(len(terms))), F.lit(0.0))
-    fitted = vox.join(fit, "vol_id").select(*KEYS, value.alias("b"))
+    fitted = vox.join(F.broadcast(fit), "vol_id").select(*KEYS, value.alias("b"))
     mean = fitted.groupBy("vol_id").agg(F.avg("b").alias("mb"))
-    return fitted.join(mean, "vol_id").select(*KEYS, (F.col("b") - F.col("mb")).alias("v"))
+    return fitted.join(F.broadcast(mean), "vol_id").select(*KEYS, (F.col("b") - F.col("mb")).alias("v"))

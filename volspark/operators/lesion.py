@@ -25,7 +25,7 @@ def foreground(vox: DataFrame, threshold: float | str, close_radius: int = 1, op
     voxels are left in any of the volumes."""
     bounds = extents(vox)
     if isinstance(threshold, str):
-        m = vox.join(METHODS[threshold](vox).select("vol_id", "threshold"), "vol_id").where(F.col("v") > F.col("threshold")).select(*KEYS)
+        m = vox.join(F.broadcast(METHODS[threshold](vox).select("vol_id", "threshold")), "vol_id").where(F.col("v") > F.col("threshold")).select(*KEYS)
     else:
         m = vox.where(F.col("v") > threshold).select(*KEYS)
     if close_radius:
@@ -96,7 +96,7 @@ def pick_clusters(labelled: DataFrame, vox: DataFrame, tail: str = "auto", min_f
     means = labelled.groupBy("vol_id", "label").agg(F.avg("v").alias("m"))
     order = Window.partitionBy("vol_id").orderBy("m", "label")
     pairs = means.withColumn("next", F.lead("label").over(order)).withColumn("pair", F.row_number().over(order)).where("next is not null")
-    joined = labelled.join(pairs.select("vol_id", F.col("label").alias("one"), "next", "pair"), "vol_id").where("label = one or label = next")
+    joined = labelled.join(F.broadcast(pairs.select("vol_id", F.col("label").alias("one"), "next", "pair")), "vol_id").where("label = one or label = next")
     renamed = joined.select(*KEYS, "v", F.col("pair").cast("int").alias("label"))
     # shares and statistics of a pair are those of the whole ROI; a pair has no lower limit
     both = cut(_score_pairs(renamed, labelled, vox, tail, max_fraction))
@@ -135,10 +135,10 @@ def stratified_sample(labelled: DataFrame, grad: DataFrame, total: int = 20_000,
     noise number, so the sample does not depend on partitioning."""
     g = cut(labelled.join(grad.select(*KEYS, F.col("v").alias("g")), KEYS))
     edge = percentiles(g.select("vol_id", "label", F.col("g").alias("v")), [0.75], "label").select("vol_id", "label", F.col("p")[0].alias("p75"))
-    s = g.join(edge, ["vol_id", "label"]).withColumn("at_edge", F.col("g") >= F.col("p75"))
+    s = g.join(F.broadcast(edge), ["vol_id", "label"]).withColumn("at_edge", F.col("g") >= F.col("p75"))
     size = s.groupBy("vol_id", "label").agg(F.count("*").alias("size"), F.count_if("at_edge").alias("edges"))
     k = size.groupBy("vol_id").agg(F.count("*").alias("k"))
-    s = s.join(size, ["vol_id", "label"]).join(k, "vol_id").withColumn("quota", F.greatest(F.lit(50), F.floor(F.lit(total) / F.col("k"))))
+    s = s.join(F.broadcast(size), ["vol_id", "label"]).join(F.broadcast(k), "vol_id").withColumn("quota", F.greatest(F.lit(50), F.floor(F.lit(total) / F.col("k"))))
     s = s.withColumn("pool", F.when(F.col("edges") == F.col("size"), False).otherwise(F.col("at_edge")))
     s = with_hash(s, "u", seed)
     # of a pool the smallest numbers: a bound from counts of their upper halves first, so that no task orders a whole pool

@@ -8,6 +8,7 @@ which a chain of n labels needs about log n. So rounds move labels of block face
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from volspark.operators.blocks import Borders, over_blocks, with_blocks
+from volspark.operators.blocks import Borders, over_blocks, packed, place_rows, unpacked, with_blocks
 from volspark.schema import KEYS
-from volspark.session import cut
+from volspark.session import cut, discard
 from volspark.sources.grids import extents
 
 
@@ -69,7 +70,8 @@ def star_components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
         small = large.join(least, F.col("u") == F.col("n"))
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        e = cut(small.where("u <> v").distinct())
+        old, e = e, cut(small.where("u <> v").distinct())
+        discard(old)
         state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == last or not state[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
@@ -100,23 +102,21 @@ def label_array(mask: np.ndarray) -> np.ndarray:
 _LABELLED = "vol_id string, z int, y int, x int, part long"
 
 
-def _label_block(rows: pd.DataFrame) -> pd.DataFrame:
-    at = [rows[a].to_numpy() for a in "zyx"]
-    base = [int(a.min()) for a in at]
-    shape = [int(a.max()) - b + 1 for a, b in zip(at, base, strict=True)]
-    mask = np.zeros(shape, bool)
-    own = tuple(a - b for a, b in zip(at, base, strict=True))
-    mask[own] = True
-    root = np.unravel_index(label_array(mask)[own], shape)
+def _label_block(rows: pa.Table, block: int) -> pa.Table:
+    mask = unpacked(rows, (0, 0, 0), block)
+    own = np.nonzero(mask)
+    low = [int(p.min()) for p in own]
+    mask = mask[tuple(slice(a, int(p.max()) + 1) for a, p in zip(low, own, strict=True))]
+    own = [p - a for p, a in zip(own, low, strict=True)]
+    base = [rows.column(f"b_{a}")[0].as_py() * block + n for a, n in zip("zyx", low, strict=True)]
+    root = np.unravel_index(label_array(mask)[tuple(own)], mask.shape)
     part = sum((r.astype(np.int64) + b + (1 << 20)) << s for r, b, s in zip(root, base, (42, 21, 0), strict=True))
-    return pd.DataFrame({"vol_id": rows["vol_id"], "z": at[0], "y": at[1], "x": at[2], "part": part})
+    return place_rows(rows.column("vol_id")[0].as_py(), [o + b for o, b in zip(own, base, strict=True)], part=part)
 
 
 def components(mask: DataFrame, block: int = 32) -> DataFrame:
     """vol_id, z, y, x, component for the voxels of a mask (vol_id, z, y, x): face-connected; component is the least linear index."""
-    m = mask.select(*KEYS).distinct()
-    cells = [F.floor(F.col(a) / block).alias(f"b{a}") for a in "zyx"]
-    parts = cut(m.select(*KEYS, *cells).groupBy("vol_id", "bz", "by", "bx").applyInPandas(lambda rows: _label_block(rows), _LABELLED))
+    parts = cut(packed(mask, (0, 0, 0), block).groupBy("vol_id", "b_z", "b_y", "b_x").applyInArrow(lambda rows: _label_block(rows, block), _LABELLED))
     links = None
     for a in "zyx":
         # the last plane of a block beside the first plane of the next
@@ -127,8 +127,9 @@ def components(mask: DataFrame, block: int = 32) -> DataFrame:
     # parts of different volumes are different nodes
     node = lambda c: F.concat_ws("|", "vol_id", F.lpad(F.col(c).cast("string"), 20, "0"))
     found = star_components(links.select(node("a").alias("a"), node("b").alias("b")))
-    root = F.coalesce(F.substring_index("component", "|", -1).cast("long"), F.col("part"))
-    return parts.withColumn("own", node("part")).join(found, F.col("own") == F.col("node"), "left").select(*KEYS, root.alias("component"))
+    # nodes back to volumes and parts: voxels are joined by numbers
+    of = found.select(F.expr("substring(node, 1, length(node) - 21)").alias("vol_id"), F.substring_index("node", "|", -1).cast("long").alias("part"), F.substring_index("component", "|", -1).cast("long").alias("root"))
+    return parts.join(of, ["vol_id", "part"], "left").select(*KEYS, F.coalesce("root", "part").alias("component"))
 
 
 def component_sizes(labelled: DataFrame) -> DataFrame:
@@ -166,7 +167,7 @@ def confidence_connected(vox: DataFrame, seed: tuple[int, int, int], multiplier:
     now, region = stats(vox.where(near)), None
     for i in range(rounds + 1):
         limits = now.join(at, "vol_id").select("vol_id", F.least(F.col("mean") - multiplier * F.col("std"), "own").alias("lo"), F.greatest(F.col("mean") + multiplier * F.col("std"), "own").alias("hi"))
-        region = cut(flood(vox.join(limits, "vol_id").where("v between lo and hi"), seed))
+        region = cut(flood(vox.join(F.broadcast(limits), "vol_id").where("v between lo and hi"), seed))
         if i < rounds:
             now = stats(vox.join(region, KEYS, "left_semi"))
     return region
@@ -191,24 +192,22 @@ def _morph(mask: DataFrame, offsets: list[tuple[int, int, int]], bounds: DataFra
 
     def run(rows: pa.Table) -> pa.Table:
         lo, hi, cell = [[rows.column(f"{n}_{a}")[0].as_py() for a in "zyx"] for n in ("lo", "hi", "b")]
-        first = [lo[i] + cell[i] * block for i in range(3)]
-        size = [min(first[i] + block - 1, hi[i]) - first[i] + 1 for i in range(3)]
-        data = np.zeros([n + 2 * h for n, h in zip(size, halo, strict=True)], bool)
+        start = [c * block for c in cell]
+        first = [max(a, b) for a, b in zip(lo, start, strict=True)]
+        size = [min(b + block - 1, h) - f + 1 for b, h, f in zip(start, hi, first, strict=True)]
+        data = unpacked(rows, halo, block)
         if outside:
-            inner = [np.arange(first[i] - halo[i], first[i] + size[i] + halo[i]) for i in range(3)]
+            inner = [np.arange(b - h, b + block + h) for b, h in zip(start, halo, strict=True)]
             free = [(c < lo[i]) | (c > hi[i]) for i, c in enumerate(inner)]
             data |= free[0][:, None, None] | free[1][None, :, None] | free[2][None, None, :]
-        at = [rows.column(a).to_numpy() - first[i] + halo[i] for i, a in enumerate("zyx")]
-        data[tuple(at)] = True
         out = np.full(size, erodes)
         for o in offsets:
-            moved = data[tuple(slice(h + d, h + d + n) for h, d, n in zip(halo, o, size, strict=True))]
+            moved = data[tuple(slice(f - b + h + d, f - b + h + d + n) for f, b, h, d, n in zip(first, start, halo, o, size, strict=True))]
             out = out & moved if erodes else out | moved
-        found = np.nonzero(out)
-        vol = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(found[0]), np.int32)), pa.array([rows.column("vol_id")[0].as_py()], pa.string())).cast(pa.string())
-        return pa.table({"vol_id": vol, **{a: pa.array((f + first[i]).astype(np.int32)) for i, (a, f) in enumerate(zip("zyx", found, strict=True))}})
+        return place_rows(rows.column("vol_id")[0].as_py(), [p + f for p, f in zip(np.nonzero(out), first, strict=True)])
 
-    rows = with_blocks(mask.select(*KEYS), halo, block, bounds)
+    inside = reduce(lambda p, q: p & q, [(F.col(f"b_{a}") * block <= F.col(f"hi_{a}")) & ((F.col(f"b_{a}") + 1) * block > F.col(f"lo_{a}")) for a in "zyx"])
+    rows = packed(mask, halo, block).join(F.broadcast(bounds), "vol_id").where(inside)
     return rows.groupBy("vol_id", "b_z", "b_y", "b_x").applyInArrow(run, "vol_id string, z int, y int, x int")
 
 
@@ -224,13 +223,13 @@ def erode(mask: DataFrame, offsets: list[tuple[int, int, int]], vox: DataFrame |
 
 
 def closing(mask: DataFrame, offsets: list[tuple[int, int, int]], bounds: DataFrame) -> DataFrame:
-    return erode(dilate(mask, offsets, bounds), offsets)
+    return erode(cut(dilate(mask, offsets, bounds)), offsets)
 
 
 def safe_closing(mask: DataFrame, offsets: list[tuple[int, int, int]], bounds: DataFrame) -> DataFrame:
     """Closing in a volume with a margin, so that the volume's border erodes nothing."""
     wide = _grown(bounds, max(abs(v) for o in offsets for v in o))
-    out = erode(dilate(mask, offsets, wide), offsets).join(bounds, "vol_id")
+    out = erode(cut(dilate(mask, offsets, wide)), offsets).join(F.broadcast(bounds), "vol_id")
     return out.where(" and ".join(f"{a} between lo_{a} and hi_{a}" for a in "zyx")).select(*KEYS)
 
 
@@ -246,7 +245,7 @@ def opening(mask: DataFrame, offsets: list[tuple[int, int, int]], bounds: DataFr
 def fill_holes(mask: DataFrame, vox: DataFrame) -> DataFrame:
     """The mask and every background part that does not touch the volume's border."""
     outside = vox.select(*KEYS).join(mask, KEYS, "left_anti")
-    labelled = cut(components(outside)).join(extents(vox), "vol_id")
+    labelled = cut(components(outside)).join(F.broadcast(extents(vox)), "vol_id")
     border = labelled.where(" or ".join(f"{a} = lo_{a} or {a} = hi_{a}" for a in "zyx")).select("vol_id", "component").distinct()
     return mask.select(*KEYS).unionByName(labelled.join(border, ["vol_id", "component"], "left_anti").select(*KEYS))
 
@@ -261,7 +260,7 @@ def watershed(height: DataFrame, threshold: float = 0.0, level: float = 0.0) ->
 def floored(height: DataFrame, threshold: float) -> DataFrame:
     """Heights under a fraction of the volume's range above its minimum rise to it."""
     r = height.groupBy("vol_id").agg(F.min("v").alias("mn"), F.max("v").alias("mx"))
-    return height.join(r, "vol_id").select(*KEYS, F.greatest("v", F.col("mn") + threshold * (F.col("mx") - F.col("mn"))).alias("v"))
+    return height.join(F.broadcast(r), "vol_id").select(*KEYS, F.greatest("v", F.col("mn") + threshold * (F.col("mx") - F.col("mn"))).alias("v"))
 
 
 def basins(height: DataFrame) -> DataFrame:
@@ -280,9 +279,13 @@ def basins(height: DataFrame) -> DataFrame:
 
 def _followed(jump: DataFrame) -> DataFrame:
     """Pointers (vol_id, i, to), each place having one, followed to their ends, which point to themselves: by doubling."""
+    old = None
     while not jump.where("i <> to").isEmpty():
         nxt = jump.select("vol_id", F.col("i").alias("to"), F.col("to").alias("next"))
         step = cut(jump.join(nxt, ["vol_id", "to"]).select("vol_id", "i", "to", F.col("next")))
+        if old is not None:
+            discard(old)
+        old = step
         done = step.where("to <> next").isEmpty()
         jump = step.select("vol_id", "i", F.col("next").alias("to"))
         if done:
@@ -407,14 +410,18 @@ def merge_tree(graph: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     return last if done is None else done.unionByName(last)
 
 
-def merge_levels(basin: DataFrame, levels: list[float], few: int = FEW_EDGES) -> DataFrame:
-    """level, vol_id, z, y, x, label for each level: basins of the merge tree, cut at a fraction of the volume's range. The label is the least of the merged."""
+def merged_labels(basin: DataFrame, levels: list[float], few: int = FEW_EDGES) -> DataFrame:
+    """vol_id, basin, level, label for each level: the label of each basin in the merge tree, cut at a fraction of the volume's range: the least of the merged."""
     span = basin.groupBy("vol_id").agg((F.max("v") - F.min("v")).alias("range"))
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(float(x)).alias("level")) for i, x in enumerate(levels)])).alias("l")
-    shallow = merge_tree(basin_graph(basin), few).join(span, "vol_id").select("*", each).where("saliency <= range * l.level")
+    shallow = merge_tree(basin_graph(basin), few).join(F.broadcast(span), "vol_id").select("*", each).where("saliency <= range * l.level")
     node = lambda c, k: F.concat_ws("|", "vol_id", k, F.lpad(F.col(c).cast("string"), 20, "0"))
     merged = star_components(shallow.select(node("a", F.col("l.k")).alias("a"), node("b", F.col("l.k")).alias("b")), few)
     named = basin.select("vol_id", F.col("label").alias("basin")).distinct().select("vol_id", "basin", each).select("vol_id", "basin", "l.level", node("basin", F.col("l.k")).alias("own"))
     label = F.coalesce(F.substring_index("component", "|", -1).cast("long"), F.col("basin")).alias("label")
-    to = named.join(merged, F.col("own") == F.col("node"), "left").select("vol_id", F.col("basin"), "level", label)
-    return basin.select(*KEYS, F.col("label").alias("basin")).join(to, ["vol_id", "basin"]).select("level", *KEYS, "label")
+    return named.join(merged, F.col("own") == F.col("node"), "left").select("vol_id", "basin", "level", label)
+
+
+def merge_levels(basin: DataFrame, levels: list[float], few: int = FEW_EDGES) -> DataFrame:
+    """level, vol_id, z, y, x, label for each level, of merged_labels()."""
+    return basin.select(*KEYS, F.col("label").alias("basin")).join(merged_labels(basin, levels, few), ["vol_id", "basin"]).select("level", *KEYS, "label")

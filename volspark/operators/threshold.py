@@ -120,7 +120,7 @@ def bin_sweep(vox: DataFrame, bins: list[int] = [32, 64, 128, 256], methods: lis
 
 def apply_cuts(vox: DataFrame, cuts: DataFrame) -> DataFrame:
     """label = number of thresholds under v; cuts: vol_id, thresholds."""
-    return vox.join(cuts, "vol_id").select("vol_id", "z", "y", "x", F.size(F.filter("thresholds", lambda t: F.col("v") > t)).alias("label"), "v")
+    return vox.join(F.broadcast(cuts), "vol_id").select("vol_id", "z", "y", "x", F.size(F.filter("thresholds", lambda t: F.col("v") > t)).alias("label"), "v")
 
 
 def class_limits(vox: DataFrame, cuts: DataFrame) -> DataFrame:

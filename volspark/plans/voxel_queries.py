@@ -174,7 +174,7 @@ _RANGE = "t AS (SELECT quantile_cont(v, 0.30) AS lo, quantile_cont(v, 0.65) AS h
 def _range_labels(spark, sf):
     g = voxels(spark, sf, "orders")
     p = A.percentiles(g.where("v > 0"), [0.30, 0.65])
-    return g.join(p, "vol_id").select(*KEYS, "v", P.binary_threshold(F.col("v"), F.col("p")[0], F.col("p")[1]).alias("label"))
+    return g.join(F.broadcast(p), "vol_id").select(*KEYS, "v", P.binary_threshold(F.col("v"), F.col("p")[0], F.col("p")[1]).alias("label"))
 
 
 @query(f"WITH {grid('orders')}, {_RANGE} SELECT vol_id, label, count(*) AS n, round(count(*) * CAST(100 AS DOUBLE) / sum(count(*)) OVER (), 6) AS percent FROM l GROUP BY vol_id, label")

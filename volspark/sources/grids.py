@@ -32,14 +32,14 @@ def extents(vox: DataFrame) -> DataFrame:
 
 def _with_range(vox: DataFrame) -> DataFrame:
     r = vox.groupBy("vol_id").agg(F.min("v").alias("mn"), F.max("v").alias("mx"))
-    return vox.join(r, "vol_id")
+    return vox.join(F.broadcast(r), "vol_id")
 
 
 def rescale_uint16(vox: DataFrame) -> DataFrame:
     """Volumes of whole numbers within 0..65535 stay; others go linearly to that range, truncated; a constant volume is 0."""
     r = vox.groupBy("vol_id").agg(F.min("v").alias("mn"), F.max("v").alias("mx"), F.bool_and((F.col("v") == F.floor("v")) & F.col("v").between(0, 65535)).alias("whole"))
     scaled = F.when(F.col("whole"), F.col("v")).when(F.col("mx") == F.col("mn"), F.lit(0.0)).otherwise((F.col("v") - F.col("mn")) / (F.col("mx") - F.col("mn")) * 65535.0)
-    return vox.join(r, "vol_id").select(*KEYS, F.floor(scaled).cast("int").alias("v"))
+    return vox.join(F.broadcast(r), "vol_id").select(*KEYS, F.floor(scaled).cast("int").alias("v"))
 
 
 def normalise_uint8(vox: DataFrame) -> DataFrame:

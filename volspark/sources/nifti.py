@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from volspark.operators.blocks import chunked
@@ -404,7 +405,7 @@ def write_volumes(vox: DataFrame, path: str, compress: str = "false", dtype: str
     if not chunks.bounds.where("exists(lo, x -> x < 0)").isEmpty():
         raise ValueError("a file has no places before 0")
     try:
-        slabs = cut(chunks.data.join(chunks.bounds, "vol_id").groupBy("vol_id", "b_z").applyInArrow(write_slab, "vol_id string, b_z int, name string, hi array<int>"))
+        slabs = cut(chunks.data.join(F.broadcast(chunks.bounds), "vol_id").groupBy("vol_id", "b_z").applyInArrow(write_slab, "vol_id string, b_z int, name string, hi array<int>"))
         whole = cut(slabs.groupBy("vol_id").applyInArrow(put_together, "vol_id string, name string"))
         for r in whole.toLocalIterator():
             store, at = store_of(r["name"])
