@@ -45,7 +45,7 @@ def lesion_run(vox: DataFrame, organ: str = "liver", ks: range = KS, rounds: int
     roi = lesion.foreground(vox, **(ground | settings)).withColumn("in_roi", F.lit(True))
     marked = vox.join(roi, KEYS, "left").select(*KEYS, "v", F.coalesce("in_roi", F.lit(False)).alias("in_roi"))
     least = marked.where("in_roi").groupBy("vol_id").agg(F.greatest(F.lit(0.0), 1 - F.min("v")).alias("shift"))
-    flat = marked.join(least, "vol_id").select(*KEYS, (F.col("v") + F.col("shift")).alias("v"))
+    flat = marked.join(F.broadcast(least), "vol_id").select(*KEYS, (F.col("v") + F.col("shift")).alias("v"))
     if correct is not None:
         flat = n4_log_bias(flat, roi, **correct, corrected=True)
     inside = flat.join(roi.select(*KEYS), KEYS, "left_semi")
@@ -54,7 +54,7 @@ def lesion_run(vox: DataFrame, organ: str = "liver", ks: range = KS, rounds: int
     best = cluster.best_runs(rows)
     labelled = cut(cluster.label_by_means(normal, best.select("vol_id", "means")))
     picked = cut(lesion.pick_clusters(labelled, normal, **choice))
-    mask = labelled.join(picked, "vol_id").where(F.array_contains("labels", F.col("label"))).select(*KEYS)
+    mask = labelled.join(F.broadcast(picked), "vol_id").where(F.array_contains("labels", F.col("label"))).select(*KEYS)
     clean = cut(lesion.clean_mask(mask, vox, least_lesion))
     sweep = rows.groupBy("vol_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("k", "strategy", F.size("means").alias("n_means"), F.round("ch", 4).alias("ch"))))).alias("sweep"))
     n = clean.groupBy("vol_id").agg(F.count("*").alias("lesion_voxels"))
@@ -69,7 +69,7 @@ def threshold_comparison(vox: DataFrame, bins: int = 128) -> DataFrame:
     out = None
     for name in ("otsu", "huang", "triangle"):
         t = threshold.METHODS[name](u, bins)
-        row = u.join(t, "vol_id").groupBy("vol_id", "bin", "threshold").agg(F.count_if(F.col("v") > F.col("threshold")).alias("above"), F.count("*").alias("n"))
+        row = u.join(F.broadcast(t), "vol_id").groupBy("vol_id", "bin", "threshold").agg(F.count_if(F.col("v") > F.col("threshold")).alias("above"), F.count("*").alias("n"))
         row = row.select("vol_id", F.lit(name).alias("method"), "bin", F.round("threshold", 4).alias("threshold"), "above", "n")
         out = row if out is None else out.unionByName(row)
     return out
@@ -97,8 +97,10 @@ def watershed_sweep(vox: DataFrame, sigmas: list[float], thresholds: list[float]
             made.append(_named(regions.floored(grad, t), len(runs)))
             runs.append((s, t))
     basins = regions.basins(reduce(DataFrame.unionByName, made))
-    w = regions.merge_levels(basins, levels)
-    rows = w.groupBy("vol_id", "level").agg(F.countDistinct("label").alias("basins"), F.count("*").alias("n"))
+    # voxels are counted by basin once, and the levels merge basins
+    size = basins.groupBy("vol_id", F.col("label").alias("basin")).agg(F.count("*").alias("n"))
+    w = size.join(regions.merged_labels(basins, levels), ["vol_id", "basin"])
+    rows = w.groupBy("vol_id", "level").agg(F.countDistinct("label").alias("basins"), F.sum("n").alias("n"))
     return _of_runs(rows, runs, ["sigma", "threshold"])
 
 
@@ -157,7 +159,7 @@ def workshop(vox: DataFrame, organ: str) -> DataFrame:
     low, high = A.ORGAN_PERCENTILES[organ][1]
     limits = A.percentiles(vox.where("v > 0"), [low, high])
     made = {
-        "range": vox.join(limits, "vol_id").select(*KEYS, P.binary_threshold(F.col("v"), F.col("p")[0], F.col("p")[1]).alias("label")),
+        "range": vox.join(F.broadcast(limits), "vol_id").select(*KEYS, P.binary_threshold(F.col("v"), F.col("p")[0], F.col("p")[1]).alias("label")),
         "otsu": threshold.apply_cuts(vox, threshold.multi_otsu(vox, 3)),
         "kmeans": cluster.label_by_means(vox, cluster.kmeans(vox, cluster.uniform_seeds(vox, 3, most=4))),
     }
