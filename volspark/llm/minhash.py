@@ -20,8 +20,8 @@ Links, without ever listing the pairs of a bucket:
 3. components of the confirmed links;
 4. round 2: in each bucket that still holds several components, members outside its largest component meet
    the members of other components, refuted by both tests inside the join. So every candidate pair is confirmed,
-   refuted, or already in one component. Buckets of more than ``wide`` members are cut by every other band first: a pair meets where
-   it shares a second band, too (at similarity 0.8 a pair shares one band alone with probability 1e-6);
+   refuted, or already in one component. Buckets of any size are joined by cells of set size, outer members with the neighbouring
+   cells, too: a cut that loses no pair, as similarity bounds the ratio of sizes;
 5. components of all confirmed links, by alternating large-star and small-star rounds; sets that one id has are linked as well, where ids are labelled.
 
 Hot buckets are joins that adaptive execution splits; nodes of many links (at most some thousand by their number) are broadcast;
@@ -260,7 +260,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, wide: int = 5_000, by_id: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, labels). rows, written to the shared folder: id, key (hash of the text), n_shingles, print, for each row of docs; labels: print,
-    root (the print that stands for its class). by_id: the sets of one id are of one class."""
+    root (the print that stands for its class). by_id: the sets of one id are of one class. wide has no effect any more: buckets of all sizes are
+    treated alike."""
     texts = docs.select(F.col(id_col).alias("id"), F.unhex(F.substring(F.sha2(F.col(text_col).cast("binary"), 256), 1, 32)).alias("key"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     sketches = materialise(texts.mapInArrow(_sketch(k), f"id {kind}, key binary, " + ", ".join(f"{n} {t}" for n, _, t in _SKETCH)), "sketches")
@@ -287,18 +288,18 @@ def classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, w
     discard(crowd)
     groups = member.groupBy("band", "bucket", "c").agg(F.count("*").alias("size"))
     mixed = groups.groupBy("band", "bucket").agg(F.count("*").alias("parts"), F.sum("size").alias("members"), F.max(F.struct("size", "c")).alias("top")).where("parts > 1")
-    mixed = mixed.select(F.col("band").alias("band_"), F.col("bucket").alias("bucket_"), F.col("top.c").alias("top"), (F.col("members") > wide).alias("is_wide"))
+    mixed = mixed.select(F.col("band").alias("band_"), F.col("bucket").alias("bucket_"), F.col("top.c").alias("top"))
     inside = member.join(mixed, (F.col("band") == F.col("band_")) & (F.col("bucket") == F.col("bucket_"))).drop("band_", "bucket_").join(marks, F.col("id") == F.col("i")).drop("i")
-    # a wide bucket is cut by every other band: second and cell are that band and its bucket, 0 and 0 for others
-    cells = F.expr(f"filter(transform(sequence(0, {BANDS - 1}), j -> struct(j as second, bands[j] as cell)), c -> c.second <> band)")
-    inside = inside.select("*", F.explode(F.when(F.col("is_wide"), cells).otherwise(F.array(F.struct(F.lit(-1).alias("second"), F.lit(0).cast("long").alias("cell"))))).alias("at"))
-    inside = inside.select("band", "bucket", "at.second", "at.cell", "id", "c", "top", "n_shingles", "odd", "bands")
-    keys = ["band", "bucket", "second", "cell"]
-    outer = inside.where("c <> top").select(*[F.col(x).alias(f"{x}_") for x in keys], F.col("id").alias("x"), F.col("c").alias("xc"), F.col("n_shingles").alias("xn"), F.col("odd").alias("xo"), F.col("bands").alias("xs"))
-    same = (F.col("band") == F.col("band_")) & (F.col("bucket") == F.col("bucket_")) & (F.col("second") == F.col("second_")) & (F.col("cell") == F.col("cell_"))
+    # every bucket is cut by size: sets whose sizes allow the similarity are of one cell or of neighbouring ones, so no pair is lost
+    ratio = 100 / max(percent, 1) * 1.008
+    inside = inside.withColumn("cell", F.floor(F.log("n_shingles") / float(np.log(ratio))).cast("int")).select("band", "bucket", "cell", "id", "c", "top", "n_shingles", "odd", "bands")
+    keys = ["band", "bucket", "cell"]
+    outer = inside.where("c <> top").withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
+    outer = outer.select(*[F.col(x).alias(f"{x}_") for x in keys], F.col("id").alias("x"), F.col("c").alias("xc"), F.col("n_shingles").alias("xn"), F.col("odd").alias("xo"), F.col("bands").alias("xs"))
+    same = (F.col("band") == F.col("band_")) & (F.col("bucket") == F.col("bucket_")) & (F.col("cell") == F.col("cell_"))
     # a pair of two outer members is found from both sides; the smaller id's side counts
     once = (F.col("c") == F.col("top")) | (F.col("x") < F.col("id"))
-    # and only in the first band that the two share; the second one may be any, since distinct() follows
+    # and only in the first band that the two share
     earlier = F.expr("exists(zip_with(slice(bands, 1, band), slice(xs, 1, band), (p, q) -> p = q), e -> e)")
     crossing = inside.join(outer, same & (F.col("c") != F.col("xc")) & once & plausible("n_shingles", "odd", "xn", "xo", percent) & ~earlier)
     rest = materialise(crossing.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct(), "crossing")
