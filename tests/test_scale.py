@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from volspark import session
-from volspark.operators import blocks, regions
+from volspark.operators import blocks, cluster, regions
 from volspark.plans import sweeps
 from volspark.schema import KEYS
 from volspark.sources.grids import extents
@@ -76,3 +76,51 @@ def test_sweep_counts_basins_and_not_voxels(spark):
     w = regions.merge_levels(regions.basins(regions.floored(stencil.gaussian_gradient(vox, 0.5), 0.05)), [0.05, 0.3])
     want = {r["level"]: (r["basins"], r["n"]) for r in w.groupBy("level").agg(F.countDistinct("label").alias("basins"), F.count("*").alias("n")).collect()}
     assert got == want and all(n == 336 for _, n in got.values())
+
+
+def _many_values(spark, n=10_000):
+    v = np.random.default_rng(8).exponential(1.0, n) - 0.2
+    return v, spark.createDataFrame([("a", 0, 0, i, float(x)) for i, x in enumerate(v)], "vol_id string, z int, y int, x int, v double")
+
+
+def test_rounds_of_large_volumes_are_no_jobs(spark):
+    """Values that no task may hold take far fewer jobs than rounds, and give the same clusters."""
+    v, vox = _many_values(spark)
+    rounds, whole = 0, cluster.Values(v, np.ones(len(v)))
+    seeds = np.linspace(v[v > 0].min(), v.max(), 16)
+    while not np.array_equal(whole.lloyd(seeds, rounds), whole.lloyd(seeds, None)):
+        rounds += 1
+    assert rounds > 60
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    before = jobs()
+    got = {r["vol_id"]: r["means"] for r in cluster.kmeans(vox, cluster.uniform_seeds(vox, 16), bound=10).collect()}
+    assert jobs() - before < rounds
+    want = {r["vol_id"]: r["means"] for r in cluster.kmeans(vox, cluster.uniform_seeds(vox, 16)).collect()}
+    assert sorted(got) == sorted(want) and all(np.allclose(got[k], want[k], rtol=1e-9) for k in want)
+
+
+def test_runs_are_fetched_again_when_few_are_held(monkeypatch):
+    """The same clusters, scores and percentiles where the driver may hold a few runs only."""
+    v = np.unique(np.concatenate([np.random.default_rng(5).normal(size=900), [0.0, 60.0]]))
+    n = np.arange(len(v)) % 3 + 1
+    parts = np.array_split(np.arange(len(v)), len(v) // 16)
+    centre = float(v @ n / n.sum())
+    d = v - centre
+    rows = np.array([[v[p[0]], v[p[-1]], n[p].sum(), (n * d)[p].sum(), (n * d * d)[p].sum()] for p in parts]).T
+    asked = []
+
+    def fetch(lows):
+        asked.append(len(lows))
+        return {v[p[0]]: (v[p], n[p]) for p in parts if v[p[0]] in lows}
+
+    monkeypatch.setattr(cluster, "HELD_VALUES", 160)
+    whole, runs = cluster.Values(v, n), cluster.Runs(rows, centre, 17, fetch)
+    ps = np.array([0.0, 0.02, 0.5, 0.977, 1.0])
+    assert np.allclose(runs.above(0.0).quantiles(ps), whole.above(0.0).quantiles(ps)) and np.allclose(runs.above(0.0).ends(), whole.above(0.0).ends())
+    for k in (1, 2, 7, 12):
+        means = whole.lloyd(np.linspace(-3, 60, k), None)
+        assert np.allclose(runs.lloyd(np.linspace(-3, 60, k), None), means)
+        assert np.allclose(runs.lloyd(np.linspace(-3, 60, k), 3), whole.lloyd(np.linspace(-3, 60, k), 3))
+        got, want = runs.above(0.0).scores(means)[0], whole.above(0.0).scores(means)[0]
+        assert got == want if want is None else abs(got / want - 1) < 1e-9
+    assert max(asked) <= 12
