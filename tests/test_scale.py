@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from volspark import session
-from volspark.operators import blocks, cluster, regions
-from volspark.plans import sweeps
+from volspark.operators import blocks, cluster, lesion, regions
+from volspark.plans import image_queries, sweeps
 from volspark.schema import KEYS
 from volspark.sources.grids import extents
 
@@ -124,3 +124,11 @@ def test_runs_are_fetched_again_when_few_are_held(monkeypatch):
         got, want = runs.above(0.0).scores(means)[0], whole.above(0.0).scores(means)[0]
         assert got == want if want is None else abs(got / want - 1) < 1e-9
     assert max(asked) <= 12
+
+
+def test_clusters_are_measured_once_for_all_rules(spark, monkeypatch):
+    made = []
+    gradient = lesion.gradient_magnitude
+    monkeypatch.setattr(lesion, "gradient_magnitude", lambda vox: made.append(1) or gradient(vox))
+    assert len(image_queries.pick_clusters(spark, "/root/testdata/sf0.001").collect()) == 4
+    assert len(made) == 1

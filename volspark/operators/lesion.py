@@ -57,7 +57,7 @@ def edge_support(mask: DataFrame, grad: DataFrame, roi_mean: DataFrame, bounds:
     """vol_id, label, edge: mean gradient on the one-voxel outer ring over the ROI's mean, a third of it, at most 1."""
     named = mask.withColumn("vol_id", F.concat_ws("#", "vol_id", "label"))
     b = mask.select("vol_id", "label").distinct().join(bounds, "vol_id").withColumn("vol_id", F.concat_ws("#", "vol_id", "label")).drop("label")
-    ring = regions.dilate(named, regions.CROSS, b).join(named.select(*KEYS), KEYS, "left_anti")
+    ring = regions.ring(named, regions.CROSS, b)
     ring = ring.select(F.regexp_replace("vol_id", "#[^#]*$", "").alias("vol_id"), F.substring_index("vol_id", "#", -1).cast("int").alias("label"), "z", "y", "x")
     m = ring.join(grad.select(*KEYS, F.col("v").alias("g")), KEYS).groupBy("vol_id", "label").agg(F.avg("g").alias("ring"))
     return m.join(roi_mean, "vol_id").select("vol_id", "label", F.least(F.col("ring") / F.col("roi_grad") / 3, F.lit(1.0)).alias("edge"))
@@ -69,57 +69,66 @@ def _tail(mean: Column, mode: str) -> Column:
     return {"bright": bright, "dark": dark}.get(mode, F.when(F.col("bright_side"), bright).otherwise(dark))
 
 
+def measured(labelled: DataFrame, vox: DataFrame, paired: bool = True) -> DataFrame:
+    """What the choice of clusters needs of the voxels, whatever its rule. labelled: ROI voxels vol_id, z, y, x, v, label (from 0 on). A row for each cluster
+    and, if paired, each two clusters adjacent in mean intensity, whose label is negative and numbers them: labels, size, mean_intensity, compactness,
+    edge_support, n_roi (the ROI's voxels), median, p10, p90, iqr and bright_side of the ROI. All of them are measured together."""
+    means = cut(labelled.groupBy("vol_id", "label").agg(F.count("*").alias("size"), F.avg("v").alias("mean_intensity")))
+    rows, masks = means.select("vol_id", "label", F.array("label").alias("labels"), "size", "mean_intensity"), labelled.select(*KEYS, "label")
+    if paired:
+        order = Window.partitionBy("vol_id").orderBy("mean_intensity", "label")
+        ahead = [F.lead(c).over(order).alias(f"next_{c}") for c in ("label", "size", "mean_intensity")]
+        pairs = cut(means.select("*", *ahead, (-F.row_number().over(order)).alias("pair")).where("next_label is not null"))
+        n = F.col("size") + F.col("next_size")
+        mean = (F.col("size") * F.col("mean_intensity") + F.col("next_size") * F.col("next_mean_intensity")) / n
+        rows = rows.unionByName(pairs.select("vol_id", F.col("pair").alias("label"), F.array("label", "next_label").alias("labels"), n.alias("size"), mean.alias("mean_intensity")))
+        own = F.broadcast(pairs.select("vol_id", F.explode(F.array("label", "next_label")).alias("label"), "pair"))
+        masks = masks.unionByName(labelled.join(own, ["vol_id", "label"]).select(*KEYS, F.col("pair").alias("label")))
+    masks = cut(masks)
+    grad = cut(gradient_magnitude(vox))
+    roi_grad = cut(labelled.select(*KEYS).join(grad, KEYS).groupBy("vol_id").agg((F.avg("v") + 1e-8).alias("roi_grad")))
+    compact = compactness(masks, ["vol_id", "label"]).select("vol_id", "label", F.col("compact").alias("compactness"))
+    edge = edge_support(masks, grad, roi_grad, extents(vox)).withColumnRenamed("edge", "edge_support")
+    sides = means.groupBy("vol_id").agg(F.sum("size").alias("n_roi"), F.min("mean_intensity").alias("m0"), F.max("mean_intensity").alias("m1"))
+    out = rows.join(robust_stats(labelled), "vol_id").join(sides, "vol_id").withColumn("bright_side", (F.col("m1") - F.col("median")) >= (F.col("median") - F.col("m0")))
+    return cut(out.drop("m0", "m1").join(compact, ["vol_id", "label"]).join(edge, ["vol_id", "label"], "left").na.fill(0.0, ["edge_support"]))
+
+
+def _scored(measures: DataFrame, tail: str) -> DataFrame:
+    out = measures.withColumn("tail_extremeness", _tail(F.col("mean_intensity"), tail))
+    return out.withColumn("score", TAIL * F.col("tail_extremeness") + COMPACT * F.col("compactness") + EDGE * F.col("edge_support"))
+
+
+def _admissible(scored: DataFrame, min_fraction: float, max_fraction: float) -> DataFrame:
+    return scored.where((F.col("label") >= 0) & (F.col("size") / F.col("n_roi")).between(min_fraction, max_fraction))
+
+
 def score_clusters(labelled: DataFrame, vox: DataFrame, tail: str = "auto", min_fraction: float = 0.001, max_fraction: float = 0.25) -> DataFrame:
     """labelled: ROI voxels vol_id, z, y, x, v, label. A row for each cluster of an admissible share of the ROI: size, mean_intensity,
     tail_extremeness, compactness, edge_support, score."""
-    stats = robust_stats(labelled)
-    grad = cut(gradient_magnitude(vox))
-    roi_grad = labelled.select(*KEYS).join(grad, KEYS).groupBy("vol_id").agg((F.avg("v") + 1e-8).alias("roi_grad"))
-    c = labelled.groupBy("vol_id", "label").agg(F.count("*").alias("size"), F.avg("v").alias("mean_intensity"))
-    all_n = Window.partitionBy("vol_id")
-    c = c.withColumn("fraction", F.col("size") / F.sum("size").over(all_n)).join(stats, "vol_id")
-    c = c.withColumn("bright_side", (F.max("mean_intensity").over(all_n) - F.col("median")) >= (F.col("median") - F.min("mean_intensity").over(all_n)))
-    compact = compactness(labelled, ["vol_id", "label"]).select("vol_id", "label", F.col("compact").alias("compactness"))
-    edge = edge_support(labelled, grad, roi_grad, extents(vox)).withColumnRenamed("edge", "edge_support")
-    out = c.where(F.col("fraction").between(min_fraction, max_fraction)).join(compact, ["vol_id", "label"]).join(edge, ["vol_id", "label"], "left").na.fill(0.0, ["edge_support"])
-    out = out.withColumn("tail_extremeness", _tail(F.col("mean_intensity"), tail))
-    score = TAIL * F.col("tail_extremeness") + COMPACT * F.col("compactness") + EDGE * F.col("edge_support")
-    return out.select("vol_id", "label", "size", "mean_intensity", "tail_extremeness", "compactness", "edge_support", score.alias("score"))
+    out = _admissible(_scored(measured(labelled, vox, paired=False), tail), min_fraction, max_fraction)
+    return out.select("vol_id", "label", "size", "mean_intensity", "tail_extremeness", "compactness", "edge_support", "score")
 
 
 def pick_clusters(labelled: DataFrame, vox: DataFrame, tail: str = "auto", min_fraction: float = 0.001, max_fraction: float = 0.25) -> DataFrame:
     """vol_id, labels, score: the best single cluster, or a pair of clusters adjacent in mean intensity that beats it by more than 0.05; without an
     admissible cluster the brightest (for tail dark the darkest) with no score."""
-    single = cut(score_clusters(labelled, vox, tail, min_fraction, max_fraction))
-    w = Window.partitionBy("vol_id").orderBy(F.desc("score"), "label")
-    best = single.withColumn("k", F.row_number().over(w)).where("k = 1").select("vol_id", F.array("label").alias("labels"), "score")
-    means = labelled.groupBy("vol_id", "label").agg(F.avg("v").alias("m"))
-    order = Window.partitionBy("vol_id").orderBy("m", "label")
-    pairs = means.withColumn("next", F.lead("label").over(order)).withColumn("pair", F.row_number().over(order)).where("next is not null")
-    joined = labelled.join(F.broadcast(pairs.select("vol_id", F.col("label").alias("one"), "next", "pair")), "vol_id").where("label = one or label = next")
-    renamed = joined.select(*KEYS, "v", F.col("pair").cast("int").alias("label"))
-    # shares and statistics of a pair are those of the whole ROI; a pair has no lower limit
-    both = cut(_score_pairs(renamed, labelled, vox, tail, max_fraction))
-    names = pairs.select("vol_id", F.col("pair").alias("p"), F.array("label", "next").alias("labels"))
-    top = both.withColumn("k", F.row_number().over(w)).where("k = 1").join(names.withColumnRenamed("p", "label"), ["vol_id", "label"]).select("vol_id", F.col("labels").alias("pair_labels"), F.col("score").alias("pair_score"))
-    edge = F.desc("m") if tail != "dark" else F.asc("m")
-    last = means.withColumn("k", F.row_number().over(Window.partitionBy("vol_id").orderBy(edge, "label"))).where("k = 1").select("vol_id", F.array("label").alias("fallback"))
+    return pick(measured(labelled, vox), tail, min_fraction, max_fraction)
+
+
+def pick(measures: DataFrame, tail: str = "auto", min_fraction: float = 0.001, max_fraction: float = 0.25) -> DataFrame:
+    """pick_clusters() by the rows of measured(), which serve any number of rules. Shares and statistics of a pair are those of the whole ROI; a pair has
+    no lower limit."""
+    scored = _scored(measures, tail)
+    first = lambda df, *by: df.withColumn("k", F.row_number().over(Window.partitionBy("vol_id").orderBy(*by))).where("k = 1")
+    best = first(_admissible(scored, min_fraction, max_fraction), F.desc("score"), "label").select("vol_id", F.col("labels").alias("best_labels"), "score")
+    pairs = scored.where((F.col("label") < 0) & (F.col("size") <= max_fraction * F.col("n_roi")))
+    top = first(pairs, F.desc("score"), F.desc("label")).select("vol_id", F.col("labels").alias("pair_labels"), F.col("score").alias("pair_score"))
+    edge = F.asc("mean_intensity") if tail == "dark" else F.desc("mean_intensity")
+    last = first(measures.where("label >= 0"), edge, "label").select("vol_id", F.col("labels").alias("fallback"))
     out = last.join(best, "vol_id", "left").join(top, "vol_id", "left")
     wins = F.col("pair_score") > F.col("score") + PAIR_LEAD
-    return out.select("vol_id", F.when(wins, F.col("pair_labels")).otherwise(F.coalesce("labels", "fallback")).alias("labels"), F.when(wins, F.col("pair_score")).otherwise(F.col("score")).alias("score"))
-
-
-def _score_pairs(pairs: DataFrame, roi: DataFrame, vox: DataFrame, tail: str, max_fraction: float) -> DataFrame:
-    stats = robust_stats(roi)
-    grad = cut(gradient_magnitude(vox))
-    roi_grad = roi.select(*KEYS).join(grad, KEYS).groupBy("vol_id").agg((F.avg("v") + 1e-8).alias("roi_grad"), F.count("*").alias("all_n"))
-    sides = roi.groupBy("vol_id", "label").agg(F.avg("v").alias("m")).groupBy("vol_id").agg(F.min("m").alias("m0"), F.max("m").alias("m1"))
-    c = pairs.groupBy("vol_id", "label").agg(F.count("*").alias("size"), F.avg("v").alias("mean_intensity")).join(roi_grad.select("vol_id", "all_n"), "vol_id").join(stats, "vol_id").join(sides, "vol_id")
-    c = c.withColumn("bright_side", (F.col("m1") - F.col("median")) >= (F.col("median") - F.col("m0"))).where(F.col("size") <= max_fraction * F.col("all_n"))
-    compact = compactness(pairs, ["vol_id", "label"]).select("vol_id", "label", F.col("compact").alias("compactness"))
-    edge = edge_support(pairs, grad, roi_grad.drop("all_n"), extents(vox))
-    out = c.join(compact, ["vol_id", "label"]).join(edge, ["vol_id", "label"], "left").na.fill(0.0, ["edge"])
-    return out.select("vol_id", "label", (TAIL * _tail(F.col("mean_intensity"), tail) + COMPACT * F.col("compactness") + EDGE * F.col("edge")).alias("score"))
+    return out.select("vol_id", F.when(wins, F.col("pair_labels")).otherwise(F.coalesce("best_labels", "fallback")).alias("labels"), F.when(wins, F.col("pair_score")).otherwise(F.col("score")).alias("score"))
 
 
 def clean_mask(mask: DataFrame, vox: DataFrame, least: int = 50, top: int = 3) -> DataFrame:

@@ -184,8 +184,8 @@ def _grown(bounds: DataFrame, by: int) -> DataFrame:
     return bounds.select("vol_id", *[(F.col(f"{n}_{a}") + d).alias(f"{n}_{a}") for a in "zyx" for n, d in (("lo", -by), ("hi", by))])
 
 
-def _morph(mask: DataFrame, offsets: list[tuple[int, int, int]], bounds: DataFrame, erodes: bool, outside: bool = False, block: int = 32) -> DataFrame:
-    """Voxels inside bounds of which an offset (erodes: every offset) leads into the mask; outside: whether places out of bounds are of the mask.
+def _morph(mask: DataFrame, offsets: list[tuple[int, int, int]], bounds: DataFrame, erodes: bool, outside: bool = False, block: int = 32, ring: bool = False) -> DataFrame:
+    """Voxels inside bounds of which an offset (erodes: every offset) leads into the mask; outside: whether places out of bounds are of the mask; ring: without the mask itself.
     A voxel goes to the blocks whose halo holds it, not to every offset, and a block's offsets are shifts of its array."""
     halo = tuple(max(abs(o[i]) for o in offsets) for i in range(3))
     block = max(block, *halo)
@@ -204,6 +204,8 @@ def _morph(mask: DataFrame, offsets: list[tuple[int, int, int]], bounds: DataFra
         for o in offsets:
             moved = data[tuple(slice(f - b + h + d, f - b + h + d + n) for f, b, h, d, n in zip(first, start, halo, o, size, strict=True))]
             out = out & moved if erodes else out | moved
+        if ring:
+            out &= ~data[tuple(slice(f - b + h, f - b + h + n) for f, b, h, n in zip(first, start, halo, size, strict=True))]
         return place_rows(rows.column("vol_id")[0].as_py(), [p + f for p, f in zip(np.nonzero(out), first, strict=True)])
 
     inside = reduce(lambda p, q: p & q, [(F.col(f"b_{a}") * block <= F.col(f"hi_{a}")) & ((F.col(f"b_{a}") + 1) * block > F.col(f"lo_{a}")) for a in "zyx"])
@@ -216,6 +218,11 @@ def dilate(mask: DataFrame, offsets: list[tuple[int, int, int]], bounds: DataFra
     return _morph(mask, [tuple(-v for v in o) for o in offsets], bounds, erodes=False)
 
 
+def ring(mask: DataFrame, offsets: list[tuple[int, int, int]], bounds: DataFrame) -> DataFrame:
+    """What dilate() adds to the mask."""
+    return _morph(mask, [tuple(-v for v in o) for o in offsets], bounds, erodes=False, ring=True)
+
+
 def erode(mask: DataFrame, offsets: list[tuple[int, int, int]], vox: DataFrame | None = None) -> DataFrame:
     """Voxels all of whose neighbours by offset are in the mask; outside the volume is not, or is, if the (dense) volume is given.
     offsets hold (0, 0, 0)."""

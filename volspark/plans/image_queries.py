@@ -608,9 +608,9 @@ _PICKS = [("auto", 0.001, 0.9), ("bright", 0.001, 0.99), ("dark", 0.001, 0.9), (
 @query(" UNION ALL ".join(f"(SELECT * FROM ({_pick_sql(*p)}))" for p in _PICKS))
 def pick_clusters(spark, sf):
     g, labels = _some_labels(spark, sf)
-    rows = None
+    rows, measures = None, lesion.measured(labels, g)
     for tail, least, most in _PICKS:
-        row = lesion.pick_clusters(labels, g, tail, least, most).select("vol_id", F.lit(f"{tail} {least} {most}").alias("rule"), F.array_join("labels", ",").alias("labels"), F.round("score", 5).alias("score"))
+        row = lesion.pick(measures, tail, least, most).select("vol_id", F.lit(f"{tail} {least} {most}").alias("rule"), F.array_join("labels", ",").alias("labels"), F.round("score", 5).alias("score"))
         rows = row if rows is None else rows.unionByName(row)
     return rows
 
