@@ -96,3 +96,23 @@ def test_merges_whose_parts_come_late(spark):
     pieces = list("abc") + sorted({"".join(rng.choice(list("abc"), int(n))) for n in rng.integers(2, 6, 60)})
     rows = [(0, "<unk>", 0.0, 2), *((i + 1, p, -float(s), 1) for i, (p, s) in enumerate(zip(pieces, rng.permutation(len(pieces)), strict=True)))]
     _merged(spark, P.PieceTable(rows, is_bpe=True), sorted({"".join(rng.choice(list("abc"), int(n))) for n in rng.integers(1, 40, 400)}))
+
+
+def test_every_word_goes_through_the_lattice(spark, bpe, monkeypatch):
+    """Rare words, too, come from the join with the pieces and the folds, whatever number of encodings is broadcast."""
+    seen = []
+    for name in ("encode_words", "encode_long_words"):
+        plain = getattr(P, name)
+        monkeypatch.setattr(P, name, lambda words, model, plain=plain: seen.extend(r[0] for r in words.select("word").collect()) or plain(words, model))
+    texts = ["one two two two", "three two", "x" * 200 + " two", "日 rare" + " long text" * 20_000]
+    split = P._Splitter(bpe)
+    _ids(spark, bpe, docs(spark, texts), lattice_words=2)
+    assert sorted(seen) == sorted({w for t in texts for w in split(t)})
+
+
+def test_long_words_by_windows(spark, bpe):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("etaoin日▁="), n)) for n in (97, 150, 1030, 5000)] + ["a" * 3000]
+    encode = P.WordEncoder(bpe)
+    got = P.encode_long_words(spark.createDataFrame([(w,) for w in words], "word string"), bpe, window=64).collect()
+    assert {r["word"]: r["ids"] for r in got} == {w: np.frombuffer(encode(w), "<i4").tolist() for w in words}

@@ -12,10 +12,11 @@ higher-order aggregate:
 
 Characters that no piece covers become byte pieces (or the unknown piece where a table has none).
 
-Which words: all are counted, exactly (per task first, then by word); the lattice takes those frequent enough that at most
-``lattice_words`` remain, and their encodings, bounded in number and length, are broadcast. Rarer words, and those over
-``LONG`` characters, take the same merges in Python where they occur: rare words are most of a corpus's distinct ones, and their
-encodings would have to be joined back by a shuffle. Texts are never shuffled; results do not depend on the bound.
+Which words: all of them, each distinct one once. Words are counted exactly, by group of documents (rows near each other in a file, some 8 MB of
+text). Encodings of the most frequent ones, ``lattice_words`` at most, are broadcast; those of all others are shuffled to the groups that
+hold the word and written as a dictionary for each, which the tasks that meet the group's documents read. Texts are never shuffled; results
+do not depend on the bound. Words over ``LONG`` characters go through the same lattice by windows; as an array fold takes time quadratic in a
+word, the pieces that the join found in such a word are folded with a heap.
 
 Defined cases: null text encodes to null and decodes to null, empty text to no pieces; U+2581 in a text is a space, as in
 SentencePiece itself; repeated rows are encoded each; a very long text is split into words at once, some 60 bytes a word; an empty table gives one.
@@ -28,20 +29,25 @@ import os
 import re
 import struct
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volspark.llm.common import discard, free_name, materialise, slices, table
+from volspark.llm.common import discard, free_name, fresh_path, materialise, slices, table, write_table
 
 SPACE = "▁"
 LONG = 96
+#: Words of a task of the lattice.
+WORDS = 30_000
+#: Shares of the rarer words that are encoded one after the other, so that shuffle files of one share alone are on disk.
+PARTS = 4
 #: Characters of a word whose boundaries fit the bits of a long, one bit being a flag.
 BITS = 61
 MAX_PIECES = 1_000_000
@@ -120,21 +126,54 @@ def read_model(path: str) -> PieceTable:
     return PieceTable(rows, spec.get(2, {}).get(3, 1) == 2, bool(norm.get(3, 1)), bool(norm.get(4, 1)))
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """words: distinct word. Returns word and edges: struct start, n, id, score of every piece in the word, by start and n."""
-    starts = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
-    cut = starts.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start") + 1))).alias("n"))
+def _ranked(model: PieceTable, spark: SparkSession) -> DataFrame:
+    """piece, code: the rank of its score (0: the best; equals share one) in the high bits and the id in the 20 low ones. A last row without
+    characters keeps words that hold no piece."""
+    rank = {s: k for k, s in enumerate(sorted({s for _, _, s in model.pieces}, reverse=True))}
+    return spark.createDataFrame([*[(p, (rank[s] << 34) + i) for i, p, s in model.pieces], ("", 0)], "piece string, code long")
+
+
+def lattice(words: DataFrame, model: PieceTable) -> DataFrame:
+    """words: distinct word of at most LONG characters, other columns. Returns these and packed: an edge for every piece in the word, the best
+    score first, then by start and n. An edge is a long, so that groups are small: they are held by tasks in hash tables of bounded size (see WORDS), as
+    a sort would write every edge to disk."""
+    more = [c for c in words.columns if c != "word"]
+    starts = words.select("*", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
+    least = F.when(F.col("start") == 1, 0).otherwise(1)
+    cut = starts.select("*", F.explode(F.sequence(least, F.least(F.lit(model.longest), F.length("word") - F.col("start") + 1))).alias("n"))
     cut = cut.withColumn("sub", F.substr(F.col("word"), F.col("start"), F.col("n")))
-    edges = cut.join(F.broadcast(pieces), F.col("sub") == F.col("piece"))
-    return edges.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("start", "n", "id", "score"))).alias("edges"))
+    edges = cut.join(F.broadcast(_ranked(model, words.sparkSession)), F.col("sub") == F.col("piece"))
+    packed = F.expr("code + shiftleft(cast(start as long), 27) + shiftleft(cast(n as long), 20)")
+    found = edges.groupBy("word").agg(*[F.first(c).alias(c) for c in more], F.sort_array(F.collect_list(packed)).alias("packed"))
+    return found.select("word", *more, F.slice("packed", F.lit(2), F.size("packed")).alias("packed"))  # the row without characters is the least
+
+
+def _edges(model: PieceTable) -> Column:
+    """struct start, n, id, score of each packed edge, in their order; of BPE tables the score is the negated rank."""
+    scores = ", ".join(f"{x!r}d" for x in sorted({s for _, _, s in model.pieces}, reverse=True))
+    score = "-cast(shiftright(e, 34) as double)" if model.is_bpe else f"array({scores or '0d'})[cast(shiftright(e, 34) as int)]"
+    return F.expr(f"""transform(packed, e -> struct(cast(shiftright(e, 27) & 127 as int) as start, cast(shiftright(e, 20) & 127 as int) as n,
+        cast(e & {(1 << 20) - 1} as int) as id, {score} as score))""")
+
+
+def _folded_bits() -> Column:
+    """The ids by the single pass of _fold_merges() over packed edges: the edges from one boundary left to the next are the pieces. Null for words whose merges must be
+    taken one by one, and those with a character that no piece covers."""
+    at, n = "cast((shiftright(e, 27) & 127) - 1 as int)", "shiftleft(1L, cast(shiftright(e, 20) & 127 as int))"
+    ends, inside = f"shiftleft({n} | 1, {at})", f"shiftleft({n} - 2, {at})"
+    passed = f"""aggregate(packed, shiftleft(1L, size_ + 1) - 1,
+        (m, e) -> if((m & {ends}) <> {ends}, m, if(bit_count(m & {inside}) > 1, m | shiftleft(1L, 63), m & ~{inside})))"""
+    of = f"sort_array(transform(filter(packed, e -> (m & {ends}) = {ends} and (m & {inside}) = 0), e -> shiftleft(shiftright(e, 27) & 127, 20) | (e & {(1 << 20) - 1})))"
+    ids = f"transform(array({of}), p -> if(size(p) = bit_count(m) - 1, transform(p, i -> cast(i & {(1 << 20) - 1} as int)), null))[0]"
+    return F.expr(f"if(size_ <= {BITS}, transform(array({passed}), m -> if(m < 0, null, {ids}))[0], null)")
 
 
 def _fold_merges() -> Column:
     """Boundaries of the pieces left when no two neighbours make an edge. Of words up to BITS characters the boundaries are the bits of a
     long, and a single pass over the edges, best first, merges each that has one boundary left inside. That is the order of merges
     unless an edge came up before its parts were there (two boundaries inside); such words, and longer ones, take the merges one by one."""
-    by_score = """array_sort(transform(filter(edges, e -> e.n > 1), e -> struct(-e.score as cost, e.start as start,
-        shiftleft(1L, e.start - 1) | shiftleft(1L, e.start + e.n - 1) as ends, shiftleft(shiftleft(1L, e.n - 1) - 1, e.start) as inside)))"""
+    by_score = """transform(filter(edges, e -> e.n > 1), e -> struct(
+        shiftleft(1L, e.start - 1) | shiftleft(1L, e.start + e.n - 1) as ends, shiftleft(shiftleft(1L, e.n - 1) - 1, e.start) as inside))"""
     passed = f"""aggregate({by_score}, shiftleft(1L, size_ + 1) - 1,
         (m, e) -> if((m & e.ends) <> e.ends, m, if(bit_count(m & e.inside) > 1, m | shiftleft(1L, 63), m & ~e.inside)))"""
     bits = "filter(sequence(1, size_ + 1), i -> (m & shiftleft(1L, i - 1)) <> 0)"
@@ -161,21 +200,48 @@ def _fold_viterbi() -> Column:
 
 
 def encode_words(words: DataFrame, model: PieceTable) -> DataFrame:
-    """word and ids, for distinct non-empty words of at most LONG characters that hold a piece (others are spelled)."""
-    pieces = words.sparkSession.createDataFrame(model.pieces, "id int, piece string, score double")
-    whole = lattice(words, pieces, model.longest).withColumn("size_", F.length("word"))
+    """words (distinct, non-empty, of at most LONG characters, with other columns) and their ids."""
+    more = [c for c in words.columns if c != "word"]
+    whole = lattice(words, model).withColumn("size_", F.length("word"))
     span = lambda e: e["start"] * 256 + e["n"]
+    whole = whole.withColumn("folded", _folded_bits() if model.is_bpe else F.expr("cast(null as array<int>)"))
+    whole = whole.withColumn("edges", F.when(F.col("folded").isNull(), _edges(model)))
     if model.is_bpe:
-        cut = whole.withColumn("b", F.coalesce(_fold_merges(), _fold_merges_one_by_one()))
+        cut = whole.withColumn("b", F.when(F.col("folded").isNull(), F.coalesce(_fold_merges(), _fold_merges_one_by_one())))
     else:
         covered = F.transform(F.filter("edges", lambda e: e["n"] == 1), lambda e: e["start"])
         bare = F.transform(F.array_except(F.sequence(F.lit(1), F.col("size_")), covered), lambda i: F.struct(i.alias("start"), F.lit(1).alias("n"), F.lit(-1).alias("id"), F.lit(model.worst).alias("score")))
         cut = whole.withColumn("all_edges", F.concat("edges", bare)).withColumn("b", _fold_viterbi())
-    at = F.transform(F.sequence(F.lit(1), F.size("b") - 1), lambda i: F.struct(F.element_at("b", i).alias("start"), (F.element_at("b", i + 1) - F.element_at("b", i)).alias("n")))
+    at = F.transform(F.sequence(F.lit(1), F.when(F.col("b").isNotNull(), F.size("b") - 1)), lambda i: F.struct(F.element_at("b", i).alias("start"), (F.element_at("b", i + 1) - F.element_at("b", i)).alias("n")))
     ids = F.map_from_entries(F.transform("edges", lambda e: F.struct(span(e), e["id"])))
-    found = cut.select("word", at.alias("at"), ids.alias("by_span"))
+    found = cut.select("word", *more, "folded", at.alias("at"), ids.alias("by_span"))
     picked = F.transform("at", lambda s: F.coalesce(F.nullif(F.array(F.element_at("by_span", span(s))), F.array(F.lit(None).cast("int"))), _spelled(F.substr(F.col("word"), s["start"], s["n"]), model)))
-    return found.select("word", F.flatten(picked).alias("ids"))
+    return found.select("word", *more, F.coalesce("folded", F.flatten(picked)).alias("ids"))
+
+
+def encode_long_words(words: DataFrame, model: PieceTable, window: int = 1024) -> DataFrame:
+    """The same for words of more than LONG characters: windows that overlap by the longest piece are cut into substrings and joined, and the
+    word's distinct pieces (no more than the table has) go to its fold, a heap of merges or the best path."""
+    pieces = words.sparkSession.createDataFrame(model.pieces, "id int, piece string, score double")
+    keyed = words.withColumn("key", F.sha2("word", 256))
+    part = F.transform(F.sequence(F.lit(1), F.length("word"), F.lit(window)), lambda i: F.substr(F.col("word"), i, F.lit(window + model.longest - 1)))
+    starts = keyed.select("key", F.explode(F.array_distinct(part)).alias("part")).select("key", "part", F.explode(F.sequence(F.lit(1), F.length("part"))).alias("start"))
+    cut = starts.select("key", F.substr(F.col("part"), F.col("start"), F.lit(model.longest)).alias("part")).distinct()
+    cut = cut.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.length("part")), lambda n: F.substr(F.col("part"), F.lit(1), n))).alias("sub"))
+    edges = cut.join(F.broadcast(pieces), F.col("sub") == F.col("piece"))
+    found = edges.groupBy("key").agg(F.collect_set(F.struct("piece", "id", "score")).alias("edges"))
+    out = keyed.join(found, "key", "left").drop("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 16):
+            ids = []
+            for word, edges in zip(b.column("word").to_pylist(), b.column("edges").to_pylist(), strict=True):
+                encode = WordEncoder(model, [(e["id"], e["piece"], e["score"]) for e in edges or []])
+                ids.append(np.frombuffer(encode(word), np.int32))
+            kept = [c for c in b.schema.names if c != "edges"]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(ids, pa.list_(pa.int32()))], names=[*kept, "ids"])
+
+    return out.mapInArrow(run, T.StructType([*words.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def _spelled(char: Column, model: PieceTable) -> Column:
@@ -188,12 +254,13 @@ def _spelled(char: Column, model: PieceTable) -> Column:
 
 
 class WordEncoder:
-    """The ids of one word by the rules of the lattice's folds."""
+    """The ids of one word by the rules of the lattice's folds, from pieces (id, piece, score): the whole table, or those in the word."""
 
-    def __init__(self, model: PieceTable):
+    def __init__(self, model: PieceTable, pieces: list[tuple[int, str, float]] | None = None):
+        pieces = model.pieces if pieces is None else pieces
         self.model = model
-        self.score = {p: s for _, p, s in model.pieces}
-        self.id = {p: i for i, p, _ in model.pieces}
+        self.score = {p: s for _, p, s in pieces}
+        self.id = {p: i for i, p, _ in pieces}
 
     def __call__(self, word: str) -> bytes:
         if not self.model.is_bpe:
@@ -288,79 +355,129 @@ class _Splitter:
         return self.cut.findall(SPACE + t if self.prefix else t)
 
 
-def count_words(docs: DataFrame, model: PieceTable, text_col: str = "text", flush: int = 200_000) -> DataFrame:
-    """word, n: how often each word of at most LONG characters occurs in all texts. A task that holds many words hands on its counts and
+#: Rows of a group of documents, for texts of under 2 LENGTH characters; each doubling of the length halves it, so that a group's words are bounded.
+ROWS, LENGTH = 4096, 4096
+
+
+def grouped(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+    """docs with a column that names each row's group, and its name: by the row's place in its file and its text's length, so that each pass over docs
+    finds the same. Tables that are no files are written first."""
+    place = ["_metadata.file_path", "_metadata.row_index"]
+    try:
+        docs.select(*place)
+    except AnalysisException:
+        docs = materialise(docs, "docs")
+    name = free_name(docs, "group")
+    halvings = F.floor(F.log2(F.greatest(F.coalesce(F.length(text_col), F.lit(0)) / LENGTH, F.lit(1)))).cast("int")
+    halvings = F.least(halvings, F.lit(ROWS.bit_length() - 1))
+    return docs.select("*", F.xxhash64(F.col(place[0]), halvings, F.floor(F.col(place[1]) * F.pow(F.lit(2.0), halvings) / ROWS)).alias(name)), name
+
+
+def count_words(docs: DataFrame, model: PieceTable, text_col: str, group: str, flush: int = 200_000) -> DataFrame:
+    """word, n, groups: how often each word occurs in all texts, and in which groups. A task that holds many words hands on its counts and
     starts anew, so the counts are exact and its memory bounded."""
     split = _Splitter(model)
 
-    def handed_on(counts: Counter[str]) -> pa.RecordBatch:
-        kept = {w: n for w, n in counts.items() if len(w) <= LONG}
-        return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], names=["word", "n"])
+    def handed_on(counts: dict[int, Counter[str]]) -> Iterator[pa.RecordBatch]:
+        for g, c in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(np.full(len(c), g, np.int64)), pa.array(list(c.values()), pa.int64())], names=["word", "g", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-        for b in batches:
-            for text in b.column(0):
+        counts: dict[int, Counter[str]] = defaultdict(Counter)
+        for b in slices(batches):
+            for text, g in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 if (t := text.as_py()) is not None:
-                    counts.update(split(t))
-                if len(counts) > flush:
-                    yield handed_on(counts)
-                    counts = Counter()
-        yield handed_on(counts)
+                    counts[g].update(split(t))
+            if sum(map(len, counts.values())) > flush:
+                yield from handed_on(counts)
+                counts = defaultdict(Counter)
+        yield from handed_on(counts)
 
-    return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = docs.select(text_col, group).mapInArrow(run, "word string, g long, n long")
+    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.collect_set("g").alias("groups"))
 
 
-def frequent_words(counts: DataFrame, bound: int) -> DataFrame:
-    """The words of the highest counts, all of equal count or none, at most bound."""
-    sizes = counts.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).toLocalIterator()
-    least, total = None, 0
+def least_count(counts: DataFrame, bound: int) -> int:
+    """The count from which on words are at most bound, all of equal count or none."""
+    sizes = counts.where(F.length("word") <= LONG).groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).toLocalIterator()
+    least, total = 1_000_001, 0
     for r in sizes:
         total += r["k"]
         if total > bound:
             break
         least = r["n"]
-    return counts.where(F.lit(False) if least is None else F.col("n") >= least).select("word")
+    return least
+
+
+class _Dictionaries:
+    """Reads the dictionaries of groups from the shared folder, and holds some."""
+
+    def __init__(self, folder: str, most: int = 500_000):
+        self.folder, self.most, self.held = folder, most, {}
+        self.store, self.base = None, None
+
+    def __call__(self, group: int) -> dict[str, bytes]:
+        if group in self.held:
+            return self.held[group]
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
+
+        if self.store is None:
+            self.store, self.base = pafs.FileSystem.from_uri(self.folder if "://" in self.folder or self.folder.startswith("file:") else f"file://{self.folder}")
+        out: dict[str, bytes] = {}
+        for f in self.store.get_file_info(pafs.FileSelector(f"{self.base}/group={group}", allow_not_found=True)):
+            if f.base_name.startswith(("_", ".")):
+                continue
+            with self.store.open_input_file(f.path) as file:
+                for b in pq.ParquetFile(file).iter_batches(columns=["word", "ids"]):
+                    ids = b.column("ids")
+                    raw, ends = ids.values.to_numpy().astype(np.int32).tobytes(), (ids.offsets.to_numpy() * 4).tolist()
+                    out.update(zip(b.column("word").to_pylist(), [raw[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)], strict=True))
+        while self.held and sum(map(len, self.held.values())) + len(out) > self.most:
+            self.held.pop(next(iter(self.held)))
+        self.held[group] = out
+        return out
 
 
 def encode(docs: DataFrame, model: PieceTable, text_col: str = "text", lattice_words: int = 120_000) -> tuple[DataFrame, str, str, str]:
     """docs with three more columns, whose names are returned: number of words, ids of pieces (as 4-byte little-endian integers; see
-    unpacked()), and the text decoded from these ids."""
+    unpacked()), and the text decoded from these ids. lattice_words: how many words' encodings are broadcast; the others come by group."""
     spark = docs.sparkSession
-    counts = materialise(count_words(docs, model, text_col), "words")
+    n_words, ids, decoded = (free_name(docs, n) for n in ("n_words", "ids", "decoded"))
+    out = T.StructType([*docs.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())])
+    docs, group = grouped(docs, text_col)
+    counts = materialise(count_words(docs, model, text_col, group), "words")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = encode_words(frequent_words(counts, lattice_words).repartition(tasks, "word"), model).toArrow()  # lattice_words rows at most
+    least = least_count(counts, lattice_words)
+    short = F.length("word") <= LONG
+    found = encode_words(counts.where(short & (F.col("n") >= least)).select("word").repartition(tasks, "word"), model).toArrow()  # lattice_words rows at most
     known = {w: np.array(i, np.int32).tobytes() for b in found.to_batches() for w, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    folder = fresh_path(spark, "encodings")
+    others = counts.where(short & (F.col("n") < least)).select("word", "groups")
+    some = others.count() // WORDS // PARTS + 1
+    made = [encode_words(others.where(F.pmod(F.hash("word"), PARTS) == k).repartition(some, "word"), model) for k in range(PARTS)]
+    for rare in [*made, encode_long_words(counts.where(~short).select("word", "groups"), model)]:
+        write_table(rare.select("word", "ids", F.explode("groups").alias("group")).repartition("group"), folder, "group", groups_held=4 * WORDS)
     discard(counts)
     shared = spark.sparkContext.broadcast((model, known))
-    n_words, ids, decoded = (free_name(docs, n) for n in ("n_words", "ids", "decoded"))
     split = _Splitter(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, common = shared.value
-        encode_word, decoder = WordEncoder(m), Decoder(m)
-        rare: dict[str, bytes] = {}
-
-        def rest(w: str) -> bytes:
-            found = rare.get(w)
-            if found is None:
-                if len(rare) >= 50_000:
-                    rare.clear()
-                found = rare[w] = encode_word(w)
-            return found
-
+        decoder, dictionaries = Decoder(m), _Dictionaries(folder)
         for b in slices(batches):
             packed, words = [], []
-            for text in b.column(text_col):
+            for text, g in zip(b.column(text_col), b.column(group).to_pylist(), strict=True):
                 t = text.as_py()
                 ws = [] if t is None else split(t)
-                packed.append(None if t is None else b"".join([common.get(w) or rest(w) for w in ws]))
+                rare = dictionaries(g) if ws else {}
+                packed.append(None if t is None else b"".join([common.get(w) or rare[w] for w in ws]))
                 words.append(len(ws))
             back = pa.array([None if x is None else decoder(x) for x in packed], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(words, pa.int64()), pa.array(packed, pa.binary()), back], names=[*b.schema.names, n_words, ids, decoded])
+            kept = [c for c in b.schema.names if c != group]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(words, pa.int64()), pa.array(packed, pa.binary()), back], names=[*kept, n_words, ids, decoded])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())])
-    return docs.mapInArrow(run, schema), n_words, ids, decoded
+    return docs.mapInArrow(run, out), n_words, ids, decoded
 
 
 class Decoder:
