@@ -165,14 +165,31 @@ def adaptive_equalisation(vox: DataFrame, alpha: float, beta: float, r: int, low
 
 
 def plain_equalisation(p: np.ndarray, alpha: float, beta: float, r: int, low: float, high: float) -> np.ndarray:
-    def plane(w: np.ndarray) -> np.ndarray:
-        w = (w - low) / (high - low) - 0.5
-        u = w[..., w.shape[-1] // 2, None]
-        d = u - w
-        f = 0.5 * np.sign(d) * np.abs(2 * d) ** alpha - beta * 0.5 * np.sign(d) * np.abs(2 * d) + beta * u
-        return (f.mean(axis=-1) + 0.5) * (high - low) + low
-
-    return _by_plane(p, _cube(r), plane)
+    return plain_equalisations(p, (alpha,), (beta,), (r,), low, high)[0]
+
+
+def plain_equalisations(p: np.ndarray, alphas: tuple[float, ...], betas: tuple[float, ...], radii: tuple[int, ...], low: float, high: float) -> list[np.ndarray]:
+    """The equalisations of all combinations (alpha first, then beta, then radius) of the core of an array padded by the largest radius. As q(d, 1) = d, the
+    terms with beta add up to beta times the window's mean, so the powers are taken once for each alpha, a place of the largest window after the other, and
+    no window is copied."""
+    most = max(radii)
+    w = (p - low) / (high - low) - 0.5
+    size = [n - 2 * most for n in p.shape]
+    u = w[tuple(slice(most, most + n) for n in size)]
+    means, curves = np.zeros((len(radii), *size)), np.zeros((len(alphas), len(radii), *size))
+    for offset in np.ndindex((2 * most + 1,) * 3):
+        x = w[tuple(slice(o, o + n) for o, n in zip(offset, size, strict=True))]
+        inside = [k for k, r in enumerate(radii) if max(abs(o - most) for o in offset) <= r]
+        for k in inside:
+            means[k] += x
+        d = u - x
+        sign, twice = np.sign(d), np.abs(2 * d)
+        for a, alpha in enumerate(alphas):
+            f = sign * (np.sqrt(twice) if alpha == 0.5 else twice**alpha)
+            for k in inside:
+                curves[a, k] += f
+    n = np.array([(2 * r + 1) ** 3 for r in radii], float)
+    return [((0.5 * curves[a, k] + beta * means[k]) / n[k] + 0.5) * (high - low) + low for a in range(len(alphas)) for beta in betas for k in range(len(radii))]
 
 
 def curvature_diffusion(vox: DataFrame, iterations: int, step: float = 0.0625, conductance: float = 3.0) -> DataFrame:

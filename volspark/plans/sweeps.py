@@ -137,18 +137,20 @@ def filter_batch(vox: DataFrame) -> DataFrame:
     runs = {"gradient": (1, lambda p: stencil.plain_gradient(p, True))}
     runs |= {f"mean_r{r}": (r, lambda p, r=r: box_mean(p, r)) for r in FILTER_RADII}
     runs |= {f"median_r{r}": (r, lambda p, r=r: stencil.plain_median(p, (r, r, r))) for r in FILTER_RADII}
-    runs |= {f"equalise_a{a}_b{b}_r{r}": (r, lambda p, a=a, b=b, r=r: stencil.plain_equalisation(p, a, b, r, low, high)) for a in EQUALISE for b in EQUALISE for r in EQUALISE_RADII}
-    most = max(r for r, _ in runs.values())
+    equalised = [f"equalise_a{a}_b{b}_r{r}" for a in EQUALISE for b in EQUALISE for r in EQUALISE_RADII]
+    most = max(*EQUALISE_RADII, *(r for r, _ in runs.values()))
 
     def kernel(p: np.ndarray) -> tuple[np.ndarray, ...]:
         inner = lambda r: p[tuple(slice(most - r, n - most + r) for n in p.shape)]
-        return tuple(f(inner(r)) for r, f in runs.values())
+        equal = stencil.plain_equalisations(inner(max(EQUALISE_RADII)), EQUALISE, EQUALISE, EQUALISE_RADII, low, high)
+        return (*(f(inner(r)) for r, f in runs.values()), *equal)
 
-    columns = tuple(f"c{i}" for i in range(len(runs)))
+    names = [*runs, *equalised]
+    columns = tuple(f"c{i}" for i in range(len(names)))
     made = over_blocks(vox, kernel, (most,) * 3, "replicate", block=16, columns=columns)
     stats = lambda c: F.struct(F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"))
     rows = made.groupBy("vol_id").agg(*[stats(c).alias(c) for c in columns])
-    one = F.explode(F.array(*[F.struct(F.lit(name).alias("filter"), F.col(c).alias("s")) for c, name in zip(columns, runs, strict=True)])).alias("r")
+    one = F.explode(F.array(*[F.struct(F.lit(name).alias("filter"), F.col(c).alias("s")) for c, name in zip(columns, names, strict=True)])).alias("r")
     return rows.select("vol_id", one).select("vol_id", "r.filter", "r.s.n", *[F.round(f"r.s.{c}", 4).alias(c) for c in ("min", "max", "mean", "std")])
 
 
