@@ -511,3 +511,29 @@ def test_equalisations_share_their_powers(monkeypatch):
         d = u - w
         f = 0.5 * np.sign(d) * np.abs(2 * d) ** a - b * d + b * u
         assert np.allclose(next(got), (f.mean(axis=-1) + 0.5) * 500)
+
+
+def test_errors_of_chunks_are_those_of_voxels(spark):
+    from volspark.operators.blocks import chunk_errors, chunked
+
+    clean = volume(spark, A)
+    noisy = clean.select(F.concat("vol_id", F.lit("#3")).alias("vol_id"), "z", "y", "x", (F.col("v") + F.col("x") % 3).alias("v"))
+    want = stats.mse_psnr(clean.select(F.concat("vol_id", F.lit("#3")).alias("vol_id"), "z", "y", "x", "v"), noisy).first()
+    got = chunk_errors(chunked(clean), chunked(noisy)).first()
+    assert (got["vol_id"], got["n"]) == (want["vol_id"], want["n"]) and np.allclose([got["mse"], got["psnr"]], [want["mse"], want["psnr"]])
+    assert chunk_errors(chunked(clean), chunked(noisy.where("x > 0"))).count() == 0  # of different shape
+
+
+def test_adaptive_median_opens_few_large_windows(spark, monkeypatch):
+    """A larger window is taken only for places that need one."""
+    from volspark.operators import blocks, denoise
+
+    seen, made = [], {}
+    monkeypatch.setattr(denoise, "over_chunks", lambda chunks, kernel, *_: made.setdefault("kernel", kernel))
+    denoise.chunk_adaptive_median(None, 9)
+    plain = np.median
+    monkeypatch.setattr(np, "median", lambda w, axis: seen.append(len(w)) or plain(w, axis=axis))
+    p = np.random.default_rng(2).normal(size=(3, 20, 20))
+    p[1, 10:13, 10:13] = 5.0
+    made["kernel"](p)
+    assert seen[0] == 3 * 12 * 12 and 0 < seen[1] < 10 and blocks

@@ -311,6 +311,31 @@ def chunk_means(chunks: Chunks, column: str) -> DataFrame:
     return chunks.data.select("vol_id", column).mapInArrow(run, "vol_id string, s double, n long").groupBy("vol_id").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 
+def chunk_errors(reference: Chunks, other: Chunks) -> DataFrame:
+    """mse_psnr() of chunks on the same grid of blocks, whose voxels need not be joined one by one. The volumes of other are named vol_id#run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for name, x, y, same in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+                if not same:
+                    rows.append((name, 0, 0, -1, 0.0, None))
+                    continue
+                v, w = np.frombuffer(x, np.float64), np.frombuffer(y, np.float64)
+                there, both = ~np.isnan(v), ~np.isnan(v) & ~np.isnan(w)
+                rows.append((name, int(there.sum()), int((~np.isnan(w)).sum()), int(both.sum()), float(((v - w)[both] ** 2).sum()), float(v[both].max()) if both.any() else None))
+            yield pa.RecordBatch.from_pylist([dict(zip(("vol_id", "n_a", "n_b", "n", "s", "top"), r, strict=True)) for r in rows], pa.schema([("vol_id", pa.string()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n", pa.int64()), ("s", pa.float64()), ("top", pa.float64())]))
+
+    whole = F.regexp_replace("vol_id", "#[^#]*$", "").alias("vol_id")
+    own = other.data.select(F.col("vol_id").alias("name"), whole, *_CELL[1:], F.col("v").alias("w"), F.struct("first", "size").alias("w_box"))
+    both = own.join(reference.data.select(*_CELL, "v", F.struct("first", "size").alias("box")), _CELL, "left").select("name", "v", "w", F.col("box").eqNullSafe(F.col("w_box")).alias("same"))
+    s = both.mapInArrow(run, "vol_id string, n_a long, n_b long, n long, s double, top double").groupBy("vol_id")
+    s = s.agg(F.count("*").alias("chunks"), *[F.sum(c).alias(c) for c in ("n_a", "n_b", "n", "s")], F.max("top").alias("top")).where("n = n_a and n = n_b").withColumn("mse", F.col("s") / F.col("n"))
+    wanted = reference.data.groupBy(F.col("vol_id").alias("of")).agg(F.count("*").alias("wanted"))
+    s = s.join(F.broadcast(wanted), F.regexp_replace("vol_id", "#[^#]*$", "") == F.col("of")).where("chunks = wanted")
+    return s.select("vol_id", "n", "mse", F.when(F.col("mse") > 0, 10 * F.log10(F.col("top") * F.col("top") / F.col("mse"))).otherwise(float("inf")).alias("psnr"))
+
+
 def cut_chunks(chunks: Chunks) -> Chunks:
     return Chunks(cut(chunks.data), chunks.bounds, chunks.block, chunks.columns)
 

@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from volspark.functions.stats import mse_psnr, percentiles
-from volspark.operators.blocks import Borders, Chunks, box_mean, chunk_means, chunked, cut_chunks, on_chunks, over_blocks, over_chunks, replicated, voxels_of, windows
-from volspark.operators.stencil import median_without_centre, plain_gradient, plain_median
+from volspark.functions.stats import percentiles
+from volspark.operators.blocks import Borders, Chunks, box_mean, chunk_errors, chunk_means, chunked, cut_chunks, on_chunks, over_chunks, replicated, voxels_of
+from volspark.operators.stencil import chunk_median_without_centre, plain_gradient, plain_median
 from volspark.schema import KEYS
 from volspark.session import cut
 
@@ -24,22 +24,28 @@ def adaptive_median(vox: DataFrame, largest: int = 7) -> DataFrame:
     """Per axial slice. The window grows 3, 5, ... until its median lies strictly between its extremes; then the
     value stays if it does too, else it becomes that median; without such a window the last median. Borders
     mirrored without the edge. An even size becomes the next smaller odd one, under 3 is 3."""
+    return voxels_of(chunk_adaptive_median(chunked(vox), largest))
+
+
+def chunk_adaptive_median(chunks: Chunks, largest: int = 7) -> Chunks:
     largest = max(3, largest - 1 + largest % 2)
     h = largest // 2
 
     def kernel(p: np.ndarray) -> np.ndarray:
         core = p[:, h : p.shape[1] - h, h : p.shape[2] - h]
-        out, open_ = np.empty_like(core), np.ones(core.shape, bool)
-        for r in range(1, h + 1):
-            w = windows(p[:, h - r : p.shape[1] - h + r, h - r : p.shape[2] - h + r], (0, r, r))
-            lo, mid, hi = w.min(axis=-1), np.median(w, axis=-1), w.max(axis=-1)
-            found = open_ & (lo < mid) & (mid < hi)
-            keep = (lo < core) & (core < hi)
-            out = np.where(found, np.where(keep, core, mid), out)
-            open_ &= ~found
-        return np.where(open_, mid, out)
+        out, todo = np.empty_like(core), np.nonzero(np.ones(core.shape, bool))
+        for r in range(1, h + 1):  # a larger window only where none before it would do
+            w = np.lib.stride_tricks.sliding_window_view(p[:, h - r : p.shape[1] - h + r, h - r : p.shape[2] - h + r], (1, 2 * r + 1, 2 * r + 1))
+            w = w[todo].reshape(len(todo[0]), (2 * r + 1) ** 2)
+            lo, mid, hi, own = w.min(axis=-1), np.median(w, axis=-1), w.max(axis=-1), core[todo]
+            found = (lo < mid) & (mid < hi)
+            out[todo] = np.where(found & (lo < own) & (own < hi), own, mid)
+            todo = tuple(t[~found] for t in todo)
+            if not len(todo[0]):
+                break
+        return out
 
-    return over_blocks(vox, kernel, (0, h, h), "reflect")
+    return over_chunks(chunks, kernel, (0, h, h), "reflect")
 
 
 def adaptive_median_approximation(vox: DataFrame) -> DataFrame:
@@ -60,6 +66,10 @@ def adaptive_median_approximation(vox: DataFrame) -> DataFrame:
 def adaptive_wiener(vox: DataFrame, size: int = 5, noise: float | None = None) -> DataFrame:
     """mu + max(s2 - n2, 0) / max(s2, eps) (v - mu), with window mean mu and variance s2; n2 is their mean unless
     given. Even sizes grow by one; borders mirrored with the edge. Mean and variance come from one pass over blocks."""
+    return voxels_of(chunk_adaptive_wiener(chunked(vox, max(32, size // 2)), size, noise))
+
+
+def chunk_adaptive_wiener(chunks: Chunks, size: int = 5, noise: float | None = None) -> Chunks:
     h = (size + 1 - size % 2) // 2
 
     def kernel(p: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -67,13 +77,13 @@ def adaptive_wiener(vox: DataFrame, size: int = 5, noise: float | None = None) -
         core = p[h:-h, h:-h, h:-h]
         return core, mu, box_mean(p * p, h) - mu * mu
 
-    local = over_chunks(chunked(vox, max(32, h)), kernel, (h, h, h), "symmetric", columns=("v", "mu", "s2"))
+    local = over_chunks(chunks, kernel, (h, h, h), "symmetric", columns=("v", "mu", "s2"))
     if noise is None:
         local = cut_chunks(local)
         by = chunk_means(local, "s2")
     else:
         by = local.bounds.select("vol_id", F.lit(float(noise)).alias("n2"))
-    return voxels_of(on_chunks(local, lambda v, mu, s2, n2: mu + np.maximum(s2 - n2, 0.0) / np.maximum(s2, np.finfo(float).eps) * (v - mu), by))
+    return on_chunks(local, lambda v, mu, s2, n2: mu + np.maximum(s2 - n2, 0.0) / np.maximum(s2, np.finfo(float).eps) * (v - mu), by)
 
 
 def with_hash(vox: DataFrame, name: str, seed: int) -> DataFrame:
@@ -126,25 +136,25 @@ def add_noise(vox: DataFrame, kind: str, density: float = 0.0, sigma: float = 0.
     return made[kind]()
 
 
-FILTERS = {"median26": median_without_centre, "adaptive_median": lambda v: adaptive_median(v, 5), "wiener": lambda v: adaptive_wiener(v, 3)}
-FILTERS |= {f"adaptive_median_{w}": lambda v, w=w: adaptive_median(v, w) for w in (5, 7, 9)}
+FILTERS = {"median26": chunk_median_without_centre, "adaptive_median": lambda c: chunk_adaptive_median(c, 5), "wiener": lambda c: chunk_adaptive_wiener(c, 3)}
+FILTERS |= {f"adaptive_median_{w}": lambda c, w=w: chunk_adaptive_median(c, w) for w in (5, 7, 9)}
 
 
 def denoise_table(vox: DataFrame, noises: list[tuple[str, float, float]], filters: list[str] | dict[tuple[str, float, float], list[str]]) -> DataFrame:
     """noise, density, sigma, filter, n, mse, psnr. filters: those of every noise, or of each.
 
-    The noisy copies of a volume are volumes of one relation, so each filter runs once over all that it is asked for."""
+    The noisy copies of a volume are volumes of one relation, so each filter runs once over all that it is asked for. They become chunks once; filters and errors work
+    on these."""
     wanted = filters if isinstance(filters, dict) else {n: filters for n in noises}
     vox = cut(vox)
     name = lambda i: F.concat(F.col("vol_id"), F.lit(f"#{i}")).alias("vol_id")
     place = ["z", "y", "x", "v"]
     noisy = reduce(DataFrame.unionByName, [add_noise(vox, *n).select(name(i), *place) for i, n in enumerate(noises)])
-    noisy = cut(noisy.withColumn("i", F.substring_index("vol_id", "#", -1).cast("int")))
-    out = None
+    clean, noisy, out = chunked(vox), chunked(noisy), None
     for f in dict.fromkeys(x for n in noises for x in wanted[n]):
         own = [i for i, n in enumerate(noises) if f in wanted[n]]
-        clean = vox.select(F.explode(F.array(*[F.lit(i) for i in own])).alias("i"), "*").select(F.concat("vol_id", F.lit("#"), "i").alias("vol_id"), *place)
-        row = mse_psnr(clean, FILTERS[f](noisy.where(F.col("i").isin(own)).select(*KEYS, "v"))).withColumn("filter", F.lit(f))
+        some = noisy.data.where(F.substring_index("vol_id", "#", -1).cast("int").isin(own))
+        row = chunk_errors(clean, FILTERS[f](Chunks(some, noisy.bounds, noisy.block))).withColumn("filter", F.lit(f))
         out = row if out is None else out.unionByName(row)
     at = F.substring_index("vol_id", "#", -1).cast("int")
     of = lambda k: F.element_at(F.array(*[F.lit(n[k]) for n in noises]), at + 1)

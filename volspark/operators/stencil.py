@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from volspark.operators.blocks import Borders, along_axis, box_mean, chunked, on_chunks, over_blocks, over_chunks, replicated, voxels_of, windows
+from volspark.operators.blocks import Borders, Chunks, along_axis, box_mean, chunked, on_chunks, over_blocks, over_chunks, replicated, voxels_of, windows
 
 
 def _cube(r: int) -> tuple[int, int, int]:
@@ -42,9 +42,13 @@ def median_filter(vox: DataFrame, halo: tuple[int, int, int], boundary: str = "r
 
 def median_without_centre(vox: DataFrame, r: int = 1) -> DataFrame:
     """Median of the neighbours alone: of their even number the mean of the middle two; borders mirrored without the edge."""
+    return voxels_of(chunk_median_without_centre(chunked(vox, max(32, r)), r))
+
+
+def chunk_median_without_centre(chunks: Chunks, r: int = 1) -> Chunks:
     n = (2 * r + 1) ** 3
     others = np.delete(np.arange(n), n // 2)
-    return over_blocks(vox, lambda p: _by_plane(p, _cube(r), lambda w: _middle(w[..., others])), _cube(r), "reflect")
+    return over_chunks(chunks, lambda p: _by_plane(p, _cube(r), lambda w: _middle(w[..., others])), _cube(r), "reflect")
 
 
 def _central(p: np.ndarray) -> list[np.ndarray]:
