@@ -86,3 +86,21 @@ def test_packed_rows():
     rows = codes.packed(small) + codes.packed(large)
     assert [len(r) for r in rows] == [4, 16]
     assert codes.unpacked(pa.array(rows), 2).tolist() == [small[0].tolist(), large[0].tolist()]
+
+
+def test_jobs_do_not_grow_with_partitions(spark):
+    """Sums of changed parts come to the driver in one job a round, not one for each shuffle partition."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(0, 1, 8).tolist()) for i in range(40)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.sparkContext.setJobGroup("codes-jobs", "codes-jobs")
+    try:
+        run(spark, rows, entries=4, rounds=2)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("codes-jobs")
+        spark.sparkContext.setJobGroup("rest", "rest")
+    assert 0 < len(jobs) < 40

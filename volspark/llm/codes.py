@@ -157,7 +157,7 @@ def vector_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         if before is not None:
             discard(before)
         moved = state.where(F.col(was) != F.col(now)).select(x, was, now).mapInArrow(differences, schema_of(["part", "entry"]))
-        for r in exact_sums(moved, ["part", "entry"]).toLocalIterator():  # parts * entries rows at most
+        for r in exact_sums(moved, ["part", "entry"]).collect():  # parts * entries rows at most, in one job whatever the number of partitions
             sums[r["part"]][r["entry"]] += np.array(total(opened(r["sums"], r["limbs"])), object)
         books = Codebooks([[[v // row[s] for v in row[:s]] if row[s] else old for row, old in zip(sums[p].tolist(), books.entries[p].tolist(), strict=True)] for p in range(parts)])
     last = assigned(base if state is None else state, books).drop(x, was)
