@@ -116,3 +116,31 @@ def test_long_words_by_windows(spark, bpe):
     encode = P.WordEncoder(bpe)
     got = P.encode_long_words(spark.createDataFrame([(w,) for w in words], "word string"), bpe, window=64).collect()
     assert {r["word"]: r["ids"] for r in got} == {w: np.frombuffer(encode(w), "<i4").tolist() for w in words}
+
+
+def test_words_are_cut_where_no_piece_crosses(spark, bpe):
+    """Parts that no merge joins are distinct words of the lattice, each once, and their ids in a row are the word's."""
+    pairs = {p[i : i + 2] for _, p, _ in bpe.pieces for i in range(len(p))}
+    words = ["▁ansh.\nTithble&&&", "▁ñêço日\n\n本", "▁the", "▁▁日", "x" * 70]
+    parts, per = P._Cutter(bpe)(words)
+    assert "".join(parts) == "".join(words) and len(per) == len(words) and per[0] > 1 and per.tolist()[2] == 1
+    at = 0
+    for w, k in zip(words, per.tolist(), strict=True):
+        own = parts[at : at + k]
+        assert "".join(own) == w and all(a[-1] + b[0] not in pairs for a, b in zip(own, own[1:], strict=False))
+        encode = P.WordEncoder(bpe)
+        assert b"".join(map(encode, own)) == encode(w)
+        at += k
+
+
+def test_dictionaries_leave_room_before_they_read(tmp_path):
+    """While a group's dictionary is read, others are held up to half of the bound alone."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for g in range(3):
+        (tmp_path / f"group={g}").mkdir()
+        pq.write_table(pa.table({"word": [f"w{g}-{k}" for k in range(60)], "ids": pa.array([[k] for k in range(60)], pa.list_(pa.int32()))}), tmp_path / f"group={g}" / "a.parquet")
+    held = P._Dictionaries(str(tmp_path), most=100)
+    for g in (0, 1, 2, 0):
+        assert len(held(g)) == 60 and list(held.held) == [g]

@@ -6,7 +6,7 @@ longest piece's length and equi-joined to the piece table; matching edges are gr
 higher-order aggregate:
 
 * unigram tables: Viterbi over the word's positions, then a fold back along the best edges;
-* BPE tables: the fold applies merges - of neighbouring pieces whose union is an edge, the best score first, the leftmost of
+* BPE tables: words are first cut where no piece has the two characters side by side (no merge crosses such a place), which makes far fewer distinct ones. The fold applies merges - of neighbouring pieces whose union is an edge, the best score first, the leftmost of
   equals. Scores of such tables are merge ranks, and their best-scoring path is not what SentencePiece returns,
   so Viterbi would give wrong pieces here; the lattice is the same.
 
@@ -35,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -156,16 +157,45 @@ def _edges(model: PieceTable) -> Column:
         cast(e & {(1 << 20) - 1} as int) as id, {score} as score))""")
 
 
-def _folded_bits() -> Column:
-    """The ids by the single pass of _fold_merges() over packed edges: the edges from one boundary left to the next are the pieces. Null for words whose merges must be
-    taken one by one, and those with a character that no piece covers."""
-    at, n = "cast((shiftright(e, 27) & 127) - 1 as int)", "shiftleft(1L, cast(shiftright(e, 20) & 127 as int))"
-    ends, inside = f"shiftleft({n} | 1, {at})", f"shiftleft({n} - 2, {at})"
-    passed = f"""aggregate(packed, shiftleft(1L, size_ + 1) - 1,
-        (m, e) -> if((m & {ends}) <> {ends}, m, if(bit_count(m & {inside}) > 1, m | shiftleft(1L, 63), m & ~{inside})))"""
-    of = f"sort_array(transform(filter(packed, e -> (m & {ends}) = {ends} and (m & {inside}) = 0), e -> shiftleft(shiftright(e, 27) & 127, 20) | (e & {(1 << 20) - 1})))"
-    ids = f"transform(array({of}), p -> if(size(p) = bit_count(m) - 1, transform(p, i -> cast(i & {(1 << 20) - 1} as int)), null))[0]"
-    return F.expr(f"if(size_ <= {BITS}, transform(array({passed}), m -> if(m < 0, null, {ids}))[0], null)")
+def _folded_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids by the single pass of _fold_merges() over packed edges, of all words of a batch side by side: the edges from one boundary left to the next are the pieces. Null
+    for words whose merges must be taken one by one, and those with a character that no piece covers; these alone keep their edges."""
+    one = np.uint64(1)
+    for b in slices(batches, 4096):
+        if not b.num_rows:
+            continue
+        size, lists = b.column("size_").to_numpy().astype(np.int64), b.column("packed")
+        ends_of = lists.offsets.to_numpy().astype(np.int64)
+        first, count = ends_of[:-1], np.diff(ends_of)
+        e = lists.values.to_numpy(zero_copy_only=False)
+        at, n = ((e >> 27) & 127) - 1, (e >> 20) & 127
+        small = size <= BITS
+        shift = lambda x: one << np.where(x < 64, x, 63).astype(np.uint64)
+        ends = shift(at) | shift(at + n)
+        inside = ends - (shift(at) << one)  # the bits between the two ends, and the higher end
+        inside &= ~ends
+        m = np.where(small, shift(np.where(small, size, 0) + 1) - one, 0)
+        late = ~small
+        for k in range(int(count[small].max(initial=0))):
+            rows = np.flatnonzero(small & (count > k))
+            j = first[rows] + k
+            held = (m[rows] & ends[j]) == ends[j]
+            rows, j = rows[held], j[held]
+            more = np.bitwise_count(m[rows] & inside[j]) > 1
+            late[rows[more]] = True
+            m[rows[~more]] &= ~inside[j[~more]]
+        word = np.repeat(np.arange(len(size)), count)
+        e, at, ends, inside = (x[first[0] : ends_of[-1]] for x in (e, at, ends, inside))
+        kept = np.flatnonzero(((m[word] & ends) == ends) & ((m[word] & inside) == 0) & ~late[word])
+        kept = kept[np.lexsort((at[kept], word[kept]))]
+        pieces = np.bincount(word[kept], minlength=len(size))
+        bad = late | (pieces != np.bitwise_count(m).astype(np.int64) - 1)
+        kept = kept[~bad[word[kept]]]
+        pieces = np.where(bad, 0, pieces)
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pieces)]), pa.int32(), mask=np.append(bad, False)), pa.array((e[kept] & ((1 << 20) - 1)).astype(np.int32)))
+        packed = pc.if_else(pa.array(bad), lists, pa.scalar(None, lists.type))
+        names = [c for c in b.schema.names if c != "packed"]
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], packed, ids], names=[*names, "packed", "folded"])
 
 
 def _fold_merges() -> Column:
@@ -204,7 +234,11 @@ def encode_words(words: DataFrame, model: PieceTable) -> DataFrame:
     more = [c for c in words.columns if c != "word"]
     whole = lattice(words, model).withColumn("size_", F.length("word"))
     span = lambda e: e["start"] * 256 + e["n"]
-    whole = whole.withColumn("folded", _folded_bits() if model.is_bpe else F.expr("cast(null as array<int>)"))
+    if model.is_bpe:
+        fields = [*words.select("word", *more).schema.fields, T.StructField("size_", T.IntegerType()), T.StructField("packed", T.ArrayType(T.LongType()))]
+        whole = whole.select(*[f.name for f in fields]).mapInArrow(_folded_bits, T.StructType([*fields, T.StructField("folded", T.ArrayType(T.IntegerType()))]))
+    else:
+        whole = whole.withColumn("folded", F.expr("cast(null as array<int>)"))
     whole = whole.withColumn("edges", F.when(F.col("folded").isNull(), _edges(model)))
     if model.is_bpe:
         cut = whole.withColumn("b", F.when(F.col("folded").isNull(), F.coalesce(_fold_merges(), _fold_merges_one_by_one())))
@@ -355,6 +389,38 @@ class _Splitter:
         return self.cut.findall(SPACE + t if self.prefix else t)
 
 
+class _Cutter:
+    """Cuts words where no piece of a BPE table has the two characters side by side: no merge crosses such a place, so the ids of the parts, in a row, are
+    the word's. U+2581 stays with what follows. Pairs are held as bits by a hash; an equal hash leaves a place uncut, which changes no ids. Words of other
+    tables are left whole, as sums of their scores would be rounded otherwise."""
+
+    def __init__(self, model: PieceTable):
+        self.bits = None
+        if model.is_bpe:
+            self.bits = np.zeros(1 << 22, bool)
+            text = "".join(f"{p}\0" for _, p, _ in model.pieces)
+            code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+            self.bits[self._place(code[:-1], code[1:])] = True
+
+    @staticmethod
+    def _place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(10)
+
+    def __call__(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The parts of all words, and how many each word has."""
+        if self.bits is None or not words:
+            return words, np.ones(len(words), np.int64)
+        text = "".join(words)
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.cumsum(size) - size
+        cut = np.ones(len(code), bool)
+        cut[1:] = ~self.bits[self._place(code[:-1], code[1:])] & (code[:-1] != ord(SPACE))
+        cut[first] = True
+        at = np.flatnonzero(cut).tolist()
+        return [text[i:j] for i, j in zip(at, [*at[1:], len(text)], strict=True)], np.add.reduceat(cut, first, dtype=np.int64)
+
+
 #: Rows of a group of documents, for texts of under 2 LENGTH characters; each doubling of the length halves it, so that a group's words are bounded.
 ROWS, LENGTH = 4096, 4096
 
@@ -374,13 +440,16 @@ def grouped(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
 
 
 def count_words(docs: DataFrame, model: PieceTable, text_col: str, group: str, flush: int = 200_000) -> DataFrame:
-    """word, n, groups: how often each word occurs in all texts, and in which groups. A task that holds many words hands on its counts and
-    starts anew, so the counts are exact and its memory bounded."""
-    split = _Splitter(model)
+    """word, n, groups: how often each word occurs in all texts, and in which groups; words are the parts that _Cutter makes. A task that holds many words hands
+    on its counts and starts anew, so the counts are exact and its memory bounded."""
+    split, cut = _Splitter(model), _Cutter(model)
 
     def handed_on(counts: dict[int, Counter[str]]) -> Iterator[pa.RecordBatch]:
         for g, c in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(np.full(len(c), g, np.int64)), pa.array(list(c.values()), pa.int64())], names=["word", "g", "n"])
+            parts, per = cut(list(c))
+            own = pa.table({"word": pa.array(parts, pa.string()), "n": np.repeat(np.fromiter(c.values(), np.int64, len(c)), per)}).group_by("word").aggregate([("n", "sum")])
+            for b in own.combine_chunks().to_batches():
+                yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(np.full(b.num_rows, g, np.int64)), b.column("n_sum")], names=["word", "g", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, Counter[str]] = defaultdict(Counter)
@@ -399,7 +468,7 @@ def count_words(docs: DataFrame, model: PieceTable, text_col: str, group: str, f
 
 def least_count(counts: DataFrame, bound: int) -> int:
     """The count from which on words are at most bound, all of equal count or none."""
-    sizes = counts.where(F.length("word") <= LONG).groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).toLocalIterator()
+    sizes = counts.where(F.length("word") <= LONG).groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(bound + 1).collect()
     least, total = 1_000_001, 0
     for r in sizes:
         total += r["k"]
@@ -410,9 +479,9 @@ def least_count(counts: DataFrame, bound: int) -> int:
 
 
 class _Dictionaries:
-    """Reads the dictionaries of groups from the shared folder, and holds some."""
+    """Reads the dictionaries of groups from the shared folder, and holds some: at most that many words, and no more than half of that while it reads another."""
 
-    def __init__(self, folder: str, most: int = 500_000):
+    def __init__(self, folder: str, most: int = 200_000):
         self.folder, self.most, self.held = folder, most, {}
         self.store, self.base = None, None
 
@@ -424,6 +493,7 @@ class _Dictionaries:
 
         if self.store is None:
             self.store, self.base = pafs.FileSystem.from_uri(self.folder if "://" in self.folder or self.folder.startswith("file:") else f"file://{self.folder}")
+        self._leave(self.most // 2)
         out: dict[str, bytes] = {}
         for f in self.store.get_file_info(pafs.FileSelector(f"{self.base}/group={group}", allow_not_found=True)):
             if f.base_name.startswith(("_", ".")):
@@ -433,11 +503,35 @@ class _Dictionaries:
                     ids = b.column("ids")
                     raw, ends = ids.values.to_numpy().astype(np.int32).tobytes(), (ids.offsets.to_numpy() * 4).tolist()
                     out.update(zip(b.column("word").to_pylist(), [raw[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)], strict=True))
-        while self.held and sum(map(len, self.held.values())) + len(out) > self.most:
-            self.held.pop(next(iter(self.held)))
+        self._leave(self.most - len(out))
         self.held[group] = out
         return out
 
+    def _leave(self, words: int) -> None:
+        while self.held and sum(map(len, self.held.values())) > words:
+            self.held.pop(next(iter(self.held)))
+
+
+class _Packer:
+    """The packed ids of words: frequent ones by the table that all share, others by their parts, for each of which its group's dictionary has ids. It
+    remembers some words of the group that it met last."""
+
+    def __init__(self, model: PieceTable, common: dict[str, bytes], dictionaries: _Dictionaries, most: int = 50_000):
+        self.common, self.dictionaries, self.most, self.cut = common, dictionaries, most, _Cutter(model)
+        self.group, self.known = None, {}
+
+    def __call__(self, group: int, texts: list[list[str]]) -> list[bytes]:
+        if group != self.group or len(self.known) > self.most:
+            self.group, self.known = group, {}
+        common, known = self.common, self.known
+        if new := list(set().union(*texts).difference(common, known)):
+            parts, per = self.cut(new)
+            rare = self.dictionaries(group)
+            ids = [common.get(u) or rare[u] for u in parts]
+            end = np.cumsum(per).tolist()
+            known.update(zip(new, [ids[j - 1] if k == 1 else b"".join(ids[j - k : j]) for j, k in zip(end, per.tolist(), strict=True)], strict=True))
+        return [b"".join([common.get(w) or known[w] for w in ws]) for ws in texts]
+
 
 def encode(docs: DataFrame, model: PieceTable, text_col: str = "text", lattice_words: int = 120_000) -> tuple[DataFrame, str, str, str]:
     """docs with three more columns, whose names are returned: number of words, ids of pieces (as 4-byte little-endian integers; see
@@ -464,15 +558,16 @@ def encode(docs: DataFrame, model: PieceTable, text_col: str = "text", lattice_w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, common = shared.value
-        decoder, dictionaries = Decoder(m), _Dictionaries(folder)
+        decoder, pack = Decoder(m), _Packer(m, common, _Dictionaries(folder))
         for b in slices(batches):
-            packed, words = [], []
-            for text, g in zip(b.column(text_col), b.column(group).to_pylist(), strict=True):
-                t = text.as_py()
-                ws = [] if t is None else split(t)
-                rare = dictionaries(g) if ws else {}
-                packed.append(None if t is None else b"".join([common.get(w) or rare[w] for w in ws]))
-                words.append(len(ws))
+            packed, words, places = [None] * b.num_rows, [0] * b.num_rows, defaultdict(list)
+            for k, g in enumerate(b.column(group).to_pylist()):
+                places[g].append(k)
+            for g, rows in places.items():
+                rows = [k for k in rows if b.column(text_col)[k].is_valid]
+                split_ = [split(b.column(text_col)[k].as_py()) for k in rows]
+                for k, ws, ids_ in zip(rows, split_, pack(g, split_), strict=True):
+                    packed[k], words[k] = ids_, len(ws)
             back = pa.array([None if x is None else decoder(x) for x in packed], pa.string())
             kept = [c for c in b.schema.names if c != group]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(words, pa.int64()), pa.array(packed, pa.binary()), back], names=[*kept, n_words, ids, decoded])
