@@ -537,3 +537,16 @@ def test_adaptive_median_opens_few_large_windows(spark, monkeypatch):
     p[1, 10:13, 10:13] = 5.0
     made["kernel"](p)
     assert seen[0] == 3 * 12 * 12 and 0 < seen[1] < 10 and blocks
+
+
+def test_repeated_samples_share_their_pools(spark, monkeypatch):
+    """Gradients and percentiles are made once for all repeats, and the measures are those of each sample alone."""
+    vox = volume(spark, A)
+    labels = vox.withColumn("label", F.when(F.col("v") < 128, 0).otherwise(1))
+    grad = vox.withColumn("v", F.abs(F.col("v") - 100))
+    want = [stats.calinski_harabasz(lesion.stratified_sample(labels, grad, 120, 42 + i)).first()["ch"] for i in range(2)]
+    calls, plain = [], lesion.percentiles
+    monkeypatch.setattr(lesion, "percentiles", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    got = lesion.evaluate(labels, grad, 2, 120).collect()
+    assert len(got) == 1 and len(calls) == 1
+    assert np.allclose([got[0]["ch_mean"], got[0]["ch_var"]], [np.mean(want), np.var(want)])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,12 +144,21 @@ def stratified_sample(labelled: DataFrame, grad: DataFrame, total: int = 20_000,
     """Of each cluster max(50, total // k) voxels: half from gradients of at least the cluster's 75th percentile, half from below; small
     clusters whole, and a cluster one of whose pools is empty gives its whole quota from all its voxels. Which voxels: those of smallest
     noise number, so the sample does not depend on partitioning."""
+    return _drawn(_pooled(labelled, grad), total, seed)
+
+
+def _pooled(labelled: DataFrame, grad: DataFrame) -> DataFrame:
+    """What a sample needs of the voxels whatever its seed: vol_id, z, y, x, v, label, at_edge, and size, edges (of the label) and k."""
     g = cut(labelled.join(grad.select(*KEYS, F.col("v").alias("g")), KEYS))
     edge = percentiles(g.select("vol_id", "label", F.col("g").alias("v")), [0.75], "label").select("vol_id", "label", F.col("p")[0].alias("p75"))
     s = g.join(F.broadcast(edge), ["vol_id", "label"]).withColumn("at_edge", F.col("g") >= F.col("p75"))
     size = s.groupBy("vol_id", "label").agg(F.count("*").alias("size"), F.count_if("at_edge").alias("edges"))
     k = size.groupBy("vol_id").agg(F.count("*").alias("k"))
-    s = s.join(F.broadcast(size), ["vol_id", "label"]).join(F.broadcast(k), "vol_id").withColumn("quota", F.greatest(F.lit(50), F.floor(F.lit(total) / F.col("k"))))
+    return s.drop("g", "p75").join(F.broadcast(size), ["vol_id", "label"]).join(F.broadcast(k), "vol_id")
+
+
+def _drawn(pooled: DataFrame, total: int, seed: int) -> DataFrame:
+    s = pooled.withColumn("quota", F.greatest(F.lit(50), F.floor(F.lit(total) / F.col("k"))))
     s = s.withColumn("pool", F.when(F.col("edges") == F.col("size"), False).otherwise(F.col("at_edge")))
     s = with_hash(s, "u", seed)
     # of a pool the smallest numbers: a bound from counts of their upper halves first, so that no task orders a whole pool
@@ -163,12 +174,13 @@ def stratified_sample(labelled: DataFrame, grad: DataFrame, total: int = 20_000,
 
 
 def evaluate(labelled: DataFrame, grad: DataFrame, repeats: int = 3, total: int = 20_000, seed: int = 42) -> DataFrame:
-    """vol_id, and mean and variance over repeated stratified samples of Calinski-Harabasz and silhouette: ch_mean, ch_var, silhouette_mean, silhouette_var."""
-    rows = None
-    for i in range(repeats):
-        s = cut(stratified_sample(labelled, grad, total, seed + i))
-        row = calinski_harabasz(s).select("vol_id", "ch").join(silhouette(s).select("vol_id", "silhouette"), "vol_id")
-        rows = row if rows is None else rows.unionByName(row)
+    """vol_id, and mean and variance over repeated stratified samples of Calinski-Harabasz and silhouette: ch_mean, ch_var, silhouette_mean, silhouette_var.
+    Gradients and pools are made once, and the samples are volumes of one relation, which are measured together."""
+    pooled = cut(_pooled(labelled, grad))
+    drawn = [_drawn(pooled, total, seed + i).withColumn("vol_id", F.concat("vol_id", F.lit(f"#{i}"))) for i in range(repeats)]
+    s = cut(reduce(DataFrame.unionByName, drawn))
+    rows = calinski_harabasz(s).select("vol_id", "ch").join(silhouette(s).select("vol_id", "silhouette"), "vol_id")
+    rows = rows.withColumn("vol_id", F.regexp_replace("vol_id", "#[^#]*$", ""))
     return rows.groupBy("vol_id").agg(*[f(c).alias(f"{c}_{n}") for c in ("ch", "silhouette") for n, f in (("mean", F.avg), ("var", F.var_pop))])
 
 
