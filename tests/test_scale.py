@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from volspark import session
-from volspark.operators import blocks, cluster, lesion, regions
+from volspark.operators import blocks, cluster, lesion, levels, regions
 from volspark.plans import image_queries, sweeps
 from volspark.schema import KEYS
 from volspark.sources.grids import extents
@@ -78,6 +78,76 @@ def test_sweep_counts_basins_and_not_voxels(spark):
     assert got == want and all(n == 336 for _, n in got.values())
 
 
+def _basins_left(a, limits):
+    """Basins of an array and, for each limit of saliency, those that are left, a voxel and a pass at a time; NaN is no voxel."""
+    near = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
+    there = {p: a[p] for p in np.ndindex(*a.shape) if not np.isnan(a[p])}
+    beside = {p: [q for d in near if (q := tuple(i + k for i, k in zip(p, d, strict=True))) in there] for p in there}
+    label = {}
+    for p in sorted(there, key=lambda p: (there[p], p)):
+        to = min([p, *beside[p]], key=lambda q: (there[q], q))
+        label[p] = p if to == p else label[to]
+    passes = sorted((max(there[p], there[q]), label[p], label[q]) for p in there for q in beside[p] if label[p] < label[q])
+    root = {p: p for p in label.values()}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    ended = []
+    for h, p, q in passes:
+        p, q = find(p), find(q)
+        if p != q:
+            p, q = (p, q) if (there[p], p) > (there[q], q) else (q, p)
+            ended.append(h - there[p])
+            root[p] = q
+    return [len(set(label.values())) - sum(e <= x for e in ended) for x in limits]
+
+
+def test_levels_of_blocks_are_those_of_the_volume(spark):
+    """Random heights, heights of many ties, plateaus and holes, on blocks of a few voxels that begin below zero: as a pass at a time."""
+    rng = np.random.default_rng(12)
+    holes = np.where(rng.random((8, 7, 6)) < 0.1, np.nan, rng.random((8, 7, 6)))
+    pits = np.full((9, 9, 9), 5.0)  # a high plateau whose region is at all faces, and ever deeper pits
+    for i, p in enumerate([(1, 1, 1), (4, 4, 4), (7, 1, 7), (2, 7, 5), (7, 7, 2)]):
+        pits[p] = 4.0 - i
+    made = {"random": rng.random((11, 6, 7)), "ties": rng.integers(0, 4, (9, 8, 5)).astype(float), "line": rng.random((40, 1, 2)), "holes": holes, "pits": pits, "flat": np.ones((5, 4, 6)), "one": np.zeros((1, 1, 1))}
+    rows = [(k, z - 3, y + 2, x - 7, float(v)) for k, a in made.items() for (z, y, x), v in np.ndenumerate(a) if not np.isnan(v)]
+    vox = spark.createDataFrame(rows, "vol_id string, z int, y int, x int, v double")
+    thresholds, shares = [0.0, 0.3], [0.05, 0.2, 0.6]
+    want = {}
+    for name, a in made.items():
+        for k, t in enumerate(thresholds):
+            low = np.nanmin(a) + t * (np.nanmax(a) - np.nanmin(a))
+            left = _basins_left(np.maximum(a, low), [(np.nanmax(a) - low) * x for x in shares])
+            want |= {(name, k, x): (b, int((~np.isnan(a)).sum())) for x, b in zip(shares, left, strict=True)}
+    for block in (2, 3, 64):
+        got = {(r["vol_id"], r["run"], r["level"]): (r["basins"], r["n"]) for r in levels.basin_counts(blocks.chunked(vox, block), thresholds, shares).collect()}
+        assert got == want
+
+
+def test_sweep_of_watersheds_takes_few_jobs(spark):
+    """Jobs neither follow pointers nor merge regions round by round."""
+    vox = _volume(spark, (70, 5, 6))
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    before = jobs()
+    assert len(sweeps.watershed_sweep(vox, [0.5], [0.05, 0.1], [0.05, 0.3]).collect()) == 4
+    assert jobs() - before < 25
+
+
+def test_task_of_boxes_holds_faces_only(spark):
+    """What a block hands on does not grow with its inside."""
+    a = np.random.default_rng(2).random((64, 12, 12))
+    vox = spark.createDataFrame([("a", *map(int, p), float(v)) for p, v in np.ndenumerate(a)], "vol_id string, z int, y int, x int, v double")
+    basins = levels.basin_counts(blocks.chunked(vox, 32), [0.0], [0.1]).first()["basins"]
+    c = blocks.chunked(vox, 32)
+    rows = blocks.sent_chunks(c, (1, 1, 1)).join(F.broadcast(blocks.chunk_ranges(c)), "vol_id").groupBy("vol_id", "b_z", "b_y", "b_x")
+    left = rows.applyInArrow(levels._in_block(32, [0, 0, 0], [0.0], [0.1]), levels._LEFT).collect()
+    assert len(left) == 2 and basins > 500
+    assert all(len(r["node"]) // 8 <= 3 * 144 and len(r["place"]) // 8 == 144 for r in left)
+
+
 def _many_values(spark, n=10_000):
     v = np.random.default_rng(8).exponential(1.0, n) - 0.2
     return v, spark.createDataFrame([("a", 0, 0, i, float(x)) for i, x in enumerate(v)], "vol_id string, z int, y int, x int, v double")

@@ -230,37 +230,47 @@ def _sent(block: int, halo: tuple[int, int, int], column: str):
     return run
 
 
+def padded(rows: pa.Table, halo: tuple[int, int, int], boundary: str, block: int) -> tuple[list[int], list[int], np.ndarray, Borders]:
+    """Of what was sent to a block: its place on the grid of blocks, its least z, y, x, its array with the halo, and which padding lies outside the volume."""
+    pieces = rows.to_pylist()
+    lo, hi, cell = pieces[0]["lo"], pieces[0]["hi"], [pieces[0][c] for c in _CELL[1:]]
+    first = [max(lo[i], cell[i] * block) for i in range(3)]
+    last = [min(cell[i] * block + block - 1, hi[i]) for i in range(3)]
+    base = [max(lo[i], first[i] - halo[i]) for i in range(3)]
+    shape = [min(hi[i], last[i] + halo[i]) - base[i] + 1 for i in range(3)]
+    data = np.full(shape, np.nan)
+    for r in pieces:
+        data[tuple(slice(f - b, f - b + n) for f, b, n in zip(r["first"], base, r["size"], strict=True))] = _box(r, "v")
+    if any(halo):
+        index = [np.clip(mirrored(np.arange(first[i] - halo[i], last[i] + halo[i] + 1), lo[i], hi[i], boundary) - base[i], 0, shape[i] - 1) for i in range(3)]
+        data = data[np.ix_(*index)]
+    return cell, first, data, [(max(0, halo[i] - (first[i] - lo[i])), max(0, halo[i] - (hi[i] - last[i]))) for i in range(3)]
+
+
 def _run(kernel: Kernel, halo: tuple[int, int, int], boundary: str, block: int, columns: tuple[str, ...], bordered: bool, placed: bool):
     def run(rows: pa.Table) -> pa.Table:
-        pieces = rows.to_pylist()
-        lo, hi, cell = pieces[0]["lo"], pieces[0]["hi"], [pieces[0][c] for c in _CELL[1:]]
-        first = [max(lo[i], cell[i] * block) for i in range(3)]
-        last = [min(cell[i] * block + block - 1, hi[i]) for i in range(3)]
-        base = [max(lo[i], first[i] - halo[i]) for i in range(3)]
-        shape = [min(hi[i], last[i] + halo[i]) - base[i] + 1 for i in range(3)]
-        data = np.full(shape, np.nan)
-        for r in pieces:
-            data[tuple(slice(f - b, f - b + n) for f, b, n in zip(r["first"], base, r["size"], strict=True))] = _box(r, "v")
-        if any(halo):
-            index = [np.clip(mirrored(np.arange(first[i] - halo[i], last[i] + halo[i] + 1), lo[i], hi[i], boundary) - base[i], 0, shape[i] - 1) for i in range(3)]
-            data = data[np.ix_(*index)]
-        borders = [(max(0, halo[i] - (first[i] - lo[i])), max(0, halo[i] - (hi[i] - last[i]))) for i in range(3)]
+        cell, first, data, borders = padded(rows, halo, boundary, block)
         out = kernel(data, *([tuple(first)] if placed else []), *([borders] if bordered or placed else []))
-        return chunk_row(pieces[0]["vol_id"], cell, first, list(zip(columns, out if isinstance(out, tuple) else (out,), strict=True)))
+        return chunk_row(rows.column("vol_id")[0].as_py(), cell, first, list(zip(columns, out if isinstance(out, tuple) else (out,), strict=True)))
 
     return run
 
 
+def sent_chunks(chunks: Chunks, halo: tuple[int, int, int]) -> DataFrame:
+    """The first column of chunks, v, by the blocks that need it: their own and those in whose halo it lies; with their volume's lo and hi."""
+    if max(halo) > chunks.block:
+        raise ValueError("a halo is at most a block wide")
+    own = chunks.data.select(*_CELL, "first", "size", chunks.columns[0]).join(F.broadcast(chunks.bounds), "vol_id")
+    return own.mapInArrow(_sent(chunks.block, halo, chunks.columns[0]), f"{CHUNK}, v binary, lo array<int>, hi array<int>")
+
+
 def over_chunks(chunks: Chunks, kernel: Kernel, halo: tuple[int, int, int], boundary: str = "replicate", columns: tuple[str, ...] = ("v",), bordered: bool = False, placed: bool = False) -> Chunks:
     """over_blocks() of the first column of chunks, to chunks: between kernels go the chunks and the planes in their neighbours' halo, as arrays.
     No halo is wider than a block. A block whose voxels are all missing stays so."""
     if boundary not in BOUNDARIES:
         raise ValueError(f"boundary is one of {BOUNDARIES}")
-    if max(halo) > chunks.block:
-        raise ValueError("a halo is at most a block wide")
-    sent = chunks.data.select(*_CELL, "first", "size", chunks.columns[0]).join(F.broadcast(chunks.bounds), "vol_id").mapInArrow(_sent(chunks.block, halo, chunks.columns[0]), f"{CHUNK}, v binary, lo array<int>, hi array<int>")
     schema = f"{CHUNK}, " + ", ".join(f"{c} binary" for c in columns)
-    data = sent.groupBy(*_CELL).applyInArrow(_run(kernel, halo, boundary, chunks.block, columns, bordered, placed), schema)
+    data = sent_chunks(chunks, halo).groupBy(*_CELL).applyInArrow(_run(kernel, halo, boundary, chunks.block, columns, bordered, placed), schema)
     return Chunks(data, chunks.bounds, chunks.block, columns)
 
 
@@ -311,6 +321,18 @@ def chunk_means(chunks: Chunks, column: str) -> DataFrame:
     return chunks.data.select("vol_id", column).mapInArrow(run, "vol_id string, s double, n long").groupBy("vol_id").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 
+def chunk_ranges(chunks: Chunks) -> DataFrame:
+    """vol_id, mn and mx of the first column of chunks; missing voxels do not count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = [x[~np.isnan(x)] for x in (np.frombuffer(v, np.float64) for v in b.column(1).to_pylist())]
+            ends = [pa.array([float(f(x)) if len(x) else None for x in values], pa.float64()) for f in (np.min, np.max)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *ends], names=["vol_id", "mn", "mx"])
+
+    return chunks.data.select("vol_id", chunks.columns[0]).mapInArrow(run, "vol_id string, mn double, mx double").groupBy("vol_id").agg(F.min("mn").alias("mn"), F.max("mx").alias("mx"))
+
+
 def chunk_errors(reference: Chunks, other: Chunks) -> DataFrame:
     """mse_psnr() of chunks on the same grid of blocks, whose voxels need not be joined one by one. The volumes of other are named vol_id#run."""
 

@@ -300,12 +300,11 @@ def _followed(jump: DataFrame) -> DataFrame:
     return jump
 
 
-def _descend(p: np.ndarray, start: tuple[int, int, int], borders: Borders) -> tuple[np.ndarray, ...]:
-    """For each core voxel: its height, and where the pointers lead it: a minimum, or the first voxel out of the block."""
-    shape = np.array(p.shape)
+def descents(p: np.ndarray, borders: Borders) -> np.ndarray:
+    """For each place of an array padded by 1 the flat place where the pointers of the core lead it: a minimum, or the first voxel out of the block."""
     core = tuple(slice(1, -1) for _ in range(3))
-    h, where = p[core], np.indices(p.shape)
-    best, at = np.full(h.shape, np.inf), [np.zeros(h.shape, np.int64)] * 3
+    to = np.arange(p.size).reshape(p.shape)
+    best, at = np.full(p[core].shape, np.inf), to[core]
     for d in sorted(CROSS):  # by linear index, so that of equals the first stays
         axis = next((i for i, k in enumerate(d) if k), 0)
         moved = tuple(slice(1 + k, n - 1 + k) for k, n in zip(d, p.shape, strict=True))
@@ -315,17 +314,21 @@ def _descend(p: np.ndarray, start: tuple[int, int, int], borders: Borders) -> tu
         if borders[axis][1] and d[axis] > 0:
             np.moveaxis(take, axis, 0)[-1] = False
         best = np.where(take, p[moved], best)
-        at = [np.where(take, w[moved], a) for w, a in zip(where, at, strict=True)]
-    to = np.arange(p.size).reshape(p.shape)
-    to[core] = np.ravel_multi_index(at, p.shape)
+        at = np.where(take, to[moved], at)
+    to[core] = at
     to = to.ravel()
     while True:
         nxt = to[to]
         if np.array_equal(nxt, to):
-            break
+            return to.reshape(p.shape)
         to = nxt
-    ends = np.unravel_index(to.reshape(p.shape)[core], p.shape)
-    return h, *[e - 1 + s for e, s in zip(ends, start, strict=True)]
+
+
+def _descend(p: np.ndarray, start: tuple[int, int, int], borders: Borders) -> tuple[np.ndarray, ...]:
+    """For each core voxel: its height, and where the pointers lead it: a minimum, or the first voxel out of the block."""
+    core = tuple(slice(1, -1) for _ in range(3))
+    ends = np.unravel_index(descents(p, borders)[core], p.shape)
+    return p[core], *[e - 1 + s for e, s in zip(ends, start, strict=True)]
 
 
 _PASSES = "vol_id string, a long, b long, pass double, floor_a double, floor_b double, oa long, ob long"

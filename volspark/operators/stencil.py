@@ -101,6 +101,10 @@ def gaussian_weights(sigma: float) -> tuple[np.ndarray, np.ndarray]:
 
 def gaussian_gradient(vox: DataFrame, sigma: float) -> DataFrame:
     """Gradient magnitude of the Gaussian-smoothed volume, by separable finite weights (not a recursive filter)."""
+    return voxels_of(chunk_gaussian_gradient(chunked(vox, max(32, len(gaussian_weights(sigma)[0]) // 2)), sigma))
+
+
+def chunk_gaussian_gradient(chunks: Chunks, sigma: float) -> Chunks:
     g, d = gaussian_weights(sigma)
     r = len(g) // 2
 
@@ -114,7 +118,7 @@ def gaussian_gradient(vox: DataFrame, sigma: float) -> DataFrame:
             total = total + a * a
         return np.sqrt(total)
 
-    return over_blocks(vox, kernel, _cube(r), "replicate")
+    return over_chunks(chunks, kernel, _cube(r), "replicate")
 
 
 #: Two damped oscillations each that add up to half a Gaussian and half its derivative (Farneback and Westin 2006; fixed values): cosine and sine

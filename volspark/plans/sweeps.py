@@ -12,7 +12,8 @@ from volspark.functions import pointwise as P
 from volspark.functions import stats as A
 from volspark.operators import cluster, denoise, fronts, lesion, regions, stencil, threshold
 from volspark.operators.bias import n4_log_bias
-from volspark.operators.blocks import box_mean, over_blocks
+from volspark.operators.blocks import Chunks, box_mean, chunked, over_blocks
+from volspark.operators.levels import basin_counts
 from volspark.schema import KEYS
 from volspark.session import cut
 from volspark.sources.grids import rescale_uint16
@@ -88,20 +89,16 @@ def _of_runs(rows: DataFrame, runs: list[tuple], names: list[str]) -> DataFrame:
 
 
 def watershed_sweep(vox: DataFrame, sigmas: list[float], thresholds: list[float], levels: list[float]) -> DataFrame:
-    """Basins for each combination. Gradients of all sigmas and thresholds are volumes of one relation, whose basins are found together; all
-    levels merge them together."""
-    runs, made = [], []
-    for s in sigmas:
-        grad = cut(stencil.gaussian_gradient(vox, s))
-        for t in thresholds:
-            made.append(_named(regions.floored(grad, t), len(runs)))
-            runs.append((s, t))
-    basins = regions.basins(reduce(DataFrame.unionByName, made))
-    # voxels are counted by basin once, and the levels merge basins
-    size = basins.groupBy("vol_id", F.col("label").alias("basin")).agg(F.count("*").alias("n"))
-    w = size.join(regions.merged_labels(basins, levels), ["vol_id", "basin"])
-    rows = w.groupBy("vol_id", "level").agg(F.countDistinct("label").alias("basins"), F.sum("n").alias("n"))
-    return _of_runs(rows, runs, ["sigma", "threshold"])
+    """Basins for each combination. The volume is put into chunks once; gradients of all sigmas are volumes of one relation, of which a block
+    takes all thresholds, and the levels count the merges."""
+    c = chunked(vox, max(64, *[len(stencil.gaussian_weights(s)[0]) // 2 for s in sigmas]))
+    name = lambda i: F.concat("vol_id", F.lit(f"#{i}"))
+    made = [stencil.chunk_gaussian_gradient(c, s).data.withColumn("vol_id", name(i)) for i, s in enumerate(sigmas)]
+    bounds = [c.bounds.withColumn("vol_id", name(i)) for i in range(len(sigmas))]
+    grads = Chunks(cut(reduce(DataFrame.unionByName, made)), cut(reduce(DataFrame.unionByName, bounds)), c.block)
+    rows = basin_counts(grads, thresholds, levels)
+    threshold = F.element_at(F.array(*map(F.lit, thresholds)), F.col("run") + 1).alias("threshold")
+    return _of_runs(rows.select("vol_id", threshold, "level", "basins", "n"), [(s,) for s in sigmas], ["sigma"])
 
 
 def level_set_sweep(vox: DataFrame, seed: tuple[int, int, int], iterations: list[int], sigmas: list[float], alphas: list[float], betas: list[float], stoppings: list[float], fixed: tuple[float, float, float], best: tuple[int, float]) -> DataFrame:
