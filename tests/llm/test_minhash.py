@@ -120,3 +120,16 @@ def test_components_with_a_hub(spark):
     links = spark.createDataFrame([(5000 + i, 7) for i in range(400)] + [(3, 5000), (9000, 9001)], "a long, b long")
     got = {r["node"]: r["component"] for r in M.components(links).collect()}
     assert got == {**{5000 + i: 3 for i in range(400)}, 3: 3, 7: 3, 9000: 9000, 9001: 9000}
+
+
+def test_few_links_take_no_rounds(spark):
+    """A chain, a hub and pairs of binary nodes: the same components in one task as by rounds, in few jobs."""
+    node = lambda i: i.to_bytes(3, "big")
+    pairs = [(i, i + 1) for i in range(100, 160)] + [(5000 + i, 7) for i in range(400)] + [(3, 5000), (200, 200), (9000, 9001), (9001, 9000)]
+    links = spark.createDataFrame([(node(a), node(b)) for a, b in pairs], "a binary, b binary").cache()
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    before = jobs()
+    one = {bytes(r["node"]): bytes(r["component"]) for r in M.components(links).collect()}
+    assert jobs() - before < 8
+    assert one == {bytes(r["node"]): bytes(r["component"]) for r in M.components(links, few=0).collect()}
+    assert one == {**{node(i): node(100) for i in range(100, 161)}, **{node(i): node(3) for i in (3, 7, *range(5000, 5400))}, node(9000): node(9000), node(9001): node(9000)}

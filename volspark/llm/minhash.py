@@ -22,7 +22,7 @@ Links, without ever listing the pairs of a bucket:
    the members of other components, refuted by both tests inside the join. So every candidate pair is confirmed,
    refuted, or already in one component. Buckets of any size are joined by cells of set size, outer members with the neighbouring
    cells, too: a cut that loses no pair, as similarity bounds the ratio of sizes;
-5. components of all confirmed links, by alternating large-star and small-star rounds; sets that one id has are linked as well, where ids are labelled.
+5. components of all confirmed links, by alternating large-star and small-star rounds (few links: in one task); sets that one id has are linked as well, where ids are labelled.
 
 Hot buckets are joins that adaptive execution splits; nodes of many links (at most some thousand by their number) are broadcast;
 sets travel only for nodes in candidate pairs.
@@ -44,6 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volspark.llm.common import discard, drop_path, free_name, fresh_path, materialise, mix64, slices, table, write_table
+from volspark.operators.regions import resolve
 
 BANDS, ROWS = 32, 4
 _UNIVERSE = 1 << 20
@@ -232,12 +233,20 @@ def confirm(pairs: DataFrame, texts: DataFrame, holders: DataFrame, k: int, perc
     return links
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Connected components of links (a, b): node, component (the smallest node), for every node with a link.
+#: Links that one task may resolve; more take rounds over all executors.
+FEW_LINKS = 200_000
+
+
+def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+    """Connected components of links (a, b): node, component (the smallest node), for every node with a link: at most few of them in one task,
+    as a round takes some seven shuffles, however few they are; else by rounds.
 
     A node of many links meets them where they are: nodes of more links than a thousandth of all are fewer than 2,000 and are broadcast."""
     edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     last, count = None, edges.count()
+    if count <= few:
+        kind = edges.schema["u"].dataType.simpleString()
+        return edges.coalesce(1).mapInPandas(resolve, f"node {kind}, component {kind}")
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("links")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"), "links")

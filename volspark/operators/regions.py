@@ -32,7 +32,7 @@ def linear(z="z", y="y", x="x"):
 FEW_EDGES = 200_000
 
 
-def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Components of all edges of a task."""
     root: dict = {}
 
@@ -61,7 +61,7 @@ def star_components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     if e.count() <= few:
         kind = e.schema["u"].dataType.simpleString()
-        return e.coalesce(1).mapInPandas(_resolve, f"node {kind}, component {kind}")
+        return e.coalesce(1).mapInPandas(resolve, f"node {kind}, component {kind}")
     last = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
