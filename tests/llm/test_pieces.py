@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,36 @@ def test_dictionaries_leave_room_before_they_read(tmp_path):
     held = P._Dictionaries(str(tmp_path), most=100)
     for g in (0, 1, 2, 0):
         assert len(held(g)) == 60 and list(held.held) == [g]
+
+
+def test_words_of_a_batch_are_those_of_each_text(bpe):
+    """Texts cut together and texts that are cut alone, in any order, also of a slice."""
+    split = P._Splitter(bpe)
+    texts = ["a b", "", " a", "a ", "two  spaces", "\u2581", "c\u2581d e", " ", "\t\n", "é ü \U0001f600", "x" * 50, "last one"]
+    want = [split(t) for t in texts]
+    assert split.lists(pa.array(texts)).to_pylist() == want
+    assert split.lists(pa.array(texts).slice(3, 5)).to_pylist() == want[3:8]
+    for some in (["a b", "c"], ["", " "], []):
+        assert split.lists(pa.array(some, pa.string())).to_pylist() == [split(t) for t in some]
+
+
+def test_a_word_of_a_batch_is_looked_up_once(bpe):
+    class Counting(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counting.asked += 1
+            return super().get(key, default)
+
+    words = [f"\u2581{w}" for w in ("one", "two", "three")] * 1000
+    common = Counting({w: w.encode() for w in words[:2]})
+    pack = P._Packer(bpe, common, lambda group: {u: u.encode() for u in P._Cutter(bpe)(words[2:3])[0]})
+    assert pack(1, pa.array(words)).to_pylist() == [w.encode() for w in words]
+    assert Counting.asked <= 10
+
+
+def test_light_batches_hold_all_rows():
+    b = pa.record_batch({"t": pa.array(["abc", None, "x" * 100, "y" * 5, "z", ""] * 3)})
+    got = [x.column(0).to_pylist() for x in P._light([b], 0, rows=7, most=8)]
+    assert [t for x in got for t in x] == b.column(0).to_pylist()
+    assert all(len(x) == 1 or sum(len(t or "") for t in x) <= 8 for x in got)

@@ -29,7 +29,7 @@ import os
 import re
 import struct
 from array import array
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -388,6 +388,38 @@ class _Splitter:
             return []
         return self.cut.findall(SPACE + t if self.prefix else t)
 
+    def lists(self, texts: pa.Array) -> pa.ListArray:
+        """The words of each of texts, none of them null. Those with single spaces inside only are cut together, the others one by one."""
+        odd = pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE))
+        odd = pc.or_(odd, pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+        odd = pc.or_(odd, pc.equal(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False) | (not self.prefix)
+        own = pa.array([self(t) for t in texts.filter(pa.array(odd)).to_pylist()], pa.list_(pa.string()))
+        if odd.all():
+            return own
+        plain = pc.binary_join_element_wise(SPACE, texts.filter(pa.array(~odd)), "")
+        plain = pc.split_pattern(pc.replace_substring(plain, " ", f" {SPACE}"), " ")
+        if not odd.any():
+            return plain
+        return pa.concat_arrays([plain, own]).take(pa.array(np.where(odd, len(plain) + np.cumsum(odd), np.cumsum(~odd)) - 1))
+
+
+def _light(batches: Iterator[pa.RecordBatch], column: int | str, rows: int = 2048, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches whose texts are of at most so many bytes together, or a row each."""
+    for b in slices(batches, rows):
+        total, at = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy().astype(np.int64)), 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(total, most + (total[at - 1] if at else 0), "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
+def _by_group(b: pa.RecordBatch, text: int | str, group: int | str) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
+    """Each group, its rows that have a text, and these texts."""
+    there, of = b.column(text).is_valid().to_numpy(zero_copy_only=False), b.column(group).to_numpy()
+    for g in np.unique(of[there]).tolist():
+        rows = np.flatnonzero(there & (of == g))
+        yield g, rows, b.column(text).take(pa.array(rows))
+
 
 class _Cutter:
     """Cuts words where no piece of a BPE table has the two characters side by side: no merge crosses such a place, so the ids of the parts, in a row, are
@@ -444,22 +476,30 @@ def count_words(docs: DataFrame, model: PieceTable, text_col: str, group: str, f
     on its counts and starts anew, so the counts are exact and its memory bounded."""
     split, cut = _Splitter(model), _Cutter(model)
 
-    def handed_on(counts: dict[int, Counter[str]]) -> Iterator[pa.RecordBatch]:
+    def together(counts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(counts).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["word", "n"])
+
+    def handed_on(counts: dict[int, list[pa.Table]]) -> Iterator[pa.RecordBatch]:
         for g, c in counts.items():
-            parts, per = cut(list(c))
-            own = pa.table({"word": pa.array(parts, pa.string()), "n": np.repeat(np.fromiter(c.values(), np.int64, len(c)), per)}).group_by("word").aggregate([("n", "sum")])
+            whole = together(c)
+            parts, per = cut(whole.column("word").to_numpy().tolist())
+            own = together([pa.table({"word": pa.array(parts, pa.string()), "n": np.repeat(whole.column("n").to_numpy(), per)})])
             for b in own.combine_chunks().to_batches():
-                yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(np.full(b.num_rows, g, np.int64)), b.column("n_sum")], names=["word", "g", "n"])
+                yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(np.full(b.num_rows, g, np.int64)), b.column("n")], names=["word", "g", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, Counter[str]] = defaultdict(Counter)
-        for b in slices(batches):
-            for text, g in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                if (t := text.as_py()) is not None:
-                    counts[g].update(split(t))
-            if sum(map(len, counts.values())) > flush:
-                yield from handed_on(counts)
-                counts = defaultdict(Counter)
+        counts: dict[int, list[pa.Table]] = defaultdict(list)
+        size = lambda: sum(t.num_rows for c in counts.values() for t in c)
+        for b in _light(batches, 0):
+            for g, _, texts in _by_group(b, 0, 1):
+                words = split.lists(texts).flatten().dictionary_encode()
+                n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary)).astype(np.int64)
+                counts[g].append(pa.table({"word": words.dictionary, "n": n}))
+            if size() > 2 * flush:
+                counts = defaultdict(list, {g: [together(c)] for g, c in counts.items()})
+                if size() > flush:
+                    yield from handed_on(counts)
+                    counts = defaultdict(list)
         yield from handed_on(counts)
 
     rows = docs.select(text_col, group).mapInArrow(run, "word string, g long, n long")
@@ -520,17 +560,22 @@ class _Packer:
         self.common, self.dictionaries, self.most, self.cut = common, dictionaries, most, _Cutter(model)
         self.group, self.known = None, {}
 
-    def __call__(self, group: int, texts: list[list[str]]) -> list[bytes]:
+    def __call__(self, group: int, words: pa.Array) -> pa.Array:
+        """Of each of the words, a distinct one being looked up once."""
         if group != self.group or len(self.known) > self.most:
             self.group, self.known = group, {}
         common, known = self.common, self.known
-        if new := list(set().union(*texts).difference(common, known)):
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        packed = [common.get(w) or known.get(w) for w in distinct]
+        if new := [w for w, x in zip(distinct, packed, strict=True) if x is None]:
             parts, per = self.cut(new)
             rare = self.dictionaries(group)
             ids = [common.get(u) or rare[u] for u in parts]
             end = np.cumsum(per).tolist()
             known.update(zip(new, [ids[j - 1] if k == 1 else b"".join(ids[j - k : j]) for j, k in zip(end, per.tolist(), strict=True)], strict=True))
-        return [b"".join([common.get(w) or known[w] for w in ws]) for ws in texts]
+            packed = [x or known[w] for w, x in zip(distinct, packed, strict=True)]
+        return pa.array(packed, pa.binary()).take(coded.indices)
 
 
 def encode(docs: DataFrame, model: PieceTable, text_col: str = "text", lattice_words: int = 120_000) -> tuple[DataFrame, str, str, str]:
@@ -559,15 +604,16 @@ def encode(docs: DataFrame, model: PieceTable, text_col: str = "text", lattice_w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, common = shared.value
         decoder, pack = Decoder(m), _Packer(m, common, _Dictionaries(folder))
-        for b in slices(batches):
-            packed, words, places = [None] * b.num_rows, [0] * b.num_rows, defaultdict(list)
-            for k, g in enumerate(b.column(group).to_pylist()):
-                places[g].append(k)
-            for g, rows in places.items():
-                rows = [k for k in rows if b.column(text_col)[k].is_valid]
-                split_ = [split(b.column(text_col)[k].as_py()) for k in rows]
-                for k, ws, ids_ in zip(rows, split_, pack(g, split_), strict=True):
-                    packed[k], words[k] = ids_, len(ws)
+        for b in _light(batches, text_col):
+            packed, words = [None] * b.num_rows, [0] * b.num_rows
+            for g, rows, texts in _by_group(b, text_col, group):
+                lists = split.lists(texts)
+                n = pc.list_value_length(lists).to_numpy()
+                _, ends, raw = pack(g, lists.flatten()).buffers()
+                at = np.frombuffer(ends, np.int32)[np.concatenate([[0], np.cumsum(n)])].tolist() if raw else [0] * (len(n) + 1)
+                raw = memoryview(raw or b"")
+                for k, w, i, j in zip(rows.tolist(), n.tolist(), at[:-1], at[1:], strict=True):
+                    packed[k], words[k] = bytes(raw[i:j]), w
             back = pa.array([None if x is None else decoder(x) for x in packed], pa.string())
             kept = [c for c in b.schema.names if c != group]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(words, pa.int64()), pa.array(packed, pa.binary()), back], names=[*kept, n_words, ids, decoded])
@@ -579,13 +625,13 @@ class Decoder:
     """The text of packed ids."""
 
     def __init__(self, model: PieceTable):
-        self.surfaces = [bytes.fromhex(x) for x in model.surfaces()]
+        self.surfaces = pa.array([bytes.fromhex(x) for x in model.surfaces()], pa.binary())
         self.prefix = model.dummy_prefix
 
     def __call__(self, packed: bytes) -> str:
-        surfaces = self.surfaces
-        raw = b"".join([surfaces[i] for i in memoryview(packed).cast("i")])
-        text = raw.decode("utf-8", "replace").replace(SPACE, " ")
+        _, ends, raw = self.surfaces.take(pa.array(np.frombuffer(packed, np.int32))).buffers()
+        size = int(np.frombuffer(ends, np.int32)[len(packed) // 4]) if raw else 0
+        text = str(memoryview(raw)[:size], "utf-8", "replace").replace(SPACE, " ") if size else ""
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
